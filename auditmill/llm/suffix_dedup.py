@@ -38,6 +38,8 @@ from auditmill.llm.shared import written
 U64, I64, I32 = np.uint64, np.int64, np.int32
 LENGTH = 100
 K = 32
+#: Bytes of segments that are put in suffix order together; one anchor's are never split.
+TOGETHER = 4_000_000
 #: A document without an id comes before all others.
 NO_ID = -(2**63)
 _POSITION = U64(2**31 - 1)
@@ -288,7 +290,7 @@ def _segment_blocks(copies: str, repeated: str, length: int, parts: int):
             at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
             held.append(Segments(whole.columns, data[at]))
             size += int(n.sum())
-            if size > 16_000_000:
+            if size > TOGETHER:
                 yield flush(held)
                 held, size = [], 0
         if held:
@@ -304,7 +306,15 @@ def _part_marks(length: int):
         done = pdf["mark"]
         rows = [(int(s), b) for s, b in zip(pdf["src"][done], pdf["blob"][done], strict=True)]
         if not done.all():
-            rows += Segments.join([Segments.unpack(b) for b in pdf["blob"][~done]]).marked(length)[0]
+            own = Segments.join([Segments.unpack(b) for b in pdf["blob"][~done]])
+            order = np.argsort(own.columns[4], kind="stable")
+            anchor = own.columns[4][order]
+            first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            size = np.add.reduceat(own.columns[5][order], first)
+            batch = np.cumsum(size) // TOGETHER
+            cut = first[np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1]]))].tolist()
+            for i, j in zip(cut, [*cut[1:], len(order)], strict=True):
+                rows += own.take(order[i:j]).marked(length)[0]
         return pd.DataFrame(rows, columns=["src", "blob"])
 
     return run
