@@ -15,14 +15,16 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder's address."""
+    """The shared folder's address, with its scheme: a bare path is one of the cluster's default file system."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="auditmill-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -33,7 +33,7 @@ def save(blobs: DataFrame, name: str, join=b"".join) -> str:
         fs.create_dir(path, recursive=True)
         src = int(pdf["src"].iloc[0])
         temporary = f"{path}/.{uuid.uuid4().hex}"
-        with fs.open_output_stream(temporary) as out:
+        with fs.open_output_stream(temporary, compression=None) as out:
             out.write(join(list(pdf["blob"])))
         fs.move(temporary, f"{path}/{src}")
         return pd.DataFrame({"src": [src]})
@@ -46,7 +46,7 @@ def load(address: str, src: int) -> bytes:
     """A split's file; empty where nothing was found for it."""
     fs, path = filesystem(address)
     try:
-        with fs.open_input_stream(f"{path}/{src}") as f:
+        with fs.open_input_stream(f"{path}/{src}", compression=None) as f:
             return f.read()
     except FileNotFoundError:
         return b""
