@@ -1,0 +1,211 @@
+import json
+import random
+
+import pytest
+from auditmill.functions.scalars import GENESIS
+from auditmill.operators import delivery as D
+from auditmill.operators import integrity, query
+from auditmill.plans.ingest import Limits, sanitised, with_request_context
+from auditmill.plans.logger import AuditLogger, Config
+from auditmill.sources import files
+from auditmill.sources.schema import COLUMNS, LOG
+from auditmill.sources.table import AuditTable, StateTable
+from auditmill.streaming import delivery as streaming
+from pyspark.sql import functions as F
+
+
+def log(i, tenant="t1", at="2026-01-01T00:00:00.000Z", **more):
+    return tuple(({"id": f"{i:04d}", "tenant_id": tenant, "actor_id": "a", "action": "x", "created_at": at} | more).get(c) for c in COLUMNS)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, LOG)
+
+
+def test_pages(spark):
+    logs = frame(spark, [log(i, at=f"2026-01-0{i}T00:00:00.000Z") for i in (1, 2, 3)])
+    rows, cursor = query.collected(query.page(logs, "t1", limit=2), 2)
+    assert ([r.id for r in rows], cursor) == (["0003", "0002"], "0002")
+    rows, cursor = query.collected(query.page(logs, "t1", cursor=cursor, limit=2), 2)
+    assert ([r.id for r in rows], cursor) == (["0001"], None)
+    assert query.page(logs, "other").count() == 0
+    assert [query.clamp(x) for x in (None, 0, -5, 7, 10**9, float("nan"), float("inf"))] == [50, 1, 1, 7, 500, 50, 50]
+
+
+def test_predicates_reach_the_scan(spark, tmp_path):
+    table = AuditTable(spark, f"file://{tmp_path}/t")
+    table.insert(frame(spark, [log(i, at=f"2026-0{i}-01T00:00:00.000Z") for i in range(1, 7)]))
+    found = query.filtered(table.scan(), "t1", query.Filters(start="2026-02-01", end="2026-03-09"), partitioned=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_month" in plan and "EqualTo(tenant_id,t1)" in plan
+    assert sorted(r.id for r in found.collect()) == ["0002", "0003"]
+
+
+def test_table_inserts_once_and_prunes(spark, tmp_path):
+    table = AuditTable(spark, f"file://{tmp_path}/t")
+    assert table.scan().count() == 0
+    table.insert(frame(spark, [log(1), log(1, action="again"), log(2, at="2026-02-01T00:00:00.000Z"), log(3, "t2", at="2026-02-20T00:00:00.000Z"), log(4, at="2025-11-01T00:00:00.000Z")]))
+    table.insert(frame(spark, [log(2, action="again", at="2026-02-01T00:00:00.000Z"), log(5, at="2026-02-10T00:00:00.000Z")]))
+    assert sorted((r.id, r.action) for r in table.scan().where("id <> '0001'").collect()) == [(f"000{i}", "x") for i in (2, 3, 4, 5)]
+    assert table.scan().where("id = '0001'").count() == 1
+    table.prune("2026-02-05T00:00:00.000Z", tenant="t2")
+    assert table.scan().count() == 5
+    table.prune("2026-02-05T00:00:00.000Z", whole_months=True)
+    assert sorted(r.id for r in table.scan().collect()) == ["0002", "0003", "0005"]
+    table.prune("2026-02-05T00:00:00.000Z")
+    assert sorted(r.id for r in table.scan().collect()) == ["0003", "0005"]
+    table.prune("2026-02-28T00:00:00.000Z")
+    assert table.months() == [] and table.scan().count() == 0
+
+
+def test_a_prune_that_died_is_ended_or_undone(spark, tmp_path):
+    table = AuditTable(spark, f"file://{tmp_path}/t")
+    table.insert(frame(spark, [log(1), log(2)]))
+    table.scan().where("id = '0002'").drop("created_month").write.parquet(f"file://{tmp_path}/t/_next_202601")
+    table.recover()
+    assert [r.id for r in table.scan().collect()] == ["0002"]
+    (tmp_path / "t" / "_next_202601").mkdir()
+    table.recover()
+    assert [r.id for r in table.scan().collect()] == ["0002"]
+
+
+def test_state_versions(spark, tmp_path):
+    t = StateTable(spark, f"file://{tmp_path}/s", "a int")
+    for k in range(4):
+        t.replace(t.read().union(spark.createDataFrame([(k,)], "a int")))
+    assert sorted(r.a for r in t.read().collect()) == [0, 1, 2, 3]
+    (tmp_path / "s" / "v99999999999999999999").mkdir()
+    assert t.read().count() == 4
+
+
+def test_recovery_bounds(spark):
+    rows = spark.createDataFrame([(s, q, "x" * 9) for s in range(3) for q in range(3)], "segment int, seq int, payload string")
+    take = lambda **b: D.recover(rows, ("seq",), "segment", size=F.octet_length("payload") + 1, **b).count()
+    assert [take(max_bytes=b) for b in (0, 1, -1, 9, 10, 35, float("nan"), float("inf"))] == [0, 0, 0, 0, 1, 3, 9, 9]
+    assert [take(max_logs=n) for n in (0, 4, 99)] == [0, 4, 9] and take(max_logs=4, max_bytes=25) == 2
+
+
+def test_admission_equals_the_loop(spark):
+    rnd = random.Random(4)
+    for _ in range(4):
+        rows = [(i, rnd.choice([None, "a", "b", "c", "d"])) for i in range(rnd.randrange(1, 40))]
+        per, total, most = rnd.randrange(1, 8), rnd.randrange(1, 25), rnd.randrange(1, 5)
+        got = D.admission_wave(spark.createDataFrame(rows, "seq int, tenant_id string"), "seq", per, total, most)
+        queues = {}
+        for i, t in rows:
+            queues.setdefault(t, []).append(i)
+        want = set()
+        for q in list(queues.values())[:most]:
+            want |= set(q[: min(per, total - len(want))])
+        assert {r.seq for r in got.where("admitted").collect()} == want
+
+
+def test_chain(spark):
+    rows = [log(i, metadata='{"a":1}' if i % 2 else None, entity_id='q"\x1f' if i == 3 else None) for i in range(1, 6)]
+    sealed = integrity.seal(frame(spark, rows)).orderBy("id").collect()
+    assert sealed[0].prev_hash == GENESIS and all(a.content_hash == b.prev_hash for a, b in zip(sealed, sealed[1:], strict=False))
+    ok = spark.createDataFrame(sealed, LOG)
+    assert integrity.failures(ok).count() == 0
+    bad = integrity.failures(ok.withColumn("action", F.when(F.col("id") == "0002", "y").otherwise(F.col("action")))).first()
+    assert (bad.failed_at, bad.error) == (1, "contentHash mismatch")
+    assert integrity.failures(ok.where("id <> '0003'")).first().error == "prevHash mismatch"
+    assert integrity.failures(ok.withColumn("content_hash", F.lit(None).cast("string"))).first().error == "missing integrity fields"
+
+
+def test_ingest(spark):
+    made = frame(spark, [log(1, actor_id="A" * 500, tenant="t" * 87, old_values='"' + "o" * 5000 + '"', metadata='"m"')])
+    r = sanitised(made, Limits(string_bytes=32, payload_bytes=120)).first()
+    assert r.actor_id == "A" * 32 + "…" and r.tenant_id == "t" * 87 and (r.old_values, r.metadata, r.capped, r.truncated) == (None, None, True, True)
+    headers = made.withColumns({"x_forwarded_for": F.lit("c, p"), "x_real_ip": F.lit(None).cast("string"), "user_agent_header": F.lit("ua"), "x_tenant_id": F.lit("header")})
+    r = with_request_context(headers, 1).first()
+    assert (r.ip_address, r.user_agent, r.tenant_id) == ("c", "ua", "t" * 87)
+
+
+def test_files(spark, tmp_path):
+    one = {"id": "1", "actorId": "a", "action": "x", "createdAt": "2026", "metadata": {"k": 1}}
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "0001.aof").write_text(json.dumps(one) + "\r\n{broken\n" + json.dumps({"id": "j2", "log": one | {"id": "2"}}))
+    assert sorted(r.log.id for r in files.journal(spark, f"file://{tmp_path}/j").collect()) == ["1", "2"]
+    (tmp_path / "a").write_text("1\n\n 1 \n2\n")
+    assert sorted(r.id for r in files.acks(spark, f"file://{tmp_path}/a").collect()) == ["1", "2"]
+    (tmp_path / "d").mkdir()
+    for name, text in (("b1.dead.json", json.dumps({"v": 2, "id": "own", "tenantId": "t", "attempts": 3, "logs": [one]})), ("b2.json", json.dumps([one | {"tenantId": "u"}])), ("b3.processing.json", "{broken")):
+        (tmp_path / "d" / name).write_text(text)
+    got = {r.id: (r.state, r.tenant_id, r.attempts, r.logs and len(r.logs)) for r in files.dead_letters(spark, f"file://{tmp_path}/d").collect()}
+    assert got == {"own": ("dead", "t", 3, 1), "b2": ("pending", "u", 0, 1), "b3": ("processing", None, 0, None)}
+
+
+@pytest.fixture
+def made(spark, tmp_path):
+    events = []
+    return AuditLogger(spark, Config(f"file://{tmp_path}/log", integrity=True, backoff_ms=1, insert_attempts=2, max_attempts=2, limits=Limits(redact=("password",), string_bytes=32)), events.append), events
+
+
+def test_logger_life(made):
+    logger, events = made
+    for i in range(5):
+        logger.fire("user.login", f"u{i % 2}", tenant_id="acme", metadata={"password": "p", "n": i})
+    logger.fire_async("user.logout", "u" * 50, tenant_id="globex")
+    logger.flush()
+    rows, cursor = logger.query("acme", limit=3)
+    assert len(rows) == 3 and cursor and json.loads(rows[0].metadata) == {"n": 4}
+    rest, end = logger.query("acme", cursor=cursor, limit=3)
+    assert len(rest) == 2 and end is None and len(logger.query("acme", query.Filters(actor_id="u1"))[0]) == 2
+    assert logger.verify(logger.table().scan().where("tenant_id = 'acme'")) == {"ok": True, "failed_at": -1, "error": None}
+    assert any(e["type"] == "truncated" for e in events)
+    logger.shutdown()
+    logger.shutdown()
+    logger.fire("late", "u")
+    assert events[-1]["detail"] == "shutdown" and logger.stats()["has_work"] is False
+    with pytest.raises(RuntimeError):
+        logger.fire_async("late", "u")
+
+
+def test_logger_dead_letters(made):
+    logger, events = made
+    table = logger.table("t1")
+    insert = table.insert
+    table.insert = lambda *_: (_ for _ in ()).throw(OSError("down"))
+    logger.fire("a.b", "u", tenant_id="t1")
+    logger.flush()
+    (entry,) = logger.list_dlq()
+    assert (entry.log_count, entry.tenant_id) == (1, "t1") and logger.stats()["pending"] == 1
+    logger.retry_dlq_now()
+    logger.retry_dlq_now()
+    logger.retry_dlq_now()
+    assert [e.state for e in logger.list_dlq(dead=True)] == ["dead"] and any(e["type"] == "dlq_poison" for e in events)
+    table.insert = insert
+    assert logger.requeue_dead(entry.id) == entry.id and logger.list_dlq()[0].attempts == 0
+    logger.run_maintenance()
+    assert logger.list_dlq(True, True, True) == [] and len(logger.query("t1")[0]) == 1
+    with pytest.raises(KeyError):
+        logger.delete_dead(entry.id)
+
+
+def test_stream_delivers_once_and_goes_on(spark, tmp_path):
+    table, letters = AuditTable(spark, f"file://{tmp_path}/t"), []
+
+    def put(name, rows):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("\n".join(json.dumps(dict(zip(COLUMNS, r, strict=True))) for r in rows))
+
+    def work(insert):
+        streaming.deliver(streaming.source(spark, f"file://{tmp_path}/in", 1), insert, f"file://{tmp_path}/ck", Limits(require_tenant=True), lambda rows, e: letters.append(rows.count())).awaitTermination()
+
+    put("1.json", [log(1), log(2), log(3, tenant=" ")])
+    work(table.insert)
+    put("2.json", [log(2), log(4)])
+    work(table.insert)
+    put("3.json", [log(5)])
+    work(lambda _: (_ for _ in ()).throw(OSError("down")))
+    assert sorted(r.id for r in table.scan().collect()) == ["0001", "0002", "0004"] and letters == [1]
+
+
+def test_stream_chain_goes_on_across_restarts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k, ids in enumerate(([1, 2], [3], [4, 5])):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(COLUMNS, log(i), strict=True))) for i in ids))
+        q = streaming.sealed(streaming.source(spark, f"file://{tmp_path}/in", 1)).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
+        q.awaitTermination()
+    out = spark.read.schema(LOG).parquet(f"file://{tmp_path}/out")
+    assert out.count() == 5 and integrity.failures(out).count() == 0
