@@ -316,6 +316,11 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
+def _lists(made: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, made)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(made) if made else [], pa.int32()))
+
+
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id and ids (array of int) of each row of docs (doc_id, text). A null text is empty; an empty one has no ids."""
     known, cut = default_tokenizer()
@@ -326,7 +331,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
         for docs, texts in _together(batches):
             made = own.encode_all(texts)
             for i in range(0, len(docs), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 500], pa.int64()), pa.array([x.tolist() for x in made[i : i + 500]], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 500], pa.int64()), _lists(made[i : i + 500])], names=["doc_id", "ids"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -359,3 +364,19 @@ def encode_digests(docs: DataFrame, path: str | None = None, pattern: str | None
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_checked(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, ids, n_tokens, text_sha256 of each row of docs: as encode(), with the digest of what the ids decode to."""
+    known, cut = default_tokenizer()
+    path, pattern = path or known, pattern or cut
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Tokenizer(read_ranks(path), pattern)
+        for docs, texts in _together(batches):
+            for i in range(0, len(docs), 500):
+                made = own.encode_all(texts[i : i + 500])
+                digests = [hashlib.sha256(own.decode(x)).hexdigest() for x in made]
+                yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 500], pa.int64()), _lists(made), pa.array([len(x) for x in made], pa.int64()), pa.array(digests)], names=["doc_id", "ids", "n_tokens", "text_sha256"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, text_sha256 string")

@@ -141,18 +141,23 @@ class Matcher:
                 yield i, best, k
 
 
+def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+    """The items' ids and normal texts, in blocks of about BLOCK_CHARS; one block at least."""
+    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = -(-size // BLOCK_CHARS) or 1
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    for b in range(n):
+        yield [(i, normal(t)) for i, t in benchmark.where((block == b) & F.col("text").isNotNull()).select("item_id", "text").toLocalIterator()]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """doc_id, item_id, n_edits, max_edits: each item of benchmark (item_id, text) that a row of docs (doc_id, text) holds.
 
     Null and empty texts, and items without a word, hold and are held by nothing. Items under SHORT characters must occur unchanged, as
     whole words. A null doc_id or item_id stays null; repeated rows and items are found repeatedly. Other columns are not used. An item
     occurs once a document at most, with its fewest edits."""
-    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-size // BLOCK_CHARS) or 1
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     made = []
-    for b in range(n):
-        items = [(i, normal(t)) for i, t in benchmark.where((block == b) & F.col("text").isNotNull()).select("item_id", "text").toLocalIterator()]
+    for items in _item_blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items, edits)
@@ -164,3 +169,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> D
 
         made.append(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, item_id long, n_edits int, max_edits int"))
     return reduce(DataFrame.union, made)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
+    """The rows of docs that hold no item of benchmark, all columns; what holds an item is as find_leaks() says. No row is shuffled."""
+    text = docs.columns.index("text")
+    for items in _item_blocks(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(items, edits)
+            for batch in batches:
+                yield batch.filter(pa.array([next(matcher.find(normal(t.as_py())), None) is None for t in batch.column(text)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditmill.llm import bytehash
@@ -49,16 +49,21 @@ def _least(n: np.ndarray, t: Fraction) -> np.ndarray:
 
 
 def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, set_id) for each row; set_id is null where there are no shingles. A null text has none."""
+    """(doc_id, text_key, n_shingles, set_id) for each row; set_id is null where there are no shingles. A null text has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in bytehash.blocks(batches, "text"):
             h, at = bytehash.shingles(data, offsets, words)
             n = np.diff(at)
             sig = [_signature(h[i:j]) if j > i else None for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64())], names=["doc_id", "n_shingles", "set_id"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.int64())], names=["doc_id", "text_key", "n_shingles", "set_id"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_id long")
+
+
+def text_key() -> Column:
+    """A hash of the text, which tells rows with the same doc_id (or none) apart."""
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _pack(order: np.ndarray, sig: np.ndarray, n: np.ndarray, *columns: np.ndarray) -> bytes:
@@ -275,13 +280,8 @@ def links(active: DataFrame, t: Fraction = SIMILARITY) -> DataFrame:
     return star.select("a", "b", "linked").union(known.select("a", "b", "linked")).union(rest.select("a", "b", "linked")).where("linked").select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text; other columns are not used).
-
-    Two documents link when their sets of distinct word shingles have a Jaccard similarity of t at least; component_id is
-    the smallest doc_id that links lead to. A null or empty text, or one of white space, has no shingles and no links;
-    one of fewer words has one shingle. Rows with a null doc_id take part in links, but give a component no name; if all
-    of a component's rows have none, its name is null. Repeated rows are returned repeatedly. An empty table gives no rows."""
+def _grouped(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id for each row."""
     mine = written(sets(docs, words), "sets")
     found = components(links(active_sets(docs, words, t), t))
     named = mine.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
@@ -292,4 +292,25 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILA
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")
     salted = by_set.select("set_id", "component_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
     out = mine.withColumn("salt", salt).join(salted, ["set_id", "salt"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text; other columns are not used).
+
+    Two documents link when their sets of distinct word shingles have a Jaccard similarity of t at least; component_id is
+    the smallest doc_id that links lead to. A null or empty text, or one of white space, has no shingles and no links;
+    one of fewer words has one shingle. Rows with a null doc_id take part in links, but give a component no name; if all
+    of a component's rows have none, its name is null. Repeated rows are returned repeatedly. An empty table gives no rows."""
+    return _grouped(docs, words, t).drop("text_key")
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILARITY) -> DataFrame:
+    """The rows of docs, of each component that with the smallest doc_id alone; all columns.
+
+    Rows linked with nothing stay. Repeated rows (same doc_id and text) are one. Rows without a doc_id stay unless they are linked with one
+    that has; doc_ids are taken to name one document each: of texts that share a component's smallest doc_id, all stay."""
+    named = lambda: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id")
+    keepers = _grouped(docs, words, t).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(named(), F.col("text_key").alias("_key")).distinct()
+    rows = docs.select(F.struct("*").alias("_row"), named(), text_key().alias("_key"))
+    return rows.join(keepers, ["_id", "_key"]).dropDuplicates(["_id", "_key"]).select("_row.*")

@@ -337,10 +337,10 @@ def _spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[first, 0].tolist(), end[np.concatenate([first[1:] - 1, [len(end) - 1]])].tolist(), strict=True))
 
 
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _cut(copies: str, marks: str, length: int, texts: bool):
+def _cut(copies: str, marks: str, length: int, texts: bool, extra: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         later, removed = _Facts(copies, _later), _Facts(marks, _removed)
         for batch in batches:
@@ -362,13 +362,15 @@ def _cut(copies: str, marks: str, length: int, texts: bool):
             if out:
                 columns = zip(*out, strict=True)
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                made = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(made[: 5 + texts] + batch.columns[3:], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts, *extra])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if texts, kept (the bytes left) of each row of docs (doc_id, text).
+def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if texts, kept (the bytes left) of each row of docs (doc_id, text),
+    and its columns named in extra.
 
     A null text is empty. Texts of fewer than length bytes lose nothing. A null doc_id comes before all others; texts
     with the same doc_id count as earlier by the hash of their text, and repeated rows (same doc_id and text) are one document, with
@@ -376,7 +378,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) ->
     if length != LENGTH:
         raise ValueError("segments are cut for LENGTH")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = sidefiles.with_source(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), "doc_id", "text")
+    whole = sidefiles.with_source(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *extra), "doc_id", "text", *extra).select("doc_id", "text", "src", *extra)
+    rows = whole.select("doc_id", "text", "src")
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -402,5 +405,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) ->
     repeated = sidefiles.save(dealt.groupBy("part").applyInPandas(_repeated, "src long, blob binary"), "repeated")
     segments = rows.mapInArrow(_segment_blocks(copies, repeated, length, parts), "part int, mark boolean, src long, blob binary")
     marks = sidefiles.save(segments.groupBy("part").applyInPandas(_part_marks(length), "src long, blob binary"), "marks")
-    out = rows.mapInArrow(_cut(copies, marks, length, texts), OUT)
-    return out if texts else out.drop("kept")
+    schema = ", ".join([OUT] + ["kept binary"] * texts + [f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields[3:]])
+    return whole.mapInArrow(_cut(copies, marks, length, texts, list(extra)), schema)
