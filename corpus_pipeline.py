@@ -14,8 +14,7 @@ from auditmill.llm import bpe, decontaminate, jaccard_join, quality_rules, share
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that all quality rules pass."""
-    judged = quality_rules.judge(docs.select(F.struct("*").alias("_row"), "text"), keep=("_row",))
-    return judged.where("kept").select("_row.*")
+    return quality_rules.passing(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
