@@ -75,8 +75,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
 
 
 def test_odd_rows(spark, tmp_path):
-    good_text = "\n".join(f"the cat number {i} sat on a mat of kind {i * 7} and it was good" for i in range(20))
-    other = "\n".join(f"the dog called {i} ran to a house of size {i * 13} and this is all" for i in range(20))
+    good_text, other = ("\n".join(f"the {c}{i}a of {c}{i}b and {c}{i}c" for i in range(30)) for c in "vw")
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, good_text, None, None, None), (2, good_text, None, None, None), (None, good_text, "en", "s", 1), (None, other, "en", "s", 1), (4, good_text + " more", "en", "s", 1)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
