@@ -161,6 +161,33 @@ def test_logger_life(made):
         logger.fire_async("late", "u")
 
 
+def test_many_tenants_at_once(made):
+    logger, _ = made
+    for i in range(1000):
+        logger.fire("x.y", f"u{i % 20}", tenant_id=f"t{i % 10}", entity_id=str(i))
+    logger.flush()
+    logger.fire("x.y", "u", tenant_id="t3")
+    logger.flush()
+    all_ = logger.table().scan()
+    assert all_.count() == 1001 and integrity.failures(all_).count() == 0 and logger.stats()["journal"] == 0
+    assert len(logger.query("t3", limit=500)[0]) == 101
+
+
+def test_tables_of_their_own(spark, tmp_path):
+    logger = AuditLogger(spark, Config(f"file://{tmp_path}/log", database_per_tenant=True, retention_days=1))
+    for t in ("a/b", "c"):
+        logger.fire("x.y", "u", tenant_id=t)
+    logger.fire("x.y", "u")
+    logger.run_maintenance()
+    assert [len(logger.query(t)[0]) for t in ("a/b", "c")] == [1, 1]
+    with pytest.raises(ValueError):
+        logger.query(None)
+    import datetime
+
+    logger.prune(datetime.datetime.now(datetime.UTC) + datetime.timedelta(days=3))
+    assert [len(logger.query(t)[0]) for t in ("a/b", "c")] == [0, 0]
+
+
 def test_logger_dead_letters(made):
     logger, events = made
     table = logger.table("t1")
