@@ -115,4 +115,5 @@ def document_tokens(docs: DataFrame) -> DataFrame:
     A null or empty text has none. Repeated rows are documents of their own. Other columns are not used."""
     ledger = write_flat(docs)
     files = ledger.groupBy("path").agg(F.first("n_bytes").alias("n_bytes"))
-    return ledger.select("path", "ordinal", "doc_id").join(count_tokens(files), ["path", "ordinal"]).select("doc_id", "n_tokens")
+    # the ledger's columns compress so well that its files would pass for a table small enough to broadcast
+    return ledger.select("path", "ordinal", "doc_id").hint("merge").join(count_tokens(files), ["path", "ordinal"]).select("doc_id", "n_tokens")
