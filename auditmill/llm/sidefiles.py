@@ -1,9 +1,11 @@
-"""One small file for each split of the documents' files, in the shared folder, for later scans of the same splits.
+"""One small file for each slice of the documents, in the shared folder, for later scans of the same documents.
 
 A scan over whole texts needs some facts on its own documents that only a shuffle can find. Sending the texts through that
-shuffle would cost as much disk as the texts; instead each split's facts go to a file that the task which scans the split
-again reads. A split is named by its file and start, so the files are the same whichever executor runs the task, and
-a task that runs twice writes the same file twice. Files come by rename and are never half there.
+shuffle would cost as much disk as the texts; instead each slice's facts go to a file that the task which scans the slice
+again reads. A slice is SLICE rows of one file, by their place in it. That is the same however a scan's splits are planned (they depend on
+the cores registered at that moment) and whichever executor runs the task; a slice on both sides of a split's edge is read by both tasks.
+A task that runs twice writes the same file twice. Files come by rename and are never half there. Each slice has a file, if only an
+empty one, so a missing file is an error.
 """
 
 from __future__ import annotations
@@ -11,21 +13,27 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditmill.llm.shared import filesystem, scratch, written
 
+#: Rows of one file whose facts lie together.
+SLICE = 4096
+
 
 def with_source(docs: DataFrame, *columns: str) -> DataFrame:
-    """These columns of docs, with `src`, the split that a row lies in. Rows that come from no file are written to one first."""
-    if docs.select(F.input_file_name().alias("f")).where("f = ''").limit(1).count():
-        docs = written(docs.select(*columns), "docs")
-    return docs.select(*columns, F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("src"))
+    """These columns of docs, with `src`, the slice that a row lies in. Rows whose place in a file is not known are written to files first."""
+    place = lambda d: d.select(*columns, F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / SLICE)).alias("src"))
+    try:
+        return place(docs)
+    except AnalysisException:
+        return place(written(docs.select(*columns), "docs"))
 
 
-def save(blobs: DataFrame, name: str, join=b"".join) -> str:
-    """Write the column blob of each src, joined, to a file of its own; the folder's address. Columns: src, blob."""
+def save(blobs: DataFrame, name: str, sources: DataFrame, join=b"".join) -> str:
+    """Write the column blob of each src, joined, to a file of its own; the folder's address. Columns: src, blob. Those of sources (src) without blobs have empty files."""
     address = scratch(blobs.sparkSession, name)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -38,15 +46,13 @@ def save(blobs: DataFrame, name: str, join=b"".join) -> str:
         fs.move(temporary, f"{path}/{src}")
         return pd.DataFrame({"src": [src]})
 
+    blobs = blobs.unionByName(sources.select("src", F.lit(b"").alias("blob")))
     blobs.groupBy("src").applyInPandas(run, "src long").agg(F.count("*")).collect()
     return address
 
 
 def load(address: str, src: int) -> bytes:
-    """A split's file; empty where nothing was found for it."""
+    """A slice's file."""
     fs, path = filesystem(address)
-    try:
-        with fs.open_input_stream(f"{path}/{src}", compression=None) as f:
-            return f.read()
-    except FileNotFoundError:
-        return b""
+    with fs.open_input_stream(f"{path}/{src}", compression=None) as f:
+        return f.read()

@@ -14,7 +14,7 @@ No task can hold the suffix array of the corpus, so positions that can match are
 3. For each such anchor, the starts whose windows have it are one segment of text. Each task puts its segments in suffix order,
    marks what has an LPF of LENGTH, and sends on only strings that it met first. So a part of the
    hash space gets each string once from a task, however frequent it is.
-4. Each part puts all segments of its anchors in suffix order and marks again. Marks go back to the splits they came from.
+4. Each part puts all segments of its anchors in suffix order and marks again. Marks go back to the slices they came from.
 5. The last scan cuts the marked strings out of the texts.
 
 The bytes themselves are compared: hashes only bring candidates together.
@@ -170,16 +170,26 @@ class Segments:
         s, skip, hit = seg[first], inside[first], mark[first]
         rows = np.stack([doc[s], h[s], start[s] + skip, start[s] + skip + count - 1], axis=1)[hit]
         at = src[s][hit]
-        marks = [(int(x), rows[at == x].tobytes()) for x in np.unique(at)]
+        marks = _by_source(at, rows)
         return marks, own.take(s[~hit], skip[~hit], count[~hit] + length - 1)
 
 
+def _by_source(src: np.ndarray, rows: np.ndarray) -> list[tuple[int, bytes]]:
+    """Each src with the bytes of its rows."""
+    if not len(src):
+        return []
+    order = np.argsort(src, kind="stable")
+    src, rows = src[order], rows[order]
+    cut = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]])).tolist()
+    return [(int(src[i]), rows[i:j].tobytes()) for i, j in zip(cut, [*cut[1:], len(src)], strict=True)]
+
+
 def _text_hash(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) - 2**63
 
 
 class _Facts:
-    """The split's file of facts, read when the first row of the split comes."""
+    """The slice's file of facts, read when the first row of the slice that needs it comes."""
 
     def __init__(self, address: str, parse):
         self.address, self.parse, self.src, self.facts = address, parse, None, None
@@ -196,13 +206,14 @@ def _later(blob: bytes) -> set:
 
 
 def _rows(batches: Iterator[pa.RecordBatch], later: _Facts) -> Iterator[tuple]:
-    """Blocks of one split each, without later copies and short texts: src, doc ids, text hashes, bytes, offsets."""
+    """Blocks of one slice each, without later copies and short texts: src, doc ids, text hashes, bytes, offsets."""
     for batch in batches:
         src = np.asarray(batch.column(2))
         cut = [0, *(np.flatnonzero(src[1:] != src[:-1]) + 1).tolist(), len(src)] if len(src) else [0]
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             for block, data, offsets in bytehash.blocks(iter([batch.slice(i, j - i)]), "text"):
-                copies = later.of(int(src[i]))
+                # only slices with long texts have files
+                copies = later.of(int(src[i])) if (np.diff(offsets) >= LENGTH).any() else set()
                 ids = [NO_ID if x is None else x for x in block.column(0).to_pylist()]
                 own, seen = [], set()
                 for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
@@ -248,7 +259,7 @@ def _anchor_blocks(copies: str, length: int, parts: int):
 
 
 def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one part of the hash space: for each split its anchors that occur twice or more anywhere."""
+    """Of one part of the hash space: for each slice its anchors that occur twice or more anywhere."""
     blobs = [np.frombuffer(b, U64) for b in pdf["blob"]]
     h = np.concatenate(blobs)
     src = np.repeat(pdf["src"].to_numpy(), [len(b) for b in blobs])
@@ -258,11 +269,11 @@ def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     count = np.add.reduceat((h[order] & U64(1)).astype(I64) + 1, first)
     several = np.repeat(count > 1, np.diff(np.concatenate([first, [len(h)]])))
     h, src = key[several] << U64(1), src[order][several]
-    return pd.DataFrame([(int(x), h[src == x].tobytes()) for x in np.unique(src)], columns=["src", "blob"])
+    return pd.DataFrame(_by_source(src, h), columns=["src", "blob"])
 
 
 def _segment_blocks(copies: str, repeated: str, length: int, parts: int):
-    """(part, mark, src, blob): segments of repeated anchors by parts of the hash space (mark false), and marks by split (part any)."""
+    """(part, mark, src, blob): segments of repeated anchors by parts of the hash space (mark false), and marks by slice (part any)."""
 
     def flush(held: list[Segments]) -> pa.RecordBatch:
         marks, rest = Segments.join(held).marked(length)
@@ -388,6 +399,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, ex
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*own, strict=True)], names=["doc", "h", "src"])
 
     ids = written(rows.mapInArrow(named, "doc long, h long, src long"), "texts")
+    sources = written(ids.select("src").distinct(), "sources")
     first = ids.groupBy("h").agg(F.min("doc").alias("first"), F.count("*").alias("c")).where("c > 1")
     # a text of thousands of copies is dealt over several tasks
     salted = first.select("h", "first", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
@@ -397,13 +409,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, ex
         for batch in batches:
             src = np.asarray(batch.column(0))
             x = np.stack([np.asarray(batch.column(1)), np.asarray(batch.column(2))], axis=1)
-            own = np.unique(src)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([x[src == s].tobytes() for s in own], pa.binary())], names=["src", "blob"])
+            if own := _by_source(src, x):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*own, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["src", "blob"])
 
-    copies = sidefiles.save(later.select("src", "doc", "h").mapInArrow(pairs, "src long, blob binary"), "copies")
+    copies = sidefiles.save(later.select("src", "doc", "h").mapInArrow(pairs, "src long, blob binary"), "copies", sources)
     dealt = rows.mapInArrow(_anchor_blocks(copies, length, parts), "part int, src long, blob binary")
-    repeated = sidefiles.save(dealt.groupBy("part").applyInPandas(_repeated, "src long, blob binary"), "repeated")
+    repeated = sidefiles.save(dealt.groupBy("part").applyInPandas(_repeated, "src long, blob binary"), "repeated", sources)
     segments = rows.mapInArrow(_segment_blocks(copies, repeated, length, parts), "part int, mark boolean, src long, blob binary")
-    marks = sidefiles.save(segments.groupBy("part").applyInPandas(_part_marks(length), "src long, blob binary"), "marks")
+    marks = sidefiles.save(segments.groupBy("part").applyInPandas(_part_marks(length), "src long, blob binary"), "marks", sources)
     schema = ", ".join([OUT] + ["kept binary"] * texts + [f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields[3:]])
     return whole.mapInArrow(_cut(copies, marks, length, texts, list(extra)), schema)

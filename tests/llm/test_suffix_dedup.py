@@ -2,7 +2,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from auditmill.llm import sidefiles
 from auditmill.llm.suffix_dedup import has_previous, remove_repeats
 
 
@@ -56,6 +59,32 @@ def test_empty_table_repeats_nulls_and_clashing_columns(spark):
     assert sorted((str(r.doc_id), r.n_removed, bytes(r.kept)) for r in got.collect()) == sorted([("5", 120, b""), ("5", 120, b""), ("None", 0, text.encode()), ("7", 120, b"q")])
 
 
+def test_splits_planned_anew_between_scans(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sidefiles, "SLICE", 16)
+    rows = made(4, 120)
+    doc_id, text = zip(*rows, strict=True)
+    pq.write_table(pa.table({"doc_id": pa.array(doc_id, pa.int64()), "text": text}), tmp_path / "docs.parquet", row_group_size=10)
+    docs = spark.read.parquet(str(tmp_path / "docs.parquet"))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        got = remove_repeats(docs, texts=False)
+        spark.conf.set(name, "8192")
+        assert got.rdd.getNumPartitions() > 3
+        assert sorted(map(tuple, got.collect())) == brute(rows)
+        # and from small splits to one
+        got = remove_repeats(docs, texts=False)
+        spark.conf.set(name, before)
+        assert sorted(map(tuple, got.collect())) == brute(rows)
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_a_missing_file_of_facts_is_an_error(tmp_path):
+    with pytest.raises(FileNotFoundError):
+        sidefiles.load(f"file://{tmp_path}", 7)
+
+
 def test_has_previous_equals_a_scan():
     rnd = random.Random(3)
     text = np.frombuffer("".join(rnd.choice("ab") for _ in range(3000)).encode(), np.uint8)
