@@ -24,8 +24,8 @@ SLICE = 4096
 
 
 def with_source(docs: DataFrame, *columns: str) -> DataFrame:
-    """These columns of docs, with `src`, the slice that a row lies in. Rows whose place in a file is not known are written to files first."""
-    place = lambda d: d.select(*columns, F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / SLICE)).alias("src"))
+    """These columns of docs, with `src`, the slice that a row lies in, and `pos`, its place in the file. Rows whose place in a file is not known are written to files first."""
+    place = lambda d: d.select(*columns, F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / SLICE)).alias("src"), F.col("_metadata.row_index").alias("pos"))
     try:
         return place(docs)
     except AnalysisException:

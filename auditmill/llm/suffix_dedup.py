@@ -7,7 +7,8 @@ strings are those with LPF >= LENGTH.
 
 No task can hold the suffix array of the corpus, so positions that can match are brought together first:
 
-1. Equal texts: all but the one with the smallest doc_id go whole, if long enough; they take no further part.
+1. Equal texts: all but the one with the smallest doc_id go whole, if long enough; they take no further part. Of rows with the same
+   doc_id and text one is elected; the others take no further part either, and get its marks at the end.
 2. Anchors. In each window of LENGTH bytes, the K-gram with the least hash is its anchor: equal windows have equal
    anchors at the same offset. Each task sends its distinct anchors, in blocks of thousands, to parts of the hash space, and gets
    back those that occur twice or more.
@@ -200,27 +201,29 @@ class _Facts:
         return self.facts
 
 
-def _later(blob: bytes) -> set:
-    x = np.frombuffer(blob, I64).reshape(-1, 2)
-    return set(zip(x[:, 0].tolist(), x[:, 1].tolist(), strict=True))
+def _later(blob: bytes) -> tuple[set, set]:
+    """Documents (doc_id, hash) that are later copies, and places of rows that another row with the same doc_id and text stands for."""
+    x = np.frombuffer(blob, I64).reshape(-1, 3)
+    whole = x[:, 2] < 0
+    return set(zip(x[whole, 0].tolist(), x[whole, 1].tolist(), strict=True)), set(x[~whole, 2].tolist())
 
 
 def _rows(batches: Iterator[pa.RecordBatch], later: _Facts) -> Iterator[tuple]:
-    """Blocks of one slice each, without later copies and short texts: src, doc ids, text hashes, bytes, offsets."""
+    """Blocks of one slice each, without later copies, rows that another stands for, and short texts: src, doc ids, text hashes, bytes, offsets."""
     for batch in batches:
         src = np.asarray(batch.column(2))
         cut = [0, *(np.flatnonzero(src[1:] != src[:-1]) + 1).tolist(), len(src)] if len(src) else [0]
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             for block, data, offsets in bytehash.blocks(iter([batch.slice(i, j - i)]), "text"):
                 # only slices with long texts have files
-                copies = later.of(int(src[i])) if (np.diff(offsets) >= LENGTH).any() else set()
+                copies, others = later.of(int(src[i])) if (np.diff(offsets) >= LENGTH).any() else (set(), set())
                 ids = [NO_ID if x is None else x for x in block.column(0).to_pylist()]
-                own, seen = [], set()
+                pos = np.asarray(block.column(3))
+                own = []
                 for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                     if b - a >= LENGTH:
                         key = (ids[k], _text_hash(data[a:b]))
-                        if key not in copies and key not in seen:
-                            seen.add(key)
+                        if key not in copies and int(pos[k]) not in others:
                             own.append((k, *key))
                 if not own:
                     continue
@@ -340,6 +343,23 @@ def _removed(blob: bytes) -> dict:
     return {(int(x[i, 0]), int(x[i, 1])): x[i:j, 2:] for i, j in zip(new, [*new[1:], len(x)], strict=True)}
 
 
+def _shared_marks(marks: str):
+    """(src, blob): the marks of elected rows (source, doc, h), for the slice src of rows that they stand for. Rows come by source."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        removed = _Facts(marks, _removed)
+        for batch in batches:
+            out = []
+            for source, doc, h, src in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                x = removed.of(source).get((doc, h))
+                if x is not None:
+                    out.append((src, np.concatenate([np.full((len(x), 2), (doc, h), I64), x], axis=1).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["src", "blob"])
+
+    return run
+
+
 def _spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes that the strings with these (first, last) starts, sorted by first, cover."""
     end = np.maximum.accumulate(starts[:, 1] + length)
@@ -351,9 +371,9 @@ def _spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _cut(copies: str, marks: str, length: int, texts: bool, extra: list[str]):
+def _cut(copies: str, marks: str, shared: str, length: int, texts: bool, extra: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        later, removed = _Facts(copies, _later), _Facts(marks, _removed)
+        later, removed, others = _Facts(copies, _later), _Facts(marks, _removed), _Facts(shared, _removed)
         for batch in batches:
             out = []
             for doc, text, src in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -361,9 +381,9 @@ def _cut(copies: str, marks: str, length: int, texts: bool, extra: list[str]):
                 spans: list = []
                 if len(text) >= length:
                     key = (NO_ID if doc is None else doc, _text_hash(text))
-                    if key in later.of(src):
+                    if key in later.of(src)[0]:
                         spans = [(0, len(text))]
-                    elif (x := removed.of(src).get(key)) is not None:
+                    elif (x := removed.of(src).get(key, others.of(src).get(key))) is not None:
                         spans = _spans(x, length)
                 kept = text
                 if spans:
@@ -389,33 +409,40 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, ex
     if length != LENGTH:
         raise ValueError("segments are cut for LENGTH")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    whole = sidefiles.with_source(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *extra), "doc_id", "text", *extra).select("doc_id", "text", "src", *extra)
-    rows = whole.select("doc_id", "text", "src")
+    placed = sidefiles.with_source(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *extra), "doc_id", "text", *extra)
+    rows = placed.select("doc_id", "text", "src", "pos")
+    whole = placed.select("doc_id", "text", "src", *extra)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [(NO_ID if d is None else d, _text_hash(t), s) for d, t, s in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if t and len(t) >= length]
+            own = [(NO_ID if d is None else d, _text_hash(t), s, p) for d, t, s, p in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True) if t and len(t) >= length]
             if own:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*own, strict=True)], names=["doc", "h", "src"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*own, strict=True)], names=["doc", "h", "src", "pos"])
 
-    ids = written(rows.mapInArrow(named, "doc long, h long, src long"), "texts")
+    ids = written(rows.mapInArrow(named, "doc long, h long, src long, pos long"), "texts")
     sources = written(ids.select("src").distinct(), "sources")
-    first = ids.groupBy("h").agg(F.min("doc").alias("first"), F.count("*").alias("c")).where("c > 1")
+    # the elected row of a document lies in any of its slices, not always in the same one
+    row = F.struct("doc", F.xxhash64("h", "src").alias("draw"), "src", "pos")
+    first = ids.groupBy("h").agg(F.min(row).alias("first"), F.count("*").alias("c")).where("c > 1")
     # a text of thousands of copies is dealt over several tasks
     salted = first.select("h", "first", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    later = ids.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(16)).cast("int")).join(salted, ["h", "salt"]).where("doc > first")
+    equal = ids.withColumn("salt", F.pmod(F.xxhash64("doc", "src", "pos"), F.lit(16)).cast("int")).join(salted, ["h", "salt"])
+    other = equal.where("doc = first.doc and (src <> first.src or pos <> first.pos)")
+    later = equal.where("doc > first.doc").select("src", "doc", "h", F.lit(-1).cast("long").alias("pos")).unionByName(other.select("src", "doc", "h", "pos"))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             src = np.asarray(batch.column(0))
-            x = np.stack([np.asarray(batch.column(1)), np.asarray(batch.column(2))], axis=1)
+            x = np.stack([*(np.asarray(batch.column(k)) for k in (1, 2, 3))], axis=1)
             if own := _by_source(src, x):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*own, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["src", "blob"])
 
-    copies = sidefiles.save(later.select("src", "doc", "h").mapInArrow(pairs, "src long, blob binary"), "copies", sources)
+    copies = sidefiles.save(later.mapInArrow(pairs, "src long, blob binary"), "copies", sources)
     dealt = rows.mapInArrow(_anchor_blocks(copies, length, parts), "part int, src long, blob binary")
     repeated = sidefiles.save(dealt.groupBy("part").applyInPandas(_repeated, "src long, blob binary"), "repeated", sources)
     segments = rows.mapInArrow(_segment_blocks(copies, repeated, length, parts), "part int, mark boolean, src long, blob binary")
     marks = sidefiles.save(segments.groupBy("part").applyInPandas(_part_marks(length), "src long, blob binary"), "marks", sources)
+    stands = other.where("src <> first.src").select(F.col("first.src").alias("source"), "doc", "h", "src").distinct().repartition("source").sortWithinPartitions("source")
+    shared = sidefiles.save(stands.mapInArrow(_shared_marks(marks), "src long, blob binary"), "shared", sources)
     schema = ", ".join([OUT] + ["kept binary"] * texts + [f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields[3:]])
-    return whole.mapInArrow(_cut(copies, marks, length, texts, list(extra)), schema)
+    return whole.mapInArrow(_cut(copies, marks, shared, length, texts, list(extra)), schema)

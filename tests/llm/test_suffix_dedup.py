@@ -6,7 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from auditmill.llm import sidefiles
-from auditmill.llm.suffix_dedup import has_previous, remove_repeats
+from auditmill.llm.suffix_dedup import _text_hash, has_previous, remove_repeats
 
 
 def brute(rows, length=100):
@@ -85,6 +85,38 @@ def test_a_missing_file_of_facts_is_an_error(tmp_path):
         sidefiles.load(f"file://{tmp_path}", 7)
 
 
+def test_repeated_rows_far_apart_are_one_document(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sidefiles, "SLICE", 16)
+    rnd = random.Random(5)
+    prose = lambda k: "".join(rnd.choice("abcdefgh éñ\n") for _ in range(k))
+    passage = prose(150)
+    twins = [(7, passage + prose(400)), (7, prose(300) + passage), (40, passage + prose(200)), (None, prose(250)), (None, passage + prose(130))]
+    big = [(1000 + i, prose(700_000)) for i in range(8)]
+    # in one slice more than 2 MB apart, in other slices, and in other files
+    rows = [*twins, *big[:4], *twins, *big[4:], *((2000 + i, prose(120)) for i in range(40)), *twins, (50, twins[0][1]), (51, twins[3][1])]
+    for name, own in (("a", rows), ("b", [*twins, (60, passage)])):
+        doc_id, text = zip(*own, strict=True)
+        pq.write_table(pa.table({"doc_id": pa.array(doc_id, pa.int64()), "text": text}), tmp_path / f"{name}.parquet", row_group_size=20)
+    rows += [*twins, (60, passage)]
+    least = -(2**63)
+    named = {(least if d is None else d, t) for d, t in rows}
+    seen, want = set(), {}
+    # texts with the same doc_id count as earlier by their hash
+    for d, t in sorted(named, key=lambda x: (x[0], _text_hash(x[1].encode()))):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - 99):
+            w = hash(b[s : s + 100])
+            if w in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(w)
+        want[d, t] = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+    got = remove_repeats(spark.read.parquet(str(tmp_path)))
+    result = sorted((least if r.doc_id is None else r.doc_id, r.n_bytes, bytes(r.kept)) for r in got.collect())
+    assert result == sorted((d, len(t.encode()), want[d, t]) for d, t in ((least if d is None else d, t) for d, t in rows))
+    assert any(0 < len(want[least if d is None else d, t]) < len(t.encode()) for d, t in twins)
+
+
 def test_has_previous_equals_a_scan():
     rnd = random.Random(3)
     text = np.frombuffer("".join(rnd.choice("ab") for _ in range(3000)).encode(), np.uint8)
