@@ -13,10 +13,10 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditmill.llm.shared import written
+
 #: Share of labelled urls, and number of them, that a rule needs; and the share of those with its tokens that have the label.
 SUPPORT, LEAST, CONFIDENCE = 0.002, 20, 0.8
-#: Tokens in a rule at most.
-WIDTH = 3
 #: Rules that are sent to all tasks; more are joined by a shuffle.
 BROADCAST_RULES = 10_000
 _LABEL = "label:block"
@@ -50,7 +50,7 @@ def tokens(url: Column) -> Column:
 
 
 def mine(labelled: DataFrame) -> DataFrame:
-    """(tokens, confidence, support) of the rules of labelled (url, bad): token combinations whose urls are bad.
+    """(tokens, confidence, support) of the rules of labelled (url, bad): token combinations of any width whose urls are bad.
 
     Rows without a url or a label tell nothing. There are no rules of fewer than LEAST urls. A rule with a rule inside
     it would change nothing, and is dropped."""
@@ -62,27 +62,29 @@ def mine(labelled: DataFrame) -> DataFrame:
         return empty
     least = max(LEAST, -(-n * int(SUPPORT * 1000) // 1000))
     model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=CONFIDENCE).fit(items)
-    rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(_LABEL))) & (F.size("antecedent") <= WIDTH)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    # of a rule of WIDTH tokens at most, the parts are few
-    own = rules.select("tokens", F.explode(_parts(F.col("tokens"))).alias("part"))
-    inside = own.join(rules.select(F.col("tokens").alias("part")), "part").select("tokens").distinct()
-    return rules.join(inside, "tokens", "left_anti").select("tokens", "confidence", "support")
-
-
-def _parts(t: Column) -> Column:
-    """All proper, non-empty subsets of up to WIDTH sorted tokens."""
-    singles = F.transform(t, lambda x: F.array(x))
-    pairs = F.flatten(F.transform(t, lambda x: F.transform(F.filter(t, lambda y: y > x), lambda y: F.array(x, y))))
-    return F.filter(F.concat(singles, pairs), lambda p: F.size(p) < F.size(t))
+    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(_LABEL))).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    # narrow rules first, so that wider ones are held only against rules that stay
+    left, kept = written(rules, "rules"), empty
+    while (width := left.agg(F.min(F.size("tokens"))).first()[0]) is not None:
+        own = left.where(F.size("tokens") == width)
+        wider = left.where(F.size("tokens") > width)
+        kept = kept.unionByName(own)
+        left = written(wider.join(_holding(wider.select("tokens", F.col("tokens").alias("own")), own, "tokens"), "tokens", "left_anti"), "rules")
+    return kept
+
+
+def _holding(rows: DataFrame, rules: DataFrame, name: str) -> DataFrame:
+    """The distinct values of column name of rows, whose tokens are own, that hold all of some rule's tokens."""
+    frequency = rules.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("f"))
+    keyed = rules.select("tokens", F.explode("tokens").alias("token")).join(frequency, "token").groupBy("tokens").agg(F.min_by("token", F.struct("f", "token")).alias("token")).withColumnRenamed("tokens", "rule")
+    index = F.broadcast(keyed) if rules.count() <= BROADCAST_RULES else keyed
+    own = rows.select(F.col(name).alias("name"), "own", F.explode("own").alias("token"))
+    return own.join(index, "token").where(F.size(F.array_intersect("own", "rule")) == F.size("rule")).select(F.col("name").alias(name)).distinct()
 
 
 def matching(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Those of the distinct urls (column url) that a rule's tokens are all in."""
-    frequency = rules.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("f"))
-    keyed = rules.select("tokens", F.explode("tokens").alias("token")).join(frequency, "token").groupBy("tokens").agg(F.min_by("token", F.struct("f", "token")).alias("token"))
-    index = F.broadcast(keyed) if rules.count() <= BROADCAST_RULES else keyed
-    own = urls.select("url", tokens(F.col("url")).alias("own"))
-    return own.select("url", "own", F.explode("own").alias("token")).join(index, "token").where(F.size(F.array_intersect("own", "tokens")) == F.size("tokens")).select("url").distinct()
+    return _holding(urls.select("url", tokens(F.col("url")).alias("own")), rules, "url")
 
 
 def judge(pages: DataFrame, labelled: DataFrame, stated: tuple[Stated, ...] = STATED) -> DataFrame:

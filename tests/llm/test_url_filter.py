@@ -41,3 +41,28 @@ def test_mined_rules_equal_brute_force(spark):
     pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
     got = {r.page_id: r.verdict for r in U.judge(pages, labelled, ()).collect()}
     assert got == {i: "block" if any(set(c) <= t for c in want) else "allow" for i, (t, _) in enumerate(sets)}
+
+
+def test_rules_of_more_than_three_tokens(spark):
+    parts = {"host": ("x.example.com", "y.example.com"), "path": ("en", "fr"), "first": ("page", "size"), "second": ("ref", "sort"), "third": ("lang", "tone")}
+    # four tokens alone make one rule, and five another: with any of them exchanged fewer than 80 % are bad
+    cases = [((0, 0, 0, 0, None), True, 40), ((1, 1, 1, 1, 1), True, 40)]
+    cases += [(tuple((1 - v if k == i else v) if v is not None else None for k, v in enumerate(c)), False, 15) for c, n in ((cases[0][0], 4), (cases[1][0], 5)) for i in range(n)]
+    rows, sets = [], []
+    for choice, bad, n in cases:
+        host, path, *keys = (None if v is None else own[v] for v, own in zip(choice, parts.values(), strict=True))
+        keys = [k for k in keys if k]
+        rows += [(f"http://{host}/{path}/?" + "&".join(f"{k}={i}" for k in keys), bad) for i in range(n)]
+        sets += [(own_tokens(host, [path], None) | {"key:" + k for k in keys}, bad)] * n
+    want = set()
+    for c in {c for t in {frozenset(t) for t, _ in sets} for w in range(1, len(t) + 1) for c in combinations(sorted(t), w)}:
+        n = [bad for t, bad in sets if set(c) <= t]
+        if sum(n) >= U.LEAST and sum(n) / len(n) >= U.CONFIDENCE:
+            want.add(c)
+    least = {c for c in want if not any(set(d) < set(c) for d in want)}
+    assert {len(c) for c in least} == {4, 5}
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    assert sorted(tuple(r.tokens) for r in U.mine(labelled).collect()) == sorted(least)
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in U.judge(pages, labelled, ()).collect()}
+    assert got == {i: "block" if bad else "allow" for i, (_, bad) in enumerate(rows)}
