@@ -368,10 +368,23 @@ def _spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[first, 0].tolist(), end[np.concatenate([first[1:] - 1, [len(end) - 1]])].tolist(), strict=True))
 
 
+def _whole_characters(piece: bytes, before: bool, after: bool) -> bytes:
+    """The piece without the rest of a character that a cut before it split, and that of one that a cut after it split."""
+    i, j = 0, len(piece)
+    while before and i < min(j, 3) and piece[i] & 0xC0 == 0x80:
+        i += 1
+    if after:
+        for k in range(j - 1, max(i, j - 3) - 1, -1):
+            if piece[k] & 0xC0 != 0x80:
+                j = k if piece[k] >= 0xC0 and k + (2 if piece[k] < 0xE0 else 3 if piece[k] < 0xF0 else 4) > j else j
+                break
+    return piece[i:j]
+
+
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _cut(copies: str, marks: str, shared: str, length: int, texts: bool, extra: list[str]):
+def _cut(copies: str, marks: str, shared: str, length: int, texts: bool, extra: list[str], characters: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         later, removed, others = _Facts(copies, _later), _Facts(marks, _removed), _Facts(shared, _removed)
         for batch in batches:
@@ -388,8 +401,9 @@ def _cut(copies: str, marks: str, shared: str, length: int, texts: bool, extra:
                 kept = text
                 if spans:
                     edges = [0, *(x for span in spans for x in span), len(text)]
-                    kept = b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
-                out.append((doc, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if texts else None))
+                    pieces = zip(edges[::2], edges[1::2], strict=True)
+                    kept = b"".join(_whole_characters(text[i:j], i > 0, j < len(text)) if characters else text[i:j] for i, j in pieces)
+                out.append((doc, len(text), sum(j - i for i, j in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept if texts else None))
             if out:
                 columns = zip(*out, strict=True)
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
@@ -399,13 +413,14 @@ def _cut(copies: str, marks: str, shared: str, length: int, texts: bool, extra:
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, extra: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if texts, kept (the bytes left) of each row of docs (doc_id, text),
     and its columns named in extra.
 
     A null text is empty. Texts of fewer than length bytes lose nothing. A null doc_id comes before all others; texts
     with the same doc_id count as earlier by the hash of their text, and repeated rows (same doc_id and text) are one document, with
-    one result, returned for each. Cuts may split a character: kept is bytes. Other columns are not used."""
+    one result, returned for each. Cuts may split a character: kept is bytes, and lacks what is left of such
+    characters if characters is set (n_removed does not count that). Other columns are not used."""
     if length != LENGTH:
         raise ValueError("segments are cut for LENGTH")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -445,4 +460,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, ex
     stands = other.where("src <> first.src").select(F.col("first.src").alias("source"), "doc", "h", "src").distinct().repartition("source").sortWithinPartitions("source")
     shared = sidefiles.save(stands.mapInArrow(_shared_marks(marks), "src long, blob binary"), "shared", sources)
     schema = ", ".join([OUT] + ["kept binary"] * texts + [f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields[3:]])
-    return whole.mapInArrow(_cut(copies, marks, shared, length, texts, list(extra)), schema)
+    return whole.mapInArrow(_cut(copies, marks, shared, length, texts, list(extra), characters), schema)

@@ -83,3 +83,12 @@ def test_odd_rows(spark, tmp_path):
     assert Counter(r.doc_id for r in P.run(spark, str(tmp_path)).collect()) == {2: 1, None: 1}
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_cuts_leave_replacement_characters_and_drop_split_ones(spark):
+    one, two = ("".join(chr(97 + i * i * k % 26) for i in range(120)) for k in (3, 5))
+    # in 4 the cut takes the second byte of one character and the first of another, whose rests together would be a third
+    rows = [(1, one + " first"), (2, "x\ufffdy " + one + " z\ufffd"), (3, "o\u00e9" + two + "\u00e9o"), (4, "p\u0169" + two + "\u00e8q\ufffd"), (5, "a\ufffd only")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {**dict(rows), 2: "x\ufffdy z\ufffd", 4: "pq\ufffd"}
+    assert {r.doc_id: (r.text, r.n_chars) for r in P.repeated_passages(spark, docs, "").collect()} == {d: (t, len(t)) for d, t in want.items()}
