@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of files that one task reads, where there are more of them than cores.
+TASK_BYTES = 128_000_000
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -64,6 +66,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, n: int, n_bytes: int) -> DataFrame:
+    """rows, of which each stands for some of n_bytes elsewhere, over tasks by their number: AQE would put rows that are so small in one task.
+
+    A task for each row, or for TASK_BYTES where that makes fewer, but not fewer than the cluster's cores."""
+    return rows.repartition(max(1, min(n, max(rows.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // TASK_BYTES)))))
+
+
 def filesystem(address: str):
     """pyarrow's file system for an address, and the path in it."""
     from pyarrow import fs

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditmill.llm.shared import filesystem, scratch, written
+from auditmill.llm.shared import dealt, filesystem, scratch, written
 
 #: Tokens in a block.
 BLOCK = 4_000_000
@@ -102,11 +102,13 @@ def count_tokens(files: DataFrame, separator: int = SEPARATOR, dtype: str = DTYP
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(b)), pa.array(ordinal + i + np.arange(len(b))), pa.array(b), pa.array(e - b)], names=["path", "ordinal", "start", "n_tokens"])
 
     total = F.floor(F.col("n_bytes") / width).cast("long")
-    blocks = files.where("path is not null and n_bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest(total, F.lit(1)) - 1) / block).cast("long"))).alias("block"), total.alias("total"))
-    sums = blocks.repartition("path", "block").mapInArrow(summed, "path string, block long, total long, n long, last long")
+    held = files.where("path is not null and n_bytes > 0")
+    blocks = held.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest(total, F.lit(1)) - 1) / block).cast("long"))).alias("block"), total.alias("total"))
+    n, size = held.agg(F.sum(F.ceil(F.greatest(total, F.lit(1)) / block)), F.sum("n_bytes")).first()
+    sums = dealt(blocks, n or 0, size or 0).mapInArrow(summed, "path string, block long, total long, n long, last long")
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     scanned = sums.select("path", "block", "total", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ordinal"), (F.coalesce(F.max("last").over(before), F.lit(-1)) + 1).alias("start"))
-    return scanned.repartition("path", "block").mapInArrow(emitted, "path string, ordinal long, start long, n_tokens long")
+    return dealt(scanned, n or 0, size or 0).mapInArrow(emitted, "path string, ordinal long, start long, n_tokens long")
 
 
 def document_tokens(docs: DataFrame) -> DataFrame:

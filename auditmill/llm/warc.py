@@ -2,7 +2,8 @@
 
 A reading task owns the records that start in its byte range. It searches the range for gzip's magic bytes and takes a place for a
 member only if it decodes and begins with a WARC version line; from there, members follow one another, and the last one
-is read to its end beyond the range. Magic bytes that occur inside compressed data fail that test.
+is read to its end beyond the range. Magic bytes that occur inside compressed data fail that test. What should be a record and is not is
+damage, which is reported with its place.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditmill.llm.shared import filesystem, scratch, written
+from auditmill.llm.shared import dealt, filesystem, scratch, written
 
 MAGIC = b"\x1f\x8b\x08"
+_VERSION = b"WARC/"
 #: Bytes of an archive that one task owns.
 SPLIT = 16_000_000
 LEVEL = 4
+#: record_type of what should be a record and is not.
+DAMAGED = "damaged"
 _CHUNK = 1 << 16
 _REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -75,36 +79,69 @@ class _Window:
         return bool(got)
 
 
-def records(f, start: int, end: int) -> Iterator[tuple[int, Record]]:
-    """(offset, record) of each record that starts in [start, end) of an open file."""
+def _member_at(window: _Window, at: int) -> tuple[Record | None, int, bool]:
+    """The record of the member that begins at a place of the window (None if there is none), where it ends, and whether its first bytes are a record's."""
+    z, out, used, size, opened = zlib.decompressobj(31), [], at, 0, False
+    try:
+        while not z.eof:
+            if used >= len(window.data) and not window.more():
+                break
+            chunk = bytes(window.data[used : used + _CHUNK])
+            used += len(chunk)
+            if made := z.decompress(chunk):
+                out.append(made)
+                size += len(made)
+            if not opened and size >= len(_VERSION):
+                if not b"".join(out).startswith(_VERSION):
+                    return None, used, False
+                opened = True
+        return (parse(b"".join(out)) if z.eof and opened else None), used - len(z.unused_data), opened
+    except (zlib.error, KeyError, ValueError):
+        # an error may come before the bytes that precede it
+        return None, used, opened or _begins(window, at)
+
+
+def _begins(window: _Window, at: int) -> bool:
+    """Whether a record's member begins at a place of the window, or the file ends there."""
+    while at >= len(window.data):
+        if not window.more():
+            return True
+    z, out, used = zlib.decompressobj(31), b"", at
+    try:
+        while len(out) < len(_VERSION) and not z.eof:
+            if used >= len(window.data) and not window.more():
+                return False
+            chunk = bytes(window.data[used : used + 512])
+            used += len(chunk)
+            out += z.decompress(chunk, 64)
+    except zlib.error:
+        return False
+    return out.startswith(_VERSION)
+
+
+def records(f, start: int, end: int) -> Iterator[tuple[int, Record | None]]:
+    """(offset, record) of each record that starts in [start, end) of an open file; None where a record is damaged.
+
+    Damage is a member that begins as a record and can't be read to its end, and bytes that are no member where one has to begin: at the
+    file's start, and after each record. Reading goes on at the next member that can be found."""
     # a member's first bytes may lie across the end
     window = _Window(f, start, end - start + len(MAGIC) - 1)
-    at = 0
+    at, due = 0, start == 0
     while at < end - start:
-        at = window.data.find(MAGIC, at)
-        if at < 0 or at >= end - start:
-            return
-        z, out, used = zlib.decompressobj(31), [], at
-        try:
-            while not z.eof:
-                if used >= len(window.data) and not window.more():
-                    break
-                chunk = bytes(window.data[used : used + _CHUNK])
-                used += len(chunk)
-                made = z.decompress(chunk)
-                if made:
-                    out.append(made)
-                if out and sum(map(len, out[:2])) >= 5 and not b"".join(out[:2]).startswith(b"WARC/"):
-                    break
-            whole = b"".join(out) if z.eof else b""
-            found = parse(whole) if whole.startswith(b"WARC/") else None
-        except (zlib.error, KeyError, ValueError):
-            found = None
+        if not due:
+            at = window.data.find(MAGIC, at)
+            if at < 0 or at >= end - start:
+                return
+        found, used, opened = _member_at(window, at)
         if found is None:
-            at += 1
-            continue
-        yield start + at, found
-        at = used - len(z.unused_data)
+            if opened or due:
+                yield start + at, None
+            at, due = at + 1, False
+        else:
+            yield start + at, found
+            at, due = used, True
+    if due and not _begins(window, at):
+        yield start + at, None
 
 
 def write_archives(pages: DataFrame, min_bytes: int = 0, level: int = LEVEL) -> DataFrame:
@@ -151,11 +188,31 @@ def _page(name: str | None) -> int | None:
 RECORD = "path string, start long, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
-def read_archives(files: DataFrame, split: int = SPLIT, payloads: bool = True) -> DataFrame:
+def _row(path: str, at: int, found: Record | None, payloads: bool) -> tuple:
+    """A record as a row of RECORD. HTTP headers are no part of a payload; a revisit's size is the one that they state, if any."""
+    if found is None:
+        return (path, at, DAMAGED, *[None] * 6)
+    head, payload = found
+    kind, stated, size = head.get("warc-type", ""), head.get("warc-payload-digest", "").removeprefix("sha1:") or None, None
+    if head.get("content-type", "").replace(" ", "").startswith("application/http"):
+        http, _, payload = payload.partition(b"\r\n\r\n")
+        size = next((int(x[15:]) for x in http.decode("latin-1").split("\r\n") if x.lower().startswith("content-length:") and x[15:].strip().isdigit()), None)
+    page, refers = _page(head.get("warc-record-id")), _page(head.get("warc-refers-to"))
+    if kind == "revisit":
+        return (path, at, kind, page, head.get("warc-target-uri"), size, stated, refers, None)
+    own = digest(payload)
+    if (size is not None and size != len(payload)) or (stated is not None and len(stated) == 32 and stated != own):
+        return (path, at, DAMAGED, *[None] * 6)
+    return (path, at, kind, page, head.get("warc-target-uri"), len(payload), own, refers, payload if payloads else None)
+
+
+def read_archives(files: DataFrame, split: int = SPLIT, payloads: bool = True, damaged: bool = False) -> DataFrame:
     """The records of files (path, n_bytes): path, start (offset), record_type, page_id, url, payload_bytes, payload_digest, refers_to, payload.
 
-    Tasks own ranges of split bytes. A response's digest is computed from its payload, and must be the one that its header states; a
-    revisit's is its header's, and its payload is null. Empty files have no records. Null paths are skipped."""
+    Tasks own ranges of split bytes, each dealt to a task by number. A payload's digest is computed, and must be the one that its header states, if it
+    states a SHA-1; a revisit's is its header's, and its payload is null. A damaged or truncated record, or bytes between records, is an error
+    that names its place; with damaged, it is a row of record_type "damaged" with path and start alone. Records of other
+    writers have no page_id. Empty files have no records. Null paths are skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,22 +220,22 @@ def read_archives(files: DataFrame, split: int = SPLIT, payloads: bool = True) -
                 fs, local = filesystem(path)
                 rows: list = []
                 with fs.open_input_file(local) as f:
-                    for at, (head, block) in records(f, start, end):
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        size = next(int(x[15:]) for x in http.decode().split("\r\n") if x.lower().startswith("content-length:"))
-                        stated, kind = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"]
-                        if kind != "revisit" and (len(payload) != size or digest(payload) != stated):
+                    for at, found in records(f, start, end):
+                        row = _row(path, at, found, payloads)
+                        if row[2] == DAMAGED and not damaged:
                             raise ValueError(f"{path}: the record at {at} is damaged")
-                        rows.append((path, at, kind, _page(head["warc-record-id"]), head.get("warc-target-uri"), size, stated, _page(head.get("warc-refers-to")), payload if payloads and kind != "revisit" else None))
+                        rows.append(row)
                         if len(rows) >= 500:
                             yield _batch(rows)
                             rows = []
                 if rows:
                     yield _batch(rows)
 
-    owned = files.where("path is not null and n_bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1, F.lit(split).cast("long"))).alias("start"), "n_bytes")
+    held = files.where("path is not null and n_bytes > 0")
+    owned = held.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1, F.lit(split).cast("long"))).alias("start"), "n_bytes")
     ranges = owned.select("path", "start", F.least(F.col("start") + split, "n_bytes").alias("end"))
-    return ranges.repartition("path", "start").mapInArrow(run, RECORD)
+    n, total = held.agg(F.sum(F.ceil(F.col("n_bytes") / split)), F.sum("n_bytes")).first()
+    return dealt(ranges, n or 0, total or 0).mapInArrow(run, RECORD)
 
 
 def _batch(rows: list) -> pa.RecordBatch:

@@ -33,3 +33,10 @@ def test_half_a_token_is_an_error(spark, tmp_path):
     (tmp_path / "x").write_bytes(b"abc")
     with pytest.raises(Exception, match="whole number"):
         token_counts.count_tokens(spark.createDataFrame([(f"file://{tmp_path}/x", 3)], "path string, n_bytes long")).collect()
+
+
+def test_blocks_are_dealt_to_tasks(spark, tmp_path):
+    """With adaptive execution, which would put rows so small in one task."""
+    np.tile(np.array([1, 2, 9], "uint16"), 10_000).tofile(tmp_path / "x")
+    got = token_counts.count_tokens(spark.createDataFrame([(f"file://{tmp_path}/x", 60_000)], "path string, n_bytes long"), separator=9, block=300)
+    assert got.count() == 10_000 and got.selectExpr("spark_partition_id() AS p").distinct().count() == spark.sparkContext.defaultParallelism
