@@ -7,32 +7,10 @@ from auditmill.llm import chat_format, quality_rules, sharding, url_filter
 _q = lambda s: "'" + s.replace("'", "''") + "'"
 
 
-def _draw(key: str, children: list[tuple[str, str, float]]) -> str:
-    """The label (SQL) of the child with the least draw."""
-    if len(children) == 1:
-        return children[0][1]
-    score = lambda name, w: f"-ln((('0x' || substr(md5({_q(name + ':')} || {key}), 1, 13))::BIGINT + 1) / 4503599627370496.0) / {float(w)}"
-    return f"list_sort([{', '.join(f'{{s: {score(n, w)}, l: {label}}}' for n, label, w in children)}])[1].l"
-
-
 def _place(key: str, tree: list[sharding.Shard]) -> str:
-    regions: dict = {}
-    for x in tree:
-        regions.setdefault(x.region, {}).setdefault(x.rack, []).append(x)
-
-    def rack(at, own):
-        return _draw(key, [(f"{at}/{x.shard}", str(x.shard), x.weight) for x in own])
-
-    def case(on, cases):
-        return f"CASE {on} " + " ".join(f"WHEN {_q(k)} THEN {c}" for k, c in cases.items()) + " END"
-
-    def region(at, racks):
-        if len(racks) == 1:
-            (k, own), = racks.items()
-            return rack(f"{at}/{k}", own)
-        return case(_draw(key, [(f"{at}/{k}", _q(k), sum(x.weight for x in own)) for k, own in racks.items()]), {k: rack(f"{at}/{k}", own) for k, own in racks.items()})
-
-    return case(_draw(key, [(k, _q(k), sum(x.weight for own in racks.values() for x in own)) for k, racks in regions.items()]), {k: region(k, racks) for k, racks in regions.items()})
+    """The shard of the least of all draws."""
+    draw = lambda x: f"-ln((('0x' || substr(md5({_q(f'{x.region}/{x.rack}/{x.shard}:')} || {key}), 1, 13))::BIGINT + 1) / 4503599627370496.0) / {float(x.weight)}"
+    return f"list_sort([{', '.join(f'{{s: {draw(x)}, l: {x.shard}}}' for x in tree)}])[1].l"
 
 
 _TREE = sharding.topology(8)
@@ -42,12 +20,13 @@ SHARDING = f"""
 WITH steps AS (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)),
 crc AS (SELECT list(c ORDER BY i) AS t FROM steps),
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-s AS (SELECT doc_id, (strlen(text) + 1)::BIGINT AS size, hex(encode(text)) AS x, {_place(_KEY, _TREE)} AS shard, {_place(_KEY, sharding.grow(_TREE))} AS grown,
-  ('0x' || substr(md5('bucket:' || {_KEY}), 1, 13))::BIGINT % {sharding.SLOT_BUCKETS} AS bucket FROM d),
-b AS (SELECT s.* EXCLUDE x, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
-  lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])) AS r FROM s, crc)
-SELECT doc_id, size, xor(r, 4294967295) AS text_crc32, 'key' AS law, shard::INT AS shard,
-  row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, xor(r, 4294967295), size) - 1 AS slot, grown::INT AS grown_shard FROM b
+s AS (SELECT doc_id, (strlen(text) + 1)::BIGINT AS size, hex(encode(text)) AS x, {_place(_KEY, _TREE)} AS shard, {_place(_KEY, sharding.grow(_TREE))} AS grown FROM d),
+c AS (SELECT s.* EXCLUDE x, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
+  lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295) AS crc FROM s, crc),
+p AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, crc, size) - 1) // {sharding.COPIES} AS part FROM c),
+b AS (SELECT *, ('0x' || substr(md5('bucket:' || {_KEY} || ':' || crc || ':' || part), 1, 13))::BIGINT % (SELECT greatest(1, ceil(count(*) / {8 * sharding.BUCKET_ROWS}.0))::BIGINT FROM documents) AS bucket FROM p)
+SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard::INT AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, crc, size, part) - 1 AS slot, grown::INT AS grown_shard FROM b
 """
 
 
@@ -60,13 +39,21 @@ def _chat() -> str:
     size = f"{len(t.other.open + t.other.close + t.name_end)} + length({name}) + length({esc})"
     for role, p in t.parts.items():
         size = f"CASE WHEN role = {_q(role)} THEN {len(p.open + p.close)} + length({esc}) ELSE {size} END"
-    loss = " OR ".join(f"role = {_q(r)}" for r, p in t.parts.items() if p.loss)
+    # a role leads to one state whether it is due or not, so the state before a turn follows from the role before it
+    state = lambda role: f"CASE {role} " + " ".join(f"WHEN {_q(r)} THEN {_q(s)}" for r, s in t.anyway.items()) + f" ELSE {_q(t.aside)} END"
+    assert all(t.anyway[role] == to for (_, role), to in t.moves.items())
+    due = " OR ".join(f"before = {_q(a)} AND role = {_q(b)}" for a, b in t.moves)
+    one_of = lambda states: ", ".join(_q(s) for s in states)
+    order = "turn NULLS FIRST, role, text"
     return f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
-  coalesce(string_agg(CASE WHEN {loss} THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss, sum({size}) + {len(t.begin)} AS chars FROM c GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM g
+r AS (SELECT *, row_number() OVER w - 1 AS i, lag(role) OVER w AS role_before, {state('role')} AS state FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY {order})),
+m AS (SELECT * EXCLUDE role_before, CASE WHEN i = 0 THEN {_q(t.start)} ELSE {state('role_before')} END AS before FROM r),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY {order}) AS said, min(CASE WHEN NOT ({due}) THEN i END) AS late, arg_max(state, i) IN ({one_of(t.final)}) AS ends,
+  coalesce(string_agg(CASE WHEN state IN ({one_of(t.learned)}) THEN text END, '' ORDER BY {order}), '') AS loss, sum({size}) + {len(t.begin)} AS chars FROM m GROUP BY conv_id),
+v AS (SELECT *, coalesce(late, CASE WHEN NOT ends THEN n_turns END)::INT AS bad_turn FROM g)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars, bad_turn, bad_turn IS NULL AS valid FROM v
 """
 
 

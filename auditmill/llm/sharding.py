@@ -1,12 +1,14 @@
 """Sharding by a hierarchical weighted hash tree: region, rack, shard.
 
-At each node of the tree a row draws a number for every child from its key and the child's name, -ln(u) / weight, and
-descends to the child with the least (so a child is drawn in proportion to its weight). A child's draws depend on its own name
-and weight alone: a change of weights moves rows only into or out of the children whose weight changed, and below
-an unchanged node nothing moves. grow() adds a shard as a region of its own, so that its weight is in no subtree which has other
-shards: rows move into the new shard and nowhere else.
+A row draws a number for every shard from its key and the shard's name, -ln(u) / weight. A node's draw is the least of its children's. Of
+draws with rates the least is a draw with the sum of the rates: so a rack's draw is a weighted draw with the rack's weight, and a region's one with the
+region's. A row descends from the root to the child with the least draw, at each level.
 
-Everything is DataFrame expressions; the draws are a dozen short digests a row.
+The draws of a subtree depend on its own shards alone. Where a weight changes, only draws of that shard and of the nodes above it change:
+rows move into or out of that shard and nowhere else, and no row moves between two nodes whose weights stay. So one more shard takes rows only into
+itself, in whichever rack it is, and topology(n + 1) is topology(n) with one more shard.
+
+Everything is DataFrame expressions; the draws are a short digest for each shard and row.
 """
 
 from __future__ import annotations
@@ -15,11 +17,13 @@ import math
 from collections import defaultdict
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of each shard that are numbered on their own; shards times buckets rows are broadcast, whatever the data's size.
-SLOT_BUCKETS = 256
+#: Rows, about, of one shard that are numbered together.
+BUCKET_ROWS = 50_000
+#: Rows that agree in all that is returned but their slot are numbered in parts of so many.
+COPIES = 10_000
 
 
 class Shard(NamedTuple):
@@ -34,10 +38,10 @@ def topology(shards: int, per_rack: int = 2, per_region: int = 4) -> list[Shard]
     return [Shard(f"r{s // per_region}", f"k{s // per_rack}", s) for s in range(shards)]
 
 
-def grow(tree: list[Shard], weight: float = 1.0) -> list[Shard]:
-    """The tree with one more shard."""
+def grow(tree: list[Shard], weight: float = 1.0, per_rack: int = 2, per_region: int = 4) -> list[Shard]:
+    """The tree with one more shard, in the rack and region that topology() has for it."""
     n = max((x.shard for x in tree), default=-1) + 1
-    return [*tree, Shard(f"grown{n}", f"grown{n}", n, weight)]
+    return [*tree, topology(n + 1, per_rack, per_region)[n]._replace(weight=weight)]
 
 
 def _number(text: Column) -> Column:
@@ -45,63 +49,56 @@ def _number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
-def _draw(key: Column, children: list[tuple[str, str | int, float]]) -> Column:
-    """The drawn child's label; children: name in the tree, label, weight."""
-    if len(children) == 1:
-        return F.lit(children[0][1])
-    scores = [F.struct((-F.log((_number(F.concat(F.lit(f"{name}:"), key)) + 1) / F.lit(2.0**52)) / F.lit(float(weight))).alias("score"), F.lit(label).alias("label")) for name, label, weight in children]
-    return F.array_min(F.array(*scores))["label"]
+def _least(children: list[Column]) -> Column:
+    return children[0] if len(children) == 1 else F.array_min(F.array(*children))
 
 
-def place(key: Column, tree: list[Shard]) -> Column:
-    """The shard of a key (a string column)."""
+def drawn(key: Column, tree: list[Shard]) -> Column:
+    """(draw, shard) of the leaf that a key (a string column) descends to."""
     if not tree or any(not x.weight > 0 or math.isinf(x.weight) for x in tree):
         raise ValueError("a tree needs shards, of positive weights")
     regions: dict[str, dict[str, list[Shard]]] = defaultdict(lambda: defaultdict(list))
     for x in tree:
         regions[x.region][x.rack].append(x)
 
-    def in_rack(at: str, own: list[Shard]) -> Column:
-        return _draw(key, [(f"{at}/{x.shard}", x.shard, x.weight) for x in own])
+    def leaf(x: Shard) -> Column:
+        u = (_number(F.concat(F.lit(f"{x.region}/{x.rack}/{x.shard}:"), key)) + 1) / F.lit(2.0**52)
+        return F.struct((-F.log(u) / F.lit(float(x.weight))).alias("draw"), F.lit(x.shard).alias("shard"))
+
+    return _least([_least([_least([leaf(x) for x in own]) for own in racks.values()]) for racks in regions.values()])
+
 
-    def in_region(at: str, racks: dict[str, list[Shard]]) -> Column:
-        if len(racks) == 1:
-            return in_rack(f"{at}/{next(iter(racks))}", next(iter(racks.values())))
-        rack = _draw(key, [(f"{at}/{k}", k, sum(x.weight for x in own)) for k, own in racks.items()])
-        return switch(rack, {k: in_rack(f"{at}/{k}", own) for k, own in racks.items()})
+def place(key: Column, tree: list[Shard]) -> Column:
+    """The shard of a key (a string column)."""
+    return drawn(key, tree)["shard"].cast("int")
 
-    def switch(on: Column, cases: dict[str, Column]) -> Column:
-        return F.element_at(F.transform(F.array(on), lambda x: F.coalesce(*(F.when(x == k, c) for k, c in cases.items()))), 1)
 
-    region = _draw(key, [(k, k, sum(x.weight for own in racks.values() for x in own)) for k, racks in regions.items()])
-    if len(regions) == 1:
-        return in_region(*next(iter(regions.items()))).cast("int")
-    return switch(region, {k: in_region(k, racks) for k, racks in regions.items()}).cast("int")
+def buckets(rows: int, shards: int, bucket_rows: int = BUCKET_ROWS) -> int:
+    """Buckets of each shard that are numbered on their own."""
+    return max(1, -(-rows // (bucket_rows * shards)))
 
 
-def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 8, bucket_rows: int = BUCKET_ROWS, copies: int = COPIES) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row of docs (doc_id, text; other columns are not used).
 
     size is the text's UTF-8 bytes plus 1, text_crc32 that of its bytes; a null text has none. A row's shard follows from its
-    doc_id alone (null: as an empty key), and grown_shard is its shard once there is one more. Slots number a
-    shard's rows from 0 without gaps, by a digest's bucket, then doc_id, checksum and size. Repeated rows get slots of their own. An
-    empty table gives no rows."""
+    doc_id and the number of shards alone (null: as an empty key), and grown_shard is its shard once there is one more. Slots number a
+    shard's rows from 0 without gaps, by a digest's bucket, then doc_id, checksum and size. Rows that agree in these are counted first and
+    numbered in parts of `copies`, which are dealt over the buckets; each row gets a slot of its own. An empty table gives no rows."""
     tree = topology(shards)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    bucket = (_number(F.concat(F.lit("bucket:"), key)) % SLOT_BUCKETS).cast("int")
-    placed = docs.select("doc_id", place(key, tree).alias("shard"), bucket.alias("bucket"))
-    # numbers before each bucket: doc_id is all that this reads
-    counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(_by("shard", "bucket")) - F.col("n")
-    offsets = counts.select("shard", "bucket", before.alias("before"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), place(key, tree).alias("shard"), place(key, grow(tree)).alias("grown_shard"), bucket.alias("bucket"))
-    numbered = rows.withColumn("own", F.row_number().over(_by("shard", "bucket", order=("doc_id", "text_crc32", "size"))))
-    slot = (F.col("before") + F.col("own") - 1).cast("long")
-    return numbered.join(F.broadcast(offsets), ["shard", "bucket"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.alias("slot"), "grown_shard")
-
-
-def _by(*keys: str, order: tuple[str, ...] = ()):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy(*order) if order else Window.partitionBy(keys[0]).orderBy(*keys[1:])
+    held = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    n = held.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("all"))
+    n = n.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all") - 1) / copies))).alias("part")).withColumn("n", F.least(F.col("all") - F.col("part") * copies, F.lit(copies)))
+    bucket = (_number(F.concat(F.lit("bucket:"), key, F.lit(":"), F.concat_ws(":", "text_crc32", "part"))) % buckets(docs.count(), shards, bucket_rows)).cast("long")
+    at, new = drawn(key, tree), drawn(key, grow(tree)[-1:])
+    rows = n.select("*", at.alias("at"), new.alias("new"), bucket.alias("bucket"))
+    rows = rows.select("doc_id", "size", "text_crc32", "part", "n", "bucket", F.col("at.shard").cast("int").alias("shard"), F.least("at", "new")["shard"].cast("int").alias("grown_shard"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")
+    offsets = rows.groupBy("shard", "bucket").agg(F.sum("n").alias("n")).select("shard", "bucket", before.alias("before"))
+    own = F.sum("n").over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size", "part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    numbered = rows.withColumn("own", own).join(offsets, ["shard", "bucket"])
+    first = F.col("before") + F.col("own")
+    slots = numbered.select("*", F.explode(F.sequence(first, first + F.col("n") - 1)).alias("slot"))
+    return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long"), "grown_shard")

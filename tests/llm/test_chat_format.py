@@ -31,6 +31,39 @@ def test_reads_back_what_it_was_given(spark):
         assert g.formatted_chars == len(made[c].formatted) and made[c].formatted == "".join(s.text for s in made[c].segments)
 
 
+def machine(roles, t=C.TEMPLATE):
+    """(first bad turn, loss flags) by a plain loop."""
+    state, bad, loss = t.start, None, []
+    for i, r in enumerate(roles):
+        to = t.moves.get((state, r))
+        if to is None and bad is None:
+            bad = i
+        state = to or t.anyway.get(r, t.aside)
+        loss.append(state in t.learned)
+    return (len(roles) if bad is None and state not in t.final else bad), loss
+
+
+def test_the_machine_decides_loss(spark):
+    """Also one that learns only answers to a question, and a conversation longer than a stride."""
+    from dataclasses import replace
+
+    rnd = random.Random(3)
+    strict = replace(C.TEMPLATE, moves={**C.TEMPLATE.moves, ("asked", "assistant"): "replied", ("replied", "user"): "asked"}, final=("replied",), learned=("replied",), anyway={"user": "asked"})
+    for t in (C.TEMPLATE, strict):
+        chats = [[rnd.choice(["user", "assistant", "system", "tool"]) for _ in range(n)] for n in (1, 2, 3, 5, 63, 64, 65, 200, 1500)] + [["user", "assistant"] * 100, ["assistant", "user", "assistant"]]
+        rows = [(k, i, r, f"t{i}") for k, c in enumerate(chats) for i, r in enumerate(c)]
+        got = {r.conv_id: r for r in C.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), t).collect()}
+        for k, c in enumerate(chats):
+            bad, loss = machine(c, t)
+            assert got[k].bad_turn == bad and [s.loss for s in got[k].segments][2::3] == loss
+
+
+def test_the_verdict_is_in_the_query(spark):
+    made = C.digests(C.format_chats(spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")))
+    assert "instructed" in made._jdf.queryExecution().optimizedPlan().toString()
+    assert (made.first().bad_turn, made.first().valid) == (1, False)
+
+
 def test_the_machine(spark):
     rows = [(k, i, r, "t") for k, roles in enumerate(["sua", "ua", "uau", "au", "uu", "us", "uaua"]) for i, r in enumerate({"s": "system", "u": "user", "a": "assistant"}[x] for x in roles)]
     got = {r.conv_id: r.bad_turn for r in C.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
