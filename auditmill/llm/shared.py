@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of files that one task reads, where there are more of them than cores.
 TASK_BYTES = 128_000_000
+#: Bytes of text whose hashes or segments one part of a hash space holds: what one task takes whole. More text makes more parts.
+PART_BYTES = 8_000_000
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -73,6 +75,11 @@ def dealt(rows: DataFrame, n: int, n_bytes: int) -> DataFrame:
     return rows.repartition(max(1, min(n, max(rows.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // TASK_BYTES)))))
 
 
+def parts_of(n_bytes: int) -> int:
+    """Parts of a hash space over n_bytes of text, each of which a task can hold. They go to tasks by number (repartitionById), one to each."""
+    return max(1, -(-n_bytes // PART_BYTES))
+
+
 def filesystem(address: str):
     """pyarrow's file system for an address, and the path in it."""
     from pyarrow import fs

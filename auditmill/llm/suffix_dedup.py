@@ -3,7 +3,7 @@
 A byte is removed if it lies in a string of LENGTH bytes that also starts earlier: in a document with a smaller doc_id, or in the
 same one before. The longest previous factor (LPF) of a position is the longest string that starts there and also at an
 earlier position; it is reached at the previous or the next smaller position in suffix order. The starts of removed
-strings are those with LPF >= LENGTH.
+strings are those with LPF >= LENGTH, so the order and the LPF values are computed to that depth; the first of equal strings has no such factor.
 
 No task can hold the suffix array of the corpus, so positions that can match are brought together first:
 
@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditmill.llm import bytehash, sidefiles
-from auditmill.llm.shared import written
+from auditmill.llm.shared import parts_of, written
 
 U64, I64, I32 = np.uint64, np.int64, np.int32
 LENGTH = 100
 K = 32
 #: Bytes of segments that are put in suffix order together; one anchor's are never split.
-TOGETHER = 4_000_000
+TOGETHER = 2_000_000
 #: A document without an id comes before all others.
 NO_ID = -(2**63)
 _POSITION = U64(2**31 - 1)
@@ -77,19 +77,29 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     return np.searchsorted(offsets, first, side="right") - 1, first, last, h[at[new]]
 
 
-def suffix_runs(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Starts in suffix order to the depth of length bytes, equal ones by position; and where each run of equal ones begins."""
+_BYTES = U64(256) ** np.arange(8, dtype=U64)
+
+
+def suffix_order(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The ascending starts (their numbers) in suffix order to the depth of length bytes, equal ones by position; and how long a prefix, to that depth,
+    each has in common with the one before it in this order (the first: 0). length bytes follow each start."""
     padded = np.concatenate([text, np.zeros(16, np.uint8)])
     word = np.empty(len(text) + 8, U64)
     for r in range(8):
         part = padded[r : r + (len(padded) - r) // 8 * 8].view(">u8")
         word[r::8] = part[: len(word[r::8])]
+    common = np.full(len(starts), length, np.int16)
+    if not len(starts):
+        return np.zeros(0, I64), common
     depth = min(8, length)
     cut = lambda w, d: w >> U64(8 * (8 - d)) if d < 8 else w
+    same = lambda x, y, d: d - np.searchsorted(_BYTES, x ^ y, side="right")  # noqa: E731 - equal first bytes of d
     key = cut(word[starts], depth)
     order = np.argsort(key, kind="stable")
     key = key[order]
-    begins = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    begins = np.concatenate([[True], key[1:] != key[:-1]])
+    new = np.flatnonzero(begins)[1:]
+    common[0], common[new] = 0, same(key[new], key[new - 1], depth)
     while depth < length:
         run = np.cumsum(begins) - 1
         size = np.bincount(run)
@@ -108,20 +118,50 @@ def suffix_runs(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> t
             o = np.lexsort((key[split], r[split]))
             where, key, r = tied[split], key[split][o], r[split][o]
             order[where] = order[where][o]
-            begins[where] = np.concatenate([[True], (key[1:] != key[:-1]) | (r[1:] != r[:-1])])
+            parted = np.flatnonzero((key[1:] != key[:-1]) & (r[1:] == r[:-1])) + 1
+            begins[where[parted]] = True
+            common[where[parted]] = depth + same(key[parted], key[parted - 1], step)
         depth += step
-    return order, begins
-
-
-def has_previous(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For each of the ascending starts, whether its longest previous factor (among these starts) reaches length.
-
-    In suffix order cut at this depth, the common prefix with the previous smaller position is length long just where that
-    position lies in the same run. Runs are in order of position, so it is the one before; the next smaller one is in no run of its own."""
-    order, begins = suffix_runs(text, starts, length)
-    out = np.zeros(len(starts), bool)
-    out[order[~begins]] = True
-    return out
+    return order, common
+
+
+def _nearest_smaller(place: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each rank the nearest rank before it whose place is smaller (-1: none), and the prefix in common with it: the least of common from there.
+
+    All ranks look at once: one whose candidate is no smaller goes on to that one's candidate, as all between are larger than both. Candidates' own jumps
+    double the distance, so there are a logarithm of rounds."""
+    near = np.arange(len(place)) - 1
+    least = common.copy()
+    least[:1] = 0
+    open_ = np.flatnonzero(place[1:] < place[:-1]) + 1
+    while len(open_):
+        at = near[open_]
+        least[open_], near[open_] = np.minimum(least[open_], least[at]), near[at]
+        at = near[open_]
+        least[open_[at < 0]] = 0
+        open_, at = open_[at >= 0], at[at >= 0]
+        open_ = open_[place[at] > place[open_]]
+    return near, least
+
+
+def previous_factors(order: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of starts in suffix order: for each start (by its number) its longest previous factor, and the numbers of its previous and next smaller
+    positions in suffix order (-1: none), one of which has that factor in common with it."""
+    n = len(order)
+    before, least = _nearest_smaller(order, common)
+    # the same from the other end
+    behind, most = _nearest_smaller(order[::-1], np.concatenate([common[1:], common[:1]])[::-1])
+    behind, most = np.where(behind < 0, -1, n - 1 - behind)[::-1], most[::-1]
+    lpf, psv, nsv = np.zeros(n, common.dtype), np.full(n, -1), np.full(n, -1)
+    lpf[order] = np.maximum(least, most)
+    psv[order] = np.where(before < 0, -1, order[before])
+    nsv[order] = np.where(behind < 0, -1, order[behind])
+    return lpf, psv, nsv
+
+
+def longest_previous_factors(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For each of the ascending starts the length, to length bytes at most, of the longest string from there that also begins at an earlier start."""
+    return previous_factors(*suffix_order(text, starts, length))[0]
 
 
 class Segments:
@@ -164,7 +204,7 @@ class Segments:
         begin = np.cumsum(n) - n
         seg = np.repeat(np.arange(len(n)), per)
         inside = np.arange(len(seg)) - np.repeat(np.cumsum(per) - per, per)
-        mark = has_previous(own.data, begin[seg] + inside, length)
+        mark = longest_previous_factors(own.data, begin[seg] + inside, length) >= length
         edge = np.concatenate([[True], (mark[1:] != mark[:-1]) | (seg[1:] != seg[:-1])]) if len(mark) else np.zeros(0, bool)
         first = np.flatnonzero(edge)
         count = np.diff(np.concatenate([first, [len(mark)]]))
@@ -423,18 +463,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, ex
     characters if characters is set (n_removed does not count that). Other columns are not used."""
     if length != LENGTH:
         raise ValueError("segments are cut for LENGTH")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = sidefiles.with_source(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *extra), "doc_id", "text", *extra)
     rows = placed.select("doc_id", "text", "src", "pos")
     whole = placed.select("doc_id", "text", "src", *extra)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [(NO_ID if d is None else d, _text_hash(t), s, p) for d, t, s, p in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True) if t and len(t) >= length]
+            own = [(NO_ID if d is None else d, _text_hash(t), s, p, len(t)) for d, t, s, p in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True) if t and len(t) >= length]
             if own:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*own, strict=True)], names=["doc", "h", "src", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*own, strict=True)], names=["doc", "h", "src", "pos", "n"])
 
-    ids = written(rows.mapInArrow(named, "doc long, h long, src long, pos long"), "texts")
+    ids = written(rows.mapInArrow(named, "doc long, h long, src long, pos long, n long"), "texts")
+    parts = parts_of(ids.agg(F.sum("n")).first()[0] or 0)
     sources = written(ids.select("src").distinct(), "sources")
     # the elected row of a document lies in any of its slices, not always in the same one
     row = F.struct("doc", F.xxhash64("h", "src").alias("draw"), "src", "pos")
@@ -454,9 +494,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, ex
 
     copies = sidefiles.save(later.mapInArrow(pairs, "src long, blob binary"), "copies", sources)
     dealt = rows.mapInArrow(_anchor_blocks(copies, length, parts), "part int, src long, blob binary")
-    repeated = sidefiles.save(dealt.groupBy("part").applyInPandas(_repeated, "src long, blob binary"), "repeated", sources)
+    repeated = sidefiles.save(dealt.repartitionById(parts, "part").groupBy("part").applyInPandas(_repeated, "src long, blob binary"), "repeated", sources)
     segments = rows.mapInArrow(_segment_blocks(copies, repeated, length, parts), "part int, mark boolean, src long, blob binary")
-    marks = sidefiles.save(segments.groupBy("part").applyInPandas(_part_marks(length), "src long, blob binary"), "marks", sources)
+    marks = sidefiles.save(segments.repartitionById(parts, "part").groupBy("part").applyInPandas(_part_marks(length), "src long, blob binary"), "marks", sources)
     stands = other.where("src <> first.src").select(F.col("first.src").alias("source"), "doc", "h", "src").distinct().repartition("source").sortWithinPartitions("source")
     shared = sidefiles.save(stands.mapInArrow(_shared_marks(marks), "src long, blob binary"), "shared", sources)
     schema = ", ".join([OUT] + ["kept binary"] * texts + [f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields[3:]])

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from auditmill.llm import sidefiles
-from auditmill.llm.suffix_dedup import _text_hash, has_previous, remove_repeats
+from auditmill.llm.suffix_dedup import _text_hash, longest_previous_factors, previous_factors, remove_repeats, suffix_order
 
 
 def brute(rows, length=100):
@@ -117,13 +117,29 @@ def test_repeated_rows_far_apart_are_one_document(spark, tmp_path, monkeypatch):
     assert any(0 < len(want[least if d is None else d, t]) < len(t.encode()) for d, t in twins)
 
 
-def test_has_previous_equals_a_scan():
-    rnd = random.Random(3)
-    text = np.frombuffer("".join(rnd.choice("ab") for _ in range(3000)).encode(), np.uint8)
-    starts = np.arange(len(text) - 11)
-    seen, want = set(), []
-    for s in starts:
-        w = text[s : s + 12].tobytes()
-        want.append(w in seen)
-        seen.add(w)
-    assert has_previous(text, starts, 12).tolist() == want
+def prefix(a, b, most):
+    n = 0
+    while n < most and a[n] == b[n]:
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("letters, depth, size", [("ab", 12, 300), ("a", 20, 80), ("abc", 3, 200), ("abcdefgh", 30, 200), ("ab", 100, 400), ("ab", 8, 7)])
+def test_lpf_arrays_equal_a_scan(letters, depth, size):
+    rnd = random.Random(size)
+    for gap in (1, 3):
+        block = "".join(rnd.choice(letters) for _ in range(size // 2))
+        data = (block + "".join(rnd.choice(letters) for _ in range(size // 3)) + block).encode()
+        text, starts = np.frombuffer(data, np.uint8), np.arange(0, max(0, len(data) - depth + 1), gap)
+        window = [data[s : s + depth] for s in starts]
+        n = len(window)
+        order, common = suffix_order(text, starts, depth)
+        assert order.tolist() == sorted(range(n), key=lambda i: (window[i], i))
+        assert common.tolist() == [prefix(window[order[r - 1]], window[order[r]], depth) if r else 0 for r in range(n)]
+        lpf, psv, nsv = previous_factors(order, common)
+        rank = np.argsort(order)
+        for i in range(n):
+            assert lpf[i] == max((prefix(window[i], window[j], depth) for j in range(i)), default=0)
+            assert psv[i] == next((order[r] for r in range(rank[i] - 1, -1, -1) if order[r] < i), -1)
+            assert nsv[i] == next((order[r] for r in range(rank[i] + 1, n) if order[r] < i), -1)
+        assert longest_previous_factors(text, starts, depth).tolist() == lpf.tolist()
