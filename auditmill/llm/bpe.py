@@ -5,10 +5,6 @@ rank, and a bitmap in two levels says which buckets have entries; find-first-set
 changed since are stale and skipped when they come up. A merge costs a constant number of steps whatever the piece's
 length: a piece of megabytes is as cheap a byte as a short one.
 
-Long pieces have a queue each. Short ones, of which a text has very many, share one queue: its upper bitmap gives the least word of
-ranks that has entries, and of each piece with entries in that word the leftmost of the least rank is merged, all pieces at once in numpy.
-Pieces never touch each other, so each sees just the order of merges that it would see alone.
-
 Texts are cut by the vocabulary's pattern, and each distinct piece is merged once a task (until CACHE of them are kept).
 """
 
@@ -29,10 +25,6 @@ from pyspark.sql import functions as F
 CACHE = 500_000
 #: Texts of about so many characters are encoded together.
 TOGETHER = 8_000_000
-#: Bytes from which on a piece has a queue of its own.
-LONG = 200
-#: Ranks in one word of the bitmap.
-_WORD = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,13 +45,10 @@ class Tokenizer:
         self.bytes = [ranks.get(bytes([b]), -1) for b in range(256)]
         self.names = [str(r) for r in range(self.size)]
         self.cut = regex.compile(pattern).findall
-        #: Rank of a pair of ids (left * size + right), -1 for none; as pairs come up in long pieces.
+        #: Rank of a pair of ids (left * size + right), -1 for none; as pairs come up.
         self.pairs: dict[int, int] = {}
-        #: The queue of long pieces, empty between them: words of the bitmap's lower level.
-        self.words = [0] * (self.size // _WORD + 1)
-        found = [(ranks[t[:i]] * self.size + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        #: All pairs with a rank, sorted.
-        self.keys, self.key_ranks = np.array(sorted(found), np.int64).reshape(-1, 2).T.copy()
+        #: Words of the queue's lower bitmap, of 256 ranks each; all empty between pieces.
+        self.words = [0] * (self.size // 256 + 1)
         length = np.array([len(t or b"") for t in self.tokens], np.int64)
         self.token_start, self.token_length = np.cumsum(length) - length, length
         self.token_bytes = np.frombuffer(b"".join(t or b"" for t in self.tokens), np.uint8)
@@ -144,95 +133,12 @@ class Tokenizer:
                     top |= 1 << (r >> 8)
         return tuple([x for x in ids if x >= 0])
 
-    def _rank(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(keys), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.key_ranks[at], -1)
-
-    def merge_short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all pieces (each under LONG bytes), end to end, and each piece's number of them."""
-        size = self.size
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        n = len(data)
-        length = np.array([len(p) for p in pieces], np.int64)
-        begin = np.cumsum(length) - length
-        piece = np.repeat(np.arange(len(pieces)), length)
-        # node n stands for none, before and after each piece
-        ids = np.append(np.array(self.bytes, np.int64)[data], -1)
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
-        after[begin + length - 1], before[begin] = n, n
-        pair = np.full(n + 1, -1, np.int64)
-        inner = np.flatnonzero(after[:n] < n)
-        pair[inner] = self._rank(ids[inner] * size + ids[inner + 1])
-        words: list[list[np.ndarray]] = [[] for _ in range(size // _WORD + 1)]
-        top = 0
-
-        def push(nodes: np.ndarray) -> int:
-            """Into the buckets of their ranks' words; the words' bits."""
-            word = pair[nodes] // _WORD
-            order = np.argsort(word, kind="stable")
-            word, nodes = word[order], nodes[order]
-            cut = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])).tolist() if len(word) else []
-            bits = 0
-            for i, j in zip(cut, [*cut[1:], len(word)], strict=False):
-                words[w := int(word[i])].append(nodes[i:j])
-                bits |= 1 << w
-            return bits
-
-        top |= push(inner[pair[inner] >= 0])
-        while top:
-            w = (top & -top).bit_length() - 1
-            top &= top - 1
-            at = np.concatenate(words[w])
-            words[w] = []
-            rank = pair[at]
-            fresh = rank // _WORD == w
-            at, rank = at[fresh], rank[fresh]
-            # by piece, rank and position; of each piece the first
-            p = piece[at]
-            key = np.unique((p << 16) | ((rank % _WORD) << 8) | (at - begin[p]))
-            p = key >> 16
-            at = begin[p] + (key & 255)
-            first = np.concatenate([[True], p[1:] != p[:-1]]) if len(p) else np.zeros(0, bool)
-            if not first.all():
-                words[w].append(at[~first])
-                top |= 1 << w
-            at = at[first]
-            rank = pair[at]
-            right = after[at]
-            ids[at], ids[right] = rank, -1
-            pair[at] = pair[right] = -1
-            beyond = after[right]
-            after[at] = beyond
-            before[beyond] = at
-            has = beyond < n
-            x, beyond = at[has], beyond[has]
-            pair[x] = self._rank(rank[has] * size + ids[beyond])
-            left = before[at]
-            has = left < n
-            y = left[has]
-            pair[y] = self._rank(ids[y] * size + rank[has])
-            changed = np.concatenate([x, y])
-            top |= push(changed[pair[changed] >= 0])
-        rest = ids[:n] >= 0
-        return ids[:n][rest].astype(np.int32), np.bincount(piece[rest], minlength=len(pieces))
-
     def _learn(self, new: list[str]) -> None:
         """Merge pieces that are new to the cache."""
-        raw = [p.encode() for p in new]
-        known = [(self.ranks[p],) if p in self.ranks else self.merge(p) if len(p) >= LONG else None for p in raw]
-        short = [k for k, x in enumerate(known) if x is None]
-        length = np.array([0 if x is None else len(x) for x in known], np.int64)
-        flat, count = self.merge_short([raw[k] for k in short]) if short else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        length[short] = count
+        made = [self.merge(p.encode()) for p in new]
+        length = np.array([len(x) for x in made], np.int64)
         start = np.cumsum(length) - length
-        out = np.empty(length.sum(), np.int32)
-        own = np.zeros(len(new), bool)
-        own[short] = True
-        inside = np.repeat(own, length)
-        out[inside] = flat
-        out[~inside] = [i for x in known if x is not None for i in x]
+        out = np.fromiter((i for x in made for i in x), np.int32, length.sum())
         self.start = np.concatenate([self.start, start + len(self.flat)])
         self.length = np.concatenate([self.length, length])
         self.flat = np.concatenate([self.flat, out])
@@ -313,7 +219,7 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[st
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return docs.select(F.col("doc_id").cast("long"), F.make_valid_utf8(F.col("text").cast("string")).alias("text"))
 
 
 def _lists(made: list[np.ndarray]) -> pa.Array:
@@ -322,7 +228,7 @@ def _lists(made: list[np.ndarray]) -> pa.Array:
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id and ids (array of int) of each row of docs (doc_id, text). A null text is empty; an empty one has no ids."""
+    """doc_id and ids (array of int) of each row of docs (doc_id, text). A null text is empty; an empty one has no ids. Bytes that are no UTF-8 count as U+FFFD."""
     known, cut = default_tokenizer()
     path, pattern = path or known, pattern or cut
 
@@ -351,7 +257,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def encode_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the bytes that the ids decode to).
 
-    A null text is empty. A text is encoded whole, however long. Repeated rows are encoded repeatedly (from the task's cache); other columns
+    A null text is empty; bytes that are no UTF-8 count as U+FFFD. A text is encoded whole, however long. Repeated rows are encoded repeatedly (from the task's cache); other columns
     are not used. An empty table gives no rows."""
     known, cut = default_tokenizer()
     path, pattern = path or known, pattern or cut

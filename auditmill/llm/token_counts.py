@@ -29,7 +29,7 @@ DTYPE = "uint16"
 def write_flat(docs: DataFrame, separator: int = SEPARATOR, dtype: str = DTYPE) -> DataFrame:
     """Encode docs (doc_id, text) into flat files in the shared folder, one a task; (path, n_bytes, ordinal, doc_id) for each document.
 
-    A null text has no tokens. Files come by rename, under a name of their own for each attempt: the rows of the attempt that
+    A null text has no tokens; bytes that are no UTF-8 count as U+FFFD. Files come by rename, under a name of their own for each attempt: the rows of the attempt that
     counted name the file that they describe."""
     from auditmill.llm.bpe import default_tokenizer, read_ranks
 
@@ -60,7 +60,7 @@ def write_flat(docs: DataFrame, separator: int = SEPARATOR, dtype: str = DTYPE)
             part = ids[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([f"{address}/{name}"] * len(part)), pa.array([size] * len(part), pa.int64()), pa.array(range(i, i + len(part)), pa.int64()), pa.array(part, pa.int64())], names=["path", "n_bytes", "ordinal", "doc_id"])
 
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "path string, n_bytes long, ordinal long, doc_id long")
+    found = docs.select(F.col("doc_id").cast("long"), F.make_valid_utf8(F.col("text").cast("string")).alias("text")).mapInArrow(run, "path string, n_bytes long, ordinal long, doc_id long")
     return written(found, "ledger")
 
 

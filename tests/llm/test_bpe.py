@@ -33,15 +33,33 @@ def test_every_character_is_cut_alike(theirs):
     assert [x.tolist() for x in own.encode_all(texts)] == [theirs.encode_ordinary(t) for t in texts]
 
 
-def test_both_queues_merge_alike():
-    own = bpe.Tokenizer(RANKS, PATTERN)
+def plain(piece, ranks):
+    """Merge the leftmost pair of the least rank until there is none."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts[:-1], parts[1:], strict=True)) if a + b in ranks]
+        if not found:
+            return tuple(ranks[p] for p in parts)
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_the_queue_merges_as_a_plain_loop_does():
     rnd = random.Random(2)
-    pieces = [bytes(rnd.choice(b"aabthern \xc3\xa9") for _ in range(rnd.randrange(2, 60))) for _ in range(500)]
-    flat, n = own.merge_short(pieces)
-    end = np.cumsum(n)
-    for p, i, j in zip(pieces, end - n, end, strict=True):
-        if p not in RANKS:
-            assert tuple(flat[i:j].tolist()) == own.merge(p)
+    own = bpe.Tokenizer(RANKS, PATTERN)
+    # and ranks whose merges make pairs of lower rank, over several words of the bitmap
+    odd = {bytes([b]): b for b in range(256)} | {b"ab": 900, b"aba": 300, b"bab": 5000, b"abab": 257, b"aa": 700, b"aaa": 256, b"ba": 901, b"aab": 10_000}
+    for tok, alphabet in ((own, b"aabthern \xc3\xa9"), (bpe.Tokenizer(odd, ""), b"ab"), (bpe.Tokenizer(odd, ""), b"aab")):
+        for n in [1, 2, 3, 199, 200, 1000, *(rnd.randrange(2, 60) for _ in range(300))]:
+            p = bytes(rnd.choice(alphabet) for _ in range(n))
+            if p not in tok.ranks:
+                assert tok.merge(p) == plain(p, tok.ranks)
+        assert not any(tok.words)
+
+
+def test_bytes_that_are_no_text_become_replacement_characters(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, cast(unhex('61FF62') AS string) AS text")
+    assert bpe.encode_digests(docs).first().decoded_sha256 == hashlib.sha256("a\ufffdb".encode()).hexdigest()
 
 
 def test_the_cache_is_emptied_when_full(monkeypatch, theirs):
