@@ -1,8 +1,9 @@
 """Hashes of words, word shingles and byte windows, computed over whole Arrow blocks with numpy.
 
-Every hash is a polynomial over bytes, taken modulo 2**64 with an odd base and a fixed random value for each byte,
-then mixed. All hashes of a block come from one running sum, so there is no Python loop over words or bytes.
-Hashes depend on nothing but the bytes: every task, and every retry of a task, computes the same ones.
+Windows have a polynomial over bytes, modulo 2**64 with an odd base and a fixed random value for each byte, then mixed; all of a block come from one
+running sum. Such a hash is linear in the bytes, and colliding strings can be written down: it only brings candidates together. Words are
+hashed eight bytes at a time through a mixer that is not linear, from a seed that the caller draws for each run, so that nobody can prepare words that collide.
+Hashes depend on nothing but the bytes and the seed: every task, and every retry of a task, computes the same ones.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -28,10 +30,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0xD1B54A32D192ED03))
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: As _TABLE, with A-Z as a-z.
-_TABLE_LOWER = _TABLE[_LOWER]
+#: The first k bytes of a little-endian word.
+_FIRST = np.array([2 ** (8 * k) - 1 for k in range(9)], U64)
+#: Words of more bytes are hashed one by one.
+_LONG = 64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers = [np.ones(1, dtype=U64), np.ones(1, dtype=U64)]
@@ -70,7 +74,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
             at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word [^\\x20\\x09-\\x0D]+ of a block, A-Z as a-z, and for each text the number of its first word (n + 1 of them)."""
     n = len(data)
     if not n:
@@ -85,19 +89,31 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last = offsets[1:] - 1
     last = last[last >= 0]
     ends[last] = inside[last]
-    s, e = np.flatnonzero(starts), np.flatnonzero(ends)
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(_TABLE_LOWER[data] * up[:n], dtype=U64, out=total[1:])
-    h = mix((total[e + 1] - total[s]) * down[s])
+    s, size = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    size -= s
+    low = np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
+    # the eight bytes from each place on
+    eight = np.ndarray((n,), "<u8", buffer=low, strides=(1,))
+    secret = mix(np.array([seed % 2**64], U64) + U64(BASE))[0]
+    h = mix(size.astype(U64) * U64(0xD1B54A32D192ED03) ^ secret)
+    open_, at = np.arange(len(s)), s
+    for k in range(0, _LONG, 8):
+        left = size[open_] - k
+        h[open_] = mix((h[open_] ^ (eight[at] & _FIRST[np.minimum(left, 8)])) * U64(0x2545F4914F6CDD1D) + secret)
+        more = left > 8
+        open_, at = open_[more], at[more] + 8
+        if not len(open_):
+            break
+    for w in np.flatnonzero(size > _LONG).tolist():
+        h[w] = xxhash.xxh3_64_intdigest(low[s[w] : s[w] + size[w]].tobytes(), int(secret))
     return h, np.searchsorted(s, offsets)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, offsets: np.ndarray, k: int = 5, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Distinct k-word shingles of each text, as sorted 64-bit hashes end to end, and where each text's begin (n + 1 of them).
 
     A text of fewer words has its whole sequence as one shingle; one without words has none."""
-    h, first = words(data, offsets)
+    h, first = words(data, offsets, seed)
     n_words = np.diff(first)
     per = np.where(n_words >= k, n_words - k + 1, np.minimum(n_words, 1))
     begin = np.concatenate([[0], np.cumsum(per)])

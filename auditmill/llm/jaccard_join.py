@@ -1,8 +1,9 @@
 """N-gram Jaccard join by set-relation skipping.
 
-1. Texts become sets of hashed word shingles (bytehash.shingles). Equal sets are one set from here on.
-2. Document frequencies of all shingles: each task sends one block of hashes to each part of the hash space, so a
-   shuffle row holds thousands of hashes. Shingles of one set alone cannot link it to anything; the others go back to their sets.
+1. Texts become sets of hashed word shingles (bytehash.shingles). Equal sets, by 128 bits of a digest, are one set from here on: one row of each is
+   elected to stand for it, and sets are numbered, so that no two share a number.
+2. Document frequencies of all shingles: each task sends the sets of the rows it scans in blocks of thousands, cut up by parts of the hash space,
+   so a shuffle row holds thousands of hashes. Shingles of one set alone cannot link it to anything; the others go back to their block.
 3. In the order (document frequency, hash), two sets over the threshold share one of their first
    n - ceil(t * n) + 1 shingles. Sets whose rare shingles fill that prefix have no partner. The rest are `active`.
 4. Index lists: one per prefix shingle, with the sets that have it, their sizes, and its position in each.
@@ -14,11 +15,14 @@
    answer follows from it wherever the leaders are farther apart than threshold and both sets' distances to their
    leaders together. All others are verified by counting their common shingles.
 
-Steps 4 to 6 lose no pair: their bounds hold for any two sets. Sets are identified by 64-bit hashes, as are shingles.
+Steps 4 to 6 lose no pair: their bounds hold for any two sets. Shingles have 64-bit hashes from a seed drawn for each run. Shingles that collide in
+different documents are of no account unless they meet in one pair that is held together: at a thousand shingles a document, that is one pair in 10**13,
+and it then has one common shingle too many.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -28,10 +32,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from auditmill.llm import bytehash
+from auditmill.llm import bytehash, sidefiles
 from auditmill.llm.components import components
-from auditmill.llm.shared import written
+from auditmill.llm.shared import parts_of, written
 
 U64, I64 = np.uint64, np.int64
 #: Share of two sets that must agree.
@@ -39,145 +44,163 @@ SIMILARITY = Fraction(8, 10)
 WORDS = 5
 
 
-def _signature(own: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(own.tobytes()) - 2**63
-
-
 def _least(n: np.ndarray, t: Fraction) -> np.ndarray:
     """Fewest shingles that a set of n shares with a partner: ceil(t * n)."""
     return -(-n * t.numerator // t.denominator)
 
 
-def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, text_key, n_shingles, set_id) for each row; set_id is null where there are no shingles. A null text has none."""
+def sets(placed: DataFrame, words: int, seed: int) -> DataFrame:
+    """(doc_id, text_key, src, pos, n_bytes, n_shingles, set_id) for each row; set_id is null where there are no shingles. A null text has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in bytehash.blocks(batches, "text"):
-            h, at = bytehash.shingles(data, offsets, words)
-            n = np.diff(at)
-            sig = [_signature(h[i:j]) if j > i else None for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.int64())], names=["doc_id", "text_key", "n_shingles", "set_id"])
+            h, at = bytehash.shingles(data, offsets, words, seed)
+            own = [xxhash.xxh3_128_digest(h[i:j].tobytes()) if j > i else None for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.diff(offsets)), pa.array(np.diff(at)), pa.array(own, pa.binary())], names=["doc_id", "text_key", "src", "pos", "n_bytes", "n_shingles", "set_id"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_id long")
+    return placed.select("doc_id", text_key().alias("text_key"), "src", "pos", "text").mapInArrow(run, "doc_id long, text_key long, src long, pos long, n_bytes long, n_shingles long, set_id binary")
 
 
 def text_key() -> Column:
     """A hash of the text, which tells rows with the same doc_id (or none) apart."""
-    return F.xxhash64(F.col("text").cast("string"))
+    return F.xxhash64("text")
 
 
-def _pack(order: np.ndarray, sig: np.ndarray, n: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Rows in this order (by sig) as bytes: each set once with its number of rows, then the columns."""
-    sig, n = sig[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    count = np.diff(np.concatenate([first, [len(sig)]])).astype(np.int32)
-    return b"".join([np.array([len(first), len(sig)], I64).tobytes(), sig[first].tobytes(), n[first].astype(np.int32).tobytes(), count.tobytes(), *(c[order].tobytes() for c in columns)])
+def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(part, kind="stable")
+    cut = np.flatnonzero(np.diff(part[order], prepend=-1))
+    for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
+        yield int(part[order[i]]), order[i:j]
 
 
-def _unpack(blobs: list[bytes], *kinds: type) -> list[np.ndarray]:
-    """sig, n and the columns of all blobs' rows."""
-    out: list[list[np.ndarray]] = [[] for _ in range(2 + len(kinds))]
+def _unpack(blobs: list[bytes], *kinds: type) -> tuple[np.ndarray, ...]:
+    """The number of rows of each blob, and the columns of all."""
+    out: list[list[np.ndarray]] = [[] for _ in kinds]
+    width, count = sum(np.dtype(k).itemsize for k in kinds), []
     for blob in blobs:
-        s, r = np.frombuffer(blob, I64, 2)
-        at = 16
-        sig, at = np.frombuffer(blob, I64, s, at), at + 8 * s
-        n, at = np.frombuffer(blob, np.int32, s, at), at + 4 * s
-        count, at = np.frombuffer(blob, np.int32, s, at), at + 4 * s
-        out[0].append(np.repeat(sig, count))
-        out[1].append(np.repeat(n, count))
+        at, n = 0, len(blob) // width
+        count.append(n)
         for k, kind in enumerate(kinds):
-            out[2 + k].append(np.frombuffer(blob, kind, r, at))
-            at += r * np.dtype(kind).itemsize
-    return [np.concatenate(x) for x in out]
+            out[k].append(np.frombuffer(blob, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return np.array(count, I64), *(np.concatenate(x) for x in out)
 
 
-def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(part, kind="stable")
-    cut = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in range(parts):
-        if cut[p + 1] > cut[p]:
-            yield p, order[cut[p] : cut[p + 1]]
+#: Shingles and sets from which on a block is full; up to 10,000 sets come at once, and a place in a block has 16 bits.
+BLOCK_SHINGLES, BLOCK_SETS = 2_000_000, 50_000
+_DEALT = "part int, whole boolean, block long, blob binary"
 
 
-def _blocks_by_part(docs: DataFrame, words: int, parts: int) -> DataFrame:
-    """(part, blob): the shingles of all sets, by parts of the hash space."""
+def _blocks_by_part(elected: str, words: int, seed: int, parts: int):
+    """Blocks of elected rows' sets: their shingles by parts of the hash space (whole false), with the set's place in the block; and
+    each block's numbers and sizes of sets (whole true, part any). A block is named by its first set's number."""
 
-    def flush(held: list, seen: set) -> pa.RecordBatch:
-        sig, n, h = (np.concatenate(x) for x in zip(*held, strict=True))
-        part = (h >> U64(32)) % U64(parts)
-        rows = [(p, _pack(o, sig, n, h)) for p, o in _by_part(part.astype(np.int32), parts)]
-        held.clear()
-        seen.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "blob"])
+    def flush(held: list) -> pa.RecordBatch:
+        number, n, h = (np.concatenate(x) for x in zip(*held, strict=True))
+        place = np.repeat(np.arange(len(n), dtype=np.uint16), n)
+        part = ((h >> U64(32)) % U64(parts)).astype(np.int32)
+        rows = [(p, False, h[o].tobytes() + place[o].tobytes()) for p, o in _by_part(part, parts)]
+        rows.append((int(number[0]) % parts, True, number.tobytes() + n.astype(I64).tobytes()))
+        part, whole, blob = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(whole), pa.array([int(number[0])] * len(rows), pa.int64()), pa.array(blob, pa.binary())], names=["part", "whole", "block", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen, size = [], set(), 0
-        for _, data, offsets in bytehash.blocks(batches, "text"):
-            h, at = bytehash.shingles(data, offsets, words)
-            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if j > i and (s := _signature(h[i:j])) not in seen:
-                    seen.add(s)
-                    held.append((np.full(j - i, s, I64), np.full(j - i, j - i, np.int32), h[i:j]))
-                    size += j - i
-            if size >= 4_000_000:
-                yield flush(held, seen)
-                size = 0
+        facts = sidefiles.Facts(elected, _numbered)
+        held, size, count = [], 0, 0
+        for batch in batches:
+            src, pos = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for i, j in sidefiles.runs(src):
+                at, number = facts.of(int(src[i]))
+                k = np.minimum(np.searchsorted(at, pos[i:j]), max(len(at) - 1, 0))
+                own = np.flatnonzero(at[k] == pos[i:j]) if len(at) else np.zeros(0, I64)
+                for own in np.array_split(own, len(own) // 10_000 + 1):
+                    done = 0
+                    for part, data, offsets in bytehash.blocks(iter([batch.slice(i, j - i).take(pa.array(own))]), "text"):
+                        h, edges = bytehash.shingles(data, offsets, words, seed)
+                        held.append((number[k[own[done : done + part.num_rows]]], np.diff(edges), h))
+                        done, size, count = done + part.num_rows, size + len(h), count + part.num_rows
+                        if size >= BLOCK_SHINGLES or count >= BLOCK_SETS:
+                            yield flush(held)
+                            held, size, count = [], 0, 0
         if held:
-            yield flush(held, seen)
+            yield flush(held)
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(run, "part int, blob binary")
+    return run
 
 
-def _shared(parts: int):
-    """Of one part of the hash space: its shingles that several sets have, by parts of the sets."""
+def _numbered(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places of elected rows, ascending, and the numbers of their sets."""
+    x = np.frombuffer(blob, I64).reshape(-1, 2)
+    x = x[np.argsort(x[:, 0])]
+    return x[:, 0], x[:, 1]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig, n, h = _unpack(list(pdf["blob"]), U64)
-        order = np.lexsort((sig, h))
-        sig, n, h = sig[order], n[order], h[order]
-        one = np.concatenate([[True], (h[1:] != h[:-1]) | (sig[1:] != sig[:-1])])
-        sig, n, h = sig[one], n[one], h[one]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        df = np.repeat(c := np.diff(np.concatenate([first, [len(h)]])), c)
-        sig, n, h, df = (x[df > 1] for x in (sig, n, h, df))
-        order = np.argsort(sig, kind="stable")
-        sig, n, h, df = sig[order], n[order], h[order], df[order].astype(np.int32)
-        rows = [(p, _pack(o, sig, n, h, df)) for p, o in _by_part((sig.view(U64) % U64(parts)).astype(np.int32), parts)]
-        return pd.DataFrame({"part": [r[0] for r in rows], "blob": [r[1] for r in rows]}).astype({"part": "int32"})
 
-    return run
+def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one part of the hash space: its shingles that several sets have, by the sets' blocks. What blocks say of themselves passes through."""
+    whole = pdf["whole"].to_numpy(bool)
+    rows = [(b, True, x) for b, x in zip(pdf["block"][whole], pdf["blob"][whole], strict=True)]
+    if not whole.all():
+        block = pdf["block"].to_numpy()[~whole]
+        count, h, place = _unpack(list(pdf["blob"][~whole]), U64, np.uint16)
+        order = np.argsort(h, kind="stable")
+        key = h[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        df = np.repeat(c := np.diff(np.concatenate([first, [len(h)]])), c)
+        several = df > 1
+        order, df = order[several], df[several].astype(np.int32)
+        # back into the order of rows, which is that of blobs
+        again = np.argsort(order, kind="stable")
+        order, df = order[again], df[again]
+        cut = np.searchsorted(order, np.concatenate([[0], np.cumsum(count)]))
+        for b, i, j in zip(block.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if j > i:
+                own = order[i:j]
+                rows.append((b, False, h[own].tobytes() + df[i:j].tobytes() + place[own].tobytes()))
+    return pd.DataFrame(rows, columns=["block", "whole", "blob"])
 
 
 ACTIVE = "set_id long, n int, own int, shared binary, prefix array<long>"
 
 
 def _active(t: Fraction):
-    """Of one part of the sets: those whose prefix holds shingles of other sets."""
+    """Of one block: its sets whose prefix holds shingles of other sets."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig, n, h, df = _unpack(list(pdf["blob"]), U64, np.int32)
-        order = np.lexsort((h, df, sig))
-        sig, n, h, df = sig[order], n[order], h[order], df[order]
-        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        count = np.diff(np.concatenate([first, [len(sig)]]))
-        need = _least(n[first].astype(I64), t)
+        whole = pdf["whole"].to_numpy(bool)
+        (own_blob,) = pdf["blob"][whole]
+        number, sizes = np.frombuffer(own_blob, I64).reshape(2, -1)
         rows = []
-        for k in np.flatnonzero(count >= need).tolist():
-            at, size = first[k], int(n[first[k]])
-            own = size - int(count[k])
-            tokens = h[at : at + count[k]]
-            rows.append((int(sig[at]), size, own, np.sort(tokens).tobytes(), tokens[: size - int(need[k]) + 1 - own].view(I64).tolist()))
+        if not whole.all():
+            _, h, df, place = _unpack(list(pdf["blob"][~whole]), U64, np.int32, np.uint16)
+            order = np.lexsort((h, df, place))
+            h, place = h[order], place[order]
+            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            count = np.diff(np.concatenate([first, [len(place)]]))
+            n = sizes[place[first]]
+            need = _least(n, t)
+            for k in np.flatnonzero(count >= need).tolist():
+                at, size = first[k], int(n[k])
+                own = size - int(count[k])
+                tokens = h[at : at + count[k]]
+                rows.append((int(number[place[at]]), size, own, np.sort(tokens).tobytes(), tokens[: size - int(need[k]) + 1 - own].view(I64).tolist()))
         return pd.DataFrame(rows, columns=["set_id", "n", "own", "shared", "prefix"])
 
     return run
 
 
-def active_sets(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILARITY) -> DataFrame:
+def elect(mine: DataFrame) -> DataFrame:
+    """set_id, least (doc_id), n_bytes (of a text), src and pos of the row that stands for the set, and the set's number."""
+    rows = mine.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("src", "pos")).alias("at"), F.min("doc_id").alias("least"), F.max("n_bytes").alias("n_bytes"))
+    return written(rows.select("set_id", "least", "n_bytes", "at.src", "at.pos", F.monotonically_increasing_id().alias("number")), "elected")
+
+
+def active_sets(placed: DataFrame, mine: DataFrame, elected: DataFrame, words: int, seed: int, t: Fraction = SIMILARITY) -> DataFrame:
     """The sets that can have a partner, each with its size, its number of shingles that no other set has, the others, and its index prefix."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _blocks_by_part(docs, words, parts)
-    back = dealt.groupBy("part").applyInPandas(_shared(parts), "part int, blob binary")
-    return written(back.groupBy("part").applyInPandas(_active(t), ACTIVE), "active")
+    parts = parts_of(elected.agg(F.sum("n_bytes")).first()[0] or 0)
+    facts = sidefiles.save(sidefiles.packed(elected.select("src", "pos", "number")), "elected", mine.select("src").distinct())
+    dealt = placed.select("src", "pos", "text").mapInArrow(_blocks_by_part(facts, words, seed, parts), _DEALT)
+    back = dealt.repartitionById(parts, "part").groupBy("part").applyInPandas(_shared, "block long, whole boolean, blob binary")
+    return written(back.groupBy("block").applyInPandas(_active(t), ACTIVE), "active")
 
 
 def _verified(pairs: DataFrame, active: DataFrame, t: Fraction) -> DataFrame:
@@ -280,19 +303,34 @@ def links(active: DataFrame, t: Fraction = SIMILARITY) -> DataFrame:
     return star.select("a", "b", "linked").union(known.select("a", "b", "linked")).union(rest.select("a", "b", "linked")).where("linked").select("a", "b")
 
 
-def _grouped(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id for each row."""
-    mine = written(sets(docs, words), "sets")
-    found = components(links(active_sets(docs, words, t), t))
-    named = mine.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    at = named.join(found, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("component", "set_id").alias("component"))
-    name = at.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_set = written(at.join(name, "component").select("set_id", "component_id"), "named")
-    # a set of thousands of copies is dealt over several tasks: the small side is repeated for each
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")
-    salted = by_set.select("set_id", "component_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    out = mine.withColumn("salt", salt).join(salted, ["set_id", "salt"], "left")
-    return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+def _salted(column: str, n: int = 16) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
+
+def _each_salt(n: int = 16) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def _grouped(placed: DataFrame, words: int, t: Fraction) -> DataFrame:
+    """doc_id, text_key, src, pos, n_shingles, component_id for each row."""
+    seed = secrets.randbits(62)
+    mine = written(sets(placed, words, seed), "sets")
+    elected = elect(mine)
+    found = written(components(links(active_sets(placed, mine, elected, words, seed, t), t)), "components")
+    # a component of thousands of sets, and a set of thousands of copies, are dealt over several tasks: the small side is repeated for each
+    linked = written(elected.select("set_id", "least", F.col("number").alias("node")).join(found, "node").select("set_id", "least", "component"), "linked")
+    name = linked.groupBy("component").agg(F.min("least").alias("component_id")).select("component", "component_id", _each_salt().alias("salt"))
+    named = linked.withColumn("salt", _salted("set_id")).join(name, ["component", "salt"]).select("set_id", "component_id")
+    alone = elected.join(linked.select("set_id"), "set_id", "left_anti").select("set_id", F.col("least").alias("component_id"))
+    by_set = written(named.unionByName(alone), "named").select("set_id", "component_id", _each_salt().alias("salt"))
+    out = mine.withColumn("salt", _salted("pos")).join(by_set, ["set_id", "salt"], "left")
+    return out.select("doc_id", "text_key", "src", "pos", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _placed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """doc_id, text and the columns of docs, with each row's place."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *columns)
+    return sidefiles.with_source(rows, *rows.columns)
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILARITY) -> DataFrame:
@@ -302,7 +340,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILA
     the smallest doc_id that links lead to. A null or empty text, or one of white space, has no shingles and no links;
     one of fewer words has one shingle. Rows with a null doc_id take part in links, but give a component no name; if all
     of a component's rows have none, its name is null. Repeated rows are returned repeatedly. An empty table gives no rows."""
-    return _grouped(docs, words, t).drop("text_key")
+    return _grouped(_placed(docs), words, t).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILARITY) -> DataFrame:
@@ -310,7 +348,18 @@ def keep_one(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILARITY) -> D
 
     Rows linked with nothing stay. Repeated rows (same doc_id and text) are one. Rows without a doc_id stay unless they are linked with one
     that has; doc_ids are taken to name one document each: of texts that share a component's smallest doc_id, all stay."""
-    named = lambda: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id")
-    keepers = _grouped(docs, words, t).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(named(), F.col("text_key").alias("_key")).distinct()
-    rows = docs.select(F.struct("*").alias("_row"), named(), text_key().alias("_key"))
-    return rows.join(keepers, ["_id", "_key"]).dropDuplicates(["_id", "_key"]).select("_row.*")
+    placed = _placed(docs, F.struct("*").alias("_row"))
+    keepers = _grouped(placed, words, t).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "text_key").agg(F.min(F.struct("src", "pos")).alias("at"))
+    # no text is shuffled: each slice's file says which of its rows stay
+    facts = sidefiles.save(sidefiles.packed(keepers.select("at.src", "at.pos")), "keepers", placed.select("src").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stay = sidefiles.Facts(facts, lambda blob: np.sort(np.frombuffer(blob, I64)))
+        for batch in batches:
+            src, pos = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for i, j in sidefiles.runs(src):
+                own = batch.slice(i, j - i).filter(pa.array(np.isin(pos[i:j], stay.of(int(src[i])))))
+                yield pa.RecordBatch.from_arrays(own.columns[2:], names=["_row"])
+
+    rows = placed.select("src", "pos", "_row")
+    return rows.mapInArrow(run, StructType(rows.schema.fields[2:])).select("_row.*")

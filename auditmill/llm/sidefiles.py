@@ -11,8 +11,11 @@ empty one, so a missing file is an error.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,3 +59,43 @@ def load(address: str, src: int) -> bytes:
     fs, path = filesystem(address)
     with fs.open_input_stream(f"{path}/{src}", compression=None) as f:
         return f.read()
+
+
+class Facts:
+    """A slice's file of facts, read when the first row of the slice that needs it comes."""
+
+    def __init__(self, address: str, parse):
+        self.address, self.parse, self.src, self.facts = address, parse, None, None
+
+    def of(self, src: int):
+        if self.src != src:
+            self.src, self.facts = src, self.parse(load(self.address, src))
+        return self.facts
+
+
+def by_source(src: np.ndarray, rows: np.ndarray) -> list[tuple[int, bytes]]:
+    """Each src with the bytes of its rows."""
+    if not len(src):
+        return []
+    order = np.argsort(src, kind="stable")
+    src, rows = src[order], rows[order]
+    cut = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]])).tolist()
+    return [(int(src[i]), rows[i:j].tobytes()) for i, j in zip(cut, [*cut[1:], len(src)], strict=True)]
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """(src, blob) of rows (src and other columns of longs): the bytes of the others, row by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if own := by_source(np.asarray(batch.column(0)), np.stack([np.asarray(c) for c in batch.columns[1:]], axis=1)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*own, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["src", "blob"])
+
+    return rows.mapInArrow(run, "src long, blob binary")
+
+
+def runs(src: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the rows of one slice each."""
+    if len(src):
+        cut = [0, *(np.flatnonzero(src[1:] != src[:-1]) + 1).tolist(), len(src)]
+        yield from zip(cut[:-1], cut[1:], strict=True)

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from auditmill.llm import bytehash, sidefiles
 from auditmill.llm.shared import parts_of, written
+from auditmill.llm.sidefiles import Facts, by_source, runs
 
 U64, I64, I32 = np.uint64, np.int64, np.int32
 LENGTH = 100
@@ -211,36 +212,14 @@ class Segments:
         s, skip, hit = seg[first], inside[first], mark[first]
         rows = np.stack([doc[s], h[s], start[s] + skip, start[s] + skip + count - 1], axis=1)[hit]
         at = src[s][hit]
-        marks = _by_source(at, rows)
+        marks = by_source(at, rows)
         return marks, own.take(s[~hit], skip[~hit], count[~hit] + length - 1)
 
 
-def _by_source(src: np.ndarray, rows: np.ndarray) -> list[tuple[int, bytes]]:
-    """Each src with the bytes of its rows."""
-    if not len(src):
-        return []
-    order = np.argsort(src, kind="stable")
-    src, rows = src[order], rows[order]
-    cut = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]])).tolist()
-    return [(int(src[i]), rows[i:j].tobytes()) for i, j in zip(cut, [*cut[1:], len(src)], strict=True)]
-
-
 def _text_hash(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) - 2**63
 
 
-class _Facts:
-    """The slice's file of facts, read when the first row of the slice that needs it comes."""
-
-    def __init__(self, address: str, parse):
-        self.address, self.parse, self.src, self.facts = address, parse, None, None
-
-    def of(self, src: int):
-        if self.src != src:
-            self.src, self.facts = src, self.parse(sidefiles.load(self.address, src))
-        return self.facts
-
-
 def _later(blob: bytes) -> tuple[set, set]:
     """Documents (doc_id, hash) that are later copies, and places of rows that another row with the same doc_id and text stands for."""
     x = np.frombuffer(blob, I64).reshape(-1, 3)
@@ -248,12 +227,11 @@ def _later(blob: bytes) -> tuple[set, set]:
     return set(zip(x[whole, 0].tolist(), x[whole, 1].tolist(), strict=True)), set(x[~whole, 2].tolist())
 
 
-def _rows(batches: Iterator[pa.RecordBatch], later: _Facts) -> Iterator[tuple]:
+def _rows(batches: Iterator[pa.RecordBatch], later: Facts) -> Iterator[tuple]:
     """Blocks of one slice each, without later copies, rows that another stands for, and short texts: src, doc ids, text hashes, bytes, offsets."""
     for batch in batches:
         src = np.asarray(batch.column(2))
-        cut = [0, *(np.flatnonzero(src[1:] != src[:-1]) + 1).tolist(), len(src)] if len(src) else [0]
-        for i, j in zip(cut[:-1], cut[1:], strict=True):
+        for i, j in runs(src):
             for block, data, offsets in bytehash.blocks(iter([batch.slice(i, j - i)]), "text"):
                 # only slices with long texts have files
                 copies, others = later.of(int(src[i])) if (np.diff(offsets) >= LENGTH).any() else (set(), set())
@@ -288,7 +266,7 @@ def _anchor_blocks(copies: str, length: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at, size = [], None, 0
-        for src, _, _, data, offsets in _rows(batches, _Facts(copies, _later)):
+        for src, _, _, data, offsets in _rows(batches, Facts(copies, _later)):
             if held and (src != at or size > 4_000_000):
                 yield flush(at, held)
                 held, size = [], 0
@@ -312,7 +290,7 @@ def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     count = np.add.reduceat((h[order] & U64(1)).astype(I64) + 1, first)
     several = np.repeat(count > 1, np.diff(np.concatenate([first, [len(h)]])))
     h, src = key[several] << U64(1), src[order][several]
-    return pd.DataFrame(_by_source(src, h), columns=["src", "blob"])
+    return pd.DataFrame(by_source(src, h), columns=["src", "blob"])
 
 
 def _segment_blocks(copies: str, repeated: str, length: int, parts: int):
@@ -328,8 +306,8 @@ def _segment_blocks(copies: str, repeated: str, length: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        wanted = _Facts(repeated, lambda blob: np.unique(np.frombuffer(blob, U64)))
-        for src, doc, h, data, offsets in _rows(batches, _Facts(copies, _later)):
+        wanted = Facts(repeated, lambda blob: np.unique(np.frombuffer(blob, U64)))
+        for src, doc, h, data, offsets in _rows(batches, Facts(copies, _later)):
             known = wanted.of(src)
             if not len(known):
                 continue
@@ -387,7 +365,7 @@ def _shared_marks(marks: str):
     """(src, blob): the marks of elected rows (source, doc, h), for the slice src of rows that they stand for. Rows come by source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        removed = _Facts(marks, _removed)
+        removed = Facts(marks, _removed)
         for batch in batches:
             out = []
             for source, doc, h, src in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -426,7 +404,7 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 
 def _cut(copies: str, marks: str, shared: str, length: int, texts: bool, extra: list[str], characters: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        later, removed, others = _Facts(copies, _later), _Facts(marks, _removed), _Facts(shared, _removed)
+        later, removed, others = Facts(copies, _later), Facts(marks, _removed), Facts(shared, _removed)
         for batch in batches:
             out = []
             for doc, text, src in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -485,14 +463,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, ex
     other = equal.where("doc = first.doc and (src <> first.src or pos <> first.pos)")
     later = equal.where("doc > first.doc").select("src", "doc", "h", F.lit(-1).cast("long").alias("pos")).unionByName(other.select("src", "doc", "h", "pos"))
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            src = np.asarray(batch.column(0))
-            x = np.stack([*(np.asarray(batch.column(k)) for k in (1, 2, 3))], axis=1)
-            if own := _by_source(src, x):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*own, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["src", "blob"])
-
-    copies = sidefiles.save(later.mapInArrow(pairs, "src long, blob binary"), "copies", sources)
+    copies = sidefiles.save(sidefiles.packed(later), "copies", sources)
     dealt = rows.mapInArrow(_anchor_blocks(copies, length, parts), "part int, src long, blob binary")
     repeated = sidefiles.save(dealt.repartitionById(parts, "part").groupBy("part").applyInPandas(_repeated, "src long, blob binary"), "repeated", sources)
     segments = rows.mapInArrow(_segment_blocks(copies, repeated, length, parts), "part int, mark boolean, src long, blob binary")

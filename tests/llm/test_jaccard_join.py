@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
-from auditmill.llm.jaccard_join import jaccard_components
+from auditmill.llm import bytehash
+from auditmill.llm.jaccard_join import jaccard_components, keep_one
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -65,3 +67,41 @@ def test_empty_table_repeats_and_clashing_columns(spark):
     rows = [(3, "a b c d e f", 1, 2), (3, "a b c d e f", 1, 2), (2, "a b c d e f", 1, 2), (None, "a b c d e f", 1, 2), (None, None, 1, 2)]
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string, set_id int, component_id int"))
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(3, 2, 2), (3, 2, 2), (2, 2, 2), (None, 2, 2), (None, 0, None)], key=str)
+
+
+def test_words_that_collide_under_a_polynomial_stay_apart(spark):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2**64, whatever the base."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, "a b " + word + " c d"), (4, "a b " + word.translate(str.maketrans("ab", "ba")) + " c d")]
+    assert {tuple(r) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {(i, 1, i) for i in range(1, 5)}
+
+
+def test_word_hashes_tell_words_apart():
+    rnd = random.Random(7)
+    pool = {bytes(rnd.choice(b"ab\xc3\xa9zAB") for _ in range(rnd.choice([1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200]))).lower() for _ in range(4000)}
+    pool = [w for w in pool if not any(c in w for c in b"\x20\x09\x0a\x0b\x0c\x0d")]
+    data = np.frombuffer(b" ".join(pool + [w.upper() for w in pool]), np.uint8)
+    h, first = bytehash.words(data, np.array([0, len(data)]), 5)
+    assert len(h) == 2 * len(pool) == first[1] and len(set(h[: len(pool)].tolist())) == len(pool) and (h[: len(pool)] == h[len(pool) :]).all()
+    assert not (bytehash.words(data, np.array([0, len(data)]), 6)[0] == h).any()
+
+
+def test_thousands_of_sets_on_one_list(spark):
+    """Near copies of one text, and sets that share one passage and nothing else."""
+    rnd = random.Random(9)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[: 58 - i % 3], f"end{i}"])) for i in range(1500)]
+    rows += [(5000 + i, " ".join([f"u{i}x{k}" for k in range(12)] + base[:9] + [f"v{i}x{k}" for k in range(rnd.choice([3, 9]))])) for i in range(1500)]
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == {d: 0 if d < 5000 else d for d, _ in rows}
+
+
+def test_one_of_each_component_with_all_columns(spark, tmp_path):
+    rows = made(5, 120)
+    docs = spark.createDataFrame([(d, t, d % 3, f"s{d}") for d, t in rows] + [(0, rows[0][1], 0, "s0"), (None, "only here and nowhere else at all", 1, None), (None, None, 2, None), (None, None, 2, None)], "doc_id long, text string, src int, pos string")
+    want = {(d, dict(rows)[d], d % 3, f"s{d}") for d, _, c in brute(rows) if d == c} | {(None, "only here and nowhere else at all", 1, None), (None, None, 2, None)}
+    got = [tuple(r) for r in keep_one(docs).collect()]
+    assert len(got) == len(want) and set(got) == want
+    docs.write.parquet(f"{tmp_path}/d")
+    got = [tuple(r) for r in keep_one(spark.read.parquet(f"{tmp_path}/d")).collect()]
+    assert len(got) == len(want) and set(got) == want
