@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from auditmill.llm import chat_format, quality_rules, sharding, url_filter
 
+#: The language that a page's html declares.
+LANGUAGE = r'<html[^>]* lang="([A-Za-z-]+)"'
 _q = lambda s: "'" + s.replace("'", "''") + "'"
 
 
@@ -89,14 +91,16 @@ def _urls() -> str:
     pick = lambda value: "CASE " + " ".join(f"WHEN {fits(r)} THEN {_q(value(r))}" for r in rules) + " END"
     u = url_filter
     return f"""
-WITH p AS (SELECT row_number() OVER () AS id, page_id, url, translate(coalesce(regexp_extract(url, {rx}, 1), ''), '{u._UPPER}', '{u._LOWER}') AS host, coalesce(regexp_extract(url, {rx}, 2), '') AS path, coalesce(regexp_extract(url, {rx}, 3), '') AS query FROM pages),
+WITH p AS (SELECT row_number() OVER () AS id, page_id, url, html, translate(coalesce(regexp_extract(url, {rx}, 1), ''), '{u._UPPER}', '{u._LOWER}') AS host, coalesce(regexp_extract(url, {rx}, 2), '') AS path, coalesce(regexp_extract(url, {rx}, 3), '') AS query FROM pages),
 j AS (SELECT *, {pick(lambda r: r.host + r.path)} AS rule, {pick(lambda r: r.verdict)} AS said FROM p),
 k AS (SELECT id, CASE WHEN contains(coalesce(url, ''), '://') THEN list_distinct(list_concat(
   list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: 'host:' || array_to_string(string_split(host, '.')[i:], '.')),
   list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'path:' || regexp_replace(x, '[0-9]+', '0', 'g')),
   list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: 'key:' || string_split(x, '=')[1]))) ELSE [] END AS t FROM p),
 tok AS (SELECT id, unnest(t) AS t FROM k),
-lab AS (SELECT p.id, coalesce(toxic = 1 OR quality = 0, NULL) AS bad FROM p JOIN labels l ON p.page_id = l.doc_id JOIN k ON k.id = p.id WHERE (toxic = 1 OR quality = 0) IS NOT NULL AND len(t) > 0),
+said AS (SELECT p.id, url, nullif(regexp_extract(html, {_q(LANGUAGE)}, 1), '') AS lang FROM p),
+drawn AS (SELECT id, NOT starts_with(lower(lang), 'en') AS bad FROM said WHERE url IS NOT NULL AND lang IS NOT NULL ORDER BY md5(url), url, bad LIMIT {u.LABELLED}),
+lab AS (SELECT k.id, bad FROM drawn JOIN k USING (id) WHERE len(t) > 0),
 m AS (SELECT greatest({u.LEAST}, ceil(count(*) * {int(u.SUPPORT * 1000)} / 1000.0)) AS least FROM lab),
 c AS (SELECT lab.id, bad, a.t AS a, NULL AS b, NULL AS c FROM lab JOIN tok a USING (id)
   UNION ALL SELECT lab.id, bad, a.t, b.t, NULL FROM lab JOIN tok a USING (id) JOIN tok b ON a.id = b.id AND a.t < b.t

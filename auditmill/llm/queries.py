@@ -11,7 +11,7 @@ from auditmill.llm import chat_format, quality_rules, sharding, url_filter, warc
 from auditmill.llm.bpe import encode_digests
 from auditmill.llm.decontaminate import find_leaks
 from auditmill.llm.jaccard_join import jaccard_components
-from auditmill.llm.oracles import ORACLES
+from auditmill.llm.oracles import LANGUAGE, ORACLES
 from auditmill.llm.suffix_dedup import remove_repeats
 from auditmill.llm.token_counts import document_tokens
 
@@ -59,10 +59,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels with a page's number are taken to be the page's: bad if toxic or of low quality."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
-    return url_filter.judge(pages, pages.join(labels, "page_id").select("url", "bad"))
+    """Pages are labelled by their own content: bad if the html declares another language than English. Rules are mined from LABELLED of them at most."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    said = F.nullif(F.regexp_extract("html", LANGUAGE, 1), F.lit(""))
+    return url_filter.judge(pages, url_filter.sample(pages.select("url", (~F.lower(said).startswith("en")).alias("bad"))))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
