@@ -1,31 +1,37 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts are compared as lower-case words with single spaces. A test item of m characters may occur with k edits, k being m * EDITS rounded
-down, or one more to be odd. Cut into k + 1 pieces, one piece of it at least is in the text unchanged; so an automaton over all pieces finds
-every place that can hold it. Taken two by two, one pair of pieces has one edit at most, by the same count: a hit is taken up if its pair is there
+down, or one more to be odd: the same for items of every length. Cut into k + 1 pieces, one piece of it at least is in the text unchanged; so an automaton over all
+pieces finds every place that can hold it. Taken two by two, one pair of pieces has one edit at most, by the same count: a hit is taken up if its pair is there
 with one edit. Then Myers' bit-parallel algorithm computes the least edit distance between the item and any string around the place.
 
-The automaton is sent to the tasks, in blocks of items of BLOCK_CHARS at most: a benchmark of any size is held against all documents block by
-block. Texts are not shuffled.
+Items of fewer than LEAST characters say too little to be told from ordinary text with an edit, and are not looked for; too_short() lists them.
+
+Items lie in files of BLOCK_CHARS in the shared folder, which the tasks read: a benchmark of any size is held against all documents block by
+block, and its items pass through neither the driver nor the plan. A worker keeps the automata of KEPT blocks. Texts are not shuffled, and each is read once.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections import defaultdict
+from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditmill.llm import sidefiles
+
 #: Share of an item's characters that may be edits.
 EDITS = 0.08
-#: Shorter items are looked for without edits.
-SHORT = 40
+#: Characters of the shortest item that is looked for.
+LEAST = 20
 #: Characters of items in one block.
 BLOCK_CHARS = 1_000_000
+#: Blocks whose automata a worker keeps.
+KEPT = 4
 
 _WORDS = re.compile(r"\w+")
 
@@ -36,7 +42,7 @@ def normal(text: str | None) -> str:
 
 
 def budget(m: int, edits: float = EDITS) -> int:
-    return int(m * edits) | 1 if m >= SHORT else 0
+    return int(m * edits) | 1
 
 
 def cuts(m: int, k: int) -> list[int]:
@@ -74,12 +80,12 @@ def distance(peq: dict[str, int], m: int, text: str, k: int) -> int:
 
 
 class Matcher:
-    """All items of a block: id -> normal text."""
+    """All items of a block: id -> normal text. Those under LEAST characters are left out."""
 
     def __init__(self, items: list[tuple[int | None, str]], edits: float = EDITS):
         import ahocorasick
 
-        self.items = [(i, t, k := budget(len(t), edits), cuts(len(t), k)) for i, t in items if t]
+        self.items = [(i, t, k := budget(len(t), edits), cuts(len(t), k)) for i, t in items if len(t) >= LEAST]
         self.peq: dict[tuple[int, int], dict[str, int]] = {}
         found: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (_, t, _, cut) in enumerate(self.items):
@@ -100,8 +106,6 @@ class Matcher:
     def _pair(self, text: str, n: int, pair: int, start: int) -> bool:
         """Whether the item's pair of pieces is in text with one edit at most, were the item to begin at start."""
         _, item, k, cut = self.items[n]
-        if k == 0:
-            return True
         a, b = cut[2 * pair], cut[2 * pair + 2]
         own = item[a:b]
         low = max(0, start + a)
@@ -121,11 +125,6 @@ class Matcher:
         for n, where in starts.items():
             i, item, k, _ = self.items[n]
             m = len(item)
-            if k == 0:
-                # as whole words
-                if any((s == 0 or text[s - 1] == " ") and (s + m == len(text) or text[s + m] == " ") for s in where):
-                    yield i, 0, 0
-                continue
             peq = self._masks(n, -1, item)
             best, low, high = k + 1, None, None
             for s in [*sorted(where), None]:
@@ -141,45 +140,78 @@ class Matcher:
                 yield i, best, k
 
 
-def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
-    """The items' ids and normal texts, in blocks of about BLOCK_CHARS; one block at least."""
-    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-size // BLOCK_CHARS) or 1
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    for b in range(n):
-        yield [(i, normal(t)) for i, t in benchmark.where((block == b) & F.col("text").isNotNull()).select("item_id", "text").toLocalIterator()]
+def _normal_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, item): the normal texts of benchmark (item_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([normal(x) for x in batch.column(1).to_pylist()], pa.string())], names=["item_id", "item"])
+
+    return benchmark.select(F.col("item_id").cast("long"), F.make_valid_utf8(F.col("text").cast("string")).alias("text")).mapInArrow(run, "item_id long, item string")
+
+
+def too_short(benchmark: DataFrame) -> DataFrame:
+    """(item_id, item) of items of benchmark (item_id, text) that are not looked for: of fewer than LEAST characters, empty ones and null ones included."""
+    return _normal_items(benchmark).where(F.length("item") < LEAST)
+
+
+def _item_blocks(benchmark: DataFrame) -> tuple[str, int]:
+    """Where the blocks of items lie, and how many there are: one at least."""
+    n = -(-(benchmark.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0) // BLOCK_CHARS) or 1
+    items = _normal_items(benchmark).where(F.length("item") >= LEAST)
+    line = F.concat(F.to_json(F.struct("item_id", "item")), F.lit("\n")).cast("binary")
+    blobs = items.select(F.pmod(F.xxhash64("item_id", "item"), F.lit(n)).alias("src"), line.alias("blob"))
+    return sidefiles.save(blobs, "items", benchmark.sparkSession.range(n).select(F.col("id").alias("src"))), n
+
+
+_matchers: OrderedDict[tuple, Matcher] = OrderedDict()
+
+
+def _matcher(address: str, block: int, edits: float) -> Matcher:
+    """The block's matcher, from the worker's own store or its file."""
+    key = (address, block, edits)
+    if key not in _matchers:
+        lines = sidefiles.load(address, block).decode().splitlines()
+        while len(_matchers) >= KEPT:
+            _matchers.popitem(last=False)
+        _matchers[key] = Matcher([(x.get("item_id"), x["item"]) for x in map(json.loads, lines)], edits)
+    _matchers.move_to_end(key)
+    return _matchers[key]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """doc_id, item_id, n_edits, max_edits: each item of benchmark (item_id, text) that a row of docs (doc_id, text) holds.
 
-    Null and empty texts, and items without a word, hold and are held by nothing. Items under SHORT characters must occur unchanged, as
-    whole words. A null doc_id or item_id stays null; repeated rows and items are found repeatedly. Other columns are not used. An item
-    occurs once a document at most, with its fewest edits."""
-    made = []
-    for items in _item_blocks(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, edits)
-            for batch in batches:
-                out = [(d, *hit) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in matcher.find(normal(t.as_py()))]
+    Null and empty texts, and items of fewer than LEAST characters (null ones, and such without a word), hold and are held by nothing. Bytes
+    that are no UTF-8 count as U+FFFD. A null doc_id or item_id stays null; repeated rows and items are found repeatedly. Other
+    columns are not used. An item occurs once a document at most, with its fewest edits."""
+    address, n = _item_blocks(benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), [normal(t) for t in batch.column(1).to_pylist()]
+            for b in range(n):
+                matcher = _matcher(address, b, edits)
+                out = [(d, *hit) for d, t in zip(ids, texts, strict=True) for hit in matcher.find(t)]
                 if out:
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "n_edits", "max_edits"])
 
-        made.append(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, item_id long, n_edits int, max_edits int"))
-    return reduce(DataFrame.union, made)
+    return docs.select(F.col("doc_id").cast("long"), F.make_valid_utf8(F.col("text").cast("string")).alias("text")).mapInArrow(run, "doc_id long, item_id long, n_edits int, max_edits int")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """The rows of docs that hold no item of benchmark, all columns; what holds an item is as find_leaks() says. No row is shuffled."""
+    address, n = _item_blocks(benchmark)
     text = docs.columns.index("text")
-    for items in _item_blocks(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, edits)
-            for batch in batches:
-                yield batch.filter(pa.array([next(matcher.find(normal(t.as_py())), None) is None for t in batch.column(text)], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [normal(t) for t in batch.column(text).to_pylist()]
+            clean = list(range(len(texts)))
+            for b in range(n):
+                matcher = _matcher(address, b, edits)
+                clean = [k for k in clean if next(matcher.find(texts[k]), None) is None]
+            yield batch.take(pa.array(clean, pa.int64()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.withColumn("text", F.make_valid_utf8("text")).mapInArrow(run, docs.schema)

@@ -27,7 +27,7 @@ def edited(rnd, s, n):
 def test_equals_brute_force(seed):
     rnd = random.Random(seed)
     prose = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(1, 7))) for _ in range(n))
-    items = [(i, prose(rnd.choice([2, 5, 12, 20]))) for i in range(12)]
+    items = [(i, prose(rnd.choice([2, 6, 8, 12, 20]))) for i in range(14)]
     texts = []
     for _ in range(60):
         t = prose(rnd.choice([0, 3, 15]))
@@ -40,12 +40,8 @@ def test_equals_brute_force(seed):
     for t in texts:
         want = set()
         for i, item in items:
-            k = D.budget(len(item))
-            if k == 0:
-                found = 0 if f" {item} " in f" {t} " else 1
-            else:
-                found = least_edits(item, t)
-            if found <= k:
+            k, found = D.budget(len(item)), least_edits(item, t)
+            if found <= k and len(item) >= D.LEAST:
                 want.add((i, found, k))
         assert set(matcher.find(t)) == want
         hits += len(want)
@@ -54,13 +50,25 @@ def test_equals_brute_force(seed):
 
 def test_query_blocks_and_odd_rows(spark, monkeypatch):
     item = "The quick brown fox jumps over the lazy dog near the old river bank today"
-    docs = [(1, "x. " + item.upper().replace(" ", ",\n") + " y", 0), (1, "x. " + item.upper().replace(" ", ",\n") + " y", 0), (2, None, 0), (3, "", 0), (None, item.replace("brown", "brwn"), 0), (5, "fox " * 20_000, 0), (6, "say hello you", 0), (7, "sayhello you", 0)]
-    bench = [(10, item, 0), (11, None, 0), (12, "...", 0), (13, "Hello", 0), (None, item + " again and again and again", 0)]
+    docs = [(1, "x. " + item.upper().replace(" ", ",\n") + " y", 0), (1, "x. " + item.upper().replace(" ", ",\n") + " y", 0), (2, None, 0), (3, "", 0), (None, item.replace("brown", "brwn"), 0), (5, "fox " * 20_000, 0), (6, "say hello you", 0), (7, "they said: good mornin, dear old Friend!", 0)]
+    bench = [(10, item, 0), (11, None, 0), (12, "...", 0), (13, "Hello", 0), (14, "Good morning dear old friend", 0), (None, item + " again and again and again", 0)]
     d = spark.createDataFrame(docs, "doc_id long, text string, item_id int")
     b = spark.createDataFrame(bench, "item_id long, text string, doc_id int")
-    want = sorted([(1, 10, 0), (1, 10, 0), (None, 10, 1), (6, 13, 0)], key=str)
+    want = sorted([(1, 10, 0), (1, 10, 0), (None, 10, 1), (7, 14, 1)], key=str)
     for size in (10, 1_000_000):
         monkeypatch.setattr(D, "BLOCK_CHARS", size)
         assert sorted(((r.doc_id, r.item_id, r.n_edits) for r in D.find_leaks(d, b).collect()), key=str) == want
+        left = D.without_leaks(d, b)
+        assert left.columns == d.columns and sorted(r.doc_id for r in left.collect()) == [2, 3, 5, 6]
+    assert {r.item_id for r in D.too_short(b).collect()} == {11, 12, 13}
     assert D.find_leaks(d.limit(0), b).count() == 0
     assert D.find_leaks(d, b.limit(0)).count() == 0
+
+
+def test_long_items_and_bytes_that_are_no_text(spark):
+    rnd = random.Random(6)
+    item = " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(1500))
+    docs = spark.createDataFrame([(1, "start " + edited(rnd, item, 300) + " end"), (2, edited(rnd, item, 2500)), (3, item[:4000])], "doc_id long, text string")
+    docs = docs.unionByName(spark.sql("SELECT 4L AS doc_id, cast(unhex('FF61') AS string) AS text"))
+    got = D.find_leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 7)] and got[0].n_edits <= 300
