@@ -35,12 +35,19 @@ def json_string(value: Column) -> Column:
     """value as a JSON string; null as null. Control characters have lower-case escapes."""
     held = F.to_json(F.struct(value.alias("v")))
     quoted = F.substr(held, F.lit(6), F.length(held) - 6)
+    lower = quoted
     for code in (*range(0x0A, 0x10), *range(0x1A, 0x20)):
-        upper, lower = f"\\u{code:04X}", f"\\u{code:04x}"
-        if upper != lower:
+        if f"{code:04X}" != f"{code:04x}":
             # an escaped backslash before a u is no escape of ours
-            quoted = F.regexp_replace(quoted, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
-    return F.when(value.isNull(), "null").otherwise(quoted)
+            lower = F.regexp_replace(lower, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
+    plain = F.concat(F.lit('"'), value, F.lit('"'))
+    # most texts hold nothing that JSON escapes
+    return F.when(value.isNull(), "null").when(~value.rlike(r'[\x00-\x1f"\\]'), plain).when(~value.rlike(r"[\x00-\x1f]"), quoted).otherwise(lower)
+
+
+def safe_json(value: Column) -> Column:
+    """value, if it is JSON; else, and where it is empty, null."""
+    return F.when((value != "") & F.try_parse_json(value).isNotNull(), value)
 
 
 def integrity_payload() -> Column:
@@ -153,7 +160,8 @@ def normalise_key(key: bytes | str) -> bytes:
 def encrypt(text: Column, key: Column, iv: Column) -> Column:
     """'e1:' iv ':' ciphertext and tag, AES-256-GCM; iv is 12 bytes that are never used twice with a key."""
     sealed = F.aes_encrypt(text, key, F.lit("GCM"), F.lit("DEFAULT"), iv)
-    return F.concat(F.lit("e1:"), F.base64(iv), F.lit(":"), F.base64(F.substring(sealed, 13, 2**31 - 1)))
+    # Spark may break base64 into lines
+    return F.concat(F.lit("e1:"), F.base64(iv), F.lit(":"), F.translate(F.base64(F.substring(sealed, 13, 2**31 - 1)), "\r\n", ""))
 
 
 def decrypt(text: Column, key: Column) -> Column:

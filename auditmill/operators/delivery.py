@@ -7,19 +7,19 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditmill.functions.scalars import GLOBAL
+from auditmill.functions.scalars import GLOBAL, safe_json
 from auditmill.operators.scans import running
 
 
 # dedup
 
 def first_write(logs: DataFrame, seq: str) -> DataFrame:
-    """Of rows with one id, the first by seq."""
+    """Of rows with one id, the first by seq. Each task keeps one row of an id before the shuffle (WindowGroupLimit)."""
     return logs.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(seq))).where("_n = 1").drop("_n")
 
 
 def last_write(logs: DataFrame, seq: str) -> DataFrame:
-    """Of rows with one tenant and id, the last by seq."""
+    """Of rows with one tenant and id, the last by seq; likewise."""
     return logs.withColumn("_n", F.row_number().over(Window.partitionBy("tenant_id", "id").orderBy(F.desc(seq)))).where("_n = 1").drop("_n")
 
 
@@ -51,6 +51,26 @@ def segment_bytes(journal: DataFrame) -> DataFrame:
     return journal.agg(F.coalesce(F.sum(F.octet_length("payload") + 1), F.lit(0)).alias("bytes"))
 
 
+def compacted(journal: DataFrame, acks: DataFrame) -> DataFrame:
+    """What a compaction keeps: each record without an ack, once, with the number that it gets in the new segment."""
+    return pending(journal, acks).dropDuplicates(["id"]).withColumn("place", F.row_number().over(Window.orderBy("segment", "seq")))
+
+
+def row_journal(rows: DataFrame, limit: int, schema: str) -> DataFrame:
+    """log and truncated of the first `limit` rows (id, payload, acked, created_ms) without an ack, by time and id; truncated tells that there are more.
+
+    A payload that is no JSON is skipped, but counts."""
+    ahead = rows.where("acked = 0").orderBy("created_ms", "id").limit(limit + 1)
+    counted = ahead.withColumns({"_n": F.row_number().over(Window.orderBy("created_ms", "id")), "_all": F.count("*").over(Window.partitionBy())})
+    read = counted.where(F.col("_n") <= limit).select("id", F.from_json("payload", schema, {"mode": "PERMISSIVE"}).alias("log"), safe_json(F.col("payload")).alias("_ok"), (F.col("_all") > limit).alias("truncated"))
+    return read.where("_ok is not null").drop("_ok")
+
+
+def max_segment(names: DataFrame) -> DataFrame:
+    """The largest number of a segment's name (name); 0 if there is none."""
+    return names.agg(F.coalesce(F.max(F.regexp_extract("name", r"^segment-([0-9]+)\.ndjson$", 1).try_cast("long")), F.lit(0)).alias("segment"))
+
+
 # admission
 
 def queue_key() -> Column:
@@ -75,6 +95,34 @@ def chunks(rows: DataFrame, seq: str, size: int) -> DataFrame:
     return rows.withColumn("batch_no", F.floor((n - 1) / size).cast("long"))
 
 
+def by_tenant(rows: DataFrame, seq: str) -> DataFrame:
+    """queue, first_seen, ids (by seq) of each tenant; a queue's rows are one row, so rows are what one flush takes."""
+    return rows.groupBy(queue_key().alias("queue")).agg(F.min(seq).alias("first_seen"), F.transform(F.array_sort(F.collect_list(F.struct(seq, "id"))), lambda x: x["id"]).alias("ids"))
+
+
+def occupancy(queued: DataFrame, reserved: DataFrame) -> DataFrame:
+    """queue, n: records queued and places reserved (tenant_id) of each tenant."""
+    return queued.select(queue_key().alias("queue")).union(reserved.select(queue_key().alias("queue"))).groupBy("queue").agg(F.count("*").alias("n"))
+
+
+def backpressure(rows: DataFrame, seq: str, cap: int, policy: str) -> DataFrame:
+    """rows with `fate` where each tenant's queue takes cap rows: the last that fit are admitted; others are spilled to the dead letters ("dlq": the queue
+    goes whole each time it is full) or dropped ("drop": what comes when it is full goes)."""
+    if policy not in ("dlq", "drop"):
+        raise ValueError(f"no policy {policy}")
+    own = Window.partitionBy(queue_key())
+    n = F.row_number().over(own.orderBy(seq))
+    if policy == "drop":
+        return rows.withColumn("fate", F.when(n <= cap, "admitted").otherwise("dropped"))
+    return rows.withColumn("fate", F.when(F.floor((n - 1) / cap) == F.floor((F.count("*").over(own) - 1) / cap), "admitted").otherwise("spilled"))
+
+
+def backlog(deferred: DataFrame, waiting: DataFrame, seq: str) -> DataFrame:
+    """Both with `turn`: what was deferred goes before what waits, each by seq."""
+    both = deferred.withColumn("_first", F.lit(0)).unionByName(waiting.withColumn("_first", F.lit(1)))
+    return both.withColumn("turn", F.row_number().over(Window.orderBy("_first", seq))).drop("_first")
+
+
 def fair_order(rows: DataFrame, seq: str) -> DataFrame:
     """queue, n, first_seen, turn: tenants by queue length, longest first, then by first row."""
     n = rows.groupBy(queue_key().alias("queue")).agg(F.count("*").alias("n"), F.min(seq).alias("first_seen"))
@@ -107,6 +155,12 @@ def latest(transitions: DataFrame) -> DataFrame:
     return transitions.groupBy("id").agg(F.max_by(F.struct("state", "attempts"), "n").alias("x")).select("id", "x.state", "x.attempts").where("state <> 'deleted'")
 
 
+def state_collisions(transitions: DataFrame) -> DataFrame:
+    """id, states of batches whose last changes, of one time, disagree."""
+    last = transitions.groupBy("id").agg(F.max("n").alias("n"))
+    return transitions.join(last, ["id", "n"]).groupBy("id").agg(F.array_sort(F.collect_set("state")).alias("states")).where(F.size("states") > 1)
+
+
 def listing(dlq: DataFrame, pending: bool = True, processing: bool = False, dead: bool = False) -> DataFrame:
     """id, state, kind, tenant_id, attempts, log_count of batches in these states, by id."""
     states = [s for s, on in (("pending", pending), ("processing", processing), ("dead", dead)) if on]
@@ -133,6 +187,11 @@ def poisoned(dlq: DataFrame, max_attempts: int = 10) -> DataFrame:
 
 # retention
 
+def oldest_expired(logs: DataFrame, cutoff: str, n: int) -> DataFrame:
+    """The rows of one batch of a deletion in batches: n expired ones at most, oldest first by id."""
+    return logs.join(logs.where(expired(cutoff)).orderBy("id").limit(n).select("id"), "id", "left_semi")
+
+
 def expired(cutoff: str) -> Column:
     return F.col("created_at") < cutoff
 

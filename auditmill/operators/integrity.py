@@ -38,11 +38,32 @@ def seal(logs: DataFrame, chain: str = "tenant_id", tips: dict[str | None, str]
     return sealed.select(*(c for c in logs.columns if c in columns or c in ("prev_hash", "content_hash")))
 
 
-def failures(logs: DataFrame, chain: str = "tenant_id", genesis: str = GENESIS) -> DataFrame:
-    """chain, failed_at (row from 0), error of the first bad record of each chain that has one. Every record is judged on its own and the one before."""
-    order = Window.partitionBy(chain).orderBy("id")
-    rows = logs.select(chain, "id", "prev_hash", "content_hash", content_hash(F.col("prev_hash"), integrity_payload()).alias("own"))
-    rows = rows.withColumns({"expected": F.coalesce(F.lag("content_hash").over(order), F.lit(genesis)), "at": (F.row_number().over(order) - 1).cast("long")})
+def _judged(rows: DataFrame) -> DataFrame:
+    """rows (prev_hash, content_hash, own, expected) with the first error of each, null if it has none."""
     missing = (F.coalesce("prev_hash", F.lit("")) == "") | (F.coalesce("content_hash", F.lit("")) == "")
-    error = F.when(missing, "missing integrity fields").when(F.col("prev_hash") != F.col("expected"), "prevHash mismatch").when(F.col("own") != F.col("content_hash"), "contentHash mismatch")
-    return rows.withColumn("error", error).where("error is not null").groupBy(chain).agg(F.min("at").alias("failed_at"), F.min_by("error", "at").alias("error"))
+    return rows.withColumn("error", F.when(missing, "missing integrity fields").when(F.col("prev_hash") != F.col("expected"), "prevHash mismatch").when(F.col("own") != F.col("content_hash"), "contentHash mismatch"))
+
+
+def failures(logs: DataFrame, chain: str = "tenant_id", genesis: str = GENESIS, slices: int | None = None) -> DataFrame:
+    """chain, failed_at (row from 0), error of the first bad record of each chain that has one. Every record is judged on its own and the one before.
+
+    Rows are dealt by ranges of (chain, id), so a chain of any length is judged by many tasks: each knows the record before all of its own but the first,
+    whose one comes from the last record of the range before. Ranges and their edges are a row each. Null chains are one chain."""
+    n = slices or logs.sparkSession.sparkContext.defaultParallelism * 4
+    # what is judged is hashed before it moves, so only hashes do
+    rows = logs.select(chain, "id", "prev_hash", "content_hash", content_hash(F.col("prev_hash"), integrity_payload()).alias("own"))
+    dealt = rows.repartitionByRange(n, chain, "id").sortWithinPartitions(chain, "id").withColumn("_range", F.spark_partition_id())
+    own = Window.partitionBy("_range", chain).orderBy("id")
+    at = dealt.withColumns({"_before": F.lag("content_hash").over(own), "_n": F.row_number().over(own) - 1, "_first": F.row_number().over(own) == 1})
+    edges = at.groupBy("_range", F.col(chain).alias("_chain")).agg(F.count("*").alias("_count"), F.max_by("content_hash", "id").alias("_last"))
+    along = Window.partitionBy("_chain").orderBy("_range")
+    edges = edges.select("_range", "_chain", (F.sum("_count").over(along) - F.col("_count")).alias("_rows_before"), F.lag("_last").over(along).alias("_edge"), (F.row_number().over(along) == 1).alias("_begins"))
+    held = at.alias("r").join(edges.alias("e"), (F.col("r._range") == F.col("e._range")) & F.col(f"r.{chain}").eqNullSafe(F.col("e._chain")))
+    expected = F.when(F.col("_first"), F.when(F.col("_begins"), F.lit(genesis)).otherwise(F.coalesce("_edge", F.lit(genesis)))).otherwise(F.coalesce("_before", F.lit(genesis)))
+    judged = _judged(held.select(chain, "prev_hash", "content_hash", "own", expected.alias("expected"), (F.col("_rows_before") + F.col("_n")).cast("long").alias("at")))
+    return judged.where("error is not null").groupBy(chain).agg(F.min("at").alias("failed_at"), F.min_by("error", "at").alias("error"))
+
+
+def failures_of_one(logs: DataFrame, genesis: str = GENESIS) -> DataFrame:
+    """failures() of logs as one chain by id."""
+    return failures(logs.withColumn("_one", F.lit(1)), "_one", genesis)

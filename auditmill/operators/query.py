@@ -53,13 +53,18 @@ def clamp(limit: float | None, most: int = MAX_PAGE) -> int:
     return int(min(max(1, asked), most))
 
 
-def page(logs: DataFrame, tenant: str | None, f: Filters = Filters(), cursor: str | None = None, limit: float | None = None, **options) -> DataFrame:
+def page(logs: DataFrame, tenant: str | None, f: Filters = Filters(), cursor: str | None = None, limit: float | None = None, most: int = MAX_PAGE, **options) -> DataFrame:
     """One page's rows and, where there are more, one row beyond."""
-    return filtered(logs, tenant, f, cursor, **options).orderBy(F.desc("id")).limit(clamp(limit) + 1)
+    return filtered(logs, tenant, f, cursor, **options).orderBy(F.desc("id")).limit(clamp(limit, most) + 1)
 
 
-def collected(ahead: DataFrame, limit: float | None = None) -> tuple[list[Row], str | None]:
-    """A page's rows and the next cursor, of page()'s result."""
-    n = clamp(limit)
+def collected(ahead: DataFrame, limit: float | None = None, most: int = MAX_PAGE) -> tuple[list[Row], str | None]:
+    """A page's rows and the next cursor, of page()'s result with the same limits."""
+    n = clamp(limit, most)
     rows = ahead.collect()
     return rows[:n], rows[n - 1].id if len(rows) > n else None
+
+
+def with_parsed_bags(logs: DataFrame) -> DataFrame:
+    """logs with old_values, new_values and metadata as variants; what is no JSON is null."""
+    return logs.withColumns({c: F.try_parse_json(F.nullif(F.col(c), F.lit(""))) for c in ("old_values", "new_values", "metadata")})

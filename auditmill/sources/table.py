@@ -1,22 +1,27 @@
-"""The audit table: Parquet by month, and single-writer state tables by versions."""
+"""The audit table: Parquet by month under a manifest, so that each change is there at once or not at all."""
 
 from __future__ import annotations
 
-import time
+import datetime
+import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditmill.functions.scalars import month
-from auditmill.operators.delivery import expired, first_write
+from auditmill.operators.delivery import expired, first_write, last_write
 from auditmill.sources.schema import COLUMNS, LOG
 
+#: Folders of one month from which on compact() puts it in one.
+MANY = 32
+
 
 class Files:
     """A few Hadoop file operations, in whatever store a path is."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.jvm, self.path = spark._jvm, path
+        self.jvm, self.path = spark._jvm, path.rstrip("/")
         self.fs = self.at().getFileSystem(spark._jsc.hadoopConfiguration())
 
     def at(self, *more: str):
@@ -28,86 +33,183 @@ class Files:
     def drop(self, *more: str) -> None:
         self.fs.delete(self.at(*more), True)
 
-    def names(self) -> list[str]:
-        return sorted(x.getPath().getName() for x in self.fs.listStatus(self.at())) if self.exists() else []
+    def sizes(self, *more: str) -> dict[str, int]:
+        """Names below the path, sorted, and their bytes."""
+        return dict(sorted((x.getPath().getName(), x.getLen()) for x in self.fs.listStatus(self.at(*more)))) if self.exists(*more) else {}
+
+    def names(self, *more: str) -> list[str]:
+        return list(self.sizes(*more))
 
     def move(self, old: str, new: str) -> None:
+        self.fs.mkdirs(self.at(new).getParent())
         if not self.fs.rename(self.at(old), self.at(new)):
             raise OSError(f"cannot move {old} to {new}")
 
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self.at(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """A file of this text; it comes by rename and is never half there."""
+        self.fs.mkdirs(self.at(name).getParent())
+        own = f"{name.rpartition('/')[0]}/.{uuid.uuid4().hex}".lstrip("/")
+        stream = self.fs.create(self.at(own), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        self.move(own, name)
+
 
 class AuditTable:
-    """Insert-if-absent by id, scans, prune. One writer at a time."""
+    """Insert-if-absent by id, scans, prune. One writer at a time.
+
+    Rows lie in folders created_month=YYYYMM/<name>. The newest manifest lists those that count. A change writes new folders and then the
+    next manifest: a writer that dies before leaves the table as it was, and what it wrote is swept by the next one. Folders that the
+    manifest before does not list either are deleted, so a reader may take as long as one change."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark, path.rstrip("/"))
+        self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark, path)
+
+    # manifest
+
+    def _manifests(self) -> list[str]:
+        return [n for n in self.files.names("_manifest") if n.startswith("v")]
+
+    def _live(self) -> list[str]:
+        found = self._manifests()
+        return json.loads(self.files.read(f"_manifest/{found[-1]}")) if found else []
+
+    def _commit(self, live: list[str]) -> None:
+        found = self._manifests()
+        number = int(found[-1][1:-5]) + 1 if found else 1
+        self.files.write(f"_manifest/v{number:020d}.json", json.dumps(sorted(live)))
+        for n in found[:-1]:
+            self.files.drop("_manifest", n)
+
+    def recover(self) -> None:
+        """Sweep what no manifest lists: left by a writer that died, or by changes before the last."""
+        known = {x for n in self._manifests() for x in json.loads(self.files.read(f"_manifest/{n}"))}
+        self.files.drop("_stage")
+        for m in self.files.names():
+            if m.startswith("created_month="):
+                for n in self.files.names(m):
+                    if f"{m}/{n}" not in known:
+                        self.files.drop(m, n)
+
+    def _staged(self, rows: DataFrame) -> list[str]:
+        """Rows (with created_month), written to folders that no manifest lists yet."""
+        name = uuid.uuid4().hex
+        rows.write.partitionBy("created_month").parquet(f"{self.path}/_stage/{name}")
+        out = []
+        for m in self.files.names("_stage", name):
+            if m.startswith("created_month="):
+                self.files.move(f"_stage/{name}/{m}", f"{m}/{name}")
+                out.append(f"{m}/{name}")
+        self.files.drop("_stage", name)
+        return out
+
+    def create(self) -> None:
+        """An empty table, if there is none. Columns that later versions add are null in older rows."""
+        if not self._manifests():
+            self._commit([])
+
+    # reading
 
     def months(self) -> list[int]:
-        return [int(n[14:]) for n in self.files.names() if n.startswith("created_month=") and n[14:].isdigit() and len(n) == 20]
+        return sorted({int(x[14:20]) for x in self._live()})
+
+    def _read(self, live: list[str], more: str = "") -> DataFrame:
+        schema = f"{LOG}{more}, created_month int"
+        return self.spark.read.schema(schema).option("basePath", self.path).parquet(*(f"{self.path}/{x}" for x in live)) if live else self.spark.createDataFrame([], schema)
 
-    def scan(self) -> DataFrame:
-        if not self.months():
-            return self.spark.createDataFrame([], f"{LOG}, created_month int")
-        return self.spark.read.schema(f"{LOG}, created_month int").parquet(self.path)
+    def scan(self, ttl_days: int | None = None, now: datetime.datetime | None = None) -> DataFrame:
+        """All rows, with created_month; with ttl_days without those that are older, whether or not they are pruned yet."""
+        rows = self._read(self._live())
+        return rows if ttl_days is None else rows.where(~F.coalesce(expired(cutoff(ttl_days, now)), F.lit(False)))
+
+    # writing
+
+    def _laid_out(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition("created_month", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("created_month", "tenant_id", "id")
 
     def insert(self, logs: DataFrame, seq: str = "id") -> None:
         """Add rows whose id isn't there; of rows with one id the first. Only ids of the rows' own months are read.
 
         An id holds its time, so one that comes again has the same month."""
+        self.recover()
         new = first_write(logs, seq).select(*COLUMNS).withColumn("created_month", month(F.col("created_at")))
-        touched = [r.created_month for r in new.select("created_month").distinct().collect()]
-        there = self.scan().where(F.col("created_month").isin(touched)).select("id") if set(touched) & set(self.months()) else None
-        new = new.join(there, "id", "left_anti").select(*COLUMNS, "created_month") if there is not None else new
-        new.repartition("created_month", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("created_month", "tenant_id", "id").write.mode("append").partitionBy("created_month").parquet(self.path)
+        live = self._live()
+        touched = {r.created_month for r in new.select("created_month").distinct().collect()}
+        there = [x for x in live if int(x[14:20]) in touched]
+        new = new.join(self._read(there).select("id"), "id", "left_anti").select(*COLUMNS, "created_month") if there else new
+        self._commit(live + self._staged(self._laid_out(new)))
 
     def prune(self, cutoff: str, tenant: str | None = None, whole_months: bool = False) -> None:
-        """Remove rows before cutoff (of one tenant if given). Months before it go whole; cutoff's own is written anew, unless whole_months.
-
-        A month is written beside the table and then takes the old one's place; if the writer dies between, recover() ends the move."""
+        """Remove rows before cutoff (of one tenant if given). Months before it go whole; cutoff's own is written anew, unless whole_months. All in one change."""
         at = int(cutoff[:4] + cutoff[5:7])
         self.recover()
+        live, out = self._live(), []
         for m in self.months():
+            own = [x for x in live if int(x[14:20]) == m]
             if m < at and tenant is None:
-                self.files.drop(f"created_month={m}")
-            elif m <= at and not whole_months:
-                gone = expired(cutoff) if tenant is None else expired(cutoff) & (F.col("tenant_id") == tenant)
-                old = self.scan().where(F.col("created_month") == m)
-                if old.where(gone).limit(1).count():
-                    old.where(~F.coalesce(gone, F.lit(False))).drop("created_month").write.mode("overwrite").parquet(f"{self.path}/_next_{m}")
-                    self._swap(m)
-
-    def _swap(self, m: int) -> None:
-        self.files.drop(f"created_month={m}")
-        self.files.move(f"_next_{m}", f"created_month={m}")
-        if not self.spark.read.schema(LOG).parquet(f"{self.path}/created_month={m}").limit(1).count():
-            self.files.drop(f"created_month={m}")
+                continue
+            gone = expired(cutoff) if tenant is None else expired(cutoff) & (F.col("tenant_id") == tenant)
+            old = self._rows(own)
+            if m > at or whole_months or not old.where(gone).limit(1).count():
+                out += own
+            else:
+                out += self._staged(self._laid_out(old.where(~F.coalesce(gone, F.lit(False)))))
+        if out != live:
+            self._commit(out)
+
+    def delete_batch(self, cutoff: str, rows: int) -> None:
+        """Remove `rows` rows before cutoff at most, oldest first by id."""
+        self.recover()
+        at, live = int(cutoff[:4] + cutoff[5:7]), self._live()
+        old = [x for x in live if int(x[14:20]) <= at]
+        if not old:
+            return
+        gone = self._rows(old).where(expired(cutoff)).orderBy("id").limit(rows).select("id")
+        left = self._rows(old).join(gone, "id", "left_anti")
+        self._commit([x for x in live if x not in old] + self._staged(self._laid_out(left)))
+
+    def compact(self, many: int = MANY) -> None:
+        """Put months of `many` folders or more in one."""
+        self.recover()
+        live = self._live()
+        by = {m: [x for x in live if int(x[14:20]) == m] for m in self.months()}
+        full = [x for own in by.values() if len(own) >= many for x in own]
+        if full:
+            self._commit([x for x in live if x not in full] + self._staged(self._laid_out(self._rows(full))))
 
-    def recover(self) -> None:
-        """End or undo what a writer that died has begun."""
-        for n in self.files.names():
-            if n.startswith("_next_"):
-                if self.files.exists(n, "_SUCCESS"):
-                    self._swap(int(n[6:]))
-                else:
-                    self.files.drop(n)
-
-
-class StateTable:
-    """A small table that is replaced whole: versions in folders of their own, the newest complete one counts. One writer at a time."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema, self.files = spark, path.rstrip("/"), schema, Files(spark, path.rstrip("/"))
-
-    def _versions(self) -> list[str]:
-        return [n for n in self.files.names() if n.startswith("v") and self.files.exists(n, "_SUCCESS")]
-
-    def read(self) -> DataFrame:
-        versions = self._versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{versions[-1]}") if versions else self.spark.createDataFrame([], self.schema)
-
-    def replace(self, rows: DataFrame) -> None:
-        before = self._versions()
-        number = max(int(before[-1][1:]) + 1 if before else 0, time.time_ns())
-        rows.write.parquet(f"{self.path}/v{number:020d}")
-        for n in before[:-1]:
-            self.files.drop(n)
+    def _rows(self, live: list[str]) -> DataFrame:
+        """Rows with all that is stored of them."""
+        return self._read(live)
+
+
+class AppendTable(AuditTable):
+    """Inserts are plain appends; of rows with one tenant and id, scans return the last that was written."""
+
+    def _read(self, live: list[str], more: str = "") -> DataFrame:
+        return last_write(self._rows(live), "_written").drop("_written")
+
+    def _rows(self, live: list[str]) -> DataFrame:
+        return super()._read(live, ", _written long")
+
+    def insert(self, logs: DataFrame, seq: str = "id") -> None:
+        """Add rows. A null tenant is the empty one, as such a store has it. Of rows with one tenant and id in logs, the last by seq is the last."""
+        self.recover()
+        found = self._manifests()
+        number = (int(found[-1][1:-5]) if found else 0) << 32
+        rows = last_write(logs.withColumn("tenant_id", F.coalesce("tenant_id", F.lit(""))), seq).select(*COLUMNS, F.lit(number).cast("long").alias("_written"), month(F.col("created_at")).alias("created_month"))
+        self._commit(self._live() + self._staged(self._laid_out(rows)))
+
+
+def cutoff(days: int, now: datetime.datetime | None = None) -> str:
+    """The time before which rows are older than so many days."""
+    at = (now or datetime.datetime.now(datetime.UTC)) - datetime.timedelta(days=days)
+    return at.strftime("%Y-%m-%dT%H:%M:%S.") + f"{at.microsecond // 1000:03d}Z"

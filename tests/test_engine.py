@@ -6,10 +6,14 @@ from auditmill.functions.scalars import GENESIS
 from auditmill.operators import delivery as D
 from auditmill.operators import integrity, query
 from auditmill.plans.ingest import Limits, sanitised, with_request_context
-from auditmill.plans.logger import AuditLogger, Config
+from auditmill.plans.admission import Caps, Queues
+from auditmill.plans.logger import ENTERPRISE, AuditLogger, Config
 from auditmill.sources import files
+from auditmill.sources.interfaces import DeadLetterStore, Destination, JournalStore
+from auditmill.sources.jdbc import JdbcTable
+from auditmill.sources.journal import DeadLetters, DeadLettersFull, Journal, JournalFull
 from auditmill.sources.schema import COLUMNS, LOG
-from auditmill.sources.table import AuditTable, StateTable
+from auditmill.sources.table import AppendTable, AuditTable
 from auditmill.streaming import delivery as streaming
 from pyspark.sql import functions as F
 
@@ -58,24 +62,170 @@ def test_table_inserts_once_and_prunes(spark, tmp_path):
     assert table.months() == [] and table.scan().count() == 0
 
 
-def test_a_prune_that_died_is_ended_or_undone(spark, tmp_path):
+def test_a_writer_that_dies_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch):
+    """Before the change is written, before folders are moved, before the manifest; then another writer inserts, and prunes."""
+    for k, step in enumerate(("_laid_out", "_staged", "_commit")):
+        path = f"file://{tmp_path}/t{k}"
+        AuditTable(spark, path).insert(frame(spark, [log(1), log(2, at="2026-01-20T00:00:00.000Z"), log(3, at="2026-02-01T00:00:00.000Z")]))
+        dying = AuditTable(spark, path)
+
+        def die(*_a, real=getattr(dying, step), step=step):
+            if step != "_commit":
+                real(*_a)
+            raise OSError("dead")
+
+        monkeypatch.setattr(dying, step, die)
+        with pytest.raises(OSError):
+            dying.prune("2026-01-10T00:00:00.000Z")
+        with pytest.raises(OSError):
+            dying.insert(frame(spark, [log(9)]))
+        other = AuditTable(spark, path)
+        assert sorted(r.id for r in other.scan().collect()) == ["0001", "0002", "0003"]
+        other.insert(frame(spark, [log(4, at="2026-01-30T00:00:00.000Z")]))
+        other.prune("2026-01-10T00:00:00.000Z")
+        assert sorted(r.id for r in AuditTable(spark, path).scan().collect()) == ["0002", "0003", "0004"]
+        other.recover()
+        folders = [p for m in (tmp_path / f"t{k}").glob("created_month=*") for p in m.iterdir() if not p.name.startswith(".")]
+        assert len(folders) <= 5 and not (tmp_path / f"t{k}" / "_stage").exists()
+
+
+def test_compaction_batches_and_ttl(spark, tmp_path):
+    import datetime
+
     table = AuditTable(spark, f"file://{tmp_path}/t")
-    table.insert(frame(spark, [log(1), log(2)]))
-    table.scan().where("id = '0002'").drop("created_month").write.parquet(f"file://{tmp_path}/t/_next_202601")
-    table.recover()
-    assert [r.id for r in table.scan().collect()] == ["0002"]
-    (tmp_path / "t" / "_next_202601").mkdir()
-    table.recover()
-    assert [r.id for r in table.scan().collect()] == ["0002"]
+    table.create()
+    assert table.scan().count() == 0
+    for i in range(1, 5):
+        table.insert(frame(spark, [log(i, at=f"2026-01-0{i}T00:00:00.000Z")]))
+    assert len(table._live()) == 4
+    table.compact(3)
+    assert len(table._live()) == 1 and table.scan().count() == 4
+    table.delete_batch("2026-01-04T00:00:00.000Z", 2)
+    assert sorted(r.id for r in table.scan().collect()) == ["0003", "0004"]
+    assert [r.id for r in table.scan(ttl_days=1, now=datetime.datetime(2026, 1, 4, 12, tzinfo=datetime.UTC)).collect()] == ["0004"]
+    assert table.scan().count() == 2
+
+
+def test_append_table_keeps_the_last(spark, tmp_path):
+    table = AppendTable(spark, f"file://{tmp_path}/t")
+    table.insert(frame(spark, [log(1), log(2, tenant=None)]))
+    table.insert(frame(spark, [log(1, action="again"), log(1, tenant="t2")]))
+    assert sorted((r.tenant_id, r.id, r.action) for r in table.scan().collect()) == [("", "0002", "x"), ("t1", "0001", "again"), ("t2", "0001", "x")]
+    table.compact(2)
+    table.prune("2026-01-01T00:00:00.000Z")
+    assert table.scan().count() == 3 and isinstance(table, Destination)
+    table.prune("2027-01-01T00:00:00.000Z")
+    assert table.scan().count() == 0
 
 
-def test_state_versions(spark, tmp_path):
-    t = StateTable(spark, f"file://{tmp_path}/s", "a int")
-    for k in range(4):
-        t.replace(t.read().union(spark.createDataFrame([(k,)], "a int")))
-    assert sorted(r.a for r in t.read().collect()) == [0, 1, 2, 3]
-    (tmp_path / "s" / "v99999999999999999999").mkdir()
-    assert t.read().count() == 4
+def test_jdbc_table(spark):
+    table = JdbcTable(spark, "jdbc:derby:memory:audit;create=true", "audit_logs", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    table.create()
+    table.create()
+    # Spark's dialect for this database cannot write nulls into VARCHAR
+    full = {c: "-" for c in COLUMNS if c not in ("id", "tenant_id", "action", "created_at")}
+    table.insert(frame(spark, [log(1, **full), log(2, **full, at="2026-02-01T00:00:00.000Z"), log(1, **full | {"action": "again"})]))
+    table.insert(frame(spark, [log(2, **full | {"action": "again"}), log(3, "t2", **full)]))
+    assert sorted((r.id, r.action) for r in table.scan().collect() if r.id != "0001") == [("0002", "x"), ("0003", "x")] and table.scan().count() == 3
+    found = query.filtered(table.scan(), "t2")
+    assert found.count() == 1 and "PushedFilters: [*IsNotNull(TENANT_ID), *EqualTo(TENANT_ID,t2)]" in found._jdf.queryExecution().executedPlan().toString()
+    table.prune("2026-01-15T00:00:00.000Z", "t1")
+    assert sorted(r.id for r in table.scan().collect()) == ["0002", "0003"] and isinstance(table, Destination)
+
+
+def test_journal(spark, tmp_path):
+    path = f"file://{tmp_path}/j"
+    rec = lambda i, **more: dict(zip(COLUMNS, log(i, **more), strict=True))
+    j = Journal(spark, path, max_bytes=2000, ack_files=3)
+    assert isinstance(j, JournalStore) and j.recover() == ([], False) and j.max_segment() == 0 and j.truncate()
+    first = [rec(1, new_values='{"a":[1,"é"]}', actor_id='q"\\u'), rec(2, tenant=None)]
+    j.append(first)
+    j.append([rec(3)])
+    assert Journal(spark, path).recover() == ([*first, rec(3)], False) and Journal(spark, path).recover(max_logs=1) == (first[:1], True)
+    with pytest.raises(JournalFull):
+        j.append([rec(4, new_values='"' + "x" * 3000 + '"')])
+    assert j.bytes() == sum(p.stat().st_size for p in (tmp_path / "j" / "segments").glob("*.ndjson"))
+    before = j.max_segment()
+    for i in (1, 3, 3):
+        j.ack([f"{i:04d}"])
+    # the third file of acks made it compact itself
+    assert len(j.segments()) == 1 and j.files.names("acks") == [] and j.recover()[0] == first[1:] and j.max_segment() > before
+    assert not j.truncate()
+    j.ack(["0002"])
+    assert j.truncate() and j.bytes() == 0 and j.segments() == []
+
+
+def test_journal_with_a_key(spark, tmp_path):
+    from auditmill.functions.scalars import normalise_key
+
+    path, key = f"file://{tmp_path}/j", normalise_key("secret")
+    j = Journal(spark, path, key=key)
+    rec = dict(zip(COLUMNS, log(1, new_values='{"a":1}'), strict=True))
+    j.append([rec, rec | {"id": "0002"}])
+    text = next((tmp_path / "j" / "segments").glob("*.ndjson")).read_text()
+    assert all(x.startswith("e1:") for x in text.split()) and "0001" not in text
+    assert Journal(spark, path, key=key).recover()[0] == [rec, rec | {"id": "0002"}]
+    assert Journal(spark, path, key=normalise_key("other")).recover() == ([], False)
+
+
+def test_dead_letters(spark, tmp_path):
+    d = DeadLetters(spark, f"file://{tmp_path}/d", entries=4, batch=2, changes=4)
+    assert isinstance(d, DeadLetterStore) and d.read().count() == 0 and d.get("x") is None
+    assert d.add(frame(spark, [log(1), log(2), log(3), log(4, tenant=None)])) == 3
+    with pytest.raises(DeadLettersFull):
+        d.add(frame(spark, [log(5), log(6, tenant="t2")]))
+    ids = [r.id for r in d.read().orderBy("id").collect()]
+    d.set([(ids[0], "dead", 3), (ids[1], "deleted", 0)])
+    assert d.get(ids[0])["state"] == "dead" and len(d.get(ids[0])["logs"]) == 2 and d.get(ids[1]) is None
+    d.set([(ids[2], "processing", 1)])
+    d.set([(ids[2], "pending", 2)])
+    assert len(d.files.names("states")) == 1 and {r.id: (r.state, r.attempts) for r in d.read().collect()} == {ids[0]: ("dead", 3), ids[2]: ("pending", 2)}
+    assert d.collisions().count() == 0 and d.read().count() == 2
+    d.files.write("states/9.json", '{"id":"b","n":9,"state":"dead","attempts":0}\n{"id":"b","n":9,"state":"pending","attempts":0}\n')
+    assert [(r.id, r.states) for r in d.collisions().collect()] == [("b", ["dead", "pending"])]
+
+
+def test_queues():
+    q = Queues(Caps(tenant=3, tenants=2, total=5))
+    put = lambda t, i, spill=lambda _: False: q.admit(t, spill) or (q.release(t), q.push({"tenant_id": t, "id": i}))[0]
+    assert [put("a", i) for i in range(3)] == [None] * 3 and put("a", 9) == "queue_full"
+    assert put("b", 4) is None and put("c", 5) == "max_active_tenants"
+    assert q.admit("b", None) == "" and q.occupancy("b") == 2 and q.total() == 5
+    assert put("b", 6) == "max_total_queued" and q.victims("b") == ["a"] and q.victims("a") == ["b"] and q.victims("a", 2) == ["b", "a"]
+    assert put("b", 7, lambda t: bool(q.take(t))) is None and q.order() == ["b"]
+    assert Queues(Caps(tenant=1, when_full="drop")).admit("a", None) == ""
+    for bad in ({"when_full": "lose"}, {"total": 0}):
+        with pytest.raises(ValueError):
+            Caps(**bad)
+
+
+def test_recovery_waves():
+    rec = lambda t, i: {"tenant_id": t, "id": i}
+    q = Queues(Caps(tenants=1))
+    assert len(q.wave([rec(f"t{i}", i) for i in range(8)])) == 7 and q.total() == 1
+    q = Queues(Caps(tenant=5))
+    waits = q.wave([rec("t", i) for i in range(20)])
+    assert q.total() == 5 and [r["id"] for r in waits] == list(range(5, 20))
+    q.take("t")
+    assert len(q.wave(waits)) == 10 and [r["id"] for r in q.held["t"]] == list(range(5, 10))
+
+
+def test_backpressure_equals_the_loop(spark):
+    rows = [(i, "ab"[i % 3 == 0], f"{i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "seq int, tenant_id string, id string")
+    for policy in ("dlq", "drop"):
+        queues, fate = {}, {}
+        for i, t, _ in rows:
+            q = queues.setdefault(t, [])
+            if len(q) >= 4:
+                if policy == "drop":
+                    fate[i] = "dropped"
+                    continue
+                fate |= dict.fromkeys(q, "spilled")
+                q.clear()
+            q.append(i)
+        fate |= {i: "admitted" for q in queues.values() for i in q}
+        assert {r.seq: r.fate for r in D.backpressure(df, "seq", 4, policy).collect()} == fate
 
 
 def test_recovery_bounds(spark):
@@ -156,7 +306,7 @@ def test_logger_life(made):
     logger.shutdown()
     logger.shutdown()
     logger.fire("late", "u")
-    assert events[-1]["detail"] == "shutdown" and logger.stats()["has_work"] is False
+    assert events[-1]["detail"] == "shutdown" and logger.stats_detailed()["has_work"] is False
     with pytest.raises(RuntimeError):
         logger.fire_async("late", "u")
 
@@ -169,7 +319,7 @@ def test_many_tenants_at_once(made):
     logger.fire("x.y", "u", tenant_id="t3")
     logger.flush()
     all_ = logger.table().scan()
-    assert all_.count() == 1001 and integrity.failures(all_).count() == 0 and logger.stats()["journal"] == 0
+    assert all_.count() == 1001 and integrity.failures(all_).count() == 0 and logger.stats_detailed()["journal"] == 0
     assert len(logger.query("t3", limit=500)[0]) == 101
 
 
@@ -196,7 +346,7 @@ def test_logger_dead_letters(made):
     logger.fire("a.b", "u", tenant_id="t1")
     logger.flush()
     (entry,) = logger.list_dlq()
-    assert (entry.log_count, entry.tenant_id) == (1, "t1") and logger.stats()["pending"] == 1
+    assert (entry.log_count, entry.tenant_id) == (1, "t1") and logger.stats_detailed()["pending"] == 1
     logger.retry_dlq_now()
     logger.retry_dlq_now()
     logger.retry_dlq_now()
@@ -236,3 +386,172 @@ def test_stream_chain_goes_on_across_restarts(spark, tmp_path):
         q.awaitTermination()
     out = spark.read.schema(LOG).parquet(f"file://{tmp_path}/out")
     assert out.count() == 5 and integrity.failures(out).count() == 0
+
+
+def chains_hold(logger):
+    return integrity.failures(logger.table().scan()).count() == 0
+
+
+def test_a_chain_goes_on_through_dead_letters(made):
+    logger, _ = made
+    table = logger.table()
+    insert = table.insert
+    for i in range(6):
+        # the second, third and fifth delivery fail
+        table.insert = insert if i in (0, 3, 5) else lambda *_: (_ for _ in ()).throw(OSError("down"))
+        logger.fire("a.b", f"u{i}", tenant_id="t1")
+        logger.flush()
+    table.insert = insert
+    assert logger.stats_detailed()["pending"] == 3 and not chains_hold(logger)
+    logger.retry_dlq_now()
+    assert table.scan().count() == 6 and chains_hold(logger) and logger.stats_detailed()["journal"] == 0
+    assert logger.verify(table.scan()) == {"ok": True, "failed_at": -1, "error": None}
+
+
+def test_full_dead_letters_leave_records_queued(spark, tmp_path):
+    logger = AuditLogger(spark, Config(f"file://{tmp_path}/log", database_per_tenant=True, integrity=True, insert_attempts=1, backoff_ms=1, dlq_entries=1))
+    good, bad = logger.table("a"), logger.table("b")
+    insert = bad.insert
+    bad.insert = lambda *_: (_ for _ in ()).throw(OSError("down"))
+    for t in ("b", "a", "b"):
+        logger.fire_async("x.y", "u", tenant_id=t)
+        logger.flush()
+    assert good.scan().count() == 1 and logger.stats()["queued"] == 1 and logger.stats_detailed()["live"] == 1 and logger.stats_detailed()["journal"] == 1
+    bad.insert = insert
+    assert logger.flush()
+    logger.retry_dlq_now()
+    assert bad.scan().count() == 2 and integrity.failures(bad.scan()).count() == 0
+
+
+def test_the_journal_comes_back(spark, tmp_path):
+    """What a logger that died had stored, in waves of what the queues take; what it had delivered is not delivered again."""
+    config = lambda **more: Config(f"file://{tmp_path}/log", integrity=True, key="secret", **more)
+    first = AuditLogger(spark, config())
+    for i in range(3):
+        first.fire_async("a.b", f"u{i}", tenant_id=f"t{i % 2}")
+    first._acked = lambda _: None
+    first.flush()
+    for i in range(9):
+        first.fire_async("a.b", f"v{i}", tenant_id="t0", metadata={"k": [i, None]})
+    second = AuditLogger(spark, config(caps=Caps(tenant=4, total=9)))
+    assert second.stats()["queued"] == 4 and second.stats()["backlog"] == 2 and second.more
+    assert second.shutdown() and second.table().scan().count() == 12
+    third = AuditLogger(spark, config())
+    assert third.stats()["queued"] == 0 and third.journal.bytes() == 0
+    assert len(third.query("t0", query.Filters(actor_id="v8"))[0]) == 1
+
+
+def test_caps_and_the_journal_that_is_full(spark, tmp_path):
+    events = []
+    logger = AuditLogger(spark, Config(f"file://{tmp_path}/log", caps=Caps(tenant=3, total=5), limits=Limits(require_tenant=True)), events.append)
+    for t in "aaaab":
+        logger.fire_async("x.y", "u", tenant_id=t)
+    # the fourth of a sent the first three away
+    assert logger.stats()["queued"] == 2 and [e.log_count for e in logger.list_dlq()] == [3]
+    for t in "bbc":
+        logger.fire_async("x.y", "u", tenant_id=t)
+    assert logger.stats()["queued"] == 5
+    logger.fire_async("x.y", "u", tenant_id="a")
+    # room under the total came from the longest queue of others
+    assert logger.stats()["queued"] == 3 and sorted(e.tenant_id for e in logger.list_dlq()) == ["a", "b"]
+    assert logger.flush()
+    logger.retry_dlq_now()
+    assert logger.table().scan().count() == 9 and logger.stats_detailed()["has_work"] is False
+    small = AuditLogger(spark, Config(f"file://{tmp_path}/small", journal_bytes=300), events.append)
+    for i in range(3):
+        small.fire_async("x.y", f"u{i}", tenant_id="a")
+    assert any(e["type"] == "wal_fail" and e["detail"] == "wal_full" for e in events)
+    assert small.stats_detailed()["live"] >= 1
+    small.run_maintenance()
+    assert small.table().scan().count() == 3
+    broken = AuditLogger(spark, Config(f"file://{tmp_path}/broken", dlq_entries=1), events.append)
+    broken.journal.append = broken.dlq.add = lambda *_: (_ for _ in ()).throw(OSError("down"))
+    with pytest.raises(OSError):
+        broken.fire_async("x.y", "u", tenant_id="a")
+    assert broken.stats()["queued"] == 0
+
+
+def test_volatile_loggers_drop_and_say_so(spark, tmp_path):
+    events = []
+    logger = AuditLogger(spark, Config(f"file://{tmp_path}/log", mode="volatile", caps=Caps(tenant=2, tenants=1, when_full="drop"), actions=frozenset({"x.y"})), events.append)
+    assert [e["detail"] for e in events] == ["unsafe_default_volatile", "unsafe_default_require_tenant"]
+    for t in "aaab":
+        logger.fire("x.y", "u", tenant_id=t)
+    logger.fire("other", "u", tenant_id="a")
+    assert logger.flush() and logger.table().scan().count() == 2
+    assert [e["detail"] for e in events if e["type"] == "dropped"] == ["unknown_action", "queue_full", "max_active_tenants"]
+    assert AuditLogger(spark, Config(f"file://{tmp_path}/e", **ENTERPRISE), events.append) and len([e for e in events if e["type"] == "limit"]) == 2
+    for bad in ({"mode": "other"}, {"caps": Caps(when_full="drop")}, {"batch": 0}, {"retention_days": -1}, {"namespace": "a/b"}):
+        with pytest.raises(ValueError):
+            Config("p", **bad)
+
+
+def test_a_flush_ends_at_its_deadline(spark, tmp_path):
+    logger = AuditLogger(spark, Config(f"file://{tmp_path}/log", flush_rows=1))
+    for _ in range(3):
+        logger.fire("x.y", "u")
+    assert not logger.flush(seconds=0) and logger.stats()["queued"] == 3
+    assert logger.flush() and logger.table().scan().count() == 3
+
+
+def test_parts_of_ones_own_and_tenants_that_look_alike(spark, tmp_path):
+    made = {}
+    logger = AuditLogger(spark, Config(f"file://{tmp_path}/log", database_per_tenant=True, tables=1, destination=lambda t: made.setdefault(t, AppendTable(spark, f"file://{tmp_path}/own/{t}"))))
+    for t in "ab":
+        logger.fire("x.y", "u", tenant_id=t)
+    assert logger.flush() and {t: d.scan().count() for t, d in made.items()} == {"a": 1, "b": 1} and len(logger._tables) == 1
+    logger = AuditLogger(spark, Config(f"file://{tmp_path}/log2", database_per_tenant=True, resolve=lambda t: f"file://{tmp_path}/elsewhere" if t == "c" else None))
+    for t in ("a/b", "a_b", "c"):
+        logger.fire("x.y", t, tenant_id=t)
+    assert logger.flush() and all([r.actor_id for r in logger.query(t)[0]] == [t] for t in ("a/b", "a_b", "c"))
+    assert AuditTable(spark, f"file://{tmp_path}/elsewhere").scan().count() == 1
+
+
+def test_pages_of_more_than_five_hundred_and_bags(spark, tmp_path):
+    logger = AuditLogger(spark, Config(f"file://{tmp_path}/log", max_page=1000))
+    for i in range(700):
+        logger.fire("x.y", "u", new_values={"i": i})
+    logger.flush()
+    rows, cursor = logger.query(limit=650)
+    assert len(rows) == 650 and cursor == rows[-1].id and len(logger.query(cursor=cursor, limit=650)[0]) == 50
+    bad = frame(spark, [log(1, new_values="{broken", metadata="", old_values='{"a":[1]}')])
+    r = query.with_parsed_bags(bad).selectExpr("variant_get(old_values, '$.a[0]', 'int') AS a", "new_values", "metadata").first()
+    assert tuple(r) == (1, None, None)
+
+
+def test_many_callers_at_once(spark, tmp_path):
+    """Half as many as the bench takes."""
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    logger = AuditLogger(spark, Config(f"file://{tmp_path}/log", **ENTERPRISE))
+    began = time.monotonic()
+    with ThreadPoolExecutor(50) as pool:
+        list(pool.map(lambda i: logger.fire_async("x.y", f"u{i % 20}", tenant_id=f"t{i % 10}", new_values={"i": i}), range(500)))
+    assert logger.stats()["queued"] == 500 and logger.stats_detailed()["journal"] == 500
+    assert logger.shutdown() and time.monotonic() - began < 60
+    assert logger.table().scan().count() == 500 and chains_hold(logger)
+
+
+def test_verification_by_ranges_equals_a_scan(spark):
+    rnd = random.Random(5)
+    rows = integrity.seal(frame(spark, [log(i, tenant=rnd.choice([None, "", "a", "b"])) for i in range(60)])).collect()
+    for _ in range(4):
+        odd = [r.asDict() for r in rows]
+        for r in rnd.sample(odd, 3):
+            r[rnd.choice(["prev_hash", "content_hash", "action"])] = rnd.choice([None, "", "x"])
+        odd = [r for r in odd if rnd.random() < 0.97]
+        table = frame(spark, [tuple(r[c] for c in COLUMNS) for r in odd])
+        hashes = {r.id: r.h for r in table.select("id", integrity.content_hash(F.col("prev_hash"), integrity.integrity_payload()).alias("h")).collect()}
+        want = {}
+        for t in {r["tenant_id"] for r in odd}:
+            tip = GENESIS
+            for k, r in enumerate(sorted((r for r in odd if r["tenant_id"] == t), key=lambda r: r["id"])):
+                error = "missing integrity fields" if not r["prev_hash"] or not r["content_hash"] else "prevHash mismatch" if r["prev_hash"] != tip else "contentHash mismatch" if hashes[r["id"]] != r["content_hash"] else None
+                if error:
+                    want[t] = (k, error)
+                    break
+                tip = r["content_hash"]
+        for slices in (1, 7, 40):
+            got = integrity.failures(table, slices=slices)
+            assert {r.tenant_id: (r.failed_at, r.error) for r in got.collect()} == want
