@@ -96,33 +96,37 @@ def suffix_order(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) ->
     cut = lambda w, d: w >> U64(8 * (8 - d)) if d < 8 else w
     same = lambda x, y, d: d - np.searchsorted(_BYTES, x ^ y, side="right")  # noqa: E731 - equal first bytes of d
     key = cut(word[starts], depth)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
-    begins = np.concatenate([[True], key[1:] != key[:-1]])
-    new = np.flatnonzero(begins)[1:]
+    new = np.flatnonzero(key[1:] != key[:-1]) + 1
     common[0], common[new] = 0, same(key[new], key[new - 1], depth)
-    while depth < length:
-        run = np.cumsum(begins) - 1
-        size = np.bincount(run)
-        tied = np.flatnonzero(size[run] > 1)
-        if not len(tied):
-            break
+    # ranks that are tied with the one before or after, and where each run of tied ones begins
+    edge = common < length
+    tied = np.flatnonzero(~edge | ~np.append(edge[1:], True))
+    begins = edge[tied]
+    at = starts[order[tied]]
+    while depth < length and len(tied):
         step = min(8, length - depth)
-        key = cut(word[starts[order[tied]] + depth], step)
-        r = run[tied]
-        new = np.concatenate([[True], r[1:] != r[:-1]])
-        leader = key[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        uneven = np.zeros(len(size), bool)
-        uneven[r[key != leader]] = True
-        split = np.flatnonzero(uneven[r])
-        if len(split):
-            o = np.lexsort((key[split], r[split]))
-            where, key, r = tied[split], key[split][o], r[split][o]
-            order[where] = order[where][o]
-            parted = np.flatnonzero((key[1:] != key[:-1]) & (r[1:] == r[:-1])) + 1
-            begins[where[parted]] = True
-            common[where[parted]] = depth + same(key[parted], key[parted - 1], step)
+        key = cut(word[at + depth], step)
+        odd = np.flatnonzero((key[1:] != key[:-1]) & ~begins[1:])
+        if len(odd):
+            run = np.cumsum(begins) - 1
+            uneven = np.zeros(run[-1] + 1, bool)
+            uneven[run[odd]] = True
+            split = np.flatnonzero(uneven[run])
+            own, r = key[split], run[split]
+            o = np.lexsort((own, r))
+            own, r = own[o], r[o]
+            order[tied[split]] = order[tied[split]][o]
+            parted = np.flatnonzero((own[1:] != own[:-1]) & (r[1:] == r[:-1])) + 1
+            common[tied[split[parted]]] = depth + same(own[parted], own[parted - 1], step)
+            begins[split[parted]] = True
+            stay = ~(begins & np.append(begins[1:], True))
+            at[split] = starts[order[tied[split]]]
+            tied, begins, at = tied[stay], begins[stay], at[stay]
         depth += step
+    # what is equal to this depth goes by position
+    order[tied] = np.sort(np.cumsum(begins) << 32 | order[tied]) & 0xFFFFFFFF
     return order, common
 
 
