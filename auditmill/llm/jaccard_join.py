@@ -317,12 +317,13 @@ def _grouped(placed: DataFrame, words: int, t: Fraction) -> DataFrame:
     mine = written(sets(placed, words, seed), "sets")
     elected = elect(mine)
     found = written(components(links(active_sets(placed, mine, elected, words, seed, t), t)), "components")
-    # a component of thousands of sets, and a set of thousands of copies, are dealt over several tasks: the small side is repeated for each
+    # a component of thousands of sets, and a set of thousands of copies, are dealt over several tasks: the small side is repeated for each. Its
+    # files compress so well that they would pass for a table small enough to broadcast
     linked = written(elected.select("set_id", "least", F.col("number").alias("node")).join(found, "node").select("set_id", "least", "component"), "linked")
-    name = linked.groupBy("component").agg(F.min("least").alias("component_id")).select("component", "component_id", _each_salt().alias("salt"))
+    name = linked.groupBy("component").agg(F.min("least").alias("component_id")).select("component", "component_id", _each_salt().alias("salt")).hint("merge")
     named = linked.withColumn("salt", _salted("set_id")).join(name, ["component", "salt"]).select("set_id", "component_id")
     alone = elected.join(linked.select("set_id"), "set_id", "left_anti").select("set_id", F.col("least").alias("component_id"))
-    by_set = written(named.unionByName(alone), "named").select("set_id", "component_id", _each_salt().alias("salt"))
+    by_set = written(named.unionByName(alone), "named").select("set_id", "component_id", _each_salt().alias("salt")).hint("merge")
     out = mine.withColumn("salt", _salted("pos")).join(by_set, ["set_id", "salt"], "left")
     return out.select("doc_id", "text_key", "src", "pos", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
