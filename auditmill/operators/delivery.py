@@ -53,7 +53,7 @@ def segment_bytes(journal: DataFrame) -> DataFrame:
 
 def compacted(journal: DataFrame, acks: DataFrame) -> DataFrame:
     """What a compaction keeps: each record without an ack, once, with the number that it gets in the new segment."""
-    return pending(journal, acks).dropDuplicates(["id"]).withColumn("place", F.row_number().over(Window.orderBy("segment", "seq")))
+    return running(pending(journal, acks).dropDuplicates(["id"]), "segment", ("seq",), F.lit(1).cast("long"), "place")
 
 
 def row_journal(rows: DataFrame, limit: int, schema: str) -> DataFrame:
@@ -118,9 +118,9 @@ def backpressure(rows: DataFrame, seq: str, cap: int, policy: str) -> DataFrame:
 
 
 def backlog(deferred: DataFrame, waiting: DataFrame, seq: str) -> DataFrame:
-    """Both with `turn`: what was deferred goes before what waits, each by seq."""
-    both = deferred.withColumn("_first", F.lit(0)).unionByName(waiting.withColumn("_first", F.lit(1)))
-    return both.withColumn("turn", F.row_number().over(Window.orderBy("_first", seq))).drop("_first")
+    """Both with `turn` (deferred, n): what was deferred goes before what waits, each by seq. They order the whole; no row is numbered in one task."""
+    turn = lambda k: F.struct(F.lit(k).alias("part"), F.col(seq).alias("seq"))
+    return deferred.withColumn("turn", turn(0)).unionByName(waiting.withColumn("turn", turn(1)))
 
 
 def fair_order(rows: DataFrame, seq: str) -> DataFrame:

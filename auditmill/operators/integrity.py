@@ -47,21 +47,22 @@ def _judged(rows: DataFrame) -> DataFrame:
 def failures(logs: DataFrame, chain: str = "tenant_id", genesis: str = GENESIS, slices: int | None = None) -> DataFrame:
     """chain, failed_at (row from 0), error of the first bad record of each chain that has one. Every record is judged on its own and the one before.
 
-    Rows are dealt by ranges of (chain, id), so a chain of any length is judged by many tasks: each knows the record before all of its own but the first,
-    whose one comes from the last record of the range before. Ranges and their edges are a row each. Null chains are one chain."""
+    Rows are dealt by ranges of (chain, id), so a chain of any length is judged by many tasks. A range knows the record before all of its own but the
+    first. It becomes one row for each chain in it: its first record, its last hash, and what was found on the way; these rows
+    are put in order and the first records judged. Null chains are one chain."""
     n = slices or logs.sparkSession.sparkContext.defaultParallelism * 4
     # what is judged is hashed before it moves, so only hashes do
     rows = logs.select(chain, "id", "prev_hash", "content_hash", content_hash(F.col("prev_hash"), integrity_payload()).alias("own"))
     dealt = rows.repartitionByRange(n, chain, "id").sortWithinPartitions(chain, "id").withColumn("_range", F.spark_partition_id())
     own = Window.partitionBy("_range", chain).orderBy("id")
-    at = dealt.withColumns({"_before": F.lag("content_hash").over(own), "_n": F.row_number().over(own) - 1, "_first": F.row_number().over(own) == 1})
-    edges = at.groupBy("_range", F.col(chain).alias("_chain")).agg(F.count("*").alias("_count"), F.max_by("content_hash", "id").alias("_last"))
-    along = Window.partitionBy("_chain").orderBy("_range")
-    edges = edges.select("_range", "_chain", (F.sum("_count").over(along) - F.col("_count")).alias("_rows_before"), F.lag("_last").over(along).alias("_edge"), (F.row_number().over(along) == 1).alias("_begins"))
-    held = at.alias("r").join(edges.alias("e"), (F.col("r._range") == F.col("e._range")) & F.col(f"r.{chain}").eqNullSafe(F.col("e._chain")))
-    expected = F.when(F.col("_first"), F.when(F.col("_begins"), F.lit(genesis)).otherwise(F.coalesce("_edge", F.lit(genesis)))).otherwise(F.coalesce("_before", F.lit(genesis)))
-    judged = _judged(held.select(chain, "prev_hash", "content_hash", "own", expected.alias("expected"), (F.col("_rows_before") + F.col("_n")).cast("long").alias("at")))
-    return judged.where("error is not null").groupBy(chain).agg(F.min("at").alias("failed_at"), F.min_by("error", "at").alias("error"))
+    at = _judged(dealt.withColumns({"_n": (F.row_number().over(own) - 1).cast("long"), "expected": F.coalesce(F.lag("content_hash").over(own), F.lit(genesis))}))
+    found = F.min(F.when((F.col("_n") > 0) & F.col("error").isNotNull(), F.struct("_n", "error"))).alias("found")
+    parts = at.groupBy("_range", chain).agg(F.count("*").alias("_count"), F.min("id").alias("_start"), F.min_by(F.struct("prev_hash", "content_hash", "own"), "_n").alias("first"), F.max_by(F.struct("content_hash"), "_n").alias("last"), found)
+    along = Window.partitionBy(chain).orderBy("_start")
+    expected = F.when(F.row_number().over(along) == 1, F.lit(genesis)).otherwise(F.coalesce(F.lag("last").over(along)["content_hash"], F.lit(genesis)))
+    firsts = _judged(parts.select(chain, "found", (F.sum("_count").over(along) - F.col("_count")).alias("_before"), "first.*", expected.alias("expected")))
+    bad = firsts.select(chain, F.when(F.col("error").isNotNull(), F.struct(F.col("_before").alias("at"), "error")).otherwise(F.struct((F.col("_before") + F.col("found._n")).alias("at"), F.col("found.error").alias("error"))).alias("bad"))
+    return bad.where("bad.error is not null").groupBy(chain).agg(F.min("bad").alias("bad")).select(chain, F.col("bad.at").cast("long").alias("failed_at"), F.col("bad.error").alias("error"))
 
 
 def failures_of_one(logs: DataFrame, genesis: str = GENESIS) -> DataFrame:

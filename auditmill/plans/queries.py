@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from auditmill.functions import scalars, udfs
 from auditmill.operators import delivery, integrity, query
+from auditmill.operators.scans import running
 from auditmill.plans.ingest import Limits, sanitised
 from auditmill.sources.schema import COLUMNS, EVENT_LOGS_SQL, event_logs
+from auditmill.sources.table import cutoff
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,7 +53,7 @@ _filter("filter_action", None, query.Filters(action="event.click"), "action = 'e
 _filter("filter_actor", None, query.Filters(actor_id="u7"), "actor_id = 'u7'")
 _filter("filter_entity", None, query.Filters(entity_id="e5"), "entity_id = 'e5'")
 _filter("filter_date_range", None, query.Filters(start=START, end=END), f"created_at >= '{START}' AND created_at <= '{END}'")
-_filter("filter_all_combined", "t7", query.Filters("event.click", "u7", "e5", START, "2024-12-31"), f"tenant_id = 't7' AND action = 'event.click' AND actor_id = 'u7' AND entity_id = 'e5' AND created_at >= '{START}' AND created_at <= '2024-12-31'")
+_filter("filter_all_combined", "t6", query.Filters("event.view", "u6", "e22", START, "2024-12-31"), f"tenant_id = 't6' AND action = 'event.view' AND actor_id = 'u6' AND entity_id = 'e22' AND created_at >= '{START}' AND created_at <= '2024-12-31'")
 _filter("filter_empty_is_none", None, query.Filters(action="", actor_id=""), "true")
 
 
@@ -129,11 +132,34 @@ def journal_recover_max_bytes(spark, d):
     return delivery.recover(delivery.pending(*_journal(spark, d)), ("seq",), "segment", max_bytes=20_000, size=F.octet_length("payload") + 1).select("id", "seq")
 
 
-@add(_JOURNAL + " SELECT segment, count(*) AS n, sum(strlen(payload) + 1)::BIGINT AS bytes FROM p GROUP BY segment")
+@add(_JOURNAL + " SELECT id, segment, payload, row_number() OVER (ORDER BY segment, seq) AS place FROM p")
 def journal_compact(spark, d):
+    """Twice the same records, as after a compaction that died: each is kept once."""
+    rows, acks = _journal(spark, d)
+    return delivery.compacted(rows.unionByName(rows), acks).select("id", "segment", "payload", "place")
+
+
+@add(_JOURNAL + " SELECT segment, count(*) AS n, sum(strlen(payload) + 1)::BIGINT AS bytes FROM p GROUP BY segment")
+def journal_segment_sizes(spark, d):
     return delivery.pending(*_journal(spark, d)).groupBy("segment").agg(F.count("*").alias("n"), F.sum(F.octet_length("payload") + 1).cast("long").alias("bytes"))
 
 
+@add("SELECT max(event_id // 10) AS segment FROM audit_logs WHERE event_id // 10 % 3 > 0")
+def journal_max_segment(spark, d):
+    n = F.floor(F.col("event_id") / 10)
+    name = F.concat(F.when(n % 3 > 0, "segment-").otherwise("other-"), F.lpad(n.cast("string"), 12, "0"), F.lit(".ndjson"))
+    return delivery.max_segment(event_logs(spark, d).select(name.alias("name")))
+
+
+@add("""WITH r AS (SELECT id, event_id, new_values, event_id * 7 % 1000 AS created_ms, count(*) OVER () AS n FROM audit_logs WHERE event_id % 3 > 0), t AS (SELECT * FROM r ORDER BY created_ms, id LIMIT 500)
+SELECT id, (new_values ->> 'k')::INT AS k, n > 500 AS truncated FROM t WHERE event_id % 10 > 0""")
+def row_journal_scan(spark, d):
+    """Every tenth payload is broken."""
+    e = F.col("event_id")
+    rows = event_logs(spark, d).select("id", F.when(e % 10 > 0, F.col("new_values")).otherwise("{broken").alias("payload"), (e % 3 == 0).cast("int").alias("acked"), (e * 7 % 1000).alias("created_ms"))
+    return delivery.row_journal(rows, 500, "k int").select("id", "log.k", "truncated")
+
+
 @add("SELECT sum(strlen(new_values) + 1)::BIGINT AS bytes FROM audit_logs")
 def journal_bytes(spark, d):
     return delivery.segment_bytes(_journal(spark, d)[0]).select(F.col("bytes").cast("long"))
@@ -168,6 +194,39 @@ def fair_share_spill(spark, d):
     return delivery.spill(event_logs(spark, d), "event_id", "t1", 800, 10)
 
 
+@add("SELECT tenant_id AS queue, min(event_id) AS first_seen, md5(string_agg(id, ',' ORDER BY event_id)) AS ids FROM audit_logs GROUP BY tenant_id")
+def logs_by_tenant(spark, d):
+    return delivery.by_tenant(event_logs(spark, d), "event_id").select("queue", "first_seen", F.md5(F.concat_ws(",", "ids")).alias("ids"))
+
+
+@add("SELECT tenant_id AS queue, count(*) FILTER (event_id % 2 = 0) + count(*) FILTER (event_id % 5 = 0) AS n FROM audit_logs WHERE event_id % 2 = 0 OR event_id % 5 = 0 GROUP BY tenant_id")
+def queue_occupancy(spark, d):
+    """Even logs are queued; every fifth has a place reserved."""
+    logs = event_logs(spark, d)
+    return delivery.occupancy(logs.where("event_id % 2 = 0"), logs.where("event_id % 5 = 0"))
+
+
+_PLACES = "WITH q AS (SELECT id, row_number() OVER (PARTITION BY tenant_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY tenant_id) AS m FROM audit_logs)"
+
+
+@add(_PLACES + " SELECT id, CASE WHEN (n - 1) // 70 = (m - 1) // 70 THEN 'admitted' ELSE 'spilled' END AS fate FROM q")
+def backpressure_dlq(spark, d):
+    return delivery.backpressure(event_logs(spark, d), "event_id", 70, "dlq").select("id", "fate")
+
+
+@add(_PLACES + " SELECT id, CASE WHEN n <= 70 THEN 'admitted' ELSE 'dropped' END AS fate FROM q")
+def backpressure_drop(spark, d):
+    return delivery.backpressure(event_logs(spark, d), "event_id", 70, "drop").select("id", "fate")
+
+
+@add("SELECT id, row_number() OVER (ORDER BY event_id % 4 > 0, event_id) AS place FROM audit_logs")
+def backlog_order(spark, d):
+    """Every fourth log was deferred; its place is counted within its part, and the parts one after the other."""
+    logs = event_logs(spark, d)
+    turns = delivery.backlog(logs.where("event_id % 4 = 0"), logs.where("event_id % 4 > 0"), "event_id").select("id", "turn.*")
+    return running(turns, "part", ("seq",), F.lit(1).cast("long"), "place").select("id", "place")
+
+
 @add("SELECT count(*) AS queued, count(DISTINCT tenant_id) AS tenants FROM audit_logs")
 def queue_stats(spark, d):
     return delivery.queue_stats(event_logs(spark, d))
@@ -214,6 +273,15 @@ def dlq_latest_state(spark, d):
     return delivery.latest(spark.sql(_CHANGES.replace("audit_logs", "{logs}"), logs=event_logs(spark, d)))
 
 
+_TWICE = "SELECT concat('b', event_id % 50) AS id, CAST(floor(event_id / 100) AS BIGINT) AS n, CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'dead' ELSE 'deleted' END AS state, 0 AS attempts FROM audit_logs"
+
+
+@add(f"WITH t AS ({_TWICE}), l AS (SELECT id, max(n) AS n FROM t GROUP BY id) SELECT id, string_agg(DISTINCT state, ',' ORDER BY state) AS states FROM t JOIN l USING (id, n) GROUP BY id HAVING count(DISTINCT state) > 1")
+def dlq_state_collisions(spark, d):
+    """Each batch has two changes at each time."""
+    return delivery.state_collisions(spark.sql(_TWICE.replace("audit_logs", "{logs}"), logs=event_logs(spark, d))).select("id", F.concat_ws(",", "states").alias("states"))
+
+
 @add(f"SELECT {_PAGE} FROM audit_logs WHERE NOT created_at < '{CUTOFF}'")
 def retention_survivors(spark, d):
     return event_logs(spark, d).where(~delivery.expired(CUTOFF)).select(PAGE)
@@ -224,10 +292,20 @@ def retention_expired_months(spark, d):
     return delivery.expired_months(event_logs(spark, d), "2024-02-15T00:00:00.000Z")
 
 
-@add("SELECT DISTINCT tenant_id FROM (SELECT tenant_id FROM audit_logs WHERE event_id % 2 = 0 UNION ALL SELECT actor_id FROM audit_logs WHERE event_id < 100 UNION ALL SELECT '') WHERE tenant_id <> ''")
+@add(f"SELECT {_PAGE} FROM audit_logs WHERE id IN (SELECT id FROM audit_logs WHERE created_at < '{CUTOFF}' ORDER BY id LIMIT 1000)")
+def retention_batch(spark, d):
+    return delivery.oldest_expired(event_logs(spark, d), CUTOFF, 1000).select(PAGE)
+
+
+@add(f"SELECT {_PAGE} FROM audit_logs WHERE created_at >= '2024-01-16T00:00:00.000Z'")
+def retention_ttl(spark, d):
+    return event_logs(spark, d).where(~delivery.expired(cutoff(15, datetime.datetime(2024, 1, 31, tzinfo=datetime.UTC)))).select(PAGE)
+
+
+@add("SELECT DISTINCT tenant_id FROM (SELECT tenant_id FROM audit_logs UNION ALL SELECT actor_id FROM audit_logs UNION ALL SELECT '') WHERE tenant_id <> ''")
 def prune_tenant_union(spark, d):
     logs = event_logs(spark, d)
-    return delivery.tenants_to_prune(logs.where("event_id % 2 = 0"), logs.where("event_id < 100").select(F.col("actor_id").alias("tenant_id")), spark.sql("SELECT '' AS tenant_id"))
+    return delivery.tenants_to_prune(logs, logs.select(F.col("actor_id").alias("tenant_id")), spark.sql("SELECT '' AS tenant_id"))
 
 
 _TEXT = """'{"id":"' || id || '","tenantId":"' || tenant_id || '","actorId":"' || actor_id || '","action":"' || action || '","entityId":' || coalesce('"' || entity_id || '"', 'null') || ',"oldValues":null,"newValues":' || new_values || ',"metadata":null,"createdAt":"' || created_at || '"}'"""
@@ -238,6 +316,16 @@ def content_hash(spark, d):
     return event_logs(spark, d).select("id", scalars.content_hash(F.lit(scalars.GENESIS), scalars.integrity_payload()).alias("content_hash"))
 
 
+_ESCAPED = """'{"id":"' || id || '","tenantId":null,"actorId":"q\\"' || event_id || '\\t\\\\é\\u001f","action":"' || action || '","entityId":"","oldValues":{"o":[1,"é"]},"newValues":' || new_values || ',"metadata":{},"createdAt":"' || created_at || '"}'"""
+
+
+@add(f"SELECT id, sha256(repeat('a', 64) || chr(10) || {_ESCAPED}) AS content_hash FROM audit_logs")
+def content_hash_escapes(spark, d):
+    """All bags are filled, and an actor's name has what JSON escapes."""
+    text = {"actor_id": F.concat(F.lit('q"'), F.col("event_id").cast("string"), F.lit("\t\\é\x1f")), "tenant_id": F.lit(None).cast("string"), "entity_id": F.lit(""), "old_values": F.lit('{"o":[1,"é"]}'), "metadata": F.lit("{}")}
+    return event_logs(spark, d).withColumns(text).select("id", scalars.content_hash(F.lit("a" * 64), scalars.integrity_payload()).alias("content_hash"))
+
+
 _CHAIN = f"""WITH RECURSIVE o AS (SELECT id, tenant_id, row_number() OVER (PARTITION BY tenant_id ORDER BY id) AS n, {_TEXT} AS p, event_id FROM audit_logs),
 c AS (SELECT tenant_id, n, id, event_id, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || chr(10) || p) AS content_hash FROM o WHERE n = 1
   UNION ALL SELECT o.tenant_id, o.n, o.id, o.event_id, c.content_hash, sha256(c.content_hash || chr(10) || o.p) FROM c JOIN o ON o.tenant_id = c.tenant_id AND o.n = c.n + 1)"""
@@ -306,10 +394,19 @@ def retry_backoff(spark, d):
     return event_logs(spark, d).select("id", scalars.backoff_ms(F.col("event_id") % 10 + 1).alias("wait_ms"))
 
 
-@add("SELECT id, CASE WHEN event_id % 2 = 0 THEN 'aaaaaaaaaaaaaaaa…' ELSE actor_id END AS actor_id, event_id % 2 = 0 AS capped FROM audit_logs")
+@add("""SELECT id, CASE event_id % 4 WHEN 0 THEN 'aaaaaaaaaaaaaaaa…' WHEN 1 THEN repeat('é', 7) || chr(65533) || '…' WHEN 2 THEN repeat('漢', 5) || chr(65533) || '…' ELSE actor_id END AS actor_id, event_id % 4 < 3 AS capped FROM audit_logs""")
 def cap_strings(spark, d):
-    long = event_logs(spark, d).withColumn("actor_id", F.when(F.col("event_id") % 2 == 0, F.repeat(F.lit("a"), F.lit(40))).otherwise(F.col("actor_id")))
-    return sanitised(long, Limits(string_bytes=16)).withColumn("action", F.lit("")).select("id", "actor_id", ((F.col("event_id") % 2) == 0).alias("capped"))
+    n = F.col("event_id") % 4
+    long = event_logs(spark, d).withColumns({"actor_id": F.when(n == 0, "a" * 40).when(n == 1, "é" * 40).when(n == 2, "漢" * 40).otherwise(F.col("actor_id")), "action": F.lit("")})
+    return sanitised(long, Limits(string_bytes=16)).select("id", "actor_id", "capped")
+
+
+@add("SELECT id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN '[1,{\"a\":null}]' ELSE new_values END AS value, CASE WHEN event_id % 5 > 2 THEN (new_values ->> 'k')::INT END AS k FROM audit_logs")
+def safe_json_bags(spark, d):
+    n = F.col("event_id") % 5
+    bag = F.when(n == 0, "").when(n == 1, F.concat(F.lit("{"), F.col("new_values"))).when(n == 2, '[1,{"a":null}]').otherwise(F.col("new_values"))
+    logs = event_logs(spark, d).withColumn("new_values", bag).withColumn("value", scalars.safe_json(F.col("new_values")))
+    return query.with_parsed_bags(logs).select("id", "value", F.try_variant_get("new_values", "$.k", "int").alias("k"))
 
 
 @add("""SELECT id, '{"a":[{"name":' || event_id || '},{}],"keep":{}}' AS new_values, NULL::VARCHAR AS entity_id FROM audit_logs""")

@@ -10,7 +10,6 @@ from auditmill.functions.scalars import iso_millis
 LOG = "id string, tenant_id string, actor_id string, action string, entity_id string, old_values string, new_values string, metadata string, ip_address string, user_agent string, created_at string, prev_hash string, content_hash string"
 COLUMNS = [x.split()[0] for x in LOG.split(", ")]
 DLQ = f"id string, state string, tenant_id string, attempts int, logs array<struct<{LOG.replace(' string', ':string')}>>, created_ms long"
-JOURNAL = "id string, payload string, created_ms long"
 
 
 def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -21,10 +22,10 @@ def source(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFr
 
 
 def deliver(stream: DataFrame, insert: Callable[[DataFrame], None], checkpoint: str, limits: Limits = Limits(), dead_letter: Callable[[DataFrame, Exception], None] | None = None,
-            rejected: Callable[[DataFrame], None] | None = None, dedup_within: str | None = None, seconds: float | None = None) -> StreamingQuery:
+            rejected: Callable[[DataFrame], None] | None = None, dedup_within: str | None = None, seconds: float | None = None, attempts: int = 3, backoff_ms: int = 1000) -> StreamingQuery:
     """Cleaned records to insert(), batch by batch. A batch may be replayed after a crash: insert() is by id.
 
-    A batch that insert() refuses goes to dead_letter(); without that, or if it fails too, the batch fails and stays in the checkpoint.
+    A batch that insert() refuses `attempts` times goes to dead_letter(); without that, or if it fails too, the batch fails and stays in the checkpoint.
     dedup_within bounds the state of an early dedup by event time. Without seconds, all that is there is worked off and the query ends."""
     if dedup_within:
         stream = stream.withColumn("_at", F.try_to_timestamp("created_at")).withWatermark("_at", dedup_within).dropDuplicatesWithinWatermark(["id"]).drop("_at")
@@ -33,15 +34,22 @@ def deliver(stream: DataFrame, insert: Callable[[DataFrame], None], checkpoint:
         good, bad = split_by_tenant(rows, limits)
         clean = sanitised(good, limits).select(*COLUMNS).persist()
         try:
-            if rejected and limits.require_tenant:
-                rejected(bad)
-            insert(clean)
-        except Exception as e:  # noqa: BLE001
-            if not dead_letter:
-                raise
-            dead_letter(clean, e)
+            for attempt in range(attempts):
+                try:
+                    insert(clean)
+                    break
+                except Exception as e:  # noqa: BLE001 - any failure of the destination is retried, then dead-lettered
+                    if attempt + 1 < attempts:
+                        time.sleep(backoff_ms * 2**attempt / 1000)
+                    elif dead_letter:
+                        dead_letter(clean, e)
+                    else:
+                        raise
         finally:
             clean.unpersist()
+        # after the good ones: if this fails the batch comes again, and they are there already
+        if rejected and limits.require_tenant:
+            rejected(bad)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
@@ -50,9 +58,9 @@ def deliver(stream: DataFrame, insert: Callable[[DataFrame], None], checkpoint:
 def sealed(stream: DataFrame, chain: str = "tenant_id") -> DataFrame:
     """stream with prev_hash and content_hash; each chain's last hash is state, so that chains go on across batches and restarts.
 
-    Records of a batch are chained by id."""
+    Records of a batch are chained by id. Those without a tenant are a chain of their own."""
     kept = [c for c in COLUMNS if c not in ("prev_hash", "content_hash")]
-    held = stream.select(*kept, F.coalesce(chain, F.lit("")).alias("_chain"), integrity_payload().alias("_payload"))
+    held = stream.select(*kept, F.coalesce(F.concat(F.lit("of "), F.col(chain)), F.lit("")).alias("_chain"), integrity_payload().alias("_payload"))
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(parts)).sort_values("id")

@@ -367,7 +367,7 @@ def test_stream_delivers_once_and_goes_on(spark, tmp_path):
         (tmp_path / "in" / name).write_text("\n".join(json.dumps(dict(zip(COLUMNS, r, strict=True))) for r in rows))
 
     def work(insert):
-        streaming.deliver(streaming.source(spark, f"file://{tmp_path}/in", 1), insert, f"file://{tmp_path}/ck", Limits(require_tenant=True), lambda rows, e: letters.append(rows.count())).awaitTermination()
+        streaming.deliver(streaming.source(spark, f"file://{tmp_path}/in", 1), insert, f"file://{tmp_path}/ck", Limits(require_tenant=True), lambda rows, e: letters.append(rows.count()), attempts=2, backoff_ms=1).awaitTermination()
 
     put("1.json", [log(1), log(2), log(3, tenant=" ")])
     work(table.insert)
@@ -381,7 +381,7 @@ def test_stream_delivers_once_and_goes_on(spark, tmp_path):
 def test_stream_chain_goes_on_across_restarts(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k, ids in enumerate(([1, 2], [3], [4, 5])):
-        (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(COLUMNS, log(i), strict=True))) for i in ids))
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(COLUMNS, log(i, tenant=[None, ""][i % 2]), strict=True))) for i in ids))
         q = streaming.sealed(streaming.source(spark, f"file://{tmp_path}/in", 1)).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
         q.awaitTermination()
     out = spark.read.schema(LOG).parquet(f"file://{tmp_path}/out")
