@@ -275,8 +275,9 @@ def _list_pairs(t: Fraction):
     return run
 
 
-def links(active: DataFrame, t: Fraction = SIMILARITY) -> DataFrame:
-    """(a, b): links between active sets. It holds a link path between any two sets that links connect."""
+def link_paths(active: DataFrame, t: Fraction = SIMILARITY) -> DataFrame:
+    """(a, b): links between active sets, each verified; not all of them, but a path between any two sets that links connect. With the sets of documents that is
+    membership and links of representatives."""
     posts = written(active.select("set_id", "n", (F.col("own") * 1_000_000 / F.col("n")).cast("int").alias("own"), F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + 0), "postings")
     ends = active.select("set_id", F.col("own").alias("skipped"))
     lead = posts.groupBy("token").agg(F.min(F.struct("own", "set_id", "n")).alias("lead"), F.count("*").alias("f")).where("f > 1")
@@ -316,7 +317,7 @@ def _grouped(placed: DataFrame, words: int, t: Fraction) -> DataFrame:
     seed = secrets.randbits(62)
     mine = written(sets(placed, words, seed), "sets")
     elected = elect(mine)
-    found = written(components(links(active_sets(placed, mine, elected, words, seed, t), t)), "components")
+    found = written(components(link_paths(active_sets(placed, mine, elected, words, seed, t), t)), "components")
     # a component of thousands of sets, and a set of thousands of copies, are dealt over several tasks: the small side is repeated for each. Its
     # files compress so well that they would pass for a table small enough to broadcast
     linked = written(elected.select("set_id", "least", F.col("number").alias("node")).join(found, "node").select("set_id", "least", "component"), "linked")

@@ -8,6 +8,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +54,27 @@ def clean(spark: SparkSession) -> None:
         _made.remove(item)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Scratch made inside is deleted at the end, but for the files of tables that are put in the list. For callers that have written what they need."""
+    before, kept = len(_made), []
+    yield kept
+    stay = {str(f) for df in kept for f in df.inputFiles()}
+    for item in [x for x in _made[before:] if x[0] is spark]:
+        path = item[1].removeprefix("file://")
+        if not any(path in f for f in stay):
+            _drop(*item)
+            _made.remove(item)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the scratch table that df reads, if it is one."""
+    files = df.inputFiles()
+    for item in [x for x in _made if any(x[1].removeprefix("file://") in f for f in files)]:
+        _drop(*item)
+        _made.remove(item)
+
+
 def _clean_all() -> None:
     for spark, path in _made:
         try:
