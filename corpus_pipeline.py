@@ -48,8 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over sf_dir's documents."""
+    """All stages over sf_dir's documents. A stage's own tables go when it is written, and its result when the next one is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = shared.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with shared.scope(spark) as kept:
+            out = shared.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            kept.append(out)
+        if k:
+            shared.drop(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
