@@ -5,7 +5,7 @@ rank, and a bitmap in two levels says which buckets have entries; find-first-set
 changed since are stale and skipped when they come up. A merge costs a constant number of steps whatever the piece's
 length: a piece of megabytes is as cheap a byte as a short one.
 
-Texts are cut by the vocabulary's pattern, and each distinct piece is merged once a task (until CACHE of them are kept).
+Texts are cut by the vocabulary's pattern, and each distinct piece is merged once a worker, for all tasks that it runs (until CACHE of them are kept).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -21,8 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pieces whose ids a task keeps. When there are more, it starts anew.
-CACHE = 500_000
+#: Distinct pieces whose ids a worker keeps. When there are more, it starts anew.
+CACHE = 1_000_000
 #: Texts of about so many characters are encoded together.
 TOGETHER = 8_000_000
 
@@ -189,6 +190,12 @@ class Tokenizer:
             yield len(ids), hashlib.sha256(",".join(map(self.joined_pieces.__getitem__, pieces)).encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
 
 
+@lru_cache(maxsize=2)
+def worker_tokenizer(path: str, pattern: str) -> Tokenizer:
+    """The tokenizer that a worker's tasks share."""
+    return Tokenizer(read_ranks(path), pattern)
+
+
 def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """flat[start : start + length] of each, end to end."""
     end = np.cumsum(length)
@@ -233,7 +240,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     path, pattern = path or known, pattern or cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Tokenizer(read_ranks(path), pattern)
+        own = worker_tokenizer(path, pattern)
         for docs, texts in _together(batches):
             made = own.encode_all(texts)
             for i in range(0, len(docs), 500):
@@ -247,7 +254,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_tokenizer()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Tokenizer(read_ranks(path), "")
+        own = worker_tokenizer(path, "")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x.as_py() or []) for x in batch.column(1)], pa.binary())], names=["doc_id", "bytes"])
 
@@ -257,13 +264,13 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def encode_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the bytes that the ids decode to).
 
-    A null text is empty; bytes that are no UTF-8 count as U+FFFD. A text is encoded whole, however long. Repeated rows are encoded repeatedly (from the task's cache); other columns
+    A null text is empty; bytes that are no UTF-8 count as U+FFFD. A text is encoded whole, however long. Repeated rows are encoded repeatedly (from the worker's cache); other columns
     are not used. An empty table gives no rows."""
     known, cut = default_tokenizer()
     path, pattern = path or known, pattern or cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Tokenizer(read_ranks(path), pattern)
+        own = worker_tokenizer(path, pattern)
         for docs, texts in _together(batches):
             made = list(own.digests(texts))
             kinds = [pa.int64(), pa.string(), pa.string()]
@@ -278,7 +285,7 @@ def encode_checked(docs: DataFrame, path: str | None = None, pattern: str | None
     path, pattern = path or known, pattern or cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Tokenizer(read_ranks(path), pattern)
+        own = worker_tokenizer(path, pattern)
         for docs, texts in _together(batches):
             for i in range(0, len(docs), 500):
                 made = own.encode_all(texts[i : i + 500])
