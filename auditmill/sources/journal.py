@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import threading
 import time
 import uuid
 
@@ -35,13 +36,14 @@ class Journal:
     """Segments of records, and files of the ids that are delivered. One writer at a time.
 
     append() returns once the records are stored. Records count as pending until they are acked; compact() writes pending ones anew and drops
-    the rest. With a key, lines are encrypted."""
+    the rest. With a key, lines are encrypted. Threads of the writer may share it."""
 
     def __init__(self, spark: SparkSession, path: str, max_bytes: int = 64 << 20, ack_files: int = 256, key: bytes | None = None):
         self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark, path)
         self.max_bytes, self.ack_files, self.key = max_bytes, ack_files, key
         self._bytes = sum(self.files.sizes("segments").values())
         self._next = self.max_segment() + 1
+        self._lock = threading.RLock()
 
     def segments(self) -> list[str]:
         return [n for n in self.files.names("segments") if n.endswith(".ndjson")]
@@ -68,17 +70,19 @@ class Journal:
             return
         text = "".join(x + "\n" for x in self._sealed([line(r) for r in records]))
         size = len(text.encode())
-        if self._bytes + size > self.max_bytes:
-            raise JournalFull(f"the journal holds {self._bytes} bytes and takes {self.max_bytes}")
-        self.files.write(f"segments/{self._number()}.ndjson", text)
-        self._bytes += size
+        with self._lock:
+            if self._bytes + size > self.max_bytes:
+                raise JournalFull(f"the journal holds {self._bytes} bytes and takes {self.max_bytes}")
+            self.files.write(f"segments/{self._number()}.ndjson", text)
+            self._bytes += size
 
     def ack(self, ids: list[str]) -> None:
         """These records are delivered. Many files of acks make the journal compact itself."""
-        if ids:
-            self.files.write(f"acks/{self._number()}.txt", "".join(i + "\n" for i in ids))
-            if len(self.files.names("acks")) >= self.ack_files:
-                self.compact()
+        with self._lock:
+            if ids:
+                self.files.write(f"acks/{self._number()}.txt", "".join(i + "\n" for i in ids))
+                if len(self.files.names("acks")) >= self.ack_files:
+                    self.compact()
 
     def acks(self) -> DataFrame:
         return files.acks(self.spark, f"{self.path}/acks") if self.files.names("acks") else self.spark.createDataFrame([], "id string")
@@ -139,6 +143,7 @@ class DeadLetters:
     def __init__(self, spark: SparkSession, path: str, entries: int = 10_000, batch: int = 100, changes: int = 256):
         self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark, path)
         self.entries, self.batch, self.changes = entries, batch, changes
+        self._lock = threading.RLock()
 
     def transitions(self) -> DataFrame:
         schema = "id string, n long, state string, attempts int"
@@ -161,6 +166,10 @@ class DeadLetters:
 
     def add(self, logs: DataFrame) -> int:
         """Logs as pending batches of one tenant each; their number. DeadLettersFull if there would be too many batches that are not dead."""
+        with self._lock:
+            return self._add(logs)
+
+    def _add(self, logs: DataFrame) -> int:
         stamp, ms = uuid.uuid4().hex, int(time.time() * 1000)
         name = F.concat(F.lit(f"{ms:013d}-{stamp}-"), F.lpad(F.col("batch_no").cast("string"), 9, "0"), F.lit("-"), F.substring(F.sha2(F.col("queue"), 256), 1, 16))
         made = delivery.chunks(logs, "id", self.batch).groupBy(delivery.queue_key().alias("queue"), "batch_no").agg(F.sort_array(F.collect_list(F.struct(*COLUMNS))).alias("logs"), F.first("tenant_id").alias("tenant_id"))

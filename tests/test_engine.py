@@ -555,3 +555,18 @@ def test_verification_by_ranges_equals_a_scan(spark):
         for slices in (1, 7, 40):
             got = integrity.failures(table, slices=slices)
             assert {r.tenant_id: (r.failed_at, r.error) for r in got.collect()} == want
+
+
+def test_tables_take_inserts_at_once(spark, tmp_path):
+    events = []
+    logger = AuditLogger(spark, Config(f"file://{tmp_path}/log", database_per_tenant=True, integrity=True, insert_attempts=1, backoff_ms=1), events.append)
+    for i in range(12):
+        logger.fire("x.y", f"u{i}", tenant_id=f"t{i % 6}")
+    for t in ("t1", "t4"):
+        logger.table(t).insert = lambda *_: (_ for _ in ()).throw(OSError("down"))
+    assert logger.flush()
+    state = logger.stats_detailed()
+    assert (state["journal"], state["pending"], state["queued"]) == (0, 2, 0) and not [e for e in events if e["type"] == "error"]
+    logger._tables.clear()
+    logger.retry_dlq_now()
+    assert all(logger.table(f"t{k}").scan().count() == 2 and integrity.failures(logger.table(f"t{k}").scan()).count() == 0 for k in range(6))
