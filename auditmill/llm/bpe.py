@@ -5,7 +5,12 @@ rank, and a bitmap in two levels says which buckets have entries; find-first-set
 changed since are stale and skipped when they come up. A merge costs a constant number of steps whatever the piece's
 length: a piece of megabytes is as cheap a byte as a short one.
 
-Texts are cut by the vocabulary's pattern, and each distinct piece is merged once a worker, for all tasks that it runs (until CACHE of them are kept).
+Long pieces have a queue each. Short ones, of which a text has very many, share one, and numpy takes a step for many of them at once: the upper bitmap says
+which word of ranks is the least with entries; of that word each piece with entries has a lower bitmap of its own, whose first set bit is the rank that
+the piece merges next, at its leftmost place. Pieces never touch each other, so each sees just the order of merges that it would see alone.
+
+Texts are cut by the vocabulary's pattern, and each distinct piece is merged once a task (until CACHE of them are kept). The vocabulary's tables stay with
+the worker for its next task; pieces do not, as their memory would be missing in the stages that follow.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from heapq import heappop, heappush
 
@@ -22,10 +28,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pieces whose ids a worker keeps. When there are more, it starts anew.
-CACHE = 1_000_000
+from auditmill.llm.shared import release_memory
+
+#: Distinct pieces whose ids a task keeps. When there are more, it starts anew.
+CACHE = 500_000
 #: Texts of about so many characters are encoded together.
 TOGETHER = 8_000_000
+#: Bytes from which on a piece has a queue of its own.
+LONG = 200
+#: Ranks in one word of the bitmap.
+_WORD = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,10 +58,13 @@ class Tokenizer:
         self.bytes = [ranks.get(bytes([b]), -1) for b in range(256)]
         self.names = [str(r) for r in range(self.size)]
         self.cut = regex.compile(pattern).findall
-        #: Rank of a pair of ids (left * size + right), -1 for none; as pairs come up.
+        #: Rank of a pair of ids (left * size + right), -1 for none; as pairs come up in long pieces.
         self.pairs: dict[int, int] = {}
-        #: Words of the queue's lower bitmap, of 256 ranks each; all empty between pieces.
-        self.words = [0] * (self.size // 256 + 1)
+        #: Words of a long piece's lower bitmap; all empty between pieces.
+        self.words = [0] * (self.size // _WORD + 1)
+        found = [(ranks[t[:i]] * self.size + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        #: All pairs with a rank, sorted.
+        self.keys, self.key_ranks = np.array(sorted(found), np.int64).reshape(-1, 2).T.copy()
         length = np.array([len(t or b"") for t in self.tokens], np.int64)
         self.token_start, self.token_length = np.cumsum(length) - length, length
         self.token_bytes = np.frombuffer(b"".join(t or b"" for t in self.tokens), np.uint8)
@@ -134,12 +149,99 @@ class Tokenizer:
                     top |= 1 << (r >> 8)
         return tuple([x for x in ids if x >= 0])
 
+    def _rank(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.key_ranks[at], -1)
+
+    def merge_short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces (each under LONG bytes), end to end, and each piece's number of them."""
+        size = self.size
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        n = len(data)
+        length = np.array([len(p) for p in pieces], np.int64)
+        begin = np.cumsum(length) - length
+        piece = np.repeat(np.arange(len(pieces)), length)
+        # node n stands for none, before and after each piece
+        ids = np.append(np.array(self.bytes, np.int64)[data], -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[begin + length - 1], before[begin] = n, n
+        pair = np.full(n + 1, -1, np.int64)
+        inner = np.flatnonzero(after[:n] < n)
+        pair[inner] = self._rank(ids[inner] * size + ids[inner + 1])
+        words: list[list[np.ndarray]] = [[] for _ in range(size // _WORD + 1)]
+        top = 0
+
+        def push(nodes: np.ndarray) -> int:
+            """Into the buckets of their ranks' words; the words' bits."""
+            word = pair[nodes] // _WORD
+            order = np.argsort(word, kind="stable")
+            word, nodes = word[order], nodes[order]
+            cut = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])).tolist() if len(word) else []
+            bits = 0
+            for i, j in zip(cut, [*cut[1:], len(word)], strict=False):
+                words[w := int(word[i])].append(nodes[i:j])
+                bits |= 1 << w
+            return bits
+
+        top |= push(inner[pair[inner] >= 0])
+        while top:
+            w = (top & -top).bit_length() - 1
+            top &= top - 1
+            at = np.unique(np.concatenate(words[w]))
+            words[w] = []
+            # what is stale has another rank by now, or none
+            at = at[pair[at] // _WORD == w]
+            if not len(at):
+                continue
+            p, low = piece[at], pair[at] % _WORD
+            first = np.concatenate([[True], p[1:] != p[:-1]])
+            group = np.cumsum(first) - 1
+            due = low == _first_bits(low, np.flatnonzero(first))[group]
+            # nodes ascend, so the first one that is due is the leftmost
+            due = np.flatnonzero(due)
+            due = due[np.concatenate([[True], group[due[1:]] != group[due[:-1]]])]
+            if len(due) < len(at):
+                rest = np.ones(len(at), bool)
+                rest[due] = False
+                words[w].append(at[rest])
+                top |= 1 << w
+            at = at[due]
+            rank = pair[at]
+            right = after[at]
+            ids[at], ids[right] = rank, -1
+            pair[at] = pair[right] = -1
+            beyond = after[right]
+            after[at] = beyond
+            before[beyond] = at
+            has = beyond < n
+            x, beyond = at[has], beyond[has]
+            pair[x] = self._rank(rank[has] * size + ids[beyond])
+            left = before[at]
+            has = left < n
+            y = left[has]
+            pair[y] = self._rank(ids[y] * size + rank[has])
+            changed = np.concatenate([x, y])
+            top |= push(changed[pair[changed] >= 0])
+        rest = ids[:n] >= 0
+        return ids[:n][rest].astype(np.int32), np.bincount(piece[rest], minlength=len(pieces))
+
     def _learn(self, new: list[str]) -> None:
         """Merge pieces that are new to the cache."""
-        made = [self.merge(p.encode()) for p in new]
-        length = np.array([len(x) for x in made], np.int64)
+        raw = [p.encode() for p in new]
+        known = [(self.ranks[p],) if p in self.ranks else self.merge(p) if len(p) >= LONG else None for p in raw]
+        short = [k for k, x in enumerate(known) if x is None]
+        length = np.array([0 if x is None else len(x) for x in known], np.int64)
+        flat, count = self.merge_short([raw[k] for k in short]) if short else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        length[short] = count
         start = np.cumsum(length) - length
-        out = np.fromiter((i for x in made for i in x), np.int32, length.sum())
+        out = np.empty(length.sum(), np.int32)
+        own = np.zeros(len(new), bool)
+        own[short] = True
+        inside = np.repeat(own, length)
+        out[inside] = flat
+        out[~inside] = [i for x in known if x is not None for i in x]
         self.start = np.concatenate([self.start, start + len(self.flat)])
         self.length = np.concatenate([self.length, length])
         self.flat = np.concatenate([self.flat, out])
@@ -191,11 +293,32 @@ class Tokenizer:
 
 
 @lru_cache(maxsize=2)
-def worker_tokenizer(path: str, pattern: str) -> Tokenizer:
-    """The tokenizer that a worker's tasks share."""
+def _vocabulary(path: str, pattern: str) -> Tokenizer:
     return Tokenizer(read_ranks(path), pattern)
 
 
+@contextmanager
+def task_tokenizer(path: str, pattern: str) -> Iterator[Tokenizer]:
+    """The worker's tokenizer for a task, which leaves no pieces behind."""
+    own = _vocabulary(path, pattern)
+    try:
+        yield own
+    finally:
+        own._forget()
+        own.pairs.clear()
+        release_memory()
+
+
+def _first_bits(low: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The first set bit of each group's bitmap of _WORD bits, which has a bit for each of the group's ranks (low)."""
+    out = np.full(len(begins), -1)
+    for k in range(_WORD // 64 - 1, -1, -1):
+        bits = np.bitwise_or.reduceat(np.where(low >> 6 == k, np.uint64(1) << (low & 63).astype(np.uint64), np.uint64(0)), begins)
+        one = bits & (~bits + np.uint64(1))
+        out = np.where(bits > 0, 64 * k + np.log2(np.maximum(one, np.uint64(1)).astype(float)).astype(np.int64), out)
+    return out
+
+
 def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """flat[start : start + length] of each, end to end."""
     end = np.cumsum(length)
@@ -240,11 +363,11 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     path, pattern = path or known, pattern or cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = worker_tokenizer(path, pattern)
-        for docs, texts in _together(batches):
-            made = own.encode_all(texts)
-            for i in range(0, len(docs), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 500], pa.int64()), _lists(made[i : i + 500])], names=["doc_id", "ids"])
+        with task_tokenizer(path, pattern) as own:
+            for docs, texts in _together(batches):
+                made = own.encode_all(texts)
+                for i in range(0, len(docs), 500):
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 500], pa.int64()), _lists(made[i : i + 500])], names=["doc_id", "ids"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -254,9 +377,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_tokenizer()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = worker_tokenizer(path, "")
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x.as_py() or []) for x in batch.column(1)], pa.binary())], names=["doc_id", "bytes"])
+        with task_tokenizer(path, "") as own:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x.as_py() or []) for x in batch.column(1)], pa.binary())], names=["doc_id", "bytes"])
 
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, bytes binary")
 
@@ -264,17 +387,17 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def encode_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the bytes that the ids decode to).
 
-    A null text is empty; bytes that are no UTF-8 count as U+FFFD. A text is encoded whole, however long. Repeated rows are encoded repeatedly (from the worker's cache); other columns
+    A null text is empty; bytes that are no UTF-8 count as U+FFFD. A text is encoded whole, however long. Repeated rows are encoded repeatedly (from the task's cache); other columns
     are not used. An empty table gives no rows."""
     known, cut = default_tokenizer()
     path, pattern = path or known, pattern or cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = worker_tokenizer(path, pattern)
-        for docs, texts in _together(batches):
-            made = list(own.digests(texts))
-            kinds = [pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with task_tokenizer(path, pattern) as own:
+            for docs, texts in _together(batches):
+                made = list(own.digests(texts))
+                kinds = [pa.int64(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -285,11 +408,11 @@ def encode_checked(docs: DataFrame, path: str | None = None, pattern: str | None
     path, pattern = path or known, pattern or cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = worker_tokenizer(path, pattern)
-        for docs, texts in _together(batches):
-            for i in range(0, len(docs), 500):
-                made = own.encode_all(texts[i : i + 500])
-                digests = [hashlib.sha256(own.decode(x)).hexdigest() for x in made]
-                yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 500], pa.int64()), _lists(made), pa.array([len(x) for x in made], pa.int64()), pa.array(digests)], names=["doc_id", "ids", "n_tokens", "text_sha256"])
+        with task_tokenizer(path, pattern) as own:
+            for docs, texts in _together(batches):
+                for i in range(0, len(docs), 500):
+                    made = own.encode_all(texts[i : i + 500])
+                    digests = [hashlib.sha256(own.decode(x)).hexdigest() for x in made]
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 500], pa.int64()), _lists(made), pa.array([len(x) for x in made], pa.int64()), pa.array(digests)], names=["doc_id", "ids", "n_tokens", "text_sha256"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, text_sha256 string")

@@ -55,6 +55,19 @@ def test_the_queue_merges_as_a_plain_loop_does():
             if p not in tok.ranks:
                 assert tok.merge(p) == plain(p, tok.ranks)
         assert not any(tok.words)
+        # and all at once
+        pieces = [p for p in (bytes(rnd.choice(alphabet) for _ in range(rnd.randrange(1, bpe.LONG))) for _ in range(400)) if p not in tok.ranks]
+        flat, n = tok.merge_short(pieces)
+        end = np.cumsum(n)
+        assert [tuple(flat[i:j].tolist()) for i, j in zip(end - n, end, strict=True)] == [plain(p, tok.ranks) for p in pieces]
+
+
+def test_first_bits():
+    rnd = np.random.default_rng(4)
+    for _ in range(50):
+        low, begins = rnd.integers(0, 256, 40), np.unique(np.append(rnd.integers(0, 40, 6), 0))
+        ends = [*begins[1:], 40]
+        assert bpe._first_bits(low, begins).tolist() == [low[i:j].min() for i, j in zip(begins, ends, strict=True)]
 
 
 def test_bytes_that_are_no_text_become_replacement_characters(spark):
