@@ -17,7 +17,7 @@ import xxhash
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes of text that are hashed together; a longer text is a block of its own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

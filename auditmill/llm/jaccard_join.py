@@ -36,7 +36,7 @@ from pyspark.sql.types import StructType
 
 from auditmill.llm import bytehash, sidefiles
 from auditmill.llm.components import components
-from auditmill.llm.shared import parts_of, written
+from auditmill.llm.shared import frugal, frugal_group, parts_of, written
 
 U64, I64 = np.uint64, np.int64
 #: Share of two sets that must agree.
@@ -58,7 +58,7 @@ def sets(placed: DataFrame, words: int, seed: int) -> DataFrame:
             own = [xxhash.xxh3_128_digest(h[i:j].tobytes()) if j > i else None for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.diff(offsets)), pa.array(np.diff(at)), pa.array(own, pa.binary())], names=["doc_id", "text_key", "src", "pos", "n_bytes", "n_shingles", "set_id"])
 
-    return placed.select("doc_id", text_key().alias("text_key"), "src", "pos", "text").mapInArrow(run, "doc_id long, text_key long, src long, pos long, n_bytes long, n_shingles long, set_id binary")
+    return placed.select("doc_id", text_key().alias("text_key"), "src", "pos", "text").mapInArrow(frugal(run), "doc_id long, text_key long, src long, pos long, n_bytes long, n_shingles long, set_id binary")
 
 
 def text_key() -> Column:
@@ -87,7 +87,7 @@ def _unpack(blobs: list[bytes], *kinds: type) -> tuple[np.ndarray, ...]:
 
 
 #: Shingles and sets from which on a block is full; up to 10,000 sets come at once, and a place in a block has 16 bits.
-BLOCK_SHINGLES, BLOCK_SETS = 2_000_000, 50_000
+BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 50_000
 _DEALT = "part int, whole boolean, block long, blob binary"
 
 
@@ -196,11 +196,11 @@ def elect(mine: DataFrame) -> DataFrame:
 
 def active_sets(placed: DataFrame, mine: DataFrame, elected: DataFrame, words: int, seed: int, t: Fraction = SIMILARITY) -> DataFrame:
     """The sets that can have a partner, each with its size, its number of shingles that no other set has, the others, and its index prefix."""
-    parts = parts_of(elected.agg(F.sum("n_bytes")).first()[0] or 0)
+    parts = parts_of(placed.sparkSession, elected.agg(F.sum("n_bytes")).first()[0] or 0)
     facts = sidefiles.save(sidefiles.packed(elected.select("src", "pos", "number")), "elected", mine.select("src").distinct())
-    dealt = placed.select("src", "pos", "text").mapInArrow(_blocks_by_part(facts, words, seed, parts), _DEALT)
-    back = dealt.repartitionById(parts, "part").groupBy("part").applyInPandas(_shared, "block long, whole boolean, blob binary")
-    return written(back.groupBy("block").applyInPandas(_active(t), ACTIVE), "active")
+    dealt = placed.select("src", "pos", "text").mapInArrow(frugal(_blocks_by_part(facts, words, seed, parts)), _DEALT)
+    back = dealt.repartitionById(parts, "part").groupBy("part").applyInPandas(frugal_group(_shared), "block long, whole boolean, blob binary")
+    return written(back.groupBy("block").applyInPandas(frugal_group(_active(t)), ACTIVE), "active")
 
 
 def _verified(pairs: DataFrame, active: DataFrame, t: Fraction) -> DataFrame:
@@ -220,7 +220,7 @@ def _verified(pairs: DataFrame, active: DataFrame, t: Fraction) -> DataFrame:
 
     x = own.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("s_a"))
     y = own.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("s_b"))
-    found = pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long, common long, joint long, linked boolean")
+    found = pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(frugal(run), "a long, b long, common long, joint long, linked boolean")
     return written(found, "verified")
 
 
@@ -288,7 +288,7 @@ def link_paths(active: DataFrame, t: Fraction = SIMILARITY) -> DataFrame:
     to = posts.join(group, F.col("set_id") == F.col("node"), "left").join(ends, "set_id").select("token", "set_id", "n", (F.col("pos") + F.col("skipped")).cast("int").alias("pos"), F.coalesce("component", "set_id").alias("comp"))
     to = written(to, "lists")
     mixed = to.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    pairs = to.join(mixed, "token", "left_semi").repartition("token").sortWithinPartitions("token", "n", "pos", "set_id").mapInArrow(_list_pairs(t), "a long, b long").distinct()
+    pairs = to.join(mixed, "token", "left_semi").repartition("token").sortWithinPartitions("token", "n", "pos", "set_id").mapInArrow(frugal(_list_pairs(t)), "a long, b long").distinct()
     pairs = written(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     # a set's leader is the one it was found linked to, at a known distance; any other set leads itself
     led = star.where("linked").select(F.col("a").alias("id"), F.col("b").alias("lead"), (1 - F.col("common") / F.col("joint")).alias("far"))
@@ -364,4 +364,4 @@ def keep_one(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILARITY) -> D
                 yield pa.RecordBatch.from_arrays(own.columns[2:], names=["_row"])
 
     rows = placed.select("src", "pos", "_row")
-    return rows.mapInArrow(run, StructType(rows.schema.fields[2:])).select("_row.*")
+    return rows.mapInArrow(frugal(run), StructType(rows.schema.fields[2:])).select("_row.*")

@@ -6,18 +6,22 @@ The folder is the session's spark.checkpoint.dir. Only where a session has none
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of files that one task reads, where there are more of them than cores.
 TASK_BYTES = 128_000_000
 #: Bytes of text whose hashes or segments one part of a hash space holds: what one task takes whole. More text makes more parts.
 PART_BYTES = 8_000_000
-_made: list[tuple[SparkSession, str]] = []
+_made: list[tuple[SparkSession, str, int]] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -38,7 +42,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     path = f"{folder(spark)}/auditmill/{name}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_clean_all)
-    _made.append((spark, path))
+    _made.append((spark, path, threading.get_ident()))
     return path
 
 
@@ -50,33 +54,32 @@ def _drop(spark: SparkSession, path: str) -> None:
 def clean(spark: SparkSession) -> None:
     """Delete all scratch tables of this session. Only for a caller that has written its results."""
     for item in [x for x in _made if x[0] is spark]:
-        _drop(*item)
+        _drop(*item[:2])
         _made.remove(item)
 
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
-    """Scratch made inside is deleted at the end, but for the files of tables that are put in the list. For callers that have written what they need."""
-    before, kept = len(_made), []
+    """Scratch that this thread makes inside is deleted at the end, but for tables that are put in the list. For callers that have written what they need."""
+    before, me, kept = {x[1] for x in _made}, threading.get_ident(), []
     yield kept
-    stay = {str(f) for df in kept for f in df.inputFiles()}
-    for item in [x for x in _made[before:] if x[0] is spark]:
-        path = item[1].removeprefix("file://")
-        if not any(path in f for f in stay):
-            _drop(*item)
+    files = [f for df in kept for f in df.inputFiles()[:1]]
+    for item in [x for x in _made if x[0] is spark and x[2] == me and x[1] not in before]:
+        if not any(item[1].removeprefix("file://") in f for f in files):
+            _drop(*item[:2])
             _made.remove(item)
 
 
 def drop(df: DataFrame) -> None:
     """Delete the scratch table that df reads, if it is one."""
-    files = df.inputFiles()
+    files = df.inputFiles()[:1]
     for item in [x for x in _made if any(x[1].removeprefix("file://") in f for f in files)]:
-        _drop(*item)
+        _drop(*item[:2])
         _made.remove(item)
 
 
 def _clean_all() -> None:
-    for spark, path in _made:
+    for spark, path, _ in _made:
         try:
             _drop(spark, path)
         except Exception:  # noqa: BLE001 - the gateway may be gone at exit
@@ -98,9 +101,42 @@ def dealt(rows: DataFrame, n: int, n_bytes: int) -> DataFrame:
     return rows.repartition(max(1, min(n, max(rows.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // TASK_BYTES)))))
 
 
-def parts_of(n_bytes: int) -> int:
-    """Parts of a hash space over n_bytes of text, each of which a task can hold. They go to tasks by number (repartitionById), one to each."""
-    return max(1, -(-n_bytes // PART_BYTES))
+def parts_of(spark: SparkSession, n_bytes: int) -> int:
+    """Parts of a hash space over n_bytes of text, each of which a task can hold. They go to tasks by number (repartitionById), one to each.
+
+    The session's auditmill.partBytes says how much text makes a part, for executors with more memory: at 100 TB, 128 MB make 780,000 parts."""
+    return max(1, -(-n_bytes // int(spark.conf.get("auditmill.partBytes", str(PART_BYTES)))))
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system. A worker process outlives its task, and what its allocators keep would be missing in the next stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def frugal(run: Callable) -> Callable:
+    """A function of Arrow batches that leaves no freed memory behind."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
+def frugal_group(run: Callable) -> Callable:
+    """The same of one group's rows."""
+
+    def wrapped(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return run(pdf)
+        finally:
+            release_memory()
+
+    return wrapped
 
 
 def filesystem(address: str):

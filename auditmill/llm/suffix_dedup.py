@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditmill.llm import bytehash, sidefiles
-from auditmill.llm.shared import parts_of, written
+from auditmill.llm.shared import frugal, frugal_group, parts_of, written
 from auditmill.llm.sidefiles import Facts, by_source, runs
 
 U64, I64, I32 = np.uint64, np.int64, np.int32
@@ -271,7 +271,7 @@ def _anchor_blocks(copies: str, length: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at, size = [], None, 0
         for src, _, _, data, offsets in _rows(batches, Facts(copies, _later)):
-            if held and (src != at or size > 4_000_000):
+            if held and (src != at or size > 2_000_000):
                 yield flush(at, held)
                 held, size = [], 0
             h = anchors(data, offsets, length)[3]
@@ -455,8 +455,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, ex
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*own, strict=True)], names=["doc", "h", "src", "pos", "n"])
 
-    ids = written(rows.mapInArrow(named, "doc long, h long, src long, pos long, n long"), "texts")
-    parts = parts_of(ids.agg(F.sum("n")).first()[0] or 0)
+    ids = written(rows.mapInArrow(frugal(named), "doc long, h long, src long, pos long, n long"), "texts")
+    parts = parts_of(docs.sparkSession, ids.agg(F.sum("n")).first()[0] or 0)
     sources = written(ids.select("src").distinct(), "sources")
     # the elected row of a document lies in any of its slices, not always in the same one
     row = F.struct("doc", F.xxhash64("h", "src").alias("draw"), "src", "pos")
@@ -468,11 +468,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, ex
     later = equal.where("doc > first.doc").select("src", "doc", "h", F.lit(-1).cast("long").alias("pos")).unionByName(other.select("src", "doc", "h", "pos"))
 
     copies = sidefiles.save(sidefiles.packed(later), "copies", sources)
-    dealt = rows.mapInArrow(_anchor_blocks(copies, length, parts), "part int, src long, blob binary")
-    repeated = sidefiles.save(dealt.repartitionById(parts, "part").groupBy("part").applyInPandas(_repeated, "src long, blob binary"), "repeated", sources)
-    segments = rows.mapInArrow(_segment_blocks(copies, repeated, length, parts), "part int, mark boolean, src long, blob binary")
-    marks = sidefiles.save(segments.repartitionById(parts, "part").groupBy("part").applyInPandas(_part_marks(length), "src long, blob binary"), "marks", sources)
+    dealt = rows.mapInArrow(frugal(_anchor_blocks(copies, length, parts)), "part int, src long, blob binary")
+    repeated = sidefiles.save(dealt.repartitionById(parts, "part").groupBy("part").applyInPandas(frugal_group(_repeated), "src long, blob binary"), "repeated", sources)
+    segments = rows.mapInArrow(frugal(_segment_blocks(copies, repeated, length, parts)), "part int, mark boolean, src long, blob binary")
+    marks = sidefiles.save(segments.repartitionById(parts, "part").groupBy("part").applyInPandas(frugal_group(_part_marks(length)), "src long, blob binary"), "marks", sources)
     stands = other.where("src <> first.src").select(F.col("first.src").alias("source"), "doc", "h", "src").distinct().repartition("source").sortWithinPartitions("source")
-    shared = sidefiles.save(stands.mapInArrow(_shared_marks(marks), "src long, blob binary"), "shared", sources)
+    shared = sidefiles.save(stands.mapInArrow(frugal(_shared_marks(marks)), "src long, blob binary"), "shared", sources)
     schema = ", ".join([OUT] + ["kept binary"] * texts + [f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields[3:]])
-    return whole.mapInArrow(_cut(copies, marks, shared, length, texts, list(extra), characters), schema)
+    return whole.mapInArrow(frugal(_cut(copies, marks, shared, length, texts, list(extra), characters)), schema)

@@ -19,7 +19,7 @@ def test_scratch_goes_with_its_scope(spark):
 
 
 def test_parts_and_tasks(spark):
-    assert [shared.parts_of(n) for n in (0, 1, shared.PART_BYTES, shared.PART_BYTES + 1)] == [1, 1, 1, 2]
+    assert [shared.parts_of(spark, n) for n in (0, 1, shared.PART_BYTES, shared.PART_BYTES + 1)] == [1, 1, 1, 2]
     assert shared.dealt(spark.range(10), 0, 0).rdd.getNumPartitions() == 1
     assert shared.dealt(spark.range(1000), 1000, 10**12).rdd.getNumPartitions() == 1000
     assert shared.dealt(spark.range(1000), 1000, 10).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
