@@ -16,11 +16,13 @@ from collections.abc import Iterator
 from typing import NamedTuple
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditmill.llm import sidefiles
 from auditmill.llm.shared import dealt, filesystem, scratch, written
 
 MAGIC = b"\x1f\x8b\x08"
@@ -150,24 +152,28 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, level: int = LEVEL) ->
     The payload is html in UTF-8 (null: empty). Of records with equal payloads of min_bytes at least, that with the smallest page_id is a
     response and the others revisit it; repeated rows of it are responses. A null page_id is never the smallest unless all are null,
     and then all are responses. Equal payloads are told by size and SHA-1. A null url has no target."""
-    salts = 16
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
-    keyed = rows.withColumns({"digest": F.sha1("html"), "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")})
-    several = keyed.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null")
-    # a payload of thousands of pages is dealt over several tasks
-    salted = several.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    marked = keyed.join(salted, ["digest", "salt"], "left").select("page_id", "url", "html", F.col("first").alias("refers_to"))
+    placed = sidefiles.with_source(rows, "page_id", "url", "html")
+    keyed = written(placed.select("src", "pos", "page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("n")), "payloads")
+    several = keyed.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null")
+    # a payload of thousands of pages is dealt over several tasks. The repeated side's files compress so well that they would pass for a table to broadcast
+    salted = several.select("digest", "n", "first", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")).hint("merge")
+    again = keyed.withColumn("salt", F.pmod(F.xxhash64("pos"), F.lit(16)).cast("int")).join(salted, ["digest", "n", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("first")))
+    # no payload is shuffled: each slice's file says which of its pages revisit which
+    revisits = sidefiles.save(sidefiles.packed(again.select("src", "pos", "first")), "revisits", keyed.select("src").distinct())
     address = scratch(pages.sparkSession, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(address)
         fs.create_dir(path, recursive=True)
+        facts = sidefiles.Facts(revisits, lambda blob: dict(np.frombuffer(blob, np.int64).reshape(-1, 2).tolist()))
         name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         n = size = 0
         with fs.open_output_stream(f"{path}/.{name}", compression=None) as out:
             for batch in batches:
-                for page, url, html, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                    made = member(page, url, html.as_py(), first is not None and page != first, first, level)
+                for page, url, html, src, pos in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                    first = facts.of(src).get(pos)
+                    made = member(page, url, html.as_py(), first is not None, first, level)
                     out.write(made)
                     n, size = n + 1, size + len(made)
         if not n:
@@ -176,7 +182,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, level: int = LEVEL) ->
         fs.move(f"{path}/.{name}", f"{path}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([f"{address}/{name}"]), pa.array([size], pa.int64()), pa.array([n], pa.int64())], names=["path", "n_bytes", "n_records"])
 
-    return written(marked.mapInArrow(run, "path string, n_bytes long, n_records long"), "archives")
+    return written(placed.select("page_id", "url", "html", "src", "pos").mapInArrow(run, "path string, n_bytes long, n_records long"), "archives")
 
 
 def _page(name: str | None) -> int | None:
