@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from auditmill.llm.shared import release_memory
 
 #: Distinct pieces whose ids a task keeps. When there are more, it starts anew.
-CACHE = 500_000
+CACHE = 300_000
 #: Texts of about so many characters are encoded together.
-TOGETHER = 8_000_000
+TOGETHER = 4_000_000
 #: Bytes from which on a piece has a queue of its own.
 LONG = 200
 #: Ranks in one word of the bitmap.
