@@ -278,7 +278,7 @@ def _list_pairs(t: Fraction):
 def link_paths(active: DataFrame, t: Fraction = SIMILARITY) -> DataFrame:
     """(a, b): links between active sets, each verified; not all of them, but a path between any two sets that links connect. With the sets of documents that is
     membership and links of representatives."""
-    posts = written(active.select("set_id", "n", (F.col("own") * 1_000_000 / F.col("n")).cast("int").alias("own"), F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + 0), "postings")
+    posts = written(active.select("set_id", "n", (F.col("own").cast("long") * 1_000_000 / F.col("n")).cast("int").alias("own"), F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + 0), "postings")
     ends = active.select("set_id", F.col("own").alias("skipped"))
     lead = posts.groupBy("token").agg(F.min(F.struct("own", "set_id", "n")).alias("lead"), F.count("*").alias("f")).where("f > 1")
     near = posts.join(lead, "token").where((F.col("lead.set_id") != F.col("set_id")) & (F.least("n", "lead.n") * t.denominator >= F.greatest("n", "lead.n") * t.numerator))

@@ -92,3 +92,11 @@ def test_cuts_leave_replacement_characters_and_drop_split_ones(spark):
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     want = {**dict(rows), 2: "x\ufffdy z\ufffd", 4: "pq\ufffd"}
     assert {r.doc_id: (r.text, r.n_chars) for r in P.repeated_passages(spark, docs, "").collect()} == {d: (t, len(t)) for d, t in want.items()}
+
+
+def test_near_copies_of_long_texts(spark):
+    """Texts that have thousands of shingles for themselves, and share four fifths with another all the same."""
+    base = [f"w{i}" for i in range(20_000)]
+    rows = [(7, " ".join(base), "en", "web", 1), (5, " ".join(base[:17_800] + [f"x{i}" for i in range(2_200)]), "en", "web", 2), (9, " ".join(base[:15_000] + [f"y{i}" for i in range(5_000)]), "de", "book", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(map(tuple, P.near_copies(spark, docs, "").collect())) == [rows[1], rows[2]]
