@@ -105,3 +105,9 @@ def test_one_of_each_component_with_all_columns(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/d")
     got = [tuple(r) for r in keep_one(spark.read.parquet(f"{tmp_path}/d")).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_long_texts_with_thousands_of_own_shingles(spark):
+    base = [f"w{i}" for i in range(20_000)]
+    rows = [(1, " ".join(base[:15_000] + [f"y{i}" for i in range(5_000)])), (2, " ".join(base)), (3, " ".join(base[:17_800] + [f"x{i}" for i in range(2_200)])), (4, "w1 w2 w3 w4 w5 w6")]
+    assert {tuple(r) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute(rows)
