@@ -224,14 +224,18 @@ def _verified(pairs: DataFrame, active: DataFrame, t: Fraction) -> DataFrame:
     return written(found, "verified")
 
 
+#: Pairs of a list that a task holds before it hands them on; those of one entry come at once.
+HELD_PAIRS = 50_000
+
+
 def _list_pairs(t: Fraction):
     """Pairs of index lists (rows sorted by token, n, pos) that sizes and positions allow and that aren't linked yet."""
 
-    def pairs(sid: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         first = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]]))
         ends = np.concatenate([first[1:], [len(n)]])
         size = n[first]
-        left, right = [], []
+        left, right, held = [], [], 0
         for i in range(len(n)):
             least = -(-int(n[i]) * t.numerator // t.denominator)
             for b in range(int(np.searchsorted(size, least)), int(np.searchsorted(size, n[i], side="right"))):
@@ -242,11 +246,13 @@ def _list_pairs(t: Fraction):
                 lo, hi = first[b], min(int(ends[b]), i)
                 hi = lo + int(np.searchsorted(pos[lo:hi], size[b] - overlap, side="right")) if hi > lo else lo
                 y = np.flatnonzero(comp[lo:hi] != comp[i]) + lo
-                left.append(np.full(len(y), i))
-                right.append(y)
-        if not left:
-            return np.zeros(0, I64), np.zeros(0, I64)
-        return np.concatenate(left), np.concatenate(right)
+                if len(y):
+                    left.append(np.full(len(y), i))
+                    right.append(y)
+                    held += len(y)
+            if held >= HELD_PAIRS or (left and i == len(n) - 1):
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, held = [], [], 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -255,10 +261,9 @@ def _list_pairs(t: Fraction):
             token, sid, n, pos, comp = (np.asarray(table.column(k)) for k in range(5))
             cut = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
             for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                x, y = pairs(sid[i:j], n[i:j].astype(I64), pos[i:j].astype(I64), comp[i:j])
-                x, y = sid[i:j][x], sid[i:j][y]
-                for k in range(0, len(x), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[k : k + 50_000]), pa.array(np.maximum(x, y)[k : k + 50_000])], names=["a", "b"])
+                for x, y in pairs(n[i:j].astype(I64), pos[i:j].astype(I64), comp[i:j]):
+                    x, y = sid[i:j][x], sid[i:j][y]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:

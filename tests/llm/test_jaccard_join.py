@@ -1,9 +1,11 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from auditmill.llm import bytehash
-from auditmill.llm.jaccard_join import jaccard_components, keep_one
+from auditmill.llm.jaccard_join import SIMILARITY, _list_pairs, jaccard_components, keep_one
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -111,3 +113,23 @@ def test_long_texts_with_thousands_of_own_shingles(spark):
     base = [f"w{i}" for i in range(20_000)]
     rows = [(1, " ".join(base[:15_000] + [f"y{i}" for i in range(5_000)])), (2, " ".join(base)), (3, " ".join(base[:17_800] + [f"x{i}" for i in range(2_200)])), (4, "w1 w2 w3 w4 w5 w6")]
     assert {tuple(r) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute(rows)
+
+
+def test_pairs_of_a_long_list_are_not_held_together():
+    """3,000 sets on one list and 3 on the next: every pair comes once, and the task holds few of them at a time."""
+    count = 3003
+    token = np.repeat([5, 6], [count - 3, 3])
+    entries = pa.RecordBatch.from_arrays([pa.array(x) for x in (token, np.arange(count), np.full(count, 50, np.int32), np.zeros(count, np.int32), np.arange(count))], names=["token", "set_id", "n", "pos", "comp"])
+    tracemalloc.start()
+    seen, total = np.zeros((count, count), bool), 0
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    for batch in _list_pairs(SIMILARITY)(iter([entries.slice(0, 1000), entries.slice(1000)])):
+        a, b = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        assert (a < b).all()
+        seen[a, b], total = True, total + len(a)
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    want = np.triu(token[:, None] == token[None, :], 1)
+    assert (seen == want).all() and total == want.sum()
+    assert peak < 20_000_000
