@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditmill.llm import chat_format, quality_rules, sharding, url_filter
+from auditmill.llm import chat_format, divergence, filter_audit, mixing, quality_rules, sharding, url_filter
 
 #: The language that a page's html declares.
 LANGUAGE = r'<html[^>]* lang="([A-Za-z-]+)"'
@@ -133,6 +133,69 @@ r AS (SELECT id AS a, id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b
 SELECT doc_id, n AS n_shingles, component_id FROM n JOIN (SELECT a, min(q.doc_id) AS component_id FROM r JOIN n q ON q.id = r.b GROUP BY a) c ON c.a = n.id
 """
 
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), {_LETTERS}) AS text FROM documents),
+t AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL HAVING sum(docs) >= {divergence.LEAST_DOCUMENTS}),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT lang, source, sum(c.n)::HUGEINT AS n FROM c JOIN k USING (lang, term) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(s.n, 0) + 2 * v.v) AS p, 1 + (1000000000::HUGEINT * (k.n + 2)) // (v.n + 2 * v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+
+def _mix() -> str:
+    m, cycle = mixing, mixing.CYCLE
+    x = lambda v: f"'{v!r}'::DOUBLE"
+    schedule = f"((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(cycle)})::INT"
+    due = ""
+    for k, one in enumerate(cycle):
+        own = m.pieces(one)
+        line = lambda p: f"{x(p[2])} + (share - {x(p[0])}) * {x(p[3])}"
+        cases = " ".join(f"WHEN share < {x(p[1])} THEN {line(p)}" for p in own[:-1])
+        due += f" WHEN {k} THEN " + (f"CASE {cases} ELSE {line(own[-1])} END" if cases else line(own[-1]))
+    return f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size, digest) - 1 AS i FROM d),
+h AS (SELECT *, i // {m.COPIES} AS part, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || digest || ':' || (i // {m.COPIES})), 1, 13))::BIGINT AS h FROM n),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, digest, part, i ROWS UNBOUNDED PRECEDING) - size AS start FROM h),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, list_extract([{', '.join(x(float(m.weight(s))) for s in cycle)}], {schedule} + 1) AS weight, {schedule} AS schedule, source_size * {x(float(m.PASSES))} AS full_size FROM s),
+a AS (SELECT *, sum(full_size) OVER o - full_size AS fulls, sum(weight) OVER o - weight AS weights FROM w WINDOW o AS (ORDER BY full_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT max(((SELECT sum(source_size) FROM s)::DOUBLE - fulls) / ((SELECT sum(weight) FROM w) - weights)) AS level FROM a),
+t AS (SELECT source, source_size, schedule, least(full_size, level * weight) AS target FROM w, l),
+p AS (SELECT c.*, source_size, target, schedule, list_transform(range({m.PASSES}), lambda r: ((r * source_size + start) * 2 + size)::DOUBLE) AS middles FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, list_filter(middles, lambda y: y < target * 2) AS took, list_extract(list_filter(middles, lambda y: y < target * 2), 1) / (target * 2) AS share FROM p)
+SELECT doc_id, size, source_size, target, (size * len(took))::BIGINT AS taken, floor((CASE schedule{due} END) * (SELECT sum(size) FROM d)::DOUBLE)::BIGINT AS position, len(took)::INT AS copies FROM q
+"""
+
+
+INTERACTIONS = """
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+o AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+m AS (SELECT part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text))::INT
+  + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(d.doc_id > first, false)::INT AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM d JOIN o USING (text) LEFT JOIN l ON l.doc_id = d.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS b),
+p AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e WHERE a.b | b.b | c.b | d.b | e.b = 31),
+s AS (SELECT filter_order, i::INT AS step, f, b, coalesce((SELECT sum(x.b) FROM f x WHERE contains(substr(filter_order, 1, i - 1), x.f)), 0)::INT AS before FROM p, range(1, 6) r(i), f WHERE f = substr(filter_order, i, 1)),
+r AS (SELECT part, filter_order, step, f, sum(CASE WHEN mask & (before | b) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & b <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & b <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = b THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & b <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & b <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, f AS filter, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r
+"""
+
 ORACLES = {
     "op1_hash_tree_sharding": SHARDING,
     "op3_chat_format": _chat(),
@@ -140,4 +203,7 @@ ORACLES = {
     "op7_quality_rules": QUALITY,
     "op9_url_filter": _urls(),
     "op10_warc": WARC,
+    "op11_source_divergence": DIVERGENCE,
+    "op12_curriculum_mix": _mix(),
+    "op13_filter_interactions": INTERACTIONS,
 }

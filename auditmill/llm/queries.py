@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditmill.llm import chat_format, quality_rules, sharding, url_filter, warc
+from auditmill.llm import chat_format, divergence, filter_audit, mixing, quality_rules, sharding, url_filter, warc
 from auditmill.llm.bpe import encode_digests
 from auditmill.llm.decontaminate import find_leaks
 from auditmill.llm.jaccard_join import jaccard_components
@@ -69,8 +69,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"), F.size("positions").alias("copies"))
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_hash_tree_sharding, op2_separator_scan, op3_chat_format, op4_byte_bpe, op5_ngram_jaccard_join, op6_suffix_dedup, op7_quality_rules, op8_decontamination, op9_url_filter, op10_warc)
+    own = (op1_hash_tree_sharding, op2_separator_scan, op3_chat_format, op4_byte_bpe, op5_ngram_jaccard_join, op6_suffix_dedup, op7_quality_rules, op8_decontamination, op9_url_filter, op10_warc, op11_source_divergence, op12_curriculum_mix, op13_filter_interactions)
     return {f.__name__: f for f in own}
 
 
