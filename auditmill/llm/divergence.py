@@ -93,8 +93,8 @@ def share(n: str, total: str, terms: str) -> Column:
     return F.expr(f"1 + ({x} div {d}) * {b}L + (({x} % {d}) * {b}L) div {d}")
 
 
-def shares(n: np.ndarray, total: int, terms: int) -> np.ndarray:
-    """share() of an array of counts."""
+def shares(n: np.ndarray, total: int | np.ndarray, terms: int) -> np.ndarray:
+    """share() of an array of counts; total may be a column."""
     a, b = _STEPS
     d = total + 2 * terms
     whole, rest = np.divmod((n.astype(np.int64) + 2) * a, d)
@@ -105,6 +105,10 @@ def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // (p + q)
 
 
+def _totals(groups: list[tuple[str, int, int, int]]) -> np.ndarray:
+    return np.array([total for _, _, total, _ in groups], np.int64).reshape(-1, 1)
+
+
 class _Tile:
     """The sums of the pairs of two blocks of groups, of which chunks are added one after another."""
 
@@ -126,7 +130,7 @@ class _Tile:
                 if source in cells:
                     at, own = cells[source]
                     n[k, np.searchsorted(there, at)] = own
-            return np.stack([shares(x, total, terms) for x, (_, _, total, terms) in zip(n, groups, strict=True)])
+            return shares(n, _totals(groups), self.terms)
 
         p = unpacked(self.rows)
         q = p if self.same else unpacked(self.columns)
@@ -135,8 +139,8 @@ class _Tile:
 
     def pairs(self) -> Iterator[tuple[str, str, int]]:
         if self.terms and self.sums.size:
-            none = lambda groups: np.array([shares(np.zeros(1), total, terms)[0] for _, _, total, terms in groups])
-            self.sums += (self.terms - self.seen) * apart(none(self.rows)[:, None], none(self.columns)[None, :])
+            none = lambda groups: shares(np.zeros((len(groups), 1), np.int64), _totals(groups), self.terms)
+            self.sums += (self.terms - self.seen) * apart(none(self.rows), none(self.columns).T)
         for a, row in zip(self.rows, self.sums, strict=True):
             for b, value in zip(self.columns, row, strict=True):
                 if a[0] != b[0]:
