@@ -15,7 +15,7 @@ from auditmill.functions.scalars import encrypt
 from auditmill.operators import delivery
 from auditmill.sources import files
 from auditmill.sources.schema import COLUMNS, DLQ, LOG
-from auditmill.sources.table import Files
+from auditmill.sources.hadoop import Files
 
 #: Column -> name in journal and dead-letter files; the bags are JSON there.
 NAMES = {c: "".join(p if i == 0 else p.capitalize() for i, p in enumerate(c.split("_"))) for c in COLUMNS}

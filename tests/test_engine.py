@@ -62,50 +62,6 @@ def test_table_inserts_once_and_prunes(spark, tmp_path):
     assert table.months() == [] and table.scan().count() == 0
 
 
-def test_a_writer_that_dies_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch):
-    """Before the change is written, before folders are moved, before the manifest; then another writer inserts, and prunes."""
-    for k, step in enumerate(("_laid_out", "_staged", "_commit")):
-        path = f"file://{tmp_path}/t{k}"
-        AuditTable(spark, path).insert(frame(spark, [log(1), log(2, at="2026-01-20T00:00:00.000Z"), log(3, at="2026-02-01T00:00:00.000Z")]))
-        dying = AuditTable(spark, path)
-
-        def die(*_a, real=getattr(dying, step), step=step):
-            if step != "_commit":
-                real(*_a)
-            raise OSError("dead")
-
-        monkeypatch.setattr(dying, step, die)
-        with pytest.raises(OSError):
-            dying.prune("2026-01-10T00:00:00.000Z")
-        with pytest.raises(OSError):
-            dying.insert(frame(spark, [log(9)]))
-        other = AuditTable(spark, path)
-        assert sorted(r.id for r in other.scan().collect()) == ["0001", "0002", "0003"]
-        other.insert(frame(spark, [log(4, at="2026-01-30T00:00:00.000Z")]))
-        other.prune("2026-01-10T00:00:00.000Z")
-        assert sorted(r.id for r in AuditTable(spark, path).scan().collect()) == ["0002", "0003", "0004"]
-        other.recover()
-        folders = [p for m in (tmp_path / f"t{k}").glob("created_month=*") for p in m.iterdir() if not p.name.startswith(".")]
-        assert len(folders) <= 5 and not (tmp_path / f"t{k}" / "_stage").exists()
-
-
-def test_compaction_batches_and_ttl(spark, tmp_path):
-    import datetime
-
-    table = AuditTable(spark, f"file://{tmp_path}/t")
-    table.create()
-    assert table.scan().count() == 0
-    for i in range(1, 5):
-        table.insert(frame(spark, [log(i, at=f"2026-01-0{i}T00:00:00.000Z")]))
-    assert len(table._live()) == 4
-    table.compact(3)
-    assert len(table._live()) == 1 and table.scan().count() == 4
-    table.delete_batch("2026-01-04T00:00:00.000Z", 2)
-    assert sorted(r.id for r in table.scan().collect()) == ["0003", "0004"]
-    assert [r.id for r in table.scan(ttl_days=1, now=datetime.datetime(2026, 1, 4, 12, tzinfo=datetime.UTC)).collect()] == ["0004"]
-    assert table.scan().count() == 2
-
-
 def test_append_table_keeps_the_last(spark, tmp_path):
     table = AppendTable(spark, f"file://{tmp_path}/t")
     table.insert(frame(spark, [log(1), log(2, tenant=None)]))
