@@ -28,55 +28,56 @@ TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 LEAST_DOCUMENTS, TOP = 10, 10
 #: Terms of a vocabulary chunk and groups of a block, about: both are dealt by hash.
 CHUNK_TERMS, BLOCK_GROUPS = 2048, 16
-#: Terms that a task holds before it hands them on.
-HELD_TERMS = 200_000
+#: Terms that a task holds before it hands them on, about 100 bytes each.
+HELD_TERMS = 500_000
 #: Characters from which a text's terms are counted as they are found.
 LONG = 1_000_000
 #: What a share is out of, as a product of which each factor times a count fits 64 bits.
 _STEPS = (31_250, 32_000)
+#: Bits of a number of documents.
+_DOCS = 40
 _LOWER = {k: k + 32 for k in range(ord("A"), ord("Z") + 1)}
 _COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
-def _folded(term: str) -> str:
-    return term.lower() if term.isascii() else term.translate(_LOWER)
-
-
-def _terms(text: str) -> Counter:
+def _terms(text: str) -> dict[str, int]:
     """The terms of a text and how often each is there."""
-    found = Counter(TERM.findall(text) if len(text) < LONG else (m.group() for m in TERM.finditer(text)))
-    out: Counter = Counter()
+    plain = text.isascii()
+    said = text.lower() if plain else text
+    found = Counter(TERM.findall(said) if len(said) < LONG else (m.group() for m in TERM.finditer(said)))
+    if plain:
+        return found
+    out: dict[str, int] = {}
     for term, n in found.items():
-        out[_folded(term)] += n
+        own = term.lower() if term.isascii() else term.translate(_LOWER)
+        out[own] = out.get(own, 0) + n
     return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of terms by group, and a row without a term for each group."""
-    held: dict[tuple[str, str], dict[str, list[int]]] = defaultdict(dict)
-
-    def rows() -> pa.RecordBatch:
-        flat = [(*g, None, 0, 0) for g in held] + [(*g, t, n, d) for g, terms in held.items() for t, (n, d) in terms.items()]
+    # of each term one number: how often it is there, and in the lower bits in how many documents
+    held: dict[tuple[str, str], dict[str, int]] = defaultdict(dict)
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for (lang, source), own in held.items():
+            n = len(own) + 1
+            values = ([0, *(x >> _DOCS for x in own.values())], [0, *(x & (1 << _DOCS) - 1 for x in own.values())])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array([None, *own], pa.string()), *(pa.array(x, pa.int64()) for x in values)], schema=_COUNTED)
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*flat, strict=True), _COUNTED, strict=True)], schema=_COUNTED)
 
     size = 0
     for batch in batches:
         for lang, source, text in zip(*(batch.column(k) for k in range(3)), strict=True):
             own = held[lang.as_py(), source.as_py()]
-            before = len(own)
+            size -= len(own)
             for term, n in _terms(text.as_py()).items():
-                if (x := own.get(term)) is None:
-                    own[term] = [n, 1]
-                else:
-                    x[0] += n
-                    x[1] += 1
-            size += len(own) - before
+                own[term] = own.get(term, 0) + (n << _DOCS) + 1
+            size += len(own)
             if size >= HELD_TERMS:
-                yield rows()
+                yield from rows()
                 size = 0
-    if held:
-        yield rows()
+    yield from rows()
 
 
 def counts(docs: DataFrame) -> DataFrame:
