@@ -32,6 +32,8 @@ LEAST = 20
 BLOCK_CHARS = 1_000_000
 #: Blocks whose automata a worker keeps.
 KEPT = 4
+#: Characters of texts that are gathered for each block where there are more blocks.
+GATHERED = 16_000_000
 
 _WORDS = re.compile(r"\w+")
 
@@ -80,12 +82,12 @@ def distance(peq: dict[str, int], m: int, text: str, k: int) -> int:
 
 
 class Matcher:
-    """All items of a block: id -> normal text. Those under LEAST characters are left out."""
+    """All items of a block: id -> normal text. Those under `least` characters are left out."""
 
-    def __init__(self, items: list[tuple[int | None, str]], edits: float = EDITS):
+    def __init__(self, items: list[tuple[int | None, str]], edits: float = EDITS, least: int = LEAST):
         import ahocorasick
 
-        self.items = [(i, t, k := budget(len(t), edits), cuts(len(t), k)) for i, t in items if len(t) >= LEAST]
+        self.items = [(i, t, k := budget(len(t), edits), cuts(len(t), k)) for i, t in items if len(t) >= max(2, least)]
         self.peq: dict[tuple[int, int], dict[str, int]] = {}
         found: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (_, t, _, cut) in enumerate(self.items):
@@ -150,15 +152,15 @@ def _normal_items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long"), F.make_valid_utf8(F.col("text").cast("string")).alias("text")).mapInArrow(run, "item_id long, item string")
 
 
-def too_short(benchmark: DataFrame) -> DataFrame:
-    """(item_id, item) of items of benchmark (item_id, text) that are not looked for: of fewer than LEAST characters, empty ones and null ones included."""
-    return _normal_items(benchmark).where(F.length("item") < LEAST)
+def too_short(benchmark: DataFrame, least: int = LEAST) -> DataFrame:
+    """(item_id, item) of items of benchmark (item_id, text) that are not looked for: of fewer than least characters, empty ones and null ones included."""
+    return _normal_items(benchmark).where(F.length("item") < max(2, least))
 
 
-def _item_blocks(benchmark: DataFrame) -> tuple[str, int]:
+def _item_blocks(benchmark: DataFrame, least: int) -> tuple[str, int]:
     """Where the blocks of items lie, and how many there are: one at least."""
     n = -(-(benchmark.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0) // BLOCK_CHARS) or 1
-    items = _normal_items(benchmark).where(F.length("item") >= LEAST)
+    items = _normal_items(benchmark).where(F.length("item") >= max(2, least))
     line = F.concat(F.to_json(F.struct("item_id", "item")), F.lit("\n")).cast("binary")
     blobs = items.select(F.pmod(F.xxhash64("item_id", "item"), F.lit(n)).alias("src"), line.alias("blob"))
     return sidefiles.save(blobs, "items", benchmark.sparkSession.range(n).select(F.col("id").alias("src"))), n
@@ -167,31 +169,52 @@ def _item_blocks(benchmark: DataFrame) -> tuple[str, int]:
 _matchers: OrderedDict[tuple, Matcher] = OrderedDict()
 
 
-def _matcher(address: str, block: int, edits: float) -> Matcher:
+def _matcher(address: str, block: int, edits: float, least: int) -> Matcher:
     """The block's matcher, from the worker's own store or its file."""
-    key = (address, block, edits)
+    key = (address, block, edits, least)
     if key not in _matchers:
         lines = sidefiles.load(address, block).decode().splitlines()
         while len(_matchers) >= KEPT:
             _matchers.popitem(last=False)
-        _matchers[key] = Matcher([(x.get("item_id"), x["item"]) for x in map(json.loads, lines)], edits)
+        _matchers[key] = Matcher([(x.get("item_id"), x["item"]) for x in map(json.loads, lines)], edits, least)
     _matchers.move_to_end(key)
     return _matchers[key]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
+def _together(batches: Iterator[pa.RecordBatch], column: int, blocks: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Batches with their normal texts. Where there are more blocks of items than a worker keeps, texts are gathered, so that a block is built for many of them."""
+    held, texts, size = [], [], 0
+
+    def made():
+        table = pa.Table.from_batches(held).combine_chunks()
+        return table.to_batches()[0], texts
+
+    for batch in batches:
+        own = [normal(t) for t in batch.column(column).to_pylist()]
+        held.append(batch)
+        texts += own
+        size += sum(map(len, own))
+        if len(batch) and (blocks <= KEPT or size >= GATHERED):
+            yield made()
+            held, texts, size = [], [], 0
+    if texts:
+        yield made()
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, least: int = LEAST) -> DataFrame:
     """doc_id, item_id, n_edits, max_edits: each item of benchmark (item_id, text) that a row of docs (doc_id, text) holds.
 
-    Null and empty texts, and items of fewer than LEAST characters (null ones, and such without a word), hold and are held by nothing. Bytes
+    Null and empty texts, and items of fewer than least characters (null ones, and such without a word), hold and are held by nothing: a shorter item
+    with an edit is in ordinary text, so what is lost are the leaks of such items, which too_short() lists; least = 2 looks for all of two characters or more. Bytes
     that are no UTF-8 count as U+FFFD. A null doc_id or item_id stays null; repeated rows and items are found repeatedly. Other
     columns are not used. An item occurs once a document at most, with its fewest edits."""
-    address, n = _item_blocks(benchmark)
+    address, n = _item_blocks(benchmark, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [normal(t) for t in batch.column(1).to_pylist()]
+        for batch, texts in _together(batches, 1, n):
+            ids = batch.column(0).to_pylist()
             for b in range(n):
-                matcher = _matcher(address, b, edits)
+                matcher = _matcher(address, b, edits, least)
                 out = [(d, *hit) for d, t in zip(ids, texts, strict=True) for hit in matcher.find(t)]
                 if out:
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
@@ -200,17 +223,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> D
     return docs.select(F.col("doc_id").cast("long"), F.make_valid_utf8(F.col("text").cast("string")).alias("text")).mapInArrow(run, "doc_id long, item_id long, n_edits int, max_edits int")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, least: int = LEAST) -> DataFrame:
     """The rows of docs that hold no item of benchmark, all columns; what holds an item is as find_leaks() says. No row is shuffled."""
-    address, n = _item_blocks(benchmark)
+    address, n = _item_blocks(benchmark, least)
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [normal(t) for t in batch.column(text).to_pylist()]
+        for batch, texts in _together(batches, text, n):
             clean = list(range(len(texts)))
             for b in range(n):
-                matcher = _matcher(address, b, edits)
+                matcher = _matcher(address, b, edits, least)
                 clean = [k for k in clean if next(matcher.find(texts[k]), None) is None]
             yield batch.take(pa.array(clean, pa.int64()))
 

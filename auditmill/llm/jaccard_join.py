@@ -58,12 +58,12 @@ def sets(placed: DataFrame, words: int, seed: int) -> DataFrame:
             own = [xxhash.xxh3_128_digest(h[i:j].tobytes()) if j > i else None for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.diff(offsets)), pa.array(np.diff(at)), pa.array(own, pa.binary())], names=["doc_id", "text_key", "src", "pos", "n_bytes", "n_shingles", "set_id"])
 
-    return placed.select("doc_id", text_key().alias("text_key"), "src", "pos", "text").mapInArrow(frugal(run), "doc_id long, text_key long, src long, pos long, n_bytes long, n_shingles long, set_id binary")
+    return placed.select("doc_id", text_key().alias("text_key"), "src", "pos", "text").mapInArrow(frugal(run), "doc_id long, text_key binary, src long, pos long, n_bytes long, n_shingles long, set_id binary")
 
 
 def text_key() -> Column:
-    """A hash of the text, which tells rows with the same doc_id (or none) apart."""
-    return F.xxhash64("text")
+    """SHA-256 of the text (null: none), which tells rows with the same doc_id (or none) apart."""
+    return F.unhex(F.sha2(F.col("text").cast("binary"), 256))
 
 
 def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -7,7 +7,7 @@ strings are those with LPF >= LENGTH, so the order and the LPF values are comput
 
 No task can hold the suffix array of the corpus, so positions that can match are brought together first:
 
-1. Equal texts: all but the one with the smallest doc_id go whole, if long enough; they take no further part. Of rows with the same
+1. Equal texts, by SHA-256: all but the one with the smallest doc_id go whole, if long enough; they take no further part. Of rows with the same
    doc_id and text one is elected; the others take no further part either, and get its marks at the end.
 2. Anchors. In each window of LENGTH bytes, the K-gram with the least hash is its anchor: equal windows have equal
    anchors at the same offset. Each task sends its distinct anchors, in blocks of thousands, to parts of the hash space, and gets
@@ -18,7 +18,7 @@ No task can hold the suffix array of the corpus, so positions that can match are
 4. Each part puts all segments of its anchors in suffix order and marks again. Marks go back to the slices they came from.
 5. The last scan cuts the marked strings out of the texts.
 
-The bytes themselves are compared: hashes only bring candidates together.
+Of texts that are not equal the bytes themselves are compared: other hashes only bring candidates together. Marks belong to rows, by slice and place.
 """
 
 from __future__ import annotations
@@ -170,9 +170,10 @@ def longest_previous_factors(text: np.ndarray, starts: np.ndarray, length: int =
 
 
 class Segments:
-    """Rows of doc_id, h (hash of the text), src, start (in the text), anchor hash, and bytes."""
+    """Rows of doc_id, h (hash of the text), src and pos (the row), start (in the text), anchor hash, and bytes."""
 
-    KINDS = (I64, I64, I64, I64, U64, I64)
+    KINDS = (I64, I64, I64, I64, I64, U64, I64)
+    ANCHOR, BYTES = 5, 6
 
     def __init__(self, columns: list[np.ndarray], data: np.ndarray):
         self.columns, self.data = columns, data
@@ -194,17 +195,17 @@ class Segments:
 
     def take(self, rows: np.ndarray, skip: np.ndarray | int = 0, size: np.ndarray | None = None) -> Segments:
         """These rows; of each, size bytes from skip on."""
-        doc, h, src, start, anchor, n = (c[rows] for c in self.columns)
-        begin = (np.cumsum(self.columns[5]) - self.columns[5])[rows] + skip
+        doc, h, src, pos, start, anchor, n = (c[rows] for c in self.columns)
+        begin = (np.cumsum(self.columns[self.BYTES]) - self.columns[self.BYTES])[rows] + skip
         n = n if size is None else size
         at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return Segments([doc, h, src, start + skip, anchor, n], self.data[at])
+        return Segments([doc, h, src, pos, start + skip, anchor, n], self.data[at])
 
     def marked(self, length: int) -> tuple[list[tuple[int, bytes]], Segments]:
-        """Marks as (src, blob of doc_id, h, first start, last start), and what is not marked."""
-        doc, h, _, start, _, _ = self.columns
-        own = self.take(np.lexsort((start, h, doc)))
-        doc, h, src, start, _, n = own.columns
+        """Marks as (src, blob of pos, first start, last start), and what is not marked."""
+        doc, h, src, pos, start, _, _ = self.columns
+        own = self.take(np.lexsort((start, pos, src, h, doc)))
+        _, _, src, pos, start, _, n = own.columns
         per = n - length + 1
         begin = np.cumsum(n) - n
         seg = np.repeat(np.arange(len(n)), per)
@@ -214,25 +215,26 @@ class Segments:
         first = np.flatnonzero(edge)
         count = np.diff(np.concatenate([first, [len(mark)]]))
         s, skip, hit = seg[first], inside[first], mark[first]
-        rows = np.stack([doc[s], h[s], start[s] + skip, start[s] + skip + count - 1], axis=1)[hit]
+        rows = np.stack([pos[s], start[s] + skip, start[s] + skip + count - 1], axis=1)[hit]
         at = src[s][hit]
         marks = by_source(at, rows)
         return marks, own.take(s[~hit], skip[~hit], count[~hit] + length - 1)
 
 
 def _text_hash(text: bytes) -> int:
+    """Orders texts of one doc_id; tells nothing apart."""
     return xxhash.xxh3_64_intdigest(text) - 2**63
 
 
 def _later(blob: bytes) -> tuple[set, set]:
-    """Documents (doc_id, hash) that are later copies, and places of rows that another row with the same doc_id and text stands for."""
-    x = np.frombuffer(blob, I64).reshape(-1, 3)
-    whole = x[:, 2] < 0
-    return set(zip(x[whole, 0].tolist(), x[whole, 1].tolist(), strict=True)), set(x[~whole, 2].tolist())
+    """Places of rows that are later copies, and of those that another row with the same doc_id and text stands for."""
+    x = np.frombuffer(blob, I64).reshape(-1, 2)
+    whole = x[:, 1] == 1
+    return set(x[whole, 0].tolist()), set(x[~whole, 0].tolist())
 
 
 def _rows(batches: Iterator[pa.RecordBatch], later: Facts) -> Iterator[tuple]:
-    """Blocks of one slice each, without later copies, rows that another stands for, and short texts: src, doc ids, text hashes, bytes, offsets."""
+    """Blocks of one slice each, without later copies, rows that another stands for, and short texts: src, places, doc ids, text hashes, bytes, offsets."""
     for batch in batches:
         src = np.asarray(batch.column(2))
         for i, j in runs(src):
@@ -244,16 +246,15 @@ def _rows(batches: Iterator[pa.RecordBatch], later: Facts) -> Iterator[tuple]:
                 own = []
                 for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                     if b - a >= LENGTH:
-                        key = (ids[k], _text_hash(data[a:b]))
-                        if key not in copies and int(pos[k]) not in others:
-                            own.append((k, *key))
+                        if int(pos[k]) not in copies and int(pos[k]) not in others:
+                            own.append((k, ids[k], _text_hash(data[a:b])))
                 if not own:
                     continue
                 k, doc, h = (np.array(x, I64) for x in zip(*own, strict=True))
                 if len(k) < len(ids):
                     data = np.concatenate([data[offsets[x] : offsets[x + 1]] for x in k])
                     offsets = np.concatenate([[0], np.cumsum(np.diff(offsets)[k])])
-                yield int(src[i]), doc, h, data, offsets
+                yield int(src[i]), pos[k], doc, h, data, offsets
 
 
 def _anchor_blocks(copies: str, length: int, parts: int):
@@ -270,7 +271,7 @@ def _anchor_blocks(copies: str, length: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at, size = [], None, 0
-        for src, _, _, data, offsets in _rows(batches, Facts(copies, _later)):
+        for src, _, _, _, data, offsets in _rows(batches, Facts(copies, _later)):
             if held and (src != at or size > 2_000_000):
                 yield flush(at, held)
                 held, size = [], 0
@@ -302,7 +303,7 @@ def _segment_blocks(copies: str, repeated: str, length: int, parts: int):
 
     def flush(held: list[Segments]) -> pa.RecordBatch:
         marks, rest = Segments.join(held).marked(length)
-        part = ((rest.columns[4] >> U64(33)) % U64(parts)).astype(I32)
+        part = ((rest.columns[Segments.ANCHOR] >> U64(33)) % U64(parts)).astype(I32)
         out = [(p, False, 0, rest.take(np.flatnonzero(part == p)).pack()) for p in np.unique(part).tolist()]
         out += [(abs(s) % parts, True, s, blob) for s, blob in marks]
         kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
@@ -311,7 +312,7 @@ def _segment_blocks(copies: str, repeated: str, length: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         wanted = Facts(repeated, lambda blob: np.unique(np.frombuffer(blob, U64)))
-        for src, doc, h, data, offsets in _rows(batches, Facts(copies, _later)):
+        for src, pos, doc, h, data, offsets in _rows(batches, Facts(copies, _later)):
             known = wanted.of(src)
             if not len(known):
                 continue
@@ -322,7 +323,7 @@ def _segment_blocks(copies: str, repeated: str, length: int, parts: int):
             if not len(own):
                 continue
             text, first, n = text[own], first[own], last[own] - first[own] + length
-            whole = Segments([doc[text], h[text], np.full(len(own), src), first - offsets[text], key[own], n], data)
+            whole = Segments([doc[text], h[text], np.full(len(own), src), pos[text], first - offsets[text], key[own], n], data)
             at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
             held.append(Segments(whole.columns, data[at]))
             size += int(n.sum())
@@ -343,10 +344,10 @@ def _part_marks(length: int):
         rows = [(int(s), b) for s, b in zip(pdf["src"][done], pdf["blob"][done], strict=True)]
         if not done.all():
             own = Segments.join([Segments.unpack(b) for b in pdf["blob"][~done]])
-            order = np.argsort(own.columns[4], kind="stable")
-            anchor = own.columns[4][order]
+            order = np.argsort(own.columns[Segments.ANCHOR], kind="stable")
+            anchor = own.columns[Segments.ANCHOR][order]
             first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-            size = np.add.reduceat(own.columns[5][order], first)
+            size = np.add.reduceat(own.columns[Segments.BYTES][order], first)
             batch = np.cumsum(size) // TOGETHER
             cut = first[np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1]]))].tolist()
             for i, j in zip(cut, [*cut[1:], len(order)], strict=True):
@@ -356,26 +357,30 @@ def _part_marks(length: int):
     return run
 
 
-def _removed(blob: bytes) -> dict:
-    x = np.frombuffer(blob, I64).reshape(-1, 4)
+def _removed(blob: bytes) -> dict[int, np.ndarray]:
+    """The (first, last) starts to remove of each row by its place. A row (place, -1, other) has those of the other."""
+    x = np.frombuffer(blob, I64).reshape(-1, 3)
     if not len(x):
         return {}
-    x = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))]
-    new = np.flatnonzero(np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(axis=1)]))
-    return {(int(x[i, 0]), int(x[i, 1])): x[i:j, 2:] for i, j in zip(new, [*new[1:], len(x)], strict=True)}
+    same, x = x[x[:, 1] < 0], x[x[:, 1] >= 0]
+    x = x[np.lexsort((x[:, 1], x[:, 0]))]
+    new = np.flatnonzero(np.concatenate([[True], x[1:, 0] != x[:-1, 0]]))
+    out = {int(x[i, 0]): x[i:j, 1:] for i, j in zip(new, [*new[1:], len(x)], strict=True)}
+    return out | {int(pos): out[int(other)] for pos, _, other in same}
 
 
 def _shared_marks(marks: str):
-    """(src, blob): the marks of elected rows (source, doc, h), for the slice src of rows that they stand for. Rows come by source."""
+    """(src, blob): the marks of elected rows (source, at), for the rows of slice src (places) that they stand for. Rows come by source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         removed = Facts(marks, _removed)
         for batch in batches:
             out = []
-            for source, doc, h, src in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                x = removed.of(source).get((doc, h))
+            for source, at, src, places in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                x = removed.of(source).get(at)
                 if x is not None:
-                    out.append((src, np.concatenate([np.full((len(x), 2), (doc, h), I64), x], axis=1).tobytes()))
+                    own = [[places[0], *r] for r in x.tolist()] + [[p, -1, places[0]] for p in places[1:]]
+                    out.append((src, np.array(own, I64).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["src", "blob"])
 
@@ -411,14 +416,13 @@ def _cut(copies: str, marks: str, shared: str, length: int, texts: bool, extra:
         later, removed, others = Facts(copies, _later), Facts(marks, _removed), Facts(shared, _removed)
         for batch in batches:
             out = []
-            for doc, text, src in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for doc, text, src, pos in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 text = text or b""
                 spans: list = []
                 if len(text) >= length:
-                    key = (NO_ID if doc is None else doc, _text_hash(text))
-                    if key in later.of(src)[0]:
+                    if pos in later.of(src)[0]:
                         spans = [(0, len(text))]
-                    elif (x := removed.of(src).get(key, others.of(src).get(key))) is not None:
+                    elif (x := removed.of(src).get(pos, others.of(src).get(pos))) is not None:
                         spans = _spans(x, length)
                 kept = text
                 if spans:
@@ -430,7 +434,7 @@ def _cut(copies: str, marks: str, shared: str, length: int, texts: bool, extra:
                 columns = zip(*out, strict=True)
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
                 made = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(made[: 5 + texts] + batch.columns[3:], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts, *extra])
+                yield pa.RecordBatch.from_arrays(made[: 5 + texts] + batch.columns[4:], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts, *extra])
 
     return run
 
@@ -440,39 +444,42 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, ex
     and its columns named in extra.
 
     A null text is empty. Texts of fewer than length bytes lose nothing. A null doc_id comes before all others; texts
-    with the same doc_id count as earlier by the hash of their text, and repeated rows (same doc_id and text) are one document, with
+    with the same doc_id count as earlier by the hash of their text, then by place, and repeated rows (same doc_id and text) are one document, with
     one result, returned for each. Cuts may split a character: kept is bytes, and lacks what is left of such
     characters if characters is set (n_removed does not count that). Other columns are not used."""
     if length != LENGTH:
         raise ValueError("segments are cut for LENGTH")
     placed = sidefiles.with_source(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *extra), "doc_id", "text", *extra)
     rows = placed.select("doc_id", "text", "src", "pos")
-    whole = placed.select("doc_id", "text", "src", *extra)
+    whole = placed.select("doc_id", "text", "src", "pos", *extra)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [(NO_ID if d is None else d, _text_hash(t), s, p, len(t)) for d, t, s, p in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True) if t and len(t) >= length]
+            own = [(NO_ID if d is None else d, hashlib.sha256(t).digest(), s, p, len(t)) for d, t, s, p in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True) if t and len(t) >= length]
             if own:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*own, strict=True)], names=["doc", "h", "src", "pos", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 1 else pa.int64()) for k, c in enumerate(zip(*own, strict=True))], names=["doc", "digest", "src", "pos", "n"])
 
-    ids = written(rows.mapInArrow(frugal(named), "doc long, h long, src long, pos long, n long"), "texts")
+    ids = written(rows.mapInArrow(frugal(named), "doc long, digest binary, src long, pos long, n long"), "texts")
     parts = parts_of(docs.sparkSession, ids.agg(F.sum("n")).first()[0] or 0)
     sources = written(ids.select("src").distinct(), "sources")
     # the elected row of a document lies in any of its slices, not always in the same one
-    row = F.struct("doc", F.xxhash64("h", "src").alias("draw"), "src", "pos")
-    first = ids.groupBy("h").agg(F.min(row).alias("first"), F.count("*").alias("c")).where("c > 1")
+    row = F.struct("doc", F.xxhash64("digest", "src").alias("draw"), "src", "pos")
+    first = ids.groupBy("digest").agg(F.min(row).alias("first"), F.count("*").alias("c")).where("c > 1")
     # a text of thousands of copies is dealt over several tasks
-    salted = first.select("h", "first", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    equal = ids.withColumn("salt", F.pmod(F.xxhash64("doc", "src", "pos"), F.lit(16)).cast("int")).join(salted, ["h", "salt"])
+    salted = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    equal = ids.withColumn("salt", F.pmod(F.xxhash64("doc", "src", "pos"), F.lit(16)).cast("int")).join(salted, ["digest", "salt"])
     other = equal.where("doc = first.doc and (src <> first.src or pos <> first.pos)")
-    later = equal.where("doc > first.doc").select("src", "doc", "h", F.lit(-1).cast("long").alias("pos")).unionByName(other.select("src", "doc", "h", "pos"))
+    flagged = lambda own, flag: own.select("src", "pos", F.lit(flag).cast("long").alias("whole"))
+    later = flagged(equal.where("doc > first.doc"), 1).unionByName(flagged(other, 0))
 
     copies = sidefiles.save(sidefiles.packed(later), "copies", sources)
     dealt = rows.mapInArrow(frugal(_anchor_blocks(copies, length, parts)), "part int, src long, blob binary")
     repeated = sidefiles.save(dealt.repartitionById(parts, "part").groupBy("part").applyInPandas(frugal_group(_repeated), "src long, blob binary"), "repeated", sources)
     segments = rows.mapInArrow(frugal(_segment_blocks(copies, repeated, length, parts)), "part int, mark boolean, src long, blob binary")
     marks = sidefiles.save(segments.repartitionById(parts, "part").groupBy("part").applyInPandas(frugal_group(_part_marks(length)), "src long, blob binary"), "marks", sources)
-    stands = other.where("src <> first.src").select(F.col("first.src").alias("source"), "doc", "h", "src").distinct().repartition("source").sortWithinPartitions("source")
+    # a place for each row of a slice, so a row of thousands of repeats has one line for each slice
+    stands = other.groupBy(F.col("first.src").alias("source"), F.col("first.pos").alias("at"), "src").agg(F.collect_list("pos").alias("places"))
+    stands = stands.repartition("source", F.pmod("src", F.lit(64))).sortWithinPartitions("source")
     shared = sidefiles.save(stands.mapInArrow(frugal(_shared_marks(marks)), "src long, blob binary"), "shared", sources)
-    schema = ", ".join([OUT] + ["kept binary"] * texts + [f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields[3:]])
+    schema = ", ".join([OUT] + ["kept binary"] * texts + [f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields[4:]])
     return whole.mapInArrow(frugal(_cut(copies, marks, shared, length, texts, list(extra), characters)), schema)

@@ -72,3 +72,37 @@ def test_long_items_and_bytes_that_are_no_text(spark):
     docs = docs.unionByName(spark.sql("SELECT 4L AS doc_id, cast(unhex('FF61') AS string) AS text"))
     got = D.find_leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
     assert [(r.doc_id, r.item_id) for r in got] == [(1, 7)] and got[0].n_edits <= 300
+
+
+def test_a_block_of_items_is_built_once_for_many_texts(spark, monkeypatch):
+    items = [(i, f"item number {i} has some words of its own, {i * 7919}") for i in range(60)]
+    texts = [(k, f"before {items[k % 60][1]} after") for k in range(300)]
+    benchmark, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(D, "BLOCK_CHARS", 500)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        for gathered in (D.GATHERED, 2_000):
+            monkeypatch.setattr(D, "GATHERED", gathered)
+            got = sorted((r.doc_id, r.item_id) for r in D.find_leaks(docs, benchmark).collect() if r.n_edits == 0)
+            assert got == [(k, k % 60) for k in range(300)]
+            address, n = D._item_blocks(benchmark, D.LEAST)
+            assert n > D.KEPT
+            left = D.without_leaks(docs.unionByName(spark.createDataFrame([(1000, "nothing of it"), (1001, None)], "doc_id long, text string")), benchmark)
+            assert sorted(r.doc_id for r in left.collect()) == [1000, 1001]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_texts_are_gathered_over_batches():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([f"text {k} {i}" for i in range(10)])], names=["text"]) for k in range(10)]
+    assert [len(b) for b, _ in D._together(iter(batches), 0, D.KEPT + 1)] == [100]
+    assert [len(b) for b, _ in D._together(iter(batches), 0, D.KEPT)] == [10] * 10
+    assert [t for _, texts in D._together(iter(batches), 0, D.KEPT + 1) for t in texts][:2] == [D.normal("text 0 0"), D.normal("text 0 1")]
+
+
+def test_the_least_length_is_an_argument(spark):
+    benchmark, docs = spark.createDataFrame([(1, "short item")], "item_id long, text string"), spark.createDataFrame([(1, "a short item here"), (2, "else")], "doc_id long, text string")
+    assert D.find_leaks(docs, benchmark).count() == 0 and D.too_short(benchmark).count() == 1 and D.too_short(benchmark, 5).count() == 0
+    assert [r.doc_id for r in D.find_leaks(docs, benchmark, least=5).collect()] == [1] and [r.doc_id for r in D.without_leaks(docs, benchmark, least=5).collect()] == [2]

@@ -143,3 +143,16 @@ def test_lpf_arrays_equal_a_scan(letters, depth, size):
             assert psv[i] == next((order[r] for r in range(rank[i] - 1, -1, -1) if order[r] < i), -1)
             assert nsv[i] == next((order[r] for r in range(rank[i] + 1, n) if order[r] < i), -1)
         assert longest_previous_factors(text, starts, depth).tolist() == lpf.tolist()
+
+
+def test_texts_of_one_64_bit_hash_are_not_one_text(spark, tmp_path, monkeypatch):
+    """Two texts without a string in common, whose unseeded hashes agree: a block's eight first bytes are the hash function's own constant."""
+    monkeypatch.setattr(sidefiles, "SLICE", 2)
+    a, b = (bytes.fromhex("b8fe6c3923a44bbe") + own * 8 + b"the rest of a text of one hundred and ten bytes, as long as the hash function's way asks for."[:94].ljust(94, b".") for own in (b"x", b"y"))
+    assert len(a) == 110 and _text_hash(a) == _text_hash(b)
+    for ids in ((1, 2), (3, 3), (None, None)):
+        docs = spark.createDataFrame(list(zip(ids, (a, b), strict=True)), "doc_id long, text binary")
+        assert [(r.n_removed, bytes(r.kept)) for r in remove_repeats(docs).orderBy("kept").collect()] == [(0, a), (0, b)]
+    # repeated rows of both, in several slices
+    docs = spark.createDataFrame([(i, t) for i in (None, 5) for t in (a, b, a, b, b)], "doc_id long, text binary")
+    assert sorted((r.doc_id or 0, r.n_removed) for r in remove_repeats(docs).collect()) == [(0, 0)] * 5 + [(5, 110)] * 5
