@@ -25,10 +25,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that occur earlier; those that lose their whole text go. A character that a cut splits goes whole."""
     columns = docs.columns
-    cut = suffix_dedup.remove_repeats(docs.select("doc_id", "text", F.struct(*(c for c in columns if c not in ("doc_id", "text"))).alias("_row")), extra=("_row",), characters=True)
+    cut = suffix_dedup.remove_repeats(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in columns if c not in ("doc_id", "text"))).alias("_row")), extra=("_row",), characters=True)
     left = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes"))).withColumn("text", F.col("kept").cast("string"))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("_row.n_chars"))
-    return left.select(*(changed.alias(c) if c == "n_chars" else F.col(c) if c in ("doc_id", "text") else F.col(f"_row.{c}") for c in columns))
+    return left.select(*(changed.alias(c) if c == "n_chars" else F.col(c) if c in ("doc_id", "text") else F.col(f"_row.`{c}`") for c in columns))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
