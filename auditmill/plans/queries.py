@@ -12,8 +12,11 @@ from auditmill.functions import scalars, udfs
 from auditmill.operators import delivery, integrity, query
 from auditmill.operators.scans import running
 from auditmill.plans.ingest import Limits, sanitised
-from auditmill.sources.schema import COLUMNS, EVENT_LOGS_SQL, event_logs
-from auditmill.sources.table import cutoff
+from auditmill.sources.journal import NAMES
+from auditmill.sources.schema import COLUMNS, EVENT_LOGS_SQL, LOG, event_logs
+from auditmill.sources.hadoop import place
+from auditmill.sources.table import AppendTable, AuditTable, cutoff
+from auditmill.streaming import journal as waves
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,18 +106,22 @@ def dedup_last_write(spark, d):
     return delivery.last_write(_replayed(spark, d), "seq").select("id", "tenant_id", "action")
 
 
-@add(_REPLAYED + " SELECT id, tenant_id, action FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) n FROM r) WHERE n = 1 AND id NOT IN (SELECT id FROM audit_logs WHERE event_id % 2 = 0)")
+@add(_REPLAYED + " SELECT id, tenant_id, action FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) n FROM r) WHERE n = 1 AND id NOT IN (SELECT id FROM audit_logs WHERE tenant_id < 't5')")
 def insert_if_absent(spark, d):
-    return delivery.insert_if_absent(_replayed(spark, d), event_logs(spark, d).where("event_id % 2 = 0"), "seq").select("id", "tenant_id", "action")
+    return delivery.insert_if_absent(_replayed(spark, d), event_logs(spark, d).where("tenant_id < 't5'"), "seq").select("id", "tenant_id", "action")
+
+
+#: Tenants whose logs are acked.
+_ACKED = "tenant_id IN ('t1', 't4', 't7')"
 
 
 def _journal(spark, d) -> tuple[DataFrame, DataFrame]:
     logs = event_logs(spark, d)
     rows = logs.select("id", "tenant_id", F.col("new_values").alias("payload"), F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 1000).alias("segment"))
-    return rows, logs.where("event_id % 3 = 0").select("id")
+    return rows, logs.where(_ACKED).select("id")
 
 
-_JOURNAL = "WITH p AS (SELECT id, tenant_id, new_values AS payload, event_id AS seq, event_id // 1000 AS segment FROM audit_logs WHERE event_id % 3 <> 0)"
+_JOURNAL = f"WITH p AS (SELECT id, tenant_id, new_values AS payload, event_id AS seq, event_id // 1000 AS segment FROM audit_logs WHERE NOT {_ACKED})"
 
 
 @add(_JOURNAL + " SELECT id, payload, seq FROM p")
@@ -151,12 +158,12 @@ def journal_max_segment(spark, d):
     return delivery.max_segment(event_logs(spark, d).select(name.alias("name")))
 
 
-@add("""WITH r AS (SELECT id, event_id, new_values, event_id * 7 % 1000 AS created_ms, count(*) OVER () AS n FROM audit_logs WHERE event_id % 3 > 0), t AS (SELECT * FROM r ORDER BY created_ms, id LIMIT 500)
+@add("""WITH r AS (SELECT id, event_id, new_values, event_id * 7 % 1000 AS created_ms, count(*) OVER () AS n FROM audit_logs WHERE tenant_id NOT IN ('t1', 't4', 't7')), t AS (SELECT * FROM r ORDER BY created_ms, id LIMIT 500)
 SELECT id, (new_values ->> 'k')::INT AS k, n > 500 AS truncated FROM t WHERE event_id % 10 > 0""")
 def row_journal_scan(spark, d):
     """Every tenth payload is broken."""
     e = F.col("event_id")
-    rows = event_logs(spark, d).select("id", F.when(e % 10 > 0, F.col("new_values")).otherwise("{broken").alias("payload"), (e % 3 == 0).cast("int").alias("acked"), (e * 7 % 1000).alias("created_ms"))
+    rows = event_logs(spark, d).select("id", F.when(e % 10 > 0, F.col("new_values")).otherwise("{broken").alias("payload"), F.expr(_ACKED).cast("int").alias("acked"), (e * 7 % 1000).alias("created_ms"))
     return delivery.row_journal(rows, 500, "k int").select("id", "log.k", "truncated")
 
 
@@ -199,11 +206,11 @@ def logs_by_tenant(spark, d):
     return delivery.by_tenant(event_logs(spark, d), "event_id").select("queue", "first_seen", F.md5(F.concat_ws(",", "ids")).alias("ids"))
 
 
-@add("SELECT tenant_id AS queue, count(*) FILTER (event_id % 2 = 0) + count(*) FILTER (event_id % 5 = 0) AS n FROM audit_logs WHERE event_id % 2 = 0 OR event_id % 5 = 0 GROUP BY tenant_id")
+@add("SELECT tenant_id AS queue, count(*) FILTER (actor_id < 'u5') + count(*) FILTER (entity_id < 'e5') AS n FROM audit_logs WHERE actor_id < 'u5' OR entity_id < 'e5' GROUP BY tenant_id")
 def queue_occupancy(spark, d):
     """Even logs are queued; every fifth has a place reserved."""
     logs = event_logs(spark, d)
-    return delivery.occupancy(logs.where("event_id % 2 = 0"), logs.where("event_id % 5 = 0"))
+    return delivery.occupancy(logs.where("actor_id < 'u5'"), logs.where("entity_id < 'e5'"))
 
 
 _PLACES = "WITH q AS (SELECT id, row_number() OVER (PARTITION BY tenant_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY tenant_id) AS m FROM audit_logs)"
@@ -250,7 +257,7 @@ def dlq_list(spark, d):
 
 
 @add(_DLQ + """, c AS (SELECT count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'processing') AS processing, count(*) FILTER (state = 'dead') AS dead FROM dlq),
-j AS (SELECT count(*) AS journal FROM audit_logs WHERE event_id % 3 <> 0) SELECT *, pending + processing AS live, journal * 256 AS approx_bytes, pending + processing + journal > 0 AS has_work FROM c, j""")
+j AS (SELECT count(*) AS journal FROM audit_logs WHERE tenant_id NOT IN ('t1', 't4', 't7')) SELECT *, pending + processing AS live, journal * 256 AS approx_bytes, pending + processing + journal > 0 AS has_work FROM c, j""")
 def dlq_counts(spark, d):
     return delivery.counts(_dlq(spark, d), delivery.pending(*_journal(spark, d)))
 
@@ -422,3 +429,75 @@ def encrypted_round_trip(spark, d):
     # an IV for each record, from its unique id
     made = event_logs(spark, d).select("id", scalars.encrypt(F.col("new_values"), key, F.substring(F.unhex(F.sha2("id", 256)), 1, 12)).alias("e"))
     return made.select("id", scalars.decrypt(F.col("e"), key).alias("payload"), F.col("e").startswith("e1:").alias("sealed"))
+
+
+# through the table's and the journal's files
+
+
+def _table(spark, d, kind=AuditTable, **options) -> AuditTable:
+    """A table of all logs: those of half the tenants come first, and again with all."""
+    table, logs = kind(spark, place(spark, "audit"), **options), event_logs(spark, d)
+    table.insert(logs.where("tenant_id < 't5'"))
+    table.insert(logs.withColumn("action", F.when(F.col("tenant_id") < "t5", F.lit("again")).otherwise(F.col("action"))), "event_id")
+    return table
+
+
+@add(f"SELECT {_PAGE} FROM audit_logs")
+def table_insert_twice(spark, d):
+    return _table(spark, d).scan().select(PAGE)
+
+
+@add(f"WITH f AS (SELECT id FROM audit_logs WHERE tenant_id = 't3' ORDER BY id DESC LIMIT 50) SELECT {_PAGE} FROM audit_logs WHERE tenant_id = 't3' AND id < (SELECT min(id) FROM f) ORDER BY id DESC LIMIT 50")
+def table_page_by_cursor(spark, d):
+    """Two pages of the table, which opens months from the newest on."""
+    table = _table(spark, d)
+    _, cursor = table.page("t3")
+    rows, _ = table.page("t3", cursor=cursor)
+    return spark.createDataFrame(rows, LOG).select(PAGE)
+
+
+@add(f"SELECT {_PAGE} FROM audit_logs WHERE tenant_id = 't7' AND actor_id = 'u17' AND created_at >= '{START}'")
+def table_find_by_skip_data(spark, d):
+    return _table(spark, d, index_bytes=0).find("t7", query.Filters(actor_id="u17", start=START)).select(PAGE)
+
+
+@add(f"SELECT {_PAGE} FROM audit_logs WHERE created_at >= '{CUTOFF}' OR (tenant_id <> 't2' AND created_at >= '{START}')")
+def table_prune(spark, d):
+    """One tenant's rows to a time, then all rows to an earlier one: both are bitmaps of deleted rows."""
+    table = _table(spark, d)
+    table.prune(CUTOFF, tenant="t2")
+    table.prune(START)
+    return table.scan().select(PAGE)
+
+
+@add(f"WITH g AS (SELECT id FROM audit_logs WHERE created_at < '{CUTOFF}' ORDER BY id LIMIT 2000) SELECT {_PAGE} FROM audit_logs WHERE id NOT IN (SELECT id FROM g)")
+def table_delete_batches(spark, d):
+    """Two batches of a deletion, and a compaction between them."""
+    table = _table(spark, d)
+    table.delete_batch(CUTOFF, 1000)
+    table.compact(1)
+    table.delete_batch(CUTOFF, 1000)
+    return table.scan().select(PAGE)
+
+
+@add("SELECT id, tenant_id, CASE WHEN tenant_id < 't5' THEN 'again' ELSE action END AS action FROM audit_logs")
+def append_table_last_write(spark, d):
+    return _table(spark, d, AppendTable).scan().select("id", "tenant_id", "action")
+
+
+@add("SELECT id, tenant_id, action, 1 + (tenant_id < 't5')::INT AS versions FROM audit_logs")
+def append_table_raw(spark, d):
+    """How often each log was written; its first action."""
+    return _table(spark, d, AppendTable).raw().groupBy("id", "tenant_id").agg(F.min_by("action", "_written").alias("action"), F.count("*").cast("int").alias("versions"))
+
+
+@add(f"SELECT id, tenant_id, actor_id, action, entity_id, created_at FROM audit_logs WHERE NOT {_ACKED}")
+def journal_stream(spark, d):
+    """The journal's segments, as files, worked off by a stream into a table in waves of bounded bytes; acked logs stay out."""
+    root, logs = place(spark, "journal"), event_logs(spark, d)
+    camel = F.struct(*(F.col(c).alias(n) for c, n in NAMES.items()))
+    logs.select(F.to_json(F.struct("id", camel.alias("log"))).alias("value")).repartition(24).write.text(f"{root}/segments")
+    table = AuditTable(spark, f"{root}/table")
+    stream = waves.segments(spark, f"{root}/segments", wave_bytes=1 << 20, name="part-*")
+    waves.work_off(stream, lambda: event_logs(spark, d).where(_ACKED).select("id"), table.insert, f"{root}/checkpoint").awaitTermination()
+    return table.scan().select("id", "tenant_id", "actor_id", "action", "entity_id", "created_at")

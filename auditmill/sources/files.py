@@ -16,7 +16,12 @@ def journal(spark: SparkSession, path: str, key: bytes | None = None) -> DataFra
     """segment, log of each readable line of NDJSON segments below path: {"id": ..., "log": {...}} or the log itself.
 
     CRLF and a missing last newline are fine; lines that aren't JSON, or that the key does not open, are skipped. Nested bags are JSON text."""
-    lines = spark.read.text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("segment"), F.rtrim("value").alias("line"))
+    return parsed(spark.read.text(path), key)
+
+
+def parsed(text: DataFrame, key: bytes | None = None) -> DataFrame:
+    """segment, log of each readable line (value), of a table or a stream of text files."""
+    lines = text.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("segment"), F.rtrim("value").alias("line"))
     if key:
         lines = lines.withColumn("line", decrypt(F.col("line"), F.lit(key)))
     held = F.coalesce(F.get_json_object("line", "$.log"), F.when(F.get_json_object("line", "$.actorId").isNotNull(), F.col("line")))

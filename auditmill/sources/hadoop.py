@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -84,3 +86,31 @@ class Conflict(RuntimeError):
 
 def lines(rows: list[dict]) -> str:
     return "".join(json.dumps(r) + "\n" for r in rows)
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: the session's spark.checkpoint.dir, or where a local session has none, a temporary one.
+    What lies there goes when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="auditmill-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    made = f"{path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean)
+    _made.append(Files(spark, made))
+    return made
+
+
+_made: list[Files] = []
+
+
+def _clean() -> None:
+    for files in _made:
+        try:
+            files.fs.delete(files.at(), True)
+        except Exception:  # noqa: BLE001 - the gateway may be gone at exit
+            return

@@ -120,6 +120,13 @@ class Journal:
             self.files.drop("acks", n)
         self._bytes = sum(self.files.sizes("segments").values())
 
+    def delivered(self, segments: list[str]) -> None:
+        """All records of these segments are delivered: they go."""
+        with self._lock:
+            for n in segments:
+                self.files.drop("segments", n)
+            self._bytes = sum(self.files.sizes("segments").values())
+
     def truncate(self) -> bool:
         """Empty the journal if nothing is pending; else compact it. Whether it is empty."""
         if self.pending().limit(1).count():
