@@ -9,10 +9,17 @@ LANGUAGE = r'<html[^>]* lang="([A-Za-z-]+)"'
 _q = lambda s: "'" + s.replace("'", "''") + "'"
 
 
-def _place(key: str, tree: list[sharding.Shard]) -> str:
-    """The shard of the least of all draws."""
-    draw = lambda x: f"-ln((('0x' || substr(md5({_q(f'{x.region}/{x.rack}/{x.shard}:')} || {key}), 1, 13))::BIGINT + 1) / 4503599627370496.0) / {float(x.weight)}"
-    return f"list_sort([{', '.join(f'{{s: {draw(x)}, l: {x.shard}}}' for x in tree)}])[1].l"
+def _placed(name: str, tree: list[sharding.Shard]) -> str:
+    """Tables name_* of which the last, name, has the shard of each id of table s (id, key): of the accepted paths the first in time."""
+    owned = [(g, n, x, w, len(own.places), own.regions) for g, own in enumerate(sharding.groups(tree)) for n, (x, w) in enumerate(own.places) if x is not None]
+    places = ", ".join(f"({g}, {n}, {x}, {w!r}::DOUBLE)" for g, n, x, w, _, _ in owned)
+    sizes = ", ".join(f"({g}, {c}, {r})" for g, c, r in sorted({(g, c, r) for g, _, _, _, c, r in owned}))
+    k, p = sharding.RACKS, sharding.PLACES
+    number = lambda a: f"('0x' || substr(h, {a}, 13))::BIGINT"
+    return f"""{name}_h AS (SELECT id, g, c, r, m, md5(g || ':' || m || ':' || key) AS h FROM s, (VALUES {sizes}) z(g, c, r), range({sharding.DRAWS}) t(m)),
+{name}_t AS (SELECT id, g, ((({number(14)} % r) * {k} + {number(14)} // r % {k}) * {p} + {number(14)} // (r * {k}) % {p}) AS n, ('0x' || substr(h, 27, 6))::BIGINT / 16777216.0 AS odds,
+  sum(-ln(({number(1)} + 1) / 4503599627370496.0) / c) OVER (PARTITION BY id, g ORDER BY m) AS t FROM {name}_h),
+{name} AS (SELECT id, arg_min(x, t) AS shard FROM {name}_t JOIN (VALUES {places}) y(g, n, x, w) USING (g, n) WHERE odds < w GROUP BY id)"""
 
 
 _TREE = sharding.topology(8)
@@ -21,10 +28,12 @@ _KEY = "coalesce(doc_id::VARCHAR, '')"
 SHARDING = f"""
 WITH steps AS (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)),
 crc AS (SELECT list(c ORDER BY i) AS t FROM steps),
-d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-s AS (SELECT doc_id, (strlen(text) + 1)::BIGINT AS size, hex(encode(text)) AS x, {_place(_KEY, _TREE)} AS shard, {_place(_KEY, sharding.grow(_TREE))} AS grown FROM d),
-c AS (SELECT s.* EXCLUDE x, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
-  lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295) AS crc FROM s, crc),
+d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT id, doc_id, {_KEY} AS key, (strlen(text) + 1)::BIGINT AS size, hex(encode(text)) AS x FROM d),
+{_placed('now', _TREE)},
+{_placed('more', sharding.grow(_TREE))},
+c AS (SELECT s.* EXCLUDE (x, key), now.shard, more.shard AS grown, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
+  lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295) AS crc FROM s JOIN now USING (id) JOIN more USING (id), crc),
 p AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, crc, size) - 1) // {sharding.COPIES} AS part FROM c),
 b AS (SELECT *, ('0x' || substr(md5('bucket:' || {_KEY} || ':' || crc || ':' || part), 1, 13))::BIGINT % (SELECT greatest(1, ceil(count(*) / {8 * sharding.BUCKET_ROWS}.0))::BIGINT FROM documents) AS bucket FROM p)
 SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard::INT AS shard,

@@ -1,3 +1,4 @@
+import time
 import zlib
 from collections import Counter
 
@@ -26,7 +27,7 @@ def test_weights_and_movement(spark):
     tree = [S.Shard("a", "a1", 0, 1), S.Shard("a", "a1", 1, 3), S.Shard("a", "a2", 2, 2), S.Shard("b", "b1", 3, 2)]
     heavier = [*tree[:2], S.Shard("a", "a2", 2, 4), tree[3]]
     keys = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
-    got = keys.select(S.place(F.col("k"), tree).alias("x"), S.place(F.col("k"), heavier).alias("y"), S.place(F.col("k"), S.grow(tree, 2)).alias("z")).collect()
+    got = keys.select(S.place(F.col("k"), tree, unit=4).alias("x"), S.place(F.col("k"), heavier, unit=4).alias("y"), S.place(F.col("k"), S.grow(tree, 2), unit=4).alias("z")).collect()
     share = Counter(r.x for r in got)
     for s, w in enumerate((1, 3, 2, 2)):
         assert abs(share[s] / 20_000 - w / 8) < 0.02
@@ -37,6 +38,35 @@ def test_weights_and_movement(spark):
         S.place(F.col("k"), [])
     with pytest.raises(ValueError):
         S.place(F.col("k"), [S.Shard("a", "a", 0, 0)])
+    with pytest.raises(ValueError):
+        S.place(F.col("k"), heavier)
+    with pytest.raises(ValueError):
+        S.place(F.col("k"), [S.Shard("a", f"k{i}", i) for i in range(3)])
+
+
+def test_movement_is_confined_to_the_subtree_that_changes(spark):
+    """A region with three shards comes and goes: rows move into it, and back, alone; within it they go by weight."""
+    tree = [*S.topology(6), S.Shard("far", "f1", 6), S.Shard("far", "f1", 7, 0.5), S.Shard("far", "f2", 8)]
+    keys = spark.range(8000).select(F.col("id").cast("string").alias("k"))
+    got = keys.select(S.place(F.col("k"), tree[:6]).alias("x"), S.place(F.col("k"), tree).alias("y")).collect()
+    assert all(r.y == r.x or r.y > 5 for r in got)
+    n = Counter(r.y for r in got)
+    assert all(abs(n[x.shard] / 8000 - x.weight / 8.5) < 0.02 for x in tree)
+
+
+def test_a_thousand_shards(spark):
+    began = time.time()
+    tree = S.topology(1000)
+    got = spark.range(4000).select(S.place(F.col("id").cast("string"), tree).alias("x"), S.place(F.col("id").cast("string"), S.grow(tree)).alias("y")).collect()
+    assert time.time() - began < 90
+    assert all(r.y in (r.x, 1000) for r in got) and len({r.x for r in got}) > 900 and max(Counter(r.x for r in got).values()) < 20
+
+
+def test_rows_that_no_path_leads_to_a_shard(spark):
+    """With one path each group often finds none: the draw of all shards decides, and the law still holds."""
+    tree = [S.Shard("a", "a1", 0, 0.1), S.Shard("b", "b1", 1, 0.1)]
+    got = spark.range(3000).select(S.place(F.col("id").cast("string"), tree, draws=1).alias("x"), S.place(F.col("id").cast("string"), [*tree, S.Shard("b", "b2", 2, 0.3)], draws=1).alias("y")).collect()
+    assert all(r.y in (r.x, 2) for r in got) and {r.x for r in got} == {0, 1}
 
 
 def test_one_place_for_each_id_and_number_of_shards(spark):
