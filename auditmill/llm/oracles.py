@@ -108,7 +108,10 @@ k AS (SELECT id, CASE WHEN contains(coalesce(url, ''), '://') THEN list_distinct
   list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: 'key:' || string_split(x, '=')[1]))) ELSE [] END AS t FROM p),
 tok AS (SELECT id, unnest(t) AS t FROM k),
 said AS (SELECT p.id, url, nullif(regexp_extract(html, {_q(LANGUAGE)}, 1), '') AS lang FROM p),
-drawn AS (SELECT id, NOT starts_with(lower(lang), 'en') AS bad FROM said WHERE url IS NOT NULL AND lang IS NOT NULL ORDER BY md5(url), url, bad LIMIT {u.LABELLED}),
+known AS (SELECT url, min(id) AS id, sum((NOT starts_with(lower(lang), 'en'))::INT) * 2 > count(*) AS bad, ('0x' || substr(md5(url), 1, 13))::BIGINT / 4503599627370496.0 AS spot FROM said WHERE url IS NOT NULL AND lang IS NOT NULL GROUP BY url),
+stepped AS (SELECT *, floor(spot * ((SELECT count(*) FROM known) / {u.LABELLED}) * {u.STEPS}) AS step FROM known),
+taken AS (SELECT step, sum(count(*)) OVER (ORDER BY step) AS taken FROM stepped WHERE step < {2 * u.STEPS} GROUP BY step),
+drawn AS (SELECT id, bad FROM stepped WHERE (SELECT count(*) FROM known) <= {u.LABELLED} OR step <= (SELECT max(step) FROM taken WHERE taken <= {u.LABELLED})),
 lab AS (SELECT k.id, bad FROM drawn JOIN k USING (id) WHERE len(t) > 0),
 m AS (SELECT greatest({u.LEAST}, ceil(count(*) * {int(u.SUPPORT * 1000)} / 1000.0)) AS least FROM lab),
 c AS (SELECT lab.id, bad, a.t AS a, NULL AS b, NULL AS c FROM lab JOIN tok a USING (id)

@@ -8,7 +8,7 @@ combinations that are frequent among bad urls and of whose urls enough are bad:
    forty tokens, of which nothing tells one from the other, is not mined for its 2**40 combinations.
 3. FP-growth mines the bad urls' combinations, whose confidence is then counted over all labelled urls.
 
-A rule stands in an inverted index under its least frequent tokens, so that a url is held only against rules that share one of these, and then for
+A rule stands in an inverted index under the tokens that the fewest labelled urls have, so that a url is held only against rules that share one of these, and then for
 all of the rule's choices.
 """
 
@@ -26,8 +26,10 @@ from auditmill.llm.shared import written
 SUPPORT, LEAST, CONFIDENCE = 0.002, 20, 0.8
 #: Rules that are sent to all tasks; more are joined by a shuffle.
 BROADCAST_RULES = 10_000
-#: Labelled urls that are mined; of more, those with the least digests.
+#: Labelled urls that are mined, at most; of more, those with the least digests.
 LABELLED = 200_000
+#: Steps in which the bound on digests is sought, so that about a 64th of LABELLED may stay unused.
+STEPS = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
@@ -57,17 +59,38 @@ def tokens(url: Column) -> Column:
     return F.when(F.coalesce(url, F.lit("")).contains("://"), F.array_distinct(F.concat(above, segments, keys))).otherwise(F.array().cast("array<string>"))
 
 
-RULE = "choices array<array<string>>, confidence double, support double"
+RULE = "choices array<array<string>>, keys array<string>, confidence double, support double"
+
+
+def digest(url: Column) -> Column:
+    """A number from 0 to 1 by the url's MD5."""
+    return F.conv(F.substring(F.md5(url), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
 
 
 def sample(labelled: DataFrame, most: int = LABELLED) -> DataFrame:
-    """(url, bad) of `most` rows of labelled (url, bad) at most: those whose urls have the least MD5 digests. Rows without a url or a label tell nothing."""
-    known = labelled.where("url is not null and bad is not null").select("url", "bad")
-    return known.orderBy(F.md5("url"), "url", "bad").limit(most)
+    """(url, bad) of `most` distinct urls of labelled (url, bad) at most, each once: bad if most of its rows are. Rows without a url or a label tell nothing.
+
+    Of more urls those with digests below a bound are taken: how often a url occurs, and where, has no part in it. The bound comes from counts by
+    steps of the digest, so no task gets all candidates."""
+    known = labelled.where("url is not null and bad is not null").groupBy("url").agg(F.sum(F.col("bad").cast("int")).alias("n_bad"), F.count("*").alias("n"))
+    known = written(known.select("url", (F.col("n_bad") * 2 > F.col("n")).alias("bad"), digest(F.col("url")).alias("_at")), "labelled")
+    n = known.count()
+    if n <= most:
+        return known.select("url", "bad")
+    step = F.floor(F.col("_at") * F.lit(n / most) * STEPS)
+    counts = known.where(step < 2 * STEPS).groupBy(step.alias("step")).count().orderBy("step").collect()
+    taken, bound = 0, -1
+    for r in counts:
+        taken += r["count"]
+        if taken > most:
+            break
+        bound = r.step
+    return known.where(step <= bound).select("url", "bad")
 
 
 def mine(labelled: DataFrame) -> DataFrame:
-    """(choices, confidence, support) of the rules of labelled (url, bad): a url fits that has one token at least of each choice.
+    """(choices, keys, confidence, support) of the rules of labelled (url, bad): a url fits that has one token at least of each choice. keys is the choice
+    that the fewest labelled urls have.
 
     A rule is bad in LEAST urls and SUPPORT of all labelled ones at least, and in CONFIDENCE of those that fit. Rows without a url or a label tell
     nothing. A rule with a rule inside it would change nothing, and is dropped."""
@@ -82,8 +105,8 @@ def mine(labelled: DataFrame) -> DataFrame:
     same = written(counted.groupBy("n", "n_bad", "sum_0", "sum_1").agg(F.array_sort(F.collect_list("token")).alias("choice")).drop("sum_0", "sum_1"), "choices")
     enough = F.col("n_bad") / F.col("n") >= CONFIDENCE
     measured = ((F.col("n_bad") / F.col("n")).alias("confidence"), (F.col("n_bad") / F.lit(max(n, 1))).alias("support"))
-    single = same.where(enough).select(F.explode("choice").alias("token"), *measured).select(F.array(F.array("token")).alias("choices"), "confidence", "support")
-    names = same.where(~enough).select(F.get("choice", F.lit(0)).alias("token"), "choice")
+    single = same.where(enough).select(F.explode("choice").alias("token"), *measured).select(F.array(F.array("token")).alias("choices"), F.array("token").alias("keys"), "confidence", "support")
+    names = same.where(~enough).select(F.get("choice", F.lit(0)).alias("token"), "choice", F.col("n").alias("urls"))
     reduced = written(baskets.select("n", "n_bad", "tokens", F.explode("tokens").alias("token")).join(names, "token").groupBy("tokens").agg(F.first("n").alias("n"), F.first("n_bad").alias("n_bad"), F.array_sort(F.collect_list("token")).alias("items")), "reduced")
     bad = reduced.where("n_bad > 0").select("items", F.explode(F.sequence(F.lit(1).cast("long"), "n_bad"))).select("items")
     n_bad = bad.count()
@@ -97,7 +120,7 @@ def mine(labelled: DataFrame) -> DataFrame:
     several = held.groupBy("items", "n_bad").agg(F.sum("n").alias("n")).where(enough).select("items", *measured)
     spelt = several.select(F.monotonically_increasing_id().alias("id"), "*")
     spelt = written(spelt, "several")
-    wide = spelt.select("id", "confidence", "support", F.explode("items").alias("token")).join(names, "token").groupBy("id", "confidence", "support").agg(F.array_sort(F.collect_list("choice")).alias("choices")).select("choices", "confidence", "support")
+    wide = spelt.select("id", "confidence", "support", F.explode("items").alias("token")).join(names, "token").groupBy("id", "confidence", "support").agg(F.array_sort(F.collect_list("choice")).alias("choices"), F.min_by("choice", F.struct("urls", "choice")).alias("keys")).select("choices", "keys", "confidence", "support")
     # narrow rules first, so that wider ones are held only against rules that stay
     left, kept = written(wide, "rules"), spark.createDataFrame([], RULE).unionByName(single)
     while (width := left.agg(F.min(F.size("choices"))).first()[0]) is not None:
@@ -110,10 +133,7 @@ def mine(labelled: DataFrame) -> DataFrame:
 
 def _holding(rows: DataFrame, rules: DataFrame, name: str) -> DataFrame:
     """The distinct values of column name of rows, whose tokens are own, that fit a rule."""
-    frequency = rules.select(F.explode(F.flatten("choices")).alias("token")).groupBy("token").agg(F.count("*").alias("f"))
-    choice = rules.select(F.col("choices").alias("rule"), F.explode("choices").alias("choice"))
-    ranked = choice.select("rule", "choice", F.explode("choice").alias("token")).join(frequency, "token").groupBy("rule", "choice").agg(F.sum("f").alias("f"))
-    keyed = ranked.groupBy("rule").agg(F.min_by("choice", F.struct("f", "choice")).alias("choice")).select("rule", F.explode("choice").alias("token"))
+    keyed = rules.select(F.col("choices").alias("rule"), F.explode("keys").alias("token"))
     index = F.broadcast(keyed) if rules.count() <= BROADCAST_RULES else keyed
     own = rows.select(F.col(name).alias("name"), "own", F.explode("own").alias("token"))
     return own.join(index, "token").where(F.forall("rule", lambda c: F.arrays_overlap(c, F.col("own")))).select(F.col("name").alias(name)).distinct()

@@ -2,6 +2,7 @@ import time
 from itertools import combinations, product
 
 from auditmill.llm import url_filter as U
+from pyspark.sql import functions as F
 
 
 def test_stated_rules_and_parts(spark):
@@ -94,7 +95,25 @@ def test_more_rules_than_are_broadcast_and_hot_urls(spark, monkeypatch):
 
 def test_the_sample_is_bounded(spark):
     rows = spark.range(50).selectExpr("concat('http://h.org/', id) AS url", "id % 2 = 0 AS bad")
-    assert U.sample(rows, 7).count() == 7 and U.sample(rows).count() == 50
+    few = U.sample(rows, 7).collect()
+    assert 5 <= len(few) <= 7 and U.sample(rows).count() == 50
+    last = max(r.at for r in spark.createDataFrame(few).select(U.digest(F.col("url")).alias("at")).collect())
+    assert sum(r.at < last for r in rows.select(U.digest(F.col("url")).alias("at")).collect()) == len(few) - 1
+
+
+def test_a_hot_url_is_one_of_the_sample(spark):
+    rows = spark.range(1000).selectExpr("if(id < 800, 'http://hot.org/', concat('http://h.org/', id)) AS url", "id % 4 > 0 AS bad").unionByName(spark.createDataFrame([(None, True), ("http://u.org", None)], "url string, bad boolean"))
+    got = U.sample(rows, 200)
+    assert got.where("url = 'http://hot.org/'").count() <= 1 and got.count() <= 200
+    whole = {r.url: r.bad for r in U.sample(rows).collect()}
+    assert len(whole) == 201 and whole["http://hot.org/"] is True
+    assert "TakeOrdered" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rules_are_indexed_by_what_few_urls_have(spark):
+    rows = [(f"http://a{i}.com/{'x' if i % 3 == 0 else 'y'}", i % 3 == 0) for i in range(150)] + [(f"http://b{i}.org/x", False) for i in range(60)]
+    rules = U.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    assert [(sorted(map(tuple, r.choices)), r["keys"]) for r in rules] == [([("host:com",), ("path:x",)], ["path:x"])]
 
 
 def test_mined_rules_decide_rows_of_the_query(spark):
