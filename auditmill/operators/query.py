@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from auditmill.functions.scalars import month
 
 PAGE, MAX_PAGE = 50, 500
+BAGS = ("old_values", "new_values", "metadata")
 
 
 @dataclass(frozen=True)
@@ -65,6 +67,17 @@ def collected(ahead: DataFrame, limit: float | None = None, most: int = MAX_PAGE
     return rows[:n], rows[n - 1].id if len(rows) > n else None
 
 
+def parsed(row: Row) -> dict:
+    """A page's row with its bags as values; what is no JSON, or empty, is None."""
+    out = row.asDict()
+    for c in BAGS:
+        try:
+            out[c] = json.loads(out[c]) if out[c] else None
+        except ValueError:
+            out[c] = None
+    return out
+
+
 def with_parsed_bags(logs: DataFrame) -> DataFrame:
     """logs with old_values, new_values and metadata as variants; what is no JSON is null."""
-    return logs.withColumns({c: F.try_parse_json(F.nullif(F.col(c), F.lit(""))) for c in ("old_values", "new_values", "metadata")})
+    return logs.withColumns({c: F.try_parse_json(F.nullif(F.col(c), F.lit(""))) for c in BAGS})

@@ -42,13 +42,13 @@ def acks(spark: SparkSession, path: str) -> DataFrame:
 def dead_letters(spark: SparkSession, path: str) -> DataFrame:
     """Dead-letter batches, one JSON document a file: an envelope with logs, or a bare array of logs (attempts 0, the first log's tenant).
 
-    A file that can't be read is a batch of no logs (null). The state is the last part of the file's name before .json, pending by default."""
-    one = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.trim("value").alias("value"))
+    A file that can't be read is a batch of no logs (null). created_ms, by which batches are retried first in first out, is the file's time. The state is the last part of the file's name before .json, pending by default."""
+    one = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.trim("value").alias("value"), F.unix_millis("_metadata.file_modification_time").alias("created_ms"))
     bare = F.col("value").startswith("[")
     held = F.from_json(F.when(~bare, F.col("value")), f"id string, tenantId string, attempts int, logs array<struct<{_CAMEL.replace(' string', ':string')}>>")
     listed = F.from_json(F.when(bare, F.col("value")), f"array<struct<{_CAMEL.replace(' string', ':string')}>>")
     name = F.regexp_extract("file", r"^(.*?)(?:\.(pending|processing|dead))?\.json$", 1)
     state = F.regexp_extract("file", r"^(.*?)(?:\.(pending|processing|dead))?\.json$", 2)
-    read = one.select("file", name.alias("name"), F.when(state != "", state).otherwise("pending").alias("state"), held.alias("e"), F.coalesce(listed, held["logs"]).alias("logs"))
+    read = one.select("file", "created_ms", name.alias("name"), F.when(state != "", state).otherwise("pending").alias("state"), held.alias("e"), F.coalesce(listed, held["logs"]).alias("logs"))
     return read.select(F.coalesce("e.id", "name").alias("id"), "state", F.coalesce("e.tenantId", F.get("logs", F.lit(0))["tenantId"]).alias("tenant_id"), F.coalesce("e.attempts", F.lit(0)).alias("attempts"),
-                       F.transform("logs", from_camel).cast(_LOGS).alias("logs"), F.lit(0).cast("long").alias("created_ms"))
+                       F.transform("logs", from_camel).cast(_LOGS).alias("logs"), "created_ms")

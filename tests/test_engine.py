@@ -89,6 +89,38 @@ def test_jdbc_table(spark):
     assert sorted(r.id for r in table.scan().collect()) == ["0002", "0003"] and isinstance(table, Destination)
 
 
+def test_jdbc_by_ranges(spark):
+    table = JdbcTable(spark, "jdbc:derby:memory:ranges;create=true", "audit_logs", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}, part_rows=100)
+    table.create()
+    full = {c: "-" for c in COLUMNS if c not in ("id", "tenant_id", "action", "created_at")}
+    assert table.bounds() == [] and table.scan().count() == 0
+    rows = [log(i, f"t{i % 3}", **full, action="it's") for i in range(950)]
+    table.insert(frame(spark, rows))
+    found = table.scan()
+    assert len(table.bounds()) == 9 and found.rdd.getNumPartitions() == 10 and sorted(r.id for r in found.collect()) == [r[0] for r in rows]
+    assert query.filtered(found, "t1", query.Filters(action="it's")).count() == 317
+    # one old id and one new one: nothing between them is read
+    seen, real = [], table._of
+    table._of = lambda predicates: seen.extend(predicates) or real(predicates)
+    table.insert(frame(spark, [log(3, **full), log(2_000, **full), ("x" * 9, *log(1, **full)[1:])]))
+    assert len(seen) == 3 and table.scan().count() == 952 and table.scan().where("action = 'x'").count() == 2
+
+
+def test_admission_does_not_look_at_other_queues():
+    import time
+
+    q = Queues(Caps(tenants=20_000, total=100_000))
+    began = time.monotonic()
+    for i in range(9_000):
+        assert q.admit(f"t{i}", lambda _: False) == ""
+        q.release(f"t{i}")
+        q.push({"tenant_id": f"t{i}", "id": str(i)})
+    assert time.monotonic() - began < 2 and q.total() == len(q.active()) == 9_000
+    assert len(q.take("t5")) == 1 and q.total() == 8_999 and "t5" not in q.active()
+    q.restore([{"tenant_id": "t5", "id": "5"}])
+    assert q.total() == sum(map(len, q.held.values())) == 9_000
+
+
 def test_journal(spark, tmp_path):
     path = f"file://{tmp_path}/j"
     rec = lambda i, **more: dict(zip(COLUMNS, log(i, **more), strict=True))
@@ -238,6 +270,7 @@ def test_files(spark, tmp_path):
     for name, text in (("b1.dead.json", json.dumps({"v": 2, "id": "own", "tenantId": "t", "attempts": 3, "logs": [one]})), ("b2.json", json.dumps([one | {"tenantId": "u"}])), ("b3.processing.json", "{broken")):
         (tmp_path / "d" / name).write_text(text)
     got = {r.id: (r.state, r.tenant_id, r.attempts, r.logs and len(r.logs)) for r in files.dead_letters(spark, f"file://{tmp_path}/d").collect()}
+    assert all(r.created_ms > 1_700_000_000_000 for r in files.dead_letters(spark, f"file://{tmp_path}/d").collect())
     assert got == {"own": ("dead", "t", 3, 1), "b2": ("pending", "u", 0, 1), "b3": ("processing", None, 0, None)}
 
 
@@ -255,6 +288,7 @@ def test_logger_life(made):
     logger.flush()
     rows, cursor = logger.query("acme", limit=3)
     assert len(rows) == 3 and cursor and json.loads(rows[0].metadata) == {"n": 4}
+    assert [r["metadata"] for r in logger.query("acme", limit=2, parsed=True)[0]] == [{"n": 4}, {"n": 3}]
     rest, end = logger.query("acme", cursor=cursor, limit=3)
     assert len(rest) == 2 and end is None and len(logger.query("acme", query.Filters(actor_id="u1"))[0]) == 2
     assert logger.verify(logger.table().scan().where("tenant_id = 'acme'")) == {"ok": True, "failed_at": -1, "error": None}
