@@ -189,7 +189,7 @@ def poisoned(dlq: DataFrame, max_attempts: int = 10) -> DataFrame:
 
 def oldest_expired(logs: DataFrame, cutoff: str, n: int) -> DataFrame:
     """The rows of one batch of a deletion in batches: n expired ones at most, oldest first by id."""
-    return logs.join(logs.where(expired(cutoff)).orderBy("id").limit(n).select("id"), "id", "left_semi")
+    return logs.where(expired(cutoff)).orderBy("id").limit(n)
 
 
 def expired(cutoff: str) -> Column:

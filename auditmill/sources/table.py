@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from auditmill.functions.scalars import month
 from auditmill.operators import query
-from auditmill.operators.delivery import expired, first_write, last_write
+from auditmill.operators.delivery import expired, first_write, insert_if_absent, last_write, oldest_expired
 from auditmill.sources import skipping
 from auditmill.sources.hadoop import Conflict, Files, lines
 from auditmill.sources.schema import COLUMNS, LOG
@@ -298,13 +298,13 @@ class AuditTable:
         """Add rows whose id isn't there; of rows with one id the first. Only ids of the rows' own months are read, in folders whose ids reach into theirs.
 
         An id holds its time, so one that comes again has the same month."""
-        new = first_write(logs, seq).select(*COLUMNS).withColumn("created_month", month(F.col("created_at")))
+        new = logs.withColumn("created_month", month(F.col("created_at")))
         span = {NO_MONTH if r.created_month is None else r.created_month: r for r in new.groupBy("created_month").agg(F.min("id").alias("low"), F.max("id").alias("high")).collect()}
 
         def make(live: list[Folder], _: int) -> Change:
             there = [x for x in live if x.month in span and x.low is not None and x.low <= span[x.month].high and x.high >= span[x.month].low]
-            own = new.join(self._read(there).select("id"), "id", "left_anti").select(*COLUMNS, "created_month") if there else new
-            return Change([], self._staged(self._laid_out(own)), set(span))
+            own = insert_if_absent(new, self._read(there), seq) if there else first_write(new, seq)
+            return Change([], self._staged(self._laid_out(own.select(*COLUMNS, "created_month"))), set(span))
 
         if span:
             self._change(make)
@@ -350,7 +350,7 @@ class AuditTable:
 
         def make(live: list[Folder], _: int) -> Change | None:
             own = [x for x in live if x.month <= at]
-            return self._delete(own, live, lambda r: r.where(expired(cutoff)).orderBy("id").limit(rows), {x.month for x in own}, [])
+            return self._delete(own, live, lambda r: oldest_expired(r, cutoff, rows), {x.month for x in own}, [])
 
         self._change(make)
 

@@ -12,18 +12,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from auditmill.functions.scalars import GENESIS, integrity_payload
-from auditmill.plans.ingest import Limits, sanitised, split_by_tenant
+from auditmill.plans.ingest import Limits, sanitised, split_by_tenant, with_request_context
 from auditmill.sources.schema import COLUMNS, LOG
 
 
-def source(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """A stream of JSON records below path; bags are JSON text. Files are taken as they come, so a backlog is worked off in bounded batches."""
-    return spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_batch).json(path)
+#: Columns of a request's headers, where records bring them.
+HEADERS = "x_forwarded_for string, x_real_ip string, user_agent_header string, x_tenant_id string"
+
+
+def source(spark: SparkSession, path: str, files_per_batch: int = 100, headers: bool = False) -> DataFrame:
+    """A stream of JSON records below path; bags are JSON text. Files are taken as they come, so a backlog is worked off in bounded batches. headers: with HEADERS."""
+    return spark.readStream.schema(f"{LOG}, {HEADERS}" if headers else LOG).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
 def deliver(stream: DataFrame, insert: Callable[[DataFrame], None], checkpoint: str, limits: Limits = Limits(), dead_letter: Callable[[DataFrame, Exception], None] | None = None,
-            rejected: Callable[[DataFrame], None] | None = None, dedup_within: str | None = None, seconds: float | None = None, attempts: int = 3, backoff_ms: int = 1000) -> StreamingQuery:
-    """Cleaned records to insert(), batch by batch. A batch may be replayed after a crash: insert() is by id.
+            rejected: Callable[[DataFrame], None] | None = None, dedup_within: str | None = None, seconds: float | None = None, attempts: int = 3, backoff_ms: int = 1000, proxies: int | None = None) -> StreamingQuery:
+    """Cleaned records to insert(), batch by batch. proxies: a request's address, agent and tenant come from HEADERS, behind so many trusted proxies. A batch may be replayed after a crash: insert() is by id.
 
     A batch that insert() refuses `attempts` times goes to dead_letter(); without that, or if it fails too, the batch fails and stays in the checkpoint.
     dedup_within bounds the state of an early dedup by event time. Without seconds, all that is there is worked off and the query ends."""
@@ -31,7 +35,7 @@ def deliver(stream: DataFrame, insert: Callable[[DataFrame], None], checkpoint:
         stream = stream.withColumn("_at", F.try_to_timestamp("created_at")).withWatermark("_at", dedup_within).dropDuplicatesWithinWatermark(["id"]).drop("_at")
 
     def batch(rows: DataFrame, _: int) -> None:
-        good, bad = split_by_tenant(rows, limits)
+        good, bad = split_by_tenant(rows if proxies is None else with_request_context(rows, proxies), limits)
         clean = sanitised(good, limits).select(*COLUMNS).persist()
         try:
             for attempt in range(attempts):

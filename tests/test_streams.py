@@ -4,6 +4,7 @@ import json
 import time
 
 import pytest
+from auditmill.plans.ingest import Limits
 from auditmill.plans.logger import AuditLogger, Config
 from auditmill.sources.journal import Journal
 from auditmill.sources.schema import COLUMNS
@@ -79,6 +80,16 @@ def put(tmp_path, name, rows):
     (tmp_path / "in" / f".{name}").rename(tmp_path / "in" / name)
 
 
+def test_requests_headers_become_columns(spark, tmp_path):
+    table, rejected = AuditTable(spark, f"file://{tmp_path}/t"), []
+    headers = {"x_forwarded_for": "203.0.113.9, 10.0.0.1", "user_agent_header": "curl", "x_tenant_id": "from-header"}
+    put(tmp_path, "1.json", [rec(1, None) | headers, rec(2, "stated") | headers, rec(3, None)])
+    stream = delivery.source(spark, f"file://{tmp_path}/in", headers=True)
+    delivery.deliver(stream, table.insert, f"file://{tmp_path}/ck", Limits(require_tenant=True), rejected=lambda bad: rejected.extend(r.id for r in bad.collect()), proxies=1).awaitTermination()
+    got = {r.id: (r.tenant_id, r.ip_address, r.user_agent) for r in table.scan().collect()}
+    assert got == {"00001": ("from-header", "203.0.113.9", "curl"), "00002": ("stated", "203.0.113.9", "curl")} and rejected == ["00003"]
+
+
 def until(found, n):
     """A stream with timeouts never runs out of batches, so wait for what has to come."""
     end = time.time() + 40
