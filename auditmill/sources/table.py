@@ -32,6 +32,8 @@ KEPT, LEASE = 10, 24 * 3600.0
 ATTEMPTS = 20
 #: Stands for the month of rows without a time: it never passes.
 NO_MONTH = 999_999
+#: A stream and the number of one of its batches.
+Batch = tuple[str, int]
 _GONE = "folder string, file string, block long, bits binary"
 
 
@@ -86,29 +88,38 @@ class AuditTable:
     def _manifests(self) -> list[str]:
         return [n for n in self.files.names("_manifest") if n.startswith("v")]
 
-    def _read_manifest(self, name: str) -> list[Folder]:
-        return [Folder(**json.loads(x)) for x in self.files.read(f"_manifest/{name}").splitlines()]
+    def _read_manifest(self, name: str) -> tuple[list[Folder], dict[str, int]]:
+        """Folders, and the last batch of each stream that is in them."""
+        found = [json.loads(x) for x in self.files.read(f"_manifest/{name}").splitlines()]
+        return [Folder(**x) for x in found if "path" in x], {x["stream"]: x["batch"] for x in found if "stream" in x}
 
-    def _state(self) -> tuple[int, list[Folder]]:
-        """The newest manifest's number (0: none) and folders."""
+    def _state(self) -> tuple[int, list[Folder], dict[str, int]]:
+        """The newest manifest's number (0: none), folders and streams."""
         found = self._manifests()
-        return (int(found[-1][1:-6]), self._read_manifest(found[-1])) if found else (0, [])
+        return (int(found[-1][1:-6]), *self._read_manifest(found[-1])) if found else (0, [], {})
 
     def _live(self) -> list[Folder]:
         return self._state()[1]
 
-    def _commit(self, number: int, live: list[Folder]) -> bool:
-        """Manifest `number` of these folders, unless there is one; whether there wasn't."""
-        done = self.files.publish(f"_manifest/v{number:020d}.jsonl", lines([asdict(x) for x in sorted(live, key=lambda x: x.path)]))
+    def has(self, batch: Batch) -> bool:
+        """Whether the table took this batch."""
+        return self._state()[2].get(batch[0], -1) >= batch[1]
+
+    def _commit(self, number: int, live: list[Folder], streams: dict[str, int] | None = None) -> bool:
+        """Manifest `number` of these folders and streams, unless there is one; whether there wasn't."""
+        noted = [{"stream": k, "batch": n} for k, n in sorted((streams or {}).items())]
+        done = self.files.publish(f"_manifest/v{number:020d}.jsonl", lines([asdict(x) for x in sorted(live, key=lambda x: x.path)] + noted))
         if done:
             for n in self._manifests()[:-KEPT]:
                 self.files.drop("_manifest", n)
         return done
 
-    def _change(self, make: Callable[[list[Folder], int], Change | None]) -> None:
-        """Commit what make(folders, number) says, until it is committed or there is nothing to do."""
+    def _change(self, make: Callable[[list[Folder], int], Change | None], batch: Batch | None = None) -> None:
+        """Commit what make(folders, number) says, until it is committed or there is nothing to do. A stream's batch that the table took before is nothing to do."""
         for attempt in range(ATTEMPTS):
-            number, live = self._state()
+            number, live, streams = self._state()
+            if batch and streams.get(batch[0], -1) >= batch[1]:
+                return
             change = make(live, number)
             if change is None or not (change.removed or change.added):
                 return
@@ -119,10 +130,10 @@ class AuditTable:
                 swept = [p for p in new if not self.files.exists(p)]
                 if swept:
                     raise Conflict(f"the change outlasted its lease: {swept}")
-                if self._commit(number + 1, [x for x in live if x.path not in gone] + change.added):
+                if self._commit(number + 1, [x for x in live if x.path not in gone] + change.added, streams | dict([batch] if batch else [])):
                     return
-                number, live = self._state()
-                if change.months is None or based != rests_on(live):
+                number, live, streams = self._state()
+                if change.months is None or based != rests_on(live) or (batch and streams.get(batch[0], -1) >= batch[1]):
                     break
             for p in new:
                 self.files.drop(p)
@@ -131,7 +142,7 @@ class AuditTable:
 
     def recover(self) -> None:
         """Sweep what no kept manifest lists and is older than the lease: left by writers that died, or replaced by later changes."""
-        known = [x for n in self._manifests() for x in self._read_manifest(n)]
+        known = [x for n in self._manifests() for x in self._read_manifest(n)[0]]
         paths, gone = {x.path for x in known}, {x.gone for x in known}
         indexed = {x.path.rpartition("/")[2] for x in known}
         oldest = int((time.time() - self.lease) * 1000)
@@ -294,10 +305,13 @@ class AuditTable:
         """By month and tenant, so that files hold few tenants each, and by id in it."""
         return rows.repartitionByRange("created_month", "tenant_id", "id").sortWithinPartitions("created_month", "tenant_id", "id")
 
-    def insert(self, logs: DataFrame, seq: str = "id") -> None:
+    def insert(self, logs: DataFrame, seq: str = "id", batch: Batch | None = None) -> None:
         """Add rows whose id isn't there; of rows with one id the first. Only ids of the rows' own months are read, in folders whose ids reach into theirs.
 
-        An id holds its time, so one that comes again has the same month."""
+        An id holds its time, so one that comes again has the same month. batch: the stream and number that these rows are of, noted with them in one step; a batch
+        that the table has is not read again. A stream's batches come in order."""
+        if batch and self.has(batch):
+            return
         new = logs.withColumn("created_month", month(F.col("created_at")))
         span = {NO_MONTH if r.created_month is None else r.created_month: r for r in new.groupBy("created_month").agg(F.min("id").alias("low"), F.max("id").alias("high")).collect()}
 
@@ -307,7 +321,7 @@ class AuditTable:
             return Change([], self._staged(self._laid_out(own.select(*COLUMNS, "created_month"))), set(span))
 
         if span:
-            self._change(make)
+            self._change(make, batch)
 
     def _marked(self, own: list[Folder], doomed: DataFrame) -> list[Folder]:
         """These folders without the rows of doomed (_file, _row). Folders without rows are left out."""
@@ -383,15 +397,17 @@ class AppendTable(AuditTable):
         """All rows as they were written, repeated ones too; _written tells their order."""
         return self._stored(self._live())
 
-    def insert(self, logs: DataFrame, seq: str = "id") -> None:
-        """Add rows. A null tenant is the empty one, as such a store has it. Of rows with one tenant and id in logs, the last by seq is the last."""
+    def insert(self, logs: DataFrame, seq: str = "id", batch: Batch | None = None) -> None:
+        """Add rows. A null tenant is the empty one, as such a store has it. Of rows with one tenant and id in logs, the last by seq is the last.
+
+        batch: the stream and number that these rows are of. They are noted with the rows, and a batch that comes again adds none."""
 
         def make(_: list[Folder], number: int) -> Change:
             # its number orders the rows, so an insert that comes second is made anew
             rows = last_write(logs.withColumn("tenant_id", F.coalesce("tenant_id", F.lit(""))), seq).select(*COLUMNS, F.lit(number << 32).cast("long").alias("_written"), month(F.col("created_at")).alias("created_month"))
             return Change([], self._staged(self._laid_out(rows)))
 
-        self._change(make)
+        self._change(make, batch)
 
 
 def cutoff(days: int, now: datetime.datetime | None = None) -> str:

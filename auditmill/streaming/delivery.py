@@ -25,22 +25,26 @@ def source(spark: SparkSession, path: str, files_per_batch: int = 100, headers:
     return spark.readStream.schema(f"{LOG}, {HEADERS}" if headers else LOG).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def deliver(stream: DataFrame, insert: Callable[[DataFrame], None], checkpoint: str, limits: Limits = Limits(), dead_letter: Callable[[DataFrame, Exception], None] | None = None,
-            rejected: Callable[[DataFrame], None] | None = None, dedup_within: str | None = None, seconds: float | None = None, attempts: int = 3, backoff_ms: int = 1000, proxies: int | None = None) -> StreamingQuery:
+def deliver(stream: DataFrame, insert: Callable[..., None], checkpoint: str, limits: Limits = Limits(), dead_letter: Callable[[DataFrame, Exception], None] | None = None,
+            rejected: Callable[[DataFrame], None] | None = None, dedup_within: str | None = None, seconds: float | None = None, attempts: int = 3, backoff_ms: int = 1000, proxies: int | None = None,
+            numbered: bool = False) -> StreamingQuery:
     """Cleaned records to insert(), batch by batch. proxies: a request's address, agent and tenant come from HEADERS, behind so many trusted proxies. A batch may be replayed after a crash: insert() is by id.
 
     A batch that insert() refuses `attempts` times goes to dead_letter(); without that, or if it fails too, the batch fails and stays in the checkpoint.
+    numbered: insert() gets batch=(the query's id, the batch's number) too, by which a table tells a batch that it has: a replay adds nothing, to an AppendTable either.
     dedup_within bounds the state of an early dedup by event time. Without seconds, all that is there is worked off and the query ends."""
     if dedup_within:
         stream = stream.withColumn("_at", F.try_to_timestamp("created_at")).withWatermark("_at", dedup_within).dropDuplicatesWithinWatermark(["id"]).drop("_at")
 
-    def batch(rows: DataFrame, _: int) -> None:
+    def batch(rows: DataFrame, number: int) -> None:
+        # the query's id lies in the checkpoint, so it is the same after a restart
+        own = {"batch": (rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"), number)} if numbered else {}
         good, bad = split_by_tenant(rows if proxies is None else with_request_context(rows, proxies), limits)
         clean = sanitised(good, limits).select(*COLUMNS).persist()
         try:
             for attempt in range(attempts):
                 try:
-                    insert(clean)
+                    insert(clean, **own)
                     break
                 except Exception as e:  # noqa: BLE001 - any failure of the destination is retried, then dead-lettered
                     if attempt + 1 < attempts:

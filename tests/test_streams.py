@@ -7,8 +7,8 @@ import pytest
 from auditmill.plans.ingest import Limits
 from auditmill.plans.logger import AuditLogger, Config
 from auditmill.sources.journal import Journal
-from auditmill.sources.schema import COLUMNS
-from auditmill.sources.table import AuditTable
+from auditmill.sources.schema import COLUMNS, LOG
+from auditmill.sources.table import AppendTable, AuditTable
 from auditmill.streaming import batches, delivery, journal as waves
 
 
@@ -115,3 +115,78 @@ def test_batches_go_by_size_or_by_time_and_wait_across_a_restart(spark, tmp_path
     until(found, 13)
     query.stop()
     assert sorted(found[8:]) == [("of a", 2, "size", f"{k:05d}") for k in range(8, 12)] + [("of c", 0, "time", "00040")]
+
+
+def forget_last_batch(tmp_path):
+    """As if the driver was lost after the table's change and before the stream noted its batch."""
+    commits = sorted((int(p.name), p) for p in (tmp_path / "ck" / "commits").iterdir() if p.name.isdigit())
+    for p in (commits[-1][1], commits[-1][1].with_name(f".{commits[-1][1].name}.crc")):
+        p.unlink(missing_ok=True)
+
+
+@pytest.mark.parametrize("numbered", [True, False])
+def test_a_batch_that_comes_again_is_told_by_its_number(spark, tmp_path, numbered):
+    table = AppendTable(spark, f"file://{tmp_path}/t")
+    run = lambda: delivery.deliver(delivery.source(spark, f"file://{tmp_path}/in", 1), table.insert, f"file://{tmp_path}/ck", numbered=numbered).awaitTermination()
+    put(tmp_path, "1.json", [rec(1), rec(2)])
+    put(tmp_path, "2.json", [rec(3)])
+    run()
+    before = len(table._manifests())
+    forget_last_batch(tmp_path)
+    put(tmp_path, "3.json", [rec(4)])
+    run()
+    assert ids(table) == ["00001", "00002", "00003", "00004"]
+    # the replayed batch is a second version of its row unless the table knows it
+    assert table.raw().count() == (4 if numbered else 5) and len(table._manifests()) == before + (1 if numbered else 2)
+
+
+def test_changes_keep_what_streams_noted(spark, tmp_path, monkeypatch):
+    frame = lambda *rows: spark.createDataFrame([tuple(r[c] for c in COLUMNS) for r in rows], LOG)
+    path = f"file://{tmp_path}/t"
+    table, other = AuditTable(spark, path), AuditTable(spark, path)
+    table.insert(frame(rec(1)), batch=("s", 0))
+    other.insert(frame(rec(2)), batch=("r", 7))
+    real, seen = table._staged, []
+
+    def staged(rows):
+        # the same batch by another driver, which comes first
+        if not seen:
+            seen.append(1)
+            other.insert(frame(rec(3)), batch=("s", 1))
+        return real(rows)
+
+    monkeypatch.setattr(table, "_staged", staged)
+    table.insert(frame(rec(3)), batch=("s", 1))
+    table.compact(many=2)
+    table.prune("2025-01-01T00:00:00.000Z")
+    assert ids(table) == ["00001", "00002", "00003"]
+    assert [table.has(x) for x in (("s", 1), ("s", 2), ("r", 7), ("r", 8), ("q", 0))] == [True, False, True, False, False]
+    table.insert(frame(rec(9)), batch=("s", 1))
+    assert ids(table) == ["00001", "00002", "00003"]
+
+
+def test_a_task_that_fails_leaves_no_half_written_batch(spark, tmp_path):
+    table, down = AuditTable(spark, f"file://{tmp_path}/t"), tmp_path / "down"
+    put(tmp_path, "1.json", [rec(i) for i in range(40)])
+
+    def insert(rows, batch):
+        path = str(down)
+
+        def parts(chunks):
+            import pathlib
+
+            for chunk in chunks:
+                if pathlib.Path(path).exists() and (chunk["id"] > "00030").any():
+                    raise OSError("a task is down")
+                yield chunk
+
+        table.insert(rows.repartition(8, "id").mapInPandas(parts, LOG), batch=batch)
+
+    run = lambda: delivery.deliver(delivery.source(spark, f"file://{tmp_path}/in"), insert, f"file://{tmp_path}/ck", attempts=1, numbered=True).awaitTermination()
+    down.touch()
+    with pytest.raises(Exception, match="a task is down"):
+        run()
+    assert table._manifests() == [] and ids(table) == []
+    down.unlink()
+    run()
+    assert ids(table) == [f"{i:05d}" for i in range(40)] and len(table._manifests()) == 1
