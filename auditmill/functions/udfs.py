@@ -2,82 +2,52 @@
 
 from __future__ import annotations
 
-import json
 import os
 import time
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from auditmill.functions.redaction import redacted
+
 #: A record's root names -> columns.
 ROOT = {"id": "id", "tenantId": "tenant_id", "actorId": "actor_id", "action": "action", "entityId": "entity_id", "createdAt": "created_at", "ipAddress": "ip_address", "userAgent": "user_agent"}
 BAGS = {"oldValues": "old_values", "newValues": "new_values", "metadata": "metadata"}
 
 
-def drop_key(value, key: str) -> None:
-    """Remove key from value and everything in it."""
-    stack = [value]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, dict):
-            x.pop(key, None)
-            stack += x.values()
-        elif isinstance(x, list):
-            stack += x
-
-
-def drop_path(value, path: list[str]) -> None:
-    """Remove what path leads to; an array's item becomes null."""
-    for k, name in enumerate(path):
-        last = k == len(path) - 1
-        if isinstance(value, list):
-            if not name.isdigit() or int(name) >= len(value):
-                return
-            if last:
-                value[int(name)] = None
-                return
-            value = value[int(name)]
-        elif isinstance(value, dict) and name:
-            if last:
-                value.pop(name, None)
-                return
-            value = value.get(name)
-        else:
-            return
+def _can_hold(text: Column, keys: list[str], paths: list[list[str]]) -> Column:
+    """Whether text may hold one of these: it has the name, or an escape in which a name could be written."""
+    names = [*keys, *(next((x for x in p if not x.isdecimal()), None) for p in paths)]
+    # a path of numbers alone could lead into any array
+    return F.lit(True) if None in names else reduce(Column.__or__, [text.contains(f'"{x}"') for x in names], text.contains("\\"))
+
 
+def redactor(text: Column, keys: list[str], paths: list[list[str]]) -> Column:
+    """text without these; only rows that can hold one go to Python, as Arrow buffers."""
+    held = _can_hold(text, keys, paths)
 
-def redactor(keys: list[str], paths: list[list[str]]):
-    def one(text: str | None) -> str | None:
-        if text is None or not (keys or paths):
-            return text
-        try:
-            value = json.loads(text)
-        except ValueError:
-            return text
-        if not isinstance(value, (dict, list)):
-            return text
-        for k in keys:
-            drop_key(value, k)
-        for p in paths:
-            drop_path(value, p)
-        return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array) -> pa.Array:
+        return redacted(texts, keys, paths)
 
-    return F.pandas_udf(lambda s: s.map(one, na_action="ignore"), "string")
+    return F.when(held, cut(F.when(held, text))).otherwise(text)
 
 
 def redact(logs: DataFrame, paths: tuple[str, ...]) -> DataFrame:
     """logs without what paths name. A bare name goes from the root and, at any depth, from the three bags; a dotted path goes from the root.
 
-    A bag that itself is named becomes null. Text that is not JSON stays. A bare tenantId makes a record global."""
+    A bag that itself is named becomes null. Text that is not JSON stays, and what is left of JSON stays as it was written. A bare tenantId makes a record global."""
     keys = [p for p in paths if p and "." not in p]
     dotted = [p.split(".") for p in paths if "." in p]
     changed: dict[str, Column] = {c: F.lit(None).cast("string") for n, c in {**ROOT, **BAGS}.items() if n in keys}
     for name, c in BAGS.items():
         own = [p[1:] for p in dotted if p[0] == name]
         if c not in changed and (keys or own):
-            changed[c] = redactor(keys, own)(F.col(c))
+            changed[c] = redactor(F.col(c), keys, own)
     return logs.withColumns(changed) if changed else logs
 
 
