@@ -489,7 +489,7 @@ def test_parts_of_ones_own_and_tenants_that_look_alike(spark, tmp_path):
     logger = AuditLogger(spark, Config(f"file://{tmp_path}/log", database_per_tenant=True, tables=1, destination=lambda t: made.setdefault(t, AppendTable(spark, f"file://{tmp_path}/own/{t}"))))
     for t in "ab":
         logger.fire("x.y", "u", tenant_id=t)
-    assert logger.flush() and {t: d.scan().count() for t, d in made.items()} == {"a": 1, "b": 1} and len(logger._tables) == 1
+    assert logger.flush() and {t: d.scan().count() for t, d in made.items()} == {"a": 1, "b": 1} and len(logger.tables.open()) == 1
     logger = AuditLogger(spark, Config(f"file://{tmp_path}/log2", database_per_tenant=True, resolve=lambda t: f"file://{tmp_path}/elsewhere" if t == "c" else None))
     for t in ("a/b", "a_b", "c"):
         logger.fire("x.y", t, tenant_id=t)
@@ -557,6 +557,7 @@ def test_tables_take_inserts_at_once(spark, tmp_path):
     assert logger.flush()
     state = logger.stats_detailed()
     assert (state["journal"], state["pending"], state["queued"]) == (0, 2, 0) and not [e for e in events if e["type"] == "error"]
-    logger._tables.clear()
+    for t in logger.tables.open():
+        logger.tables.close(t)
     logger.retry_dlq_now()
     assert all(logger.table(f"t{k}").scan().count() == 2 and integrity.failures(logger.table(f"t{k}").scan()).count() == 0 for k in range(6))
