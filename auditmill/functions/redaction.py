@@ -135,7 +135,7 @@ def _json(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray)
 
     def loads(part: np.ndarray) -> bool:
         try:
-            json.loads(b"[" + b",".join([b[x:y].tobytes() for x, y in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]) + b"]")
+            json.loads("[" + b",".join([b[x:y].tobytes() for x, y in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]).decode() + "]")
         except ValueError:
             return False
         except RecursionError:

@@ -61,6 +61,12 @@ def test_texts_are_told_apart_by_chunks_and_slices(monkeypatch):
     assert run([], ["key"], []) == [] and run([None], ["key"], []) == [None]
 
 
+def test_bytes_that_are_no_utf8_stay():
+    raw = [b'{"key":"\xff"}', b'{"key":1,"b":2}', b'\x00{"key":1}', b'\xef\xbb\xbf{"key":1}']
+    got = redaction.redacted(pa.array(raw, pa.binary()).view(pa.string()), ["key"], [])
+    assert got.view(pa.binary()).to_pylist() == [raw[0], b'{"b":2}', *raw[2:]]
+
+
 def test_what_stays_is_as_it_was_written():
     text = '{ "big": 12345678901234567890.10, "e": 1E400, "key" : {"key":1} , "u": "\\u00e9", "k\\u0065y": 2 }'
     assert run([text], ["key"], []) == ['{ "big": 12345678901234567890.10, "e": 1E400, "u": "\\u00e9"}']
