@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,25 @@ class JdbcTable:
             there = self._of([" OR ".join(f"(id >= {_quoted(r.low)} AND id <= {_quoted(r.high)})" for r in own) for own in parts]).select("id")
             new.join(there, "id", "left_anti").select(*COLUMNS).write.jdbc(self.url, self.table, mode="append", properties=self.properties)
 
+    def merge(self, logs: DataFrame, seq: str = "id", kind: str = "VARCHAR(4000)", update: bool = False) -> None:
+        """Add rows whose id isn't there, all in one statement of the database (MERGE); with update, rows that are there become the new ones.
+
+        Tasks write to a table beside this one, with columns of this kind, which is dropped after it. So a task that fails leaves nothing of the batch, and no ids are read.
+        A driver that dies leaves the table beside (<name>_new_...). Of rows with one id in logs the first counts."""
+        beside = f"{self.table}_new_{uuid.uuid4().hex[:12]}"
+        connection = self._connection()
+        try:
+            run = lambda sql: connection.createStatement().executeUpdate(sql)
+            run(f"CREATE TABLE {beside} ({', '.join(f'{c} VARCHAR(64) NOT NULL PRIMARY KEY' if c == 'id' else f'{c} {kind}' for c in COLUMNS)})")
+            try:
+                first_write(logs, seq).select(*COLUMNS).write.jdbc(self.url, beside, mode="append", properties=self.properties)
+                change = f"WHEN MATCHED THEN UPDATE SET {', '.join(f'{c} = n.{c}' for c in COLUMNS if c != 'id')} " if update else ""
+                run(f"MERGE INTO {self.table} AS o USING {beside} AS n ON o.id = n.id {change}WHEN NOT MATCHED THEN INSERT ({', '.join(COLUMNS)}) VALUES ({', '.join(f'n.{c}' for c in COLUMNS)})")
+            finally:
+                run(f"DROP TABLE {beside}")
+        finally:
+            connection.close()
+
     def prune(self, cutoff: str, tenant: str | None = None) -> None:
         connection = self._connection()
         try:

@@ -89,6 +89,27 @@ def test_jdbc_table(spark):
     assert sorted(r.id for r in table.scan().collect()) == ["0002", "0003"] and isinstance(table, Destination)
 
 
+def test_jdbc_merge(spark):
+    table = JdbcTable(spark, "jdbc:derby:memory:merge;create=true", "audit_logs", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    table.create()
+    full = {c: "-" for c in COLUMNS if c not in ("id", "tenant_id", "action", "created_at")}
+    state = lambda: sorted((r.id, r.action) for r in table.scan().collect())
+    again = full | {"action": "again"}
+    table.merge(frame(spark, [log(1, **full), log(2, **full)]))
+    table.merge(frame(spark, [log(2, **again), log(3, **full)]))
+    assert state() == [("0001", "x"), ("0002", "x"), ("0003", "x")]
+    table.merge(frame(spark, [log(3, **again), log(4, **full)]), update=True)
+    assert state() == [("0001", "x"), ("0002", "x"), ("0003", "again"), ("0004", "x")]
+    # a text that is too long for the database: nothing of the batch is there
+    with pytest.raises(Exception, match="truncat|VARCHAR"):
+        table.merge(frame(spark, [log(k, **full | ({"metadata": "m" * 5000} if k == 29 else {})) for k in range(10, 30)]).repartition(4))
+    assert len(state()) == 4
+    connection = table._connection()
+    found = connection.getMetaData().getTables(None, None, "AUDIT_LOGS_NEW%", None)
+    assert not found.next()
+    connection.close()
+
+
 def test_jdbc_by_ranges(spark):
     table = JdbcTable(spark, "jdbc:derby:memory:ranges;create=true", "audit_logs", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}, part_rows=100)
     table.create()
