@@ -177,8 +177,7 @@ class AuditTable:
         if not paths:
             return []
         rows = self._raw(paths).select("id", *skipping.COLUMNS, skipping.file_of().alias("_file"))
-        folder = F.regexp_extract("_file", r"^(.*)/", 1)
-        counted = {r.folder: r for r in rows.groupBy(folder.alias("folder")).agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).collect()}
+        counted = {r.folder: r for r in rows.groupBy(skipping.folder_of().alias("folder")).agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).collect()}
         size = {p: sum(self.files.sizes(p).values()) for p in paths}
         # one name for all months of a change
         large = sum(size.values()) >= self.index_bytes
@@ -326,10 +325,9 @@ class AuditTable:
     def _marked(self, own: list[Folder], doomed: DataFrame) -> list[Folder]:
         """These folders without the rows of doomed (_file, _row). Folders without rows are left out."""
         name, at = self._name(), f"{self.path}/_gone/"
-        folder = F.regexp_extract("file", r"^(.*)/", 1).alias("folder")
         new = doomed.groupBy(F.col("_file").alias("file"), F.floor(F.col("_row") / skipping.BITS).alias("block")).agg(F.bitmap_construct_agg((F.col("_row") % skipping.BITS).cast("long")).alias("bits"))
         all_ = new.unionByName(self._gone(own)).groupBy("file", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
-        all_.select(folder, "file", "block", "bits").write.parquet(at + name)
+        all_.select(skipping.folder_of("file").alias("folder"), "file", "block", "bits").write.parquet(at + name)
         made = self.spark.read.schema(_GONE).parquet(at + name).groupBy("folder").agg(F.sum(F.bitmap_count("bits")).alias("rows"), F.count("*").alias("blocks")).collect()
         by = {r.folder: r for r in made}
         out = [replace(x, gone=name, gone_rows=by[x.path].rows, gone_blocks=by[x.path].blocks) if x.path in by and by[x.path].rows > x.gone_rows else x for x in own]

@@ -2,6 +2,7 @@
 
 import datetime
 import threading
+import time
 
 import pytest
 from auditmill.operators import query
@@ -180,6 +181,16 @@ def test_skip_data_of_many_values(spark):
     assert skipping.candidates(index, {"actor_id": "actor_id11"}).first().file == "f3"
 
 
+def test_a_files_name_costs_little_for_each_row(spark):
+    """Scans name the file of each row, in folders whose paths may be long."""
+    path = F.concat(F.lit("file://" + f"/{'x' * 60}" * 60 + "/created_month=202601/folder/part-"), "id", F.lit(".parquet"))
+    rows = spark.range(20_000).select(path.alias("path"))
+    began = time.perf_counter()
+    found = rows.select(skipping.file_of("path").alias("_file")).withColumn("folder", skipping.folder_of()).groupBy("folder").agg(F.max("_file").alias("file")).collect()
+    assert [tuple(r) for r in found] == [("created_month=202601/folder", "created_month=202601/folder/part-9999.parquet")]
+    assert time.perf_counter() - began < 5
+
+
 def test_pages_open_the_newest_months(spark, tmp_path):
     t = AuditTable(spark, f"file://{tmp_path}/t")
     months = [f"{y}-{m:02d}" for y in (2024, 2025) for m in range(1, 13)]
