@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,13 +27,20 @@ def parsed(text: DataFrame, key: bytes | None = None) -> DataFrame:
     if key:
         lines = lines.withColumn("line", decrypt(F.col("line"), F.lit(key)))
     held = F.coalesce(F.get_json_object("line", "$.log"), F.when(F.get_json_object("line", "$.actorId").isNotNull(), F.col("line")))
-    return lines.select("segment", from_camel(F.from_json(held, _CAMEL)).alias("log"), F.col("line")).where("log.id is not null")
+    # as a generator's row, which is made once: else each column, and the condition, would parse the line anew
+    once = lines.select("segment", "line", F.inline(F.array(F.from_json(held, _CAMEL))))
+    return once.where("id is not null").select("segment", _renamed(F.col).alias("log"), "line")
 
 
 def from_camel(x: Column) -> Column:
     """A log with the stored columns' names."""
+    return F.when(x.isNotNull(), _renamed(lambda c: x[c]))
+
+
+def _renamed(of: Callable[[str], Column]) -> Column:
+    """The stored columns of what of() has by the names in files."""
     names = zip(_CAMEL.split(", "), LOG.split(", "), strict=True)
-    return F.when(x.isNotNull(), F.struct(*(x[a.split()[0]].alias(b.split()[0]) for a, b in names)))
+    return F.struct(*(of(a.split()[0]).alias(b.split()[0]) for a, b in names))
 
 
 def acks(spark: SparkSession, path: str) -> DataFrame:

@@ -37,7 +37,8 @@ def work_off(rows: DataFrame, acks: Callable[[], DataFrame], insert: Callable[[D
     A wave that insert() refuses `attempts` times goes to dead_letter(); without that the query fails, and the wave is the next one's first."""
 
     def wave(batch: DataFrame, _: int) -> None:
-        own = delivery.pending(batch.select(*COLUMNS), acks()).persist()
+        # a stream's batch is planned without adaptive execution: a join by shuffle leaves as many parts as there may be, for each of which all later steps would have a task
+        own = delivery.pending(batch.select(*COLUMNS), acks()).coalesce(max(1, batch.rdd.getNumPartitions())).persist()
         try:
             for attempt in range(attempts):
                 try:

@@ -6,10 +6,12 @@ import time
 import pytest
 from auditmill.plans.ingest import Limits
 from auditmill.plans.logger import AuditLogger, Config
+from auditmill.sources import files
 from auditmill.sources.journal import Journal
 from auditmill.sources.schema import COLUMNS, LOG
 from auditmill.sources.table import AppendTable, AuditTable
 from auditmill.streaming import batches, delivery, journal as waves
+from pyspark.sql import functions as F
 
 
 def rec(i, tenant="t1"):
@@ -190,3 +192,20 @@ def test_a_task_that_fails_leaves_no_half_written_batch(spark, tmp_path):
     down.unlink()
     run()
     assert ids(table) == [f"{i:05d}" for i in range(40)] and len(table._manifests()) == 1
+
+
+def test_a_wave_parses_each_line_once_and_keeps_few_parts(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.ndjson").write_text("".join(json.dumps({"id": f"{i:03d}", "log": {"id": f"{i:03d}", "actorId": "u"}}) + "\n" for i in range(50)) + "{broken\n")
+    plan = files.parsed(spark.read.text(f"{tmp_path}/s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    seen, before = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # acks may be too many to be sent to all tasks
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        acked = spark.range(20).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("id"))
+        stream = waves.segments(spark, f"{tmp_path}/s", clean=False)
+        waves.work_off(stream, lambda: acked, lambda rows: seen.append((rows.count(), rows.rdd.getNumPartitions())), f"{tmp_path}/c").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert seen == [(30, 1)]
