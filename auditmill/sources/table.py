@@ -307,20 +307,27 @@ class AuditTable:
     def insert(self, logs: DataFrame, seq: str = "id", batch: Batch | None = None) -> None:
         """Add rows whose id isn't there; of rows with one id the first. Only ids of the rows' own months are read, in folders whose ids reach into theirs.
 
-        An id holds its time, so one that comes again has the same month. batch: the stream and number that these rows are of, noted with them in one step; a batch
-        that the table has is not read again. A stream's batches come in order."""
+        An id holds its time, so one that comes again has the same month. A table without rows takes the rows as they are read once, without their ids' range.
+        batch: the stream and number that these rows are of, noted with them in one step; a batch that the table has is not read again. A stream's batches come in order."""
         if batch and self.has(batch):
             return
         new = logs.withColumn("created_month", month(F.col("created_at")))
-        span = {NO_MONTH if r.created_month is None else r.created_month: r for r in new.groupBy("created_month").agg(F.min("id").alias("low"), F.max("id").alias("high")).collect()}
+        span: dict[int, Row] = {}
+        staged = lambda own: self._staged(self._laid_out(own.select(*COLUMNS, "created_month")))
 
         def make(live: list[Folder], _: int) -> Change:
+            if not live:
+                # rests on all months: if another change comes first, ids are sought in what it added
+                return Change([], staged(first_write(new, seq)))
+            if not span:
+                found = new.groupBy("created_month").agg(F.min("id").alias("low"), F.max("id").alias("high")).collect()
+                span.update({NO_MONTH if r.created_month is None else r.created_month: r for r in found})
+            if not span:
+                return Change([], [])
             there = [x for x in live if x.month in span and x.low is not None and x.low <= span[x.month].high and x.high >= span[x.month].low]
-            own = insert_if_absent(new, self._read(there), seq) if there else first_write(new, seq)
-            return Change([], self._staged(self._laid_out(own.select(*COLUMNS, "created_month"))), set(span))
+            return Change([], staged(insert_if_absent(new, self._read(there), seq) if there else first_write(new, seq)), set(span))
 
-        if span:
-            self._change(make, batch)
+        self._change(make, batch)
 
     def _marked(self, own: list[Folder], doomed: DataFrame) -> list[Folder]:
         """These folders without the rows of doomed (_file, _row). Folders without rows are left out."""

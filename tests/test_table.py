@@ -283,6 +283,37 @@ def test_inserts_read_the_folders_that_their_ids_reach_into(spark, tmp_path, mon
     assert t.present(spark.createDataFrame([], "id string")).count() == 0
 
 
+def test_an_insert_into_an_empty_table_reads_its_rows_once(spark, tmp_path):
+    """Whatever makes the rows is done once; a table that has rows needs their ids' range first."""
+    t, read = AuditTable(spark, f"file://{tmp_path}/t"), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    logs = frame(spark, [log(i) for i in range(20)]).mapInArrow(seen, LOG)
+    t.insert(logs)
+    assert read.value == 20 and len(ids(t)) == 20
+    t.insert(logs)
+    assert read.value == 60 and len(ids(t)) == 20
+    empty = AuditTable(spark, f"file://{tmp_path}/e")
+    empty.insert(frame(spark, []))
+    empty.insert(frame(spark, []), batch=("s", 0))
+    assert empty.scan().count() == 0 and not empty.has(("s", 0))
+
+
+@pytest.mark.parametrize("second", [[log(1, action="other"), log(2)], [log(3, at="2026-02-01T00:00:00.000Z", action="other")]])
+def test_two_first_inserts_at_one_time(spark, tmp_path, monkeypatch, second):
+    """Ids of the one that comes first are not added again, in whatever month of the other's rows they lie."""
+    path = f"file://{tmp_path}/t"
+    slow, fast = AuditTable(spark, path), AuditTable(spark, path)
+    between(monkeypatch, slow, "_commit", lambda: fast.insert(frame(spark, second)))
+    slow.insert(frame(spark, [log(1), log(3), log(3, at="2026-02-01T00:00:00.000Z")]))
+    assert ids(slow) == sorted({"0001", "0003", *(r[0] for r in second)})
+    assert slow.scan().where("action = 'other'").count() == 1
+
+
 def test_rows_without_a_time_stay(spark, tmp_path):
     t = AuditTable(spark, f"file://{tmp_path}/t")
     t.insert(frame(spark, [log(1, at=None), log(2)]))
